@@ -33,5 +33,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op4_url_reputation, op9_warc, op10_secret_scan)}
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op4_url_reputation, op8_simhash, op9_warc, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
