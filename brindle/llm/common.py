@@ -17,6 +17,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
 
+def words(text: str | None) -> list[str]:
+    """The words of a text, as WORD finds them, but faster."""
+    if not text:
+        return []
+    for space in "\t\n\x0b\x0c\r":
+        if space in text:
+            text = text.replace(space, " ")
+    return list(filter(None, text.split(" ")))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

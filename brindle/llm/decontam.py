@@ -26,13 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import words as words_of
 
 MAX_EDITS, MIN_WORDS = 0.2, 5
 STRIDE = 8
 WALKS, STEPS = 2, 24
 #: Of each walk's tables: how many steps they may sample, and how many they do.
-TABLES = ((8, 4), (12, 4), (16, 5), (24, 5))
+TABLES = ((8, 5), (12, 5), (16, 6), (24, 6))
 BLOCK = 20_000
 CACHE = 1_000_000
 SLOTS = 1 << 22
@@ -61,7 +61,7 @@ class Index:
     """The keys of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        forms = [(i, [w for w in map(normal, WORD.findall(t or "")) if w]) for i, t in items]
+        forms = [(i, [w for w in map(normal, words_of(t)) if w]) for i, t in items]
         forms = [(i, w) for i, w in forms if len(w) >= MIN_WORDS]
         self.known = {w: n + 1 for n, w in enumerate(sorted({w for _, ws in forms for w in ws}))}
         self.items = [(i, np.array([self.known[w] for w in ws], np.int32)) for i, ws in forms]
@@ -133,29 +133,38 @@ class Index:
         if not self.tables or not len(flat):
             return
         start = self.starts(flat)
-        found: set[tuple[int, int]] = set()
+        found = []
         for (slots, keys, owner, offset), key in zip(self.tables, self.keys(flat, start), strict=True):
             hit = np.flatnonzero(slots[key & np.uint64(SLOTS - 1)])
             lo, hi = np.searchsorted(keys, key[hit], "left"), np.searchsorted(keys, key[hit], "right")
             count = hi - lo
             which = np.repeat(hit, count)
             entry = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            found.update(zip(owner[entry].tolist(), (start[which] - offset[entry]).tolist(), strict=True))
-        if not found:
-            return
+            # an item's begin may lie up to its edits before the text
+            found.append((owner[entry].astype(np.int64) << 40) + (start[which] - offset[entry] + (1 << 20)))
+        pairs = np.unique(np.concatenate(found))
+        item, at = pairs >> 40, (pairs & ((1 << 40) - 1)) - (1 << 20)
+        size = np.array([len(w) for _, w in self.items])[item]
+        limit = (MAX_EDITS * size).astype(np.int64)
+        first, ends = np.array(begin), np.array(begin) + np.array([len(t) for t in texts])
+        text = np.searchsorted(first, np.maximum(at + limit, 0), "right") - 1
+        lo, hi = np.maximum(at - limit, first[text]), np.minimum(at + size + limit, ends[text])
+        enough = np.zeros(len(item), bool)
+        for i in range(0, len(item), 20_000):
+            part = slice(i, i + 20_000)
+            span = np.arange(int((hi[part] - lo[part]).max(initial=1)))
+            words = flat[np.minimum(lo[part, None] + span, len(flat) - 1)]
+            shared = (self.has[item[part, None], words] & (lo[part, None] + span < hi[part, None])).sum(axis=1)
+            enough[part] = shared >= size[part] - limit[part]
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        ends = [b + len(t) for b, t in zip(begin, texts, strict=True)]
-        for item, at in sorted(found):
-            words = self.items[item][1]
-            limit = int(MAX_EDITS * len(words))
-            text = int(np.searchsorted(begin, max(at + limit, 0), "right")) - 1 if at + limit >= 0 else 0
-            lo, hi = max(at - limit, begin[text]), min(at + len(words) + limit, ends[text])
-            window = flat[lo:hi]
-            if np.count_nonzero(self.has[item][window]) < len(words) - limit or best.get((text, item), (limit + 1,))[0] == 0:
+        for n in np.flatnonzero(enough).tolist():
+            where = (int(text[n]), int(item[n]))
+            known = best.get(where, (int(limit[n]) + 1, 0))
+            if known[0] == 0:
                 continue
-            edits, end = edit_distance(words.tolist(), window.tolist())
-            if edits <= limit and edits < best.get((text, item), (limit + 1,))[0]:
-                best[(text, item)] = (edits, lo + end - begin[text])
+            edits, end = edit_distance(self.items[where[1]][1].tolist(), flat[lo[n] : hi[n]].tolist())
+            if edits < known[0]:
+                best[where] = (edits, int(lo[n]) + end - begin[where[0]])
         for (text, item), (edits, end) in best.items():
             yield text, item, edits, end
 
@@ -206,7 +215,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
                     part = batch.slice(i, 500)
                     laid = []
                     for t in part.column(1).to_pylist():
-                        ws = WORD.findall(t) if t else []
+                        ws = words_of(t)
                         words = np.fromiter(map(number.__getitem__, ws), np.int32, len(ws))
                         laid.append(words[words >= 0])
                     found = sorted(index.search(laid))

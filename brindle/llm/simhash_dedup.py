@@ -22,7 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WORD, stage
+from .common import ASCII_LOWER, stage
+from .common import words as words_of
 from .components import components
 
 SHINGLE, SEED, BITS = 3, 42, 3
@@ -32,7 +33,7 @@ ALL_PAIRS = 2_000
 
 def text_hashes(text: str | None) -> np.ndarray:
     """XXH64 of a text's shingles, repeats included; fewer words than a shingle: of the whole sequence."""
-    words = WORD.findall((text or "").translate(ASCII_LOWER))
+    words = words_of((text or "").translate(ASCII_LOWER))
     if not words:
         return np.zeros(0, np.uint64)
     data = " ".join(words).encode()
