@@ -57,11 +57,17 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import dedup
+
+    return dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import extract
 
     return extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_decontamination, op4_url_reputation, op5_toxicity, op7_html_extraction, op8_simhash, op9_warc, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_decontamination, op4_url_reputation, op5_toxicity, op6_substring_dedup, op7_html_extraction, op8_simhash, op9_warc, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
