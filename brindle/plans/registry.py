@@ -1,14 +1,10 @@
-"""The registered queries and their DuckDB equivalents."""
+"""All registered queries and their DuckDB equivalents."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import search
+from .base import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+FLAGSHIP = search.hybrid_pages
