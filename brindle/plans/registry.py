@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import search
+from . import graph, search
 from .base import ORACLE_SQL, QUERIES
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "graph", "search"]
 
 FLAGSHIP = search.hybrid_pages
