@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graph, search
+from . import graph, reports, search
 from .base import ORACLE_SQL, QUERIES
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "graph", "search"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "graph", "reports", "search"]
 
 FLAGSHIP = search.hybrid_pages
