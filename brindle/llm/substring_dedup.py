@@ -209,7 +209,8 @@ def dedup(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["key", "doc", "sub", "start", "count"])
 
     found = stage(rows.mapInArrow(key, "key long, doc long, sub long, start int, count int"), "segments")
-    often = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # staged, so that the join has plain exchanges on both sides and Spark can split a frequent key
+    often = stage(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
     shared = found.join(often, "key").groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("start", "count", "key", (F.col("n") > HEAVY).alias("heavy")))).alias("segments"))
     shards = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
