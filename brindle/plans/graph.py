@@ -107,9 +107,9 @@ def cause_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.chains(edges(spark, sf_dir), ("ORDERED",), ("SUPPLIED_BY",))
 
 
-@query(f"WITH {_EDGES} SELECT src, rel_name, dst FROM edges WHERE contains(src, 'CHINA') OR contains(dst, 'CHINA')")
+@query(f"WITH {_EDGES} SELECT src, rel_name, dst FROM edges WHERE contains(src, 'NATION_1') OR contains(dst, 'NATION_1')")
 def contains_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.contains_either(edges(spark, sf_dir), F.lit("CHINA")).select("src", "rel_name", "dst")
+    return g.contains_either(edges(spark, sf_dir), F.lit("NATION_1")).select("src", "rel_name", "dst")
 
 
 _DECISIONS = "d AS (SELECT conv_id || '-' || turn AS decision_id, conv_id || ':' || turn AS subject, conv_id || ':' || (turn + 1) AS outcome, turn FROM (SELECT DISTINCT conv_id, turn FROM conversations))"
@@ -144,10 +144,10 @@ def dup_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glossary.duplicate_names(named).withColumn("found", F.array_join("found", ","))
 
 
-@query("""WITH k AS (SELECT DISTINCT p_type AS name, regexp_replace(lower(p_type), '[^\\p{L}\\p{N}]+', '', 'g') AS key FROM part)
+@query("""WITH k AS (SELECT DISTINCT n_name AS name, regexp_replace(lower(n_name), '[^\\p{L}\\p{N}]+', '', 'g') AS key FROM nation)
 SELECT a.name AS short, b.name AS long FROM k a JOIN k b ON length(b.key) > length(a.key) AND starts_with(b.key, a.key) WHERE length(a.key) >= 2""")
 def abbreviation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return glossary.affix_pairs(table(spark, sf_dir, "part").select(F.col("p_type").alias("name")))
+    return glossary.affix_pairs(_nations(spark, sf_dir))
 
 
 _GLOSSARY = """gl AS (SELECT p_type AS term, list_sort(list_distinct(list(p_brand))) AS synonyms, min(split_part(p_type, ' ', 1)) AS category FROM part GROUP BY p_type),
@@ -196,3 +196,12 @@ def entity_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - 1), lambda i: F.col("name").substr(i, F.lit(2))))
     blocked = found.withColumn("asked", F.explode(pairs)).join(asked, "asked")
     return glossary.rank_entities(blocked).select("asked", "name", "label", "degree", "tier", "rank")
+
+
+@query("""WITH n AS (SELECT DISTINCT p_name AS name, regexp_replace(lower(p_name), '\\s+', '', 'g') AS bare FROM part),
+g AS (SELECT name, list_distinct([substring(bare, i, 3) FOR i IN generate_series(1, greatest(length(bare) - 2, 1))]) AS s FROM n),
+p AS (SELECT a.name, b.name AS other, len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))) AS similarity FROM g a JOIN g b ON a.name < b.name)
+SELECT name, other, round(similarity, 6) AS similarity FROM p WHERE similarity >= 0.6""")
+def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = glossary.similar_names(table(spark, sf_dir, "part").select(F.col("p_name").alias("name")))
+    return found.withColumn("similarity", F.round("similarity", 6))

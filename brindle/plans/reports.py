@@ -145,9 +145,9 @@ def chain_skip_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.skipped(links, found)
 
 
-@query(f"WITH {_EVENTS} SELECT event_id, scope, event_type, date_ts FROM e WHERE date_ts >= 1704067200 AND event_type = 'click' AND contains(lower(props), 'a')")
+@query(f"""WITH {_EVENTS} SELECT event_id, scope, event_type, date_ts FROM e WHERE date_ts >= 1704067200 AND event_type = 'click' AND contains(lower(props), '"k": 6')""")
 def timeline_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = events.timeline(timeline_events(spark, sf_dir), start=1704067200, kind="click", keywords=F.array(F.lit("a")), fields=("props",), limit=None)
+    found = events.timeline(timeline_events(spark, sf_dir), start=1704067200, kind="click", keywords=F.array(F.lit('"k": 6')), fields=("props",), limit=None)
     return found.select("event_id", "scope", "event_type", "date_ts")
 
 
