@@ -38,7 +38,7 @@ def coverage_score(score: Column, coverage: Column, boost: float = COVERAGE_BOOS
 def json_array(text: Column, schema: str) -> Column:
     """The array in a text that may wrap it in fences or prose; null where there is none or it cannot be read."""
     bare = F.regexp_replace(text, r"```[a-z]*", "")
-    return F.from_json(F.nullif(F.regexp_extract(bare, r"(?s)\[.*\]", 0), F.lit("")), f"array<{schema}>", {"mode": "PERMISSIVE"})
+    return F.from_json(F.nullif(F.regexp_extract(bare, r"(?s)\[.*\]", 0), F.lit("")), f"array<struct<{schema}>>", {"mode": "PERMISSIVE"})
 
 
 def json_object(text: Column, schema: str) -> Column:

@@ -27,7 +27,7 @@ def parse(files: DataFrame) -> DataFrame:
     lines = F.filter(F.split(head, r"\r?\n"), lambda line: line.rlike("^[^:]+:"))
     pair = lambda line: F.struct(F.trim(F.regexp_extract(line, "^([^:]+):(.*)$", 1)).alias("k"), F.trim(F.regexp_extract(line, "^([^:]+):(.*)$", 2)).alias("v"))
     pairs = F.transform(lines, pair)
-    get = lambda name: F.nullif(F.filter(F.col("_pairs"), lambda p: p["k"] == name)[0]["v"], F.lit(""))
+    get = lambda name: F.nullif(F.get(F.filter(F.col("_pairs"), lambda p: p["k"] == name), F.lit(0))["v"], F.lit(""))
     stem = F.regexp_replace("file", r"\.[^.]*$", "")
     rows = files.withColumn("_pairs", pairs)
     return rows.select(
