@@ -14,7 +14,7 @@ def read_pages(spark: SparkSession, path: str, glob: str = "*.md", excluded: tup
     The front matter ends at a line of its own; its lines are split at the first colon; properties that are no JSON are left
     out; a page without a title or an id is named by its file.
     """
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path)
+    files = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path, wholetext=True)
     named = files.select("value", F.col("_metadata.file_name").alias("file"))
     if excluded:
         named = named.where(~F.col("file").isin(*excluded))

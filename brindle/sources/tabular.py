@@ -20,7 +20,7 @@ def read_event_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def _wrapped(spark: SparkSession, path: str, field: str, schema: str) -> DataFrame:
     """Objects of JSON files that hold an array, or an object with the array in a field."""
-    text = spark.read.option("wholetext", True).text(path).select(F.regexp_replace("value", "^﻿", "").alias("value"))
+    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^﻿", "").alias("value"))
     inner = F.from_json("value", f"{field} ARRAY<STRUCT<{schema}>>")
     rows = F.when(F.trim("value").startswith("["), F.from_json("value", f"ARRAY<STRUCT<{schema}>>")).otherwise(inner[field])
     return text.select(F.explode(rows).alias("r")).select("r.*")
