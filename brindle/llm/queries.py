@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .common import table
 
 
@@ -70,4 +71,9 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_decontamination, op4_url_reputation, op5_toxicity, op6_substring_dedup, op7_html_extraction, op8_simhash, op9_warc, op10_secret_scan)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": oracles.op2(),
+    "op4_url_reputation": oracles.op4(),
+    "op6_substring_dedup": oracles.op6(),
+    "op9_warc": oracles.op9(),
+}
