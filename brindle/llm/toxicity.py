@@ -16,6 +16,7 @@ teach nothing; repeated documents get a row each.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,25 +34,49 @@ VOCABULARY = 30_000
 WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 12, 12, 8, 8
 TRIGRAMS = 4_096
 EPOCHS, BATCH, RATE = 6, 32, 0.01
-CACHE = 150_000
+#: Steps at least, so that few labels are seen more often.
+STEPS = 400
+CACHE = 400_000
 PAD, RARE = 0, 1
 
 
+PUNCTUATION = re.compile(r"[\W_]+")
+
+
 def normal(word: str) -> str:
-    return "".join(c for c in word.lower() if c.isalnum()) or "#"
+    """Letters and digits of a word, lower-cased."""
+    low = word.lower()
+    return (low if low.isalnum() else PUNCTUATION.sub("", low)) or "#"
 
 
-def trigrams(word: str) -> list[int]:
-    """Slots of the character trigrams of a word with its ends marked; long words are read whole."""
-    marked = f"<{word}>"
-    codes = [ord(c) for c in marked]
-    return [(a * 1_000_003 + b * 8_191 + c * 127) % TRIGRAMS for a, b, c in zip(codes, codes[1:], codes[2:], strict=False)]
+def trigrams(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the character trigrams of words with their ends marked, and how many each word has; long words are read whole."""
+    count = np.fromiter(map(len, forms), np.int64, len(forms))
+    codes = np.frombuffer("".join([f"<{w}>" for w in forms]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    slots = (codes[:-2] * 1_000_003 + codes[1:-1] * 8_191 + codes[2:] * 127) % TRIGRAMS
+    # a word of n letters has n trigrams; the two that begin at its last marks reach into the next word
+    inside = np.ones(len(codes), bool)
+    end = np.cumsum(count + 2)
+    inside[end - 1] = inside[end - 2] = False
+    return slots[inside[:-2]], count
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _squash(x: np.ndarray, scale: int = -1) -> None:
+    """In place: the sigmoid of x, or with scale -2 its hyperbolic tangent, 2 * sigmoid(2 * x) - 1. exp is numpy's fastest way."""
+    x *= np.float32(scale)
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += np.float32(1)
+    np.reciprocal(x, out=x)
+    if scale == -2:
+        x *= np.float32(2)
+        x -= np.float32(1)
+
+
 class Network:
     """Parameters and the forward pass. p holds the arrays by name."""
 
@@ -69,12 +94,11 @@ class Network:
     def inputs(self, forms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each form: its embedding number, its input vector, and its trigrams as slots and owners."""
         ids = np.array([self.number.get(w, RARE) for w in forms], np.int64)
-        grams = [trigrams(w) for w in forms]
-        count = np.array([len(g) for g in grams], np.int64)
-        slots = np.array([g for gs in grams for g in gs], np.int64)
+        if not forms:
+            return ids, np.zeros((0, WORD_DIM + CHAR_DIM), np.float32), ids, ids
+        slots, count = trigrams(forms)
         owner = np.repeat(np.arange(len(forms)), count)
-        starts = np.concatenate(([0], np.cumsum(count)[:-1])).astype(np.int64)
-        chars = np.add.reduceat(self.p["char"][slots], starts, axis=0) / count[:, None] if len(forms) else np.zeros((0, CHAR_DIM))
+        chars = np.add.reduceat(self.p["char"][slots], np.cumsum(count) - count, axis=0) / count[:, None]
         return ids, np.concatenate([self.p["word"][ids], chars], axis=1).astype(np.float32), slots, owner
 
     def projected(self, inputs: np.ndarray) -> np.ndarray:
@@ -84,38 +108,44 @@ class Network:
         pad[0, :HIDDEN] = pad[0, 3 * HIDDEN : 4 * HIDDEN] = 40
         return np.concatenate([pad, rows]).astype(np.float32)
 
-    def logits(self, gates: np.ndarray, windows: np.ndarray) -> np.ndarray:
-        """Of windows of row numbers in gates (0: pad)."""
+    def logits(self, gates: np.ndarray | list[np.ndarray], windows: np.ndarray) -> np.ndarray:
+        """Of windows of row numbers (0: pad) in gates, or in their forward and backward halves."""
         out = np.empty(len(windows), np.float32)
-        both = np.stack([self.p["Uf"], self.p["Ub"]])
-        halves = np.ascontiguousarray(gates.reshape(len(gates), 2, 3 * HIDDEN).transpose(1, 0, 2))
+        sides = gates if isinstance(gates, list) else [np.ascontiguousarray(g) for g in np.hsplit(gates, 2)]
+        turned = [np.ascontiguousarray(self.p[u].T) for u in ("Uf", "Ub")]
+        attend = np.ascontiguousarray(self.p["A"].T)
+        # windows are the last axis throughout, so that every step works on long runs of memory
         for i in range(0, len(windows), 2_048):
-            part = windows[i : i + 2_048]
-            n = len(part)
-            h = np.zeros((2, n, HIDDEN), np.float32)
-            states = np.empty((WINDOW, n, 2 * HIDDEN), np.float32)
-            for t in range(WINDOW):
-                x = np.stack([halves[0][part[:, t]], halves[1][part[:, WINDOW - 1 - t]]])
-                g = h @ both
-                zr = x[:, :, : 2 * HIDDEN] + g[:, :, : 2 * HIDDEN]
-                zr *= np.float32(0.5)
-                np.tanh(zr, out=zr)  # sigmoid(x) = (1 + tanh(x / 2)) / 2
-                zr += np.float32(1)
-                zr *= np.float32(0.5)
-                z = zr[:, :, :HIDDEN]
-                new = g[:, :, 2 * HIDDEN :] * zr[:, :, HIDDEN:]
-                new += x[:, :, 2 * HIDDEN :]
-                np.tanh(new, out=new)
-                h -= new
-                h *= z
-                h += new
-                states[t, :, :HIDDEN], states[WINDOW - 1 - t, :, HIDDEN:] = h[0], h[1]
-            score = np.tanh(states @ self.p["A"] + self.p["a"]) @ self.p["v"]
-            score[part.T == PAD] = -1e9
+            part = np.ascontiguousarray(windows[i : i + 2_048].T)
+            n = part.shape[1]
+            states = np.empty((WINDOW, 2 * HIDDEN, n), np.float32)
+            gathered, g = np.empty((n, 3 * HIDDEN), np.float32), np.empty((3 * HIDDEN, n), np.float32)
+            for d in range(2):
+                h = np.zeros((HIDDEN, n), np.float32)
+                for t in range(WINDOW) if d == 0 else range(WINDOW - 1, -1, -1):
+                    np.take(sides[d], part[t], axis=0, out=gathered, mode="clip")
+                    np.matmul(turned[d], h, out=g)
+                    x = gathered.T
+                    zr, new = g[: 2 * HIDDEN], g[2 * HIDDEN :]
+                    zr += x[: 2 * HIDDEN]
+                    _squash(zr)
+                    new *= zr[HIDDEN:]
+                    new += x[2 * HIDDEN :]
+                    _squash(new, -2)
+                    h -= new
+                    h *= zr[:HIDDEN]
+                    h += new
+                    states[t, d * HIDDEN : (d + 1) * HIDDEN] = h
+            hidden = attend @ states
+            hidden += self.p["a"][:, None]
+            _squash(hidden, -2)
+            score = np.einsum("tan,a->tn", hidden, self.p["v"])
+            score[part == PAD] = -1e9
             score -= score.max(axis=0)
             weight = np.exp(score)
             weight /= weight.sum(axis=0)
-            out[i : i + n] = np.einsum("tn,tnh,h->n", weight, states, self.p["o"], optimize=["einsum_path", (1, 2), (0, 1)]) + self.p["bias"]
+            told = np.einsum("thn,h->tn", states, self.p["o"])
+            out[i : i + n] = (weight * told).sum(axis=0) + self.p["bias"]
         return out
 
     def gradients(self, forms: list[str], windows: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
@@ -195,7 +225,8 @@ def fit(texts: list[str], toxic: list[int]) -> Network:
     moment = {k: np.zeros_like(v) for k, v in network.p.items()}
     square = {k: np.zeros_like(v) for k, v in network.p.items()}
     step = 0
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS * BATCH // len(pairs)))
+    for epoch in range(epochs):
         order = rng.permutation(len(pairs))
         for i in range(0, len(order), BATCH):
             chosen = [pairs[k] for k in order[i : i + BATCH]]
@@ -210,7 +241,7 @@ def fit(texts: list[str], toxic: list[int]) -> Network:
             at = 0 if taught[0] == PAD else 1  # without a pad the rows still begin at 1
             grads = network.gradients([own[j - 1] for j in taught if j], numbers.reshape(-1, WINDOW) + at, np.array([y for _, y in chosen], np.float32))
             step += 1
-            rate = RATE * (1 - epoch / EPOCHS) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+            rate = RATE * (1 - epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for k, g in grads.items():
                 moment[k] += 0.1 * (g - moment[k])
                 square[k] += 0.001 * (g * g - square[k])
@@ -237,7 +268,19 @@ class Scorer:
         self._empty()
 
     def _empty(self) -> None:
-        self.rows, self.gates = _Rows(), self.network.projected(np.zeros((0, WORD_DIM + CHAR_DIM), np.float32))
+        self.rows, self.filled = _Rows(), 0
+        self.sides = [np.empty((1 << 14, 3 * HIDDEN), np.float32) for _ in range(2)]
+        self._add([])
+
+    def _add(self, forms: list[str]) -> None:
+        """Project new words into the rows that follow; the first row is the pad."""
+        new = self.network.projected(self.network.inputs(forms)[1])[1 if self.filled else 0 :]
+        end = self.filled + len(new)
+        while end > len(self.sides[0]):
+            self.sides = [np.concatenate([side, np.empty_like(side)]) for side in self.sides]
+        for side, part in zip(self.sides, np.hsplit(new, 2), strict=True):
+            side[self.filled : end] = part
+        self.filled = end
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         if len(self.rows) > CACHE:
@@ -245,14 +288,13 @@ class Scorer:
         split = [words_of(t) for t in texts]
         numbers = [np.fromiter(map(self.rows.__getitem__, w), np.int64, len(w)) for w in split]
         if self.rows.fresh:
-            forms, index = np.unique(np.array(self.rows.fresh, object), return_inverse=True)
-            self.gates = np.concatenate([self.gates, self.network.projected(self.network.inputs(forms.tolist())[1])[1:][index]])
+            self._add(self.rows.fresh)
             self.rows.fresh = []
         score = np.full(len(texts), self.network.base)
         full = [i for i, n in enumerate(numbers) if len(n)]
         if full:
             windows = [cut(numbers[i]) for i in full]
-            logit = self.network.logits(self.gates, np.concatenate(windows))
+            logit = self.network.logits(self.sides, np.concatenate(windows))
             begin = np.concatenate(([0], np.cumsum([len(w) for w in windows])[:-1]))
             score[full] = sigmoid(np.maximum.reduceat(logit, begin).astype(np.float64))
         return score
@@ -279,8 +321,8 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scorer(part.column(at).to_pylist()), pa.float64())], [*part.schema.names, "score"])
 
     if "score" in docs.columns:

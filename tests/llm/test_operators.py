@@ -206,7 +206,7 @@ def test_gradients_are_the_losses_slopes():
     found = network.gradients(forms, windows, target)
     rng = np.random.default_rng(0)
     for name, values in network.p.items():
-        at = (2, 3) if name == "word" else (toxicity.trigrams("a")[0], 1) if name == "char" else tuple(rng.integers(0, s) for s in values.shape)
+        at = (2, 3) if name == "word" else (toxicity.trigrams(["a"])[0][0], 1) if name == "char" else tuple(rng.integers(0, s) for s in values.shape)
         old, step = values[at], 1e-2
         values[at] = old + step
         up = loss()
