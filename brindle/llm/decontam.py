@@ -194,41 +194,57 @@ def edit_distance(item: list[int], window: list[int]) -> tuple[int, int]:
     return best, end
 
 
+def blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """All usable items in blocks of about BLOCK, which is what the driver and a task hold at a time."""
+    usable = items.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
+    n = max(1, -(-usable.count() // BLOCK))
+    for block in range(n):
+        yield sorted((r.item_id, r.text) for r in usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block).collect())
+
+
+def _searched(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]], at: int) -> Iterator[tuple[pa.RecordBatch, Index, list[tuple[int, int, int, int]]]]:
+    """Parts of the batches with what was found in their texts (column at)."""
+    index = Index(items)
+    number = _Vocabulary(index.known)
+    for batch in batches:
+        for i in range(0, batch.num_rows, 500):
+            part = batch.slice(i, 500)
+            laid = []
+            for t in part.column(at).to_pylist():
+                ws = words_of(t)
+                words = np.fromiter(map(number.__getitem__, ws), np.int32, len(ws))
+                laid.append(words[words >= 0])
+            yield part, index, sorted(index.search(laid))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, item_id, item_words, edits and end_word for every document and item it holds."""
-    kind = dict(docs.dtypes)[key]
-    schema = f"k {kind}, item_id {dict(items.dtypes)['item_id']}, item_words long, edits long, end_word long"
-    usable = items.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
+    schema = f"k {dict(docs.dtypes)[key]}, item_id {dict(items.dtypes)['item_id']}, item_words long, edits long, end_word long"
     item_type = {"bigint": pa.int64(), "int": pa.int32()}.get(dict(items.dtypes)["item_id"], pa.string())
-    blocks = max(1, -(-usable.count() // BLOCK))
     out = None
-    for block in range(blocks):
-        # a block's size is bounded by BLOCK items (give or take the hash's unevenness)
-        rows = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        index_items = sorted((r.item_id, r.text) for r in rows)
-
-        def run(batches: Iterator[pa.RecordBatch], index_items: list = index_items) -> Iterator[pa.RecordBatch]:
-            index = Index(index_items)
-            number = _Vocabulary(index.known)
-            for batch in batches:
-                for i in range(0, batch.num_rows, 500):
-                    part = batch.slice(i, 500)
-                    laid = []
-                    for t in part.column(1).to_pylist():
-                        ws = words_of(t)
-                        words = np.fromiter(map(number.__getitem__, ws), np.int32, len(ws))
-                        laid.append(words[words >= 0])
-                    found = sorted(index.search(laid))
-                    columns = [part.column(0).take(pa.array([f[0] for f in found], pa.int64()))]
-                    columns.append(pa.array([index.items[f[1]][0] for f in found], item_type))
-                    columns += [pa.array([len(index.items[f[1]][1]) for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, ["k", "item_id", "item_words", "edits", "end_word"])
+    for block in blocks(items):
+
+        def run(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
+            for part, index, found in _searched(batches, block, 1):
+                columns = [part.column(0).take(pa.array([f[0] for f in found], pa.int64())), pa.array([index.items[f[1]][0] for f in found], item_type)]
+                columns += [pa.array([len(index.items[f[1]][1]) for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["k", "item_id", "item_words", "edits", "end_word"])
 
         one = docs.select(key, text).mapInArrow(run, schema)
         out = one if out is None else out.unionByName(one)
     return out.withColumnRenamed("k", key)
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that hold no item; a document without id is kept."""
-    return docs.join(contaminated(docs, items).select("doc_id").distinct(), "doc_id", "left_anti")
+def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
+    """The documents that hold no item, with all their columns; nothing is shuffled."""
+    at = docs.columns.index(text)
+    for block in blocks(items):
+
+        def run(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
+            for part, _, found in _searched(batches, block, at):
+                kept = np.ones(part.num_rows, bool)
+                kept[[f[0] for f in found]] = False
+                yield part.filter(pa.array(kept))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -24,9 +24,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays; documents without id stay."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi")
+    """Of each group of near-duplicates the document with the smallest doc_id stays, once; documents without id stay."""
+    kept = near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
+    kept = stage(kept, "kept")
+    one = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+    if not kept.where("_rows > 1").isEmpty():
+        one = one.dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
