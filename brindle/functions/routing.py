@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 #: Signs that something is planned, and that it was done.
 PLANNED = ("예정", "검토 중", "계획", "가능성", "논의 중", "준비 중", "검토하고", "진행할")
 APPLIED = ("완료", "적용됨", "배포됨", "출시", "오픈됨", "시행됨", "확정됨", "실시됨", "반영됨", "실행됨", "시작됨", "됩니다", "했습니다")
-DECIDED = ("결정", "승인", "확정", "채택", "합의", "선정", "decided", "approved", "adopted")
+DECIDED = (
+    "승인", "결정", "채택", "선택", "완료", "확정", "검토", "허가", "처리", "배정", "지정", "선정", "의결",
+    "보고", "승낙", "거부", "반려", "취소", "변경", "수정", "합의", "위임", "지시", "요청", "승계", "이관",
+)
 
 
 def any_of(text: Column, words: tuple[str, ...]) -> Column:

@@ -11,8 +11,8 @@ from brindle.functions.text import any_keyword
 
 #: The event types; anything else is the default.
 EVENT_TYPES = (
-    "user_event", "ua_campaign", "update", "patch", "maintenance", "incident", "season", "launch",
-    "policy", "marketing", "personnel", "content", "balance", "other",
+    "client_update", "server_update", "user_event", "season", "content_release", "maintenance", "incident", "kpi_milestone",
+    "ua_budget", "ua_creative", "ua_channel", "ua_targeting", "ua_abtest", "ua_campaign",
 )
 REQUIRED = ("game", "date", "title")
 
@@ -107,3 +107,26 @@ def completeness(events: DataFrame) -> DataFrame:
     """One row of counts: all, and those without a date, scope or type."""
     blank = lambda c: F.count_if(F.coalesce(F.col(c).cast("string"), F.lit("")) == "")
     return events.agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("date_ts") == 0).alias("undated"), blank("scope").alias("no_scope"), blank("event_type").alias("no_type"))
+
+
+def resolve_timeline(questions: DataFrame, events: DataFrame, games: DataFrame, key: str, limit: int = 20) -> DataFrame:
+    """Events that a question (key, text) asks for: it must ask for a history, and name a date or a game (column name).
+
+    Oldest first, at most limit a question; questions without date and game get none.
+    """
+    from brindle.functions.dates import date_range, timeline_intent
+
+    from .glossary import names_in_text
+    from .ranking import top_by
+
+    asked = questions.select(key, "text", date_range(F.col("text")).alias("_r")).where(timeline_intent(F.col("text")))
+    game = names_in_text(asked, games, key).where("rank = 1").select(key, F.col("name").alias("_game"))
+    wanted = asked.join(game, key, "left").where("_r.from IS NOT NULL OR _game IS NOT NULL")
+    span = wanted.select(key, "_game", F.unix_timestamp(F.col("_r.from").cast("timestamp")).alias("_from"), (F.unix_timestamp(F.col("_r.to").cast("timestamp")) + 86_399).alias("_to"))
+    inside = (F.col("_from").isNull()) | F.col("date_ts").between(F.col("_from"), F.col("_to"))
+    by_game = span.where("_game IS NOT NULL").join(events, F.col("_game") == F.col("scope")).where(inside)
+    # without a game a range is spelled out in days, which keeps the join an equi-join
+    days = span.where("_game IS NULL").withColumn("_day", F.explode(F.sequence(F.expr("_from div 86400"), F.expr("_to div 86400"))))
+    by_day = days.join(events.withColumn("_day", F.expr("date_ts div 86400")), "_day").drop("_day")
+    columns = [key, *events.columns]
+    return top_by(by_game.select(*columns).unionByName(by_day.select(*columns)), [key], limit, F.asc("date_ts"), F.asc("event_id"))
