@@ -7,7 +7,7 @@ Compiled from a model's pieces (a parameter; nothing is trained or copied):
 * the merge order of a BPE model: a state is the last piece, and an arc from piece a to piece b has weight infinity unless the
   merges of a's and b's letters end in just a and b. That is decided on the two pieces alone, and kept. A path without an
   infinite arc is the model's own segmentation;
-* byte fallback: a letter that is no piece spells its UTF-8 bytes, at a high weight.
+* byte fallback: a letter that is no piece spells its UTF-8 bytes.
 
 A text is normalised, cut where no piece can span (the automaton is back in its start state there), composed with the
 transducer and read off along the shortest path in the tropical semiring (min, +). Paths of segments seen before are kept in a
@@ -31,9 +31,7 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Weight of a piece, and of a letter spelled in bytes.
-PIECE, FALLBACK = 1.0, 1000.0
-CACHE = 400_000
+CACHE = 250_000
 
 
 def load_pieces(path: str = MODEL) -> tuple[list[str], list[float], list[int]]:
@@ -84,51 +82,65 @@ class Transducer:
 
     def follows(self, a: int, b: int) -> bool:
         """Whether the arc from piece a to piece b is finite. a < 0: the start, or a letter in bytes, which merges with nothing."""
-        if a < 0:
-            a, key = b, (-1, b)
-        else:
-            key = (a, b)
-        known = self.pairs.get(key)
+        known = self.pairs.get(a << 20 | b)
         if known is None:
-            if len(self.pairs) > 4 * CACHE:
+            if len(self.pairs) > 2 * CACHE:
                 self.pairs.clear()
-            text = [self.pieces[b]] if key[0] < 0 else [self.pieces[a], self.pieces[b]]
-            known = self.pairs[key] = self.merges("".join(text)) == text
+            text = [self.pieces[b]] if a < 0 else [self.pieces[a], self.pieces[b]]
+            known = self.pairs[a << 20 | b] = self.merges("".join(text)) == text
         return known
 
+    def arcs(self, segment: str, at: int) -> list[tuple[int, int]]:
+        """(end, piece) of the pieces that begin at a position, short ones first."""
+        found, node = [], self.trie
+        for end in range(at, len(segment)):
+            node = node.get(segment[end])
+            if node is None:
+                break
+            if "" in node:
+                found.append((end + 1, node[""]))
+        return found
+
     def shortest_path(self, segment: str) -> list[int]:
-        """Ids along the shortest path through the composition of segment and transducer."""
-        n = len(segment)
-        # at each position: last piece (-1: none) -> (weight, position before, last piece before, ids)
-        states: list[dict[int, tuple]] = [{} for _ in range(n + 1)]
-        states[0][-1] = (0.0, 0, -1, ())
-        for i in range(n):
-            here = states[i]
-            if not here:
-                continue
-            node, j = self.trie, i
-            if segment[i] not in node or "" not in node[segment[i]]:
-                ids = tuple(self.byte[b] for b in segment[i].encode("utf-8", "replace"))
-                last = min(here, key=lambda a: here[a][0])
-                self._relax(states[i + 1], -1, here[last][0] + FALLBACK, i, last, ids)
-            while j < n and (node := node.get(segment[j])) is not None:
-                j += 1
-                if (piece := node.get("")) is not None:
-                    for last, state in here.items():
-                        if self.follows(last, piece):
-                            self._relax(states[j], piece, state[0] + PIECE, i, last, (piece,))
-        at, last = n, min(states[n], key=lambda a: states[n][a][0])
-        out = []
-        while at:
-            _, before, previous, ids = states[at][last]
-            out.append(ids)
-            at, last = before, previous
-        return [i for ids in reversed(out) for i in ids]
-
-    @staticmethod
-    def _relax(states: dict, piece: int, weight: float, at: int, last: int, ids: tuple) -> None:
-        if piece not in states or weight < states[piece][0]:
-            states[piece] = (weight, at, last, ids)
+        """Ids along the shortest path through the composition of segment and transducer.
+
+        States are (position, last piece). A finite path is the merge order's own segmentation, so there is one at most for the
+        letters that are pieces, and the first path found is the shortest: the search follows long arcs first, turns back at
+        infinite ones and enters no state twice. A letter that is no piece has its bytes as its only arc.
+        """
+        pairs, n = self.pairs, len(segment)
+        arcs: list[list[tuple[int, int]] | None] = [None] * n
+        at, last, choice = 0, -1, None
+        path: list[tuple[int, int, int]] = []  # position, last piece before, choices left
+        out: list[int | tuple[int, ...]] = []
+        dead: set[tuple[int, int]] = set()
+        while at < n:
+            own = arcs[at]
+            if own is None:
+                own = arcs[at] = self.arcs(segment, at)
+            k = len(own) if choice is None else choice
+            choice = None
+            while k:
+                k -= 1
+                end, piece = own[k]
+                finite = pairs.get(last << 20 | piece)
+                if (self.follows(last, piece) if finite is None else finite) and (end, piece) not in dead:
+                    path.append((at, last, k))
+                    out.append(piece)
+                    at, last = end, piece
+                    break
+            else:
+                if not own or own[0][0] > at + 1:  # the letter alone is no piece
+                    path.append((at, last, 0))
+                    out.append(tuple(self.byte[b] for b in segment[at].encode("utf-8", "replace")))
+                    at, last = at + 1, -1
+                    continue
+                dead.add((at, last))
+                if not path:
+                    raise ValueError(f"no path for {segment!r}")
+                at, last, choice = path.pop()
+                out.pop()
+        return [i for x in out for i in (x if isinstance(x, tuple) else (x,))]
 
     def encode(self, text: str | None) -> bytes:
         if not text:
