@@ -34,7 +34,7 @@ WALKS, STEPS = 2, 24
 #: Of each walk's tables: how many steps they may sample, and how many they do.
 TABLES = ((8, 5), (12, 5), (16, 6), (24, 6))
 BLOCK = 20_000
-CACHE = 1_000_000
+CACHE = 300_000
 SLOTS = 1 << 22
 
 
