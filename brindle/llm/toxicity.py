@@ -33,10 +33,10 @@ TRAIN_DOCS, TRAIN_CHARS = 4_000, 20_000
 VOCABULARY = 30_000
 WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 12, 12, 8, 8
 TRIGRAMS = 4_096
-EPOCHS, BATCH, RATE = 6, 32, 0.01
+EPOCHS, BATCH, RATE = 3, 32, 0.01
 #: Steps at least, so that few labels are seen more often.
-STEPS = 400
-CACHE = 400_000
+STEPS = 300
+CACHE = 150_000
 PAD, RARE = 0, 1
 
 
