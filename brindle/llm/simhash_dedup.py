@@ -189,6 +189,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prints = stage(fingerprints(docs), "simhash")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").cast("long").alias("node"))
     found = components(links(nodes.where("node IS NOT NULL")))
-    classes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    # staged, as the joins of components are: a fingerprint of very many documents can be split
+    classes = stage(nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "classes")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(classes, "fp").select("doc_id", hexed.alias("fingerprint"), F.col("component_id").cast(dict(docs.dtypes)["doc_id"]).alias("component_id"))
