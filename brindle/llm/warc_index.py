@@ -53,7 +53,8 @@ def records(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
     rows = rows.withColumn("digest", base32_sha1(F.encode("payload", "UTF-8"))).withColumn("n", F.octet_length("payload"))
     # a payload is known by digest and length
-    first = rows.groupBy("digest", "n").agg(F.max("page_id").alias("kept"))
+    # staged, so that the join has plain exchanges on both sides and Spark can split a payload of very many pages
+    first = stage(rows.groupBy("digest", "n").agg(F.max("page_id").alias("kept")), "payloads")
     rows = rows.join(first, ["digest", "n"])
     is_response = F.col("kept").isNull() | F.col("page_id").eqNullSafe(F.col("kept"))
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n").cast("string"), F.lit(CRLF * 2))
