@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, stage
 from .stats_sql import digamma, trigamma
 
 #: Rule -> verdict; a rule is host + path.
@@ -88,7 +88,8 @@ def reputation(outcomes: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, labels: DataFrame) -> DataFrame:
     parsed = parse(pages).withColumn("_doc", F.expr(r"try_cast(nullif(regexp_extract(path, '/([0-9]+)(?:[.]html)?/?$', 1), '') AS BIGINT)"))
     marked = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("_doc")).agg((F.min("quality") == 0).alias("bad"))
-    hosts = reputation(parsed.select("host", "_doc").join(marked, "_doc", "left").select("host", "bad"))
+    # staged: Spark then broadcasts the hosts if they are small, and can split a host of very many pages if they are not
+    hosts = stage(reputation(parsed.select("host", "_doc").join(marked, "_doc", "left").select("host", "bad")), "hosts")
     joined = parsed.join(hosts, "host", "left")
     ruled = F.when(F.col("rule").isin(*[r for r, v in RULES.items() if v == "block"]), "block").otherwise("allow")
     verdict = F.when(F.col("rule").isNotNull(), ruled).when(F.coalesce("blocked", F.lit(False)), "block").otherwise("allow")
