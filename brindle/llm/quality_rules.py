@@ -93,7 +93,8 @@ def cutoffs(labelled: DataFrame, stratum: str = "lang") -> DataFrame:
 def judge(feats: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang") -> DataFrame:
     """feats with kept added. labels: key and quality (1: good). feats is read twice; stage it first."""
     marked = labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull()).groupBy(key).agg((F.max("quality") == 1).alias("good"))
-    chosen = cutoffs(feats.join(marked, key), stratum)
+    # staged: Spark then knows how small it is and broadcasts it, whatever share of the documents a stratum has
+    chosen = stage(cutoffs(feats.join(marked, key), stratum), "cutoffs")
     rejected = " OR ".join(f"coalesce({metric} > cut_{rule}, false)" for rule, (metric, _) in RULES.items())
     joined = feats.withColumn("_stratum", F.coalesce(F.col(stratum), F.lit(""))).join(chosen, "_stratum", "left")
     return joined.withColumn("kept", F.expr(f"NOT base_failed AND NOT ({rejected})"))
