@@ -4,31 +4,36 @@ A page is read into blocks of tokens. Elements that hold no article text (script
 adverts, forms, reader comments) are left out by their tag, role, class or id. If the page marks an article (article or main),
 its blocks alone count; otherwise all the rest of the body does.
 
+A run of RUN tokens is boilerplate of its host by the share of the host's distinct pages that have it, whatever the host's size:
+on pages without a marked article from one in ONE_IN pages (two at least), inside a marked article from nine in ten pages and COMMON
+pages at least, since copies of an article and passages that articles share are article text.
+
 The pages of a host are dealt into shards of about SHARD_PAGES pages by a hash. A shard's token streams are concatenated and their
-suffixes sorted (by prefix doubling up to RUN tokens), which brings equal runs of RUN tokens together. A run of a page without a
-marked article is boilerplate when another page of its shard has it too; inside a marked article only when it stands on more than
-half of a shard's pages and on COMMON pages at least, since copies of an article and passages that articles share are article
-text. Words covered by boilerplate runs go; the unique runs stay in page order.
+suffixes sorted (by prefix doubling up to RUN tokens), which brings equal runs together. A run that reaches a share of the host
+reaches it in one of its shards at least, so the runs that do are all that can; these are then counted in every shard, and the sums
+decide. Words covered by boilerplate runs go; the others stay in page order.
 
-Defined results: null and empty html give an empty text; pages with a null url share the empty host; equal pages of one shard
-count once in the comparison, so that a repeated page does not erase itself; markup that is never closed ends with its page.
+Defined results: null and empty html give an empty text; pages with a null url share the empty host; pages of a host with equal
+tokens count once, so that a repeated page does not erase itself; markup that is never closed ends with its page. Between shards a
+run is known by a 64-bit hash.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, stage
 
-SHARD_PAGES, RUN, COMMON = 32, 8, 8
+SHARD_PAGES, RUN, COMMON, ONE_IN = 256, 8, 8, 100
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|textarea|title|svg|iframe|select)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?(?:</\1\s*>|\Z)"
@@ -137,41 +142,94 @@ def suffix_classes(tokens: np.ndarray, length: int) -> np.ndarray:
     return rank
 
 
-def unique_runs(pages: list[list[list[str]]], marked: list[bool]) -> list[list[str]]:
-    """The tokens of each page of a shard that no boilerplate run covers."""
-    number: dict[str, int] = {}
-    streams = [[t for block in page for t in block] for page in pages]
-    distinct = {}
-    for i, s in enumerate(streams):
-        distinct.setdefault(tuple(s), i)
-    kept = sorted(i for s, i in distinct.items() if s)
-    if len(kept) < 2:
-        return streams
-    parts, owner, separator = [], [], 0
-    for i in kept:
-        ids = [number.setdefault(t, len(number)) for t in streams[i]]
-        separator -= 1
-        parts.append(np.array([*ids, separator], np.int64))  # each separator is a token of its own
-        owner.append(np.full(len(ids) + 1, i, np.int64))
-    tokens, page = np.concatenate(parts), np.concatenate(owner)
-    classes = suffix_classes(tokens, RUN)
-    # distinct pages of each class
-    pairs = np.unique(classes * (len(streams) + 1) + page)
-    count = np.bincount(pairs // (len(streams) + 1), minlength=int(classes.max()) + 1)[classes]
-    is_marked = np.array(marked, bool)[page]
-    starts = np.where(is_marked, (count >= COMMON) & (10 * count >= 9 * len(kept)), count >= 2)
-    inside = np.concatenate([np.arange(len(p), 0, -1) for p in parts]) > RUN  # RUN tokens before the separator
-    edge = np.zeros(len(tokens) + RUN, np.int64)
-    at = np.flatnonzero(starts & inside)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + RUN, -1)
-    covered = np.cumsum(edge)[: len(tokens)] > 0
-    found, begin = {}, 0
-    for i, part in zip(kept, parts, strict=True):
-        gone = covered[begin : begin + len(part) - 1]
-        found[i] = [t for t, g in zip(streams[i], gone.tolist(), strict=True) if not g] if gone.any() else streams[i]
-        begin += len(part)
-    return [found[distinct[tuple(s)]] if s else [] for s in streams]
+def least(n: int) -> int:
+    """On how many of a host's n distinct pages a run is boilerplate of pages without a marked article."""
+    return max(2, -(-n // ONE_IN))
+
+
+class Shard:
+    """The distinct token streams of a shard in one array, each ended by a token of its own."""
+
+    def __init__(self, group: pd.DataFrame):
+        self.streams = [t.split() for t in group["text"]]
+        first: dict[str, int] = {}
+        self.same = [first.setdefault(t, i) for i, t in enumerate(group["text"])]
+        self.kept = [i for i, t in enumerate(group["text"]) if t and self.same[i] == i]
+        number: dict[str, int] = {}
+        parts = [np.array([*(number.setdefault(t, len(number)) for t in self.streams[i]), -1 - i], np.int64) for i in self.kept]
+        self.tokens = np.concatenate([*parts, np.zeros(0, np.int64)])
+        sizes = [len(p) for p in parts]
+        self.begin = np.cumsum([0, *sizes])
+        self.page = np.repeat(np.array(self.kept, np.int64), sizes)
+        left = np.repeat(self.begin[1:], sizes) - np.arange(len(self.tokens))
+        self.at = np.flatnonzero(left > RUN)  # RUN tokens before the separator
+        hashes = np.array([*(xxhash.xxh64_intdigest(t) for t in number), 0], np.uint64)[np.maximum(self.tokens, -1)]
+        self.run = np.zeros(len(self.at), np.uint64)
+        for d in range(RUN):
+            self.run = self.run * np.uint64(0x9E3779B97F4A7C15) + hashes[self.at + d]
+        self.run = self.run.view(np.int64)
+        self.is_marked = group["marked"].to_numpy(bool)[self.page]
+
+    def counted(self, group: pd.DataFrame, facts: pd.DataFrame) -> np.ndarray:
+        """By page: whether it counts, as the one of the host's pages with its tokens that was chosen."""
+        chosen = set(facts.loc[facts["kind"] == 0, "value"].tolist())
+        counts = np.zeros(len(self.streams), bool)
+        for i, key in enumerate(group["key"].tolist()):
+            counts[self.same[i]] |= key in chosen
+        return counts
+
+    def covered(self, starts: np.ndarray) -> np.ndarray:
+        """By token: whether one of the runs that starts tells lies over it."""
+        edge = np.zeros(len(self.tokens) + RUN, np.int64)
+        np.add.at(edge, self.at[starts], 1)
+        np.add.at(edge, self.at[starts] + RUN, -1)
+        return np.cumsum(edge)[: len(self.tokens)] > 0
+
+
+def candidates(key: tuple, group: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
+    """host and run: runs that have the least share in this shard."""
+    none = pd.DataFrame({"host": pd.Series([], dtype=str), "run": pd.Series([], dtype="int64")})
+    if not len(facts) or not len(group):
+        return none
+    shard, n = Shard(group), int(facts["n"].iloc[0])
+    counts = shard.counted(group, facts)
+    if n < 2 or not len(shard.at):
+        return none
+    classes, width = suffix_classes(shard.tokens, RUN)[shard.at], len(shard.streams)
+    pairs = np.unique(classes * width + shard.page[shard.at])
+    count = np.bincount(pairs // width, weights=counts[pairs % width], minlength=int(classes.max()) + 1)[classes]
+    found = np.unique(shard.run[(count > 0) & (count * n >= least(n) * counts.sum())])
+    return pd.DataFrame({"host": [key[0]] * len(found), "run": found})
+
+
+def tally(key: tuple, group: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
+    """host, run and on how many counted pages of this shard the candidate stands."""
+    runs = np.sort(facts.loc[facts["kind"] == 1, "value"].to_numpy(np.int64))
+    if not len(runs) or not len(group):
+        return pd.DataFrame({"host": pd.Series([], dtype=str), "run": pd.Series([], dtype="int64"), "pages": pd.Series([], dtype="int64")})
+    shard = Shard(group)
+    place = np.minimum(np.searchsorted(runs, shard.run), len(runs) - 1)
+    hit = (runs[place] == shard.run) & shard.counted(group, facts)[shard.page[shard.at]]
+    width = len(shard.streams)
+    pages = np.bincount(np.unique(place[hit] * width + shard.page[shard.at][hit]) // width, minlength=len(runs))
+    return pd.DataFrame({"host": [key[0]] * int((pages > 0).sum()), "run": runs[pages > 0], "pages": pages[pages > 0]})
+
+
+def settle(key: tuple, group: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
+    """page_id, url, text and n_chars of a shard's pages without the host's boilerplate."""
+    facts = facts.sort_values("value")
+    runs, pages = facts["value"].to_numpy(np.int64), facts["pages"].to_numpy(np.int64)
+    texts = [" ".join(t.split()) for t in group["text"]]
+    if len(runs):
+        shard, n = Shard(group), int(facts["n"].iloc[0])
+        place = np.minimum(np.searchsorted(runs, shard.run), len(runs) - 1)
+        count = np.where(runs[place] == shard.run, pages[place], 0)
+        gone = shard.covered(np.where(shard.is_marked[shard.at], (count >= COMMON) & (10 * count >= 9 * n), count >= least(n)))
+        for i, a, b in zip(shard.kept, shard.begin, shard.begin[1:], strict=False):
+            if gone[a:b].any():
+                texts[i] = " ".join(t for t, g in zip(shard.streams[i], gone[a : b - 1].tolist(), strict=True) if not g)
+        texts = [texts[i] for i in shard.same]
+    return pd.DataFrame({"page_id": group["page_id"], "url": group["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -185,16 +243,26 @@ def extract(pages: DataFrame) -> DataFrame:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 found = [blocks(h) for h in part.column(3).to_pylist()]
-                texts = pa.array([" ".join(t for block in f for t in block) for f, _ in found], pa.string())
+                texts = pa.array(["\n".join(" ".join(block) for block in f) for f, _ in found], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], texts, pa.array([m for _, m in found], pa.bool_())], ["page_id", "url", "host", "text", "marked"])
 
-    def settle(group: pd.DataFrame) -> pd.DataFrame:
-        kept = unique_runs([[t.split(" ")] if t else [] for t in group["text"]], group["marked"].tolist())
-        texts = [" ".join(k) for k in kept]
-        return pd.DataFrame({"page_id": group["page_id"], "url": group["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+    streams = named.mapInArrow(read, f"page_id {kind}, url string, host string, text string, marked boolean").withColumn("key", F.xxhash64("page_id", "url"))
+    # staged, so that Spark knows their size before it plans the joins; pages are dealt by host and shard rather than by host
+    chosen = stage(streams.where("text <> ''").groupBy("host", F.xxhash64(F.translate("text", "\n", " ")).alias("tokens")).agg(F.min("key").alias("key")), "chosen")
+    counts = named.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / SHARD_PAGES).alias("shards"))
+    hosts = stage(counts.join(chosen.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "host", "left"), "hosts")
+    shard = F.expr("pmod(key, shards)").alias("shard")
+    # one exchange, which Spark reuses for every reading
+    dealt = streams.join(hosts.select("host", "shards"), "host").select("page_id", "url", "host", "text", "marked", "key", shard).repartition("host", "shard")
+    facts = chosen.join(hosts, "host").select("host", shard, F.lit(0).alias("kind"), F.col("key").alias("value"), F.lit(0).cast("long").alias("pages"), "n")
+
+    def to_shards(runs: DataFrame) -> DataFrame:
+        every = runs.join(hosts, "host").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
+        return every.select("host", "shard", F.lit(1).alias("kind"), F.col("run").alias("value"), "pages", "n")
+
+    def with_shards(other: DataFrame, made: Callable, schema: str) -> DataFrame:
+        return dealt.groupBy("host", "shard").cogroup(other.groupBy("host", "shard")).applyInPandas(made, schema)
 
-    streams = named.mapInArrow(read, f"page_id {kind}, url string, host string, text string, marked boolean")
-    # staged, so that Spark knows its size before it plans the join, and then dealt by host and shard rather than by host
-    counts = stage(named.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / SHARD_PAGES).alias("shards")), "hosts")
-    dealt = streams.join(counts, "host").withColumn("shard", F.expr("pmod(xxhash64(page_id, url), shards)")).repartition("host", "shard")
-    return dealt.groupBy("host", "shard").applyInPandas(settle, f"page_id {kind}, url string, text string, n_chars long")
+    may = with_shards(facts, candidates, "host string, run long").distinct().withColumn("pages", F.lit(0).cast("long"))
+    counted = with_shards(facts.unionByName(to_shards(may)), tally, "host string, run long, pages long").groupBy("host", "run").agg(F.sum("pages").alias("pages"))
+    return with_shards(to_shards(counted), settle, f"page_id {kind}, url string, text string, n_chars long")
