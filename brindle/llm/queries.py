@@ -43,7 +43,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_fst import encode
 
-    return encode(table(spark, sf_dir, "documents"), ids=False)
+    return encode(table(spark, sf_dir, "documents"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,10 +71,49 @@ def test_encoding_equals_the_model_and_comes_back(spark, texts):
     assert sentencepiece_fst.encode(docs.limit(0)).count() == 0
 
 
-def test_shortest_path_is_the_least_of_all_paths():
-    machine = sentencepiece_fst.Transducer(["a", "b", "ab", "ba", "▁", "<0xE9>", "<0xC3>"] + [f"<0x{b:02X}>" for b in range(256)], [0.0, 0.0, -1.0, -2.0, 0.0, 0, 0] + [0] * 256, [0, 0, 0, 0, 0, 1, 1] + [1] * 256)
-    assert [machine.pieces[i] for i in machine.shortest_path("aba")] == ["ab", "a"]
-    assert len(machine.shortest_path("é")) == 2
+def merged(text, score):
+    """The merge order, one merge at a time."""
+    parts = list(text)
+    while found := [(-score[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in score]:
+        i = min(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return parts
+
+
+def every_path(text, pieces):
+    """All segmentations into pieces, where a letter without a piece stands alone."""
+    if not text:
+        return [[]]
+    heads = [text[:k] for k in range(1, len(text) + 1) if text[:k] in pieces or (k == 1 and text[0] not in pieces)]
+    return [[h, *rest] for h in heads for rest in every_path(text[len(h) :], pieces)]
+
+
+@pytest.mark.parametrize("merge_order", [True, False])
+def test_shortest_path_is_the_least_of_all_paths(merge_order):
+    rng = random.Random(17)
+    for _ in range(30):
+        pieces = ["a", "b", "c"]
+        while len(pieces) < 12:  # a merge order joins pieces that it has
+            pieces += {rng.choice(pieces) + rng.choice(pieces)}.difference(pieces)
+        scores = [float(-i) for i in range(len(pieces))] if merge_order else [-rng.random() * 5 for _ in pieces]
+        machine = sentencepiece_fst.Transducer(pieces + [f"<0x{b:02X}>" for b in range(256)], scores + [0.0] * 256, [0] * len(pieces) + [1] * 256, merge_order)
+        score = dict(zip(pieces, scores))
+        real = {p for p in pieces if not merge_order or merged(p, score) == [p]}
+        texts = ["".join(rng.choice("abcé") for _ in range(rng.randrange(1, 9))) for _ in range(20)]
+        ends, ids, best = machine.shortest_paths(texts)
+
+        def weight(path):
+            total = sum(machine.weight[-1] if p not in score else 0.0 if merge_order else -score[p] for p in path)
+            kept = not merge_order or all(a not in score or b not in score or merged(a + b, score) == [a, b] for a, b in zip(path, path[1:]))
+            return total if kept else float("inf")
+
+        for i, text in enumerate(texts):
+            assert best[i] == pytest.approx(min(map(weight, every_path(text, real))))
+            own = ids[([0, *ends])[i] : ends[i]].tolist()
+            spelt = b"".join(bytes([j - len(pieces)]) if j >= len(pieces) else pieces[j].encode() for j in own).decode()
+            assert spelt == text
+            if merge_order and "é" not in text:
+                assert [pieces[j] for j in own] == merged(text, score)
 
 
 # -- quality rules
