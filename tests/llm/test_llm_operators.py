@@ -503,14 +503,47 @@ def test_secret_spans(spark, texts):
         assert [s for s in got[i].spans.split(",") if s and not s.startswith("guess")] == [s for s in listed.split(",") if s]
     assert "guess" not in got[len(texts) - 4].spans and "guess" in got[len(texts) - 2].spans
     clean = {r.doc_id: r for r in secret_scan.redact(doc_table(spark, texts)).collect()}
+    plain = secret_scan.scan(doc_table(spark, ['pwd: Xk9#mQ2$deadbeefdeadbeef%vL7p', 'password=abcdefghijkl!mQ2$vL7pR4', 'passphrase' + ' ' * 40 + '=> "zK8!vQ2@rT9#"', None])).orderBy("doc_id").collect()
+    assert [r.spans for r in plain] == ["guess:5:34,hex:13:29", "assign:0:21,guess:9:32", "guess:54:66", ""]
     assert "Xk9#mQ2$vL7pR4" not in clean[len(texts) - 2].text and clean[3].text == texts[3] and clean[0].text is None
     assert secret_scan.scan(doc_table(spark, texts).limit(0)).count() == 0
 
 
 def test_guess_cost_is_the_least_segmentation():
-    cost = secret_scan.guess_cost
+    cost = secret_scan.Guesser().cost
     assert cost("password") < 1 and cost("p4ssw0rd") < 2 and cost("20240131") < 6 and cost("aaaaaaaaaaaa") < 4 and cost("qwertyuiop") < 4
     assert cost("zK8!vQ2@rT9#") > 12 and cost("monkey1987dragon") < 9
     assert cost("xk7passwordq9z") < cost("xk7pqsvwbrdq9z")
-    for value in ("a1b2c3", "passwordpassword", "x" * 3000):
-        assert cost(value) <= sum(map(secret_scan._char_cost, value)) + 1e-9
+    assert secret_scan.Guesser(["zorblax"]).cost("zorblax") < cost("zorblax")
+
+
+def test_guess_cost_equals_all_segmentations():
+    """Every segmentation, written out; brute-force spans have any length."""
+    guesser = secret_scan.Guesser(["abc", "bcab"])
+    rng = random.Random(12)
+
+    def least(value):
+        found = guesser.segments(value)
+        spans_at = {i: [*found(i), *((j, sum(map(secret_scan._char_cost, value[i:j]))) for j in range(i + 1, len(value) + 1))] for i in range(len(value))}
+
+        def costs(i):
+            if i == len(value):
+                return [0.0]
+            return [cost + (rest + secret_scan.SEGMENT if j < len(value) else 0.0) for j, cost in spans_at[i] for rest in costs(j)]
+
+        return min(costs(0))
+
+    for _ in range(60):
+        value = "".join(rng.choice(["a", "b", "c", "qwe", "19", "99", "X", "!", "4"]) for _ in range(rng.randrange(1, 6)))[:9]
+        assert guesser.cost(value) == pytest.approx(least(value)), value
+
+
+def test_long_values_take_time_by_their_length():
+    import time
+
+    began = time.perf_counter()
+    for value in ("qw" * 100_000, "a" * 200_000, "x7" * 50_000 + "abcabc" * 20_000):
+        secret_scan.Guesser().cost(value)
+    text = " ".join(["password: " + "q" * 5] * 20_000 + ["secret=abcdefghijkl!x7"] * 20_000)
+    assert len(secret_scan.spans(text, secret_scan.Guesser())) >= 20_000
+    assert time.perf_counter() - began < 60
