@@ -1,21 +1,27 @@
-"""Main text of web pages: page structure, and a suffix array over the pages of a host.
-
-A page is read into blocks of tokens. Elements that hold no article text (scripts, menus, headers, footers, sidebars, notices,
-adverts, forms, reader comments) are left out by their tag, role, class or id. If the page marks an article (article or main),
-its blocks alone count; otherwise all the rest of the body does.
-
-A run of RUN tokens is boilerplate of its host by the share of the host's distinct pages that have it, whatever the host's size:
-on pages without a marked article from one in ONE_IN pages (two at least), inside a marked article from nine in ten pages and COMMON
-pages at least, since copies of an article and passages that articles share are article text.
-
-The pages of a host are dealt into shards of about SHARD_PAGES pages by a hash. A shard's token streams are concatenated and their
-suffixes sorted (by prefix doubling up to RUN tokens), which brings equal runs together. A run that reaches a share of the host
-reaches it in one of its shards at least, so the runs that do are all that can; these are then counted in every shard, and the sums
-decide. Words covered by boilerplate runs go; the others stay in page order.
-
-Defined results: null and empty html give an empty text; pages with a null url share the empty host; pages of a host with equal
-tokens count once, so that a repeated page does not erase itself; markup that is never closed ends with its page. Between shards a
-run is known by a 64-bit hash.
+"""Main text of web pages: a suffix array over the pages of each host, and page structure.
+
+A page is read into one stream of all its visible tokens, menus and footers included, with a mark between blocks. Tokens are
+known as part of a marked article (article or main), of an element that never holds article text (by tag, role, class or id), or
+as neither.
+
+1. The pages of a host are dealt by a hash into shards of about SHARD_PAGES. A shard's streams are concatenated, and a suffix array
+   with its longest common prefixes brings equal substrings together: every interval of RUN and more common tokens is one run,
+   with the distinct pages it stands on. A run that reaches a share of the host's pages reaches it in one shard at least, so the
+   runs that do are all that can; these are counted in every shard, and the sums decide. The result does not depend on the shards.
+2. A run is boilerplate if it stands on one in ONE_IN of the host's distinct pages, and on LEAST at least. Tokens that
+   boilerplate covers go; what is unique stays. Inside a marked article a run goes only from nine in ten pages and COMMON pages on,
+   since copies of an article and passages that articles share are article text.
+3. What the array leaves and structure tells to be no article text goes too: unique adverts, comments, forms, and, on a page with a
+   marked article, everything outside it.
+
+Near copies of a page count as one page, so that copies of an article without mark do not erase each other. Pages whose longest blocks
+agree in the least run hash of one of several orders are near copies; each counts with the first of those it agrees with.
+
+n_repeated counts the words that the array took, n_marked those that only structure did.
+
+Defined results: null and empty html give an empty text; pages with a null url share the empty host; end tags that HTML lets authors
+omit are implied; a left-out element that is never closed ends with its parent, or where an article begins. Between shards a run is
+known by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -33,7 +39,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, stage
 
-SHARD_PAGES, RUN, COMMON, ONE_IN = 256, 8, 8, 100
+SHARD_PAGES, RUN, COMMON, ONE_IN, LEAST = 256, 8, 8, 100, 3
+CACHE = 200_000
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|textarea|title|svg|iframe|select)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?(?:</\1\s*>|\Z)"
@@ -49,15 +56,28 @@ INLINE = frozenset(
 )
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = frozenset(("article", "main"))
-#: Words in class, id or role that mark an element as no article text.
+#: Elements that end where one of these begins, and the elements that keep them open further out.
+ENDED_BY = {
+    "li": (frozenset(("li",)), frozenset(("ul", "ol", "menu"))),
+    "dt": (frozenset(("dt", "dd")), frozenset(("dl",))),
+    "dd": (frozenset(("dt", "dd")), frozenset(("dl",))),
+    "td": (frozenset(("td", "th")), frozenset(("tr", "table"))),
+    "th": (frozenset(("td", "th")), frozenset(("tr", "table"))),
+    "tr": (frozenset(("tr", "td", "th")), frozenset(("table",))),
+}
+#: Names in class, id or role of an element that is no article text, whole or as the first part; places that may stand before.
 MARKS = frozenset(
     (
         "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs"
         " header masthead footer sidebar aside widget cookie cookies consent notice notices alert gdpr popup modal newsletter subscribe signup login"
-        " comment comments disqus replies share sharing social related recommended search form"
+        " comment comments disqus replies share sharing social related recommended search form complementary contentinfo"
     ).split()
 )
+PLACES = frozenset("site page main global top bottom left right primary secondary".split())
 PARTS = re.compile(r"[^a-z0-9]+")
+BLOCK = "\n"
+#: Odd numbers, each an order of the run hashes.
+MIXERS = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
 def _left_out(tag: str, attributes: str) -> bool:
@@ -65,27 +85,46 @@ def _left_out(tag: str, attributes: str) -> bool:
         return True
     if tag in ARTICLE or tag in ("body", "html") or "=" not in attributes:
         return False
-    return any(part in MARKS for m in ATTRIBUTE.finditer(attributes) for part in PARTS.split((m[2] or m[3] or m[4] or "").lower()))
+    for m in ATTRIBUTE.finditer(attributes):
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            parts = PARTS.split(name)
+            if parts[0] in MARKS or (len(parts) == 2 and parts[0] in PLACES and parts[1] in MARKS):
+                return True
+    return False
 
 
-def blocks(page: str | None) -> tuple[list[list[str]], bool]:
-    """The token lists of a page's blocks that may be main text, and whether they are of a marked article."""
-    inside: list[list[str]] = []
-    outside: list[list[str]] = []
+def blocks(page: str | None) -> list[tuple[str, list[str]]]:
+    """The blocks of a page in order: their kind (a: of a marked article, x: no article text, o: other) and tokens."""
+    found: list[tuple[str, list[str]]] = []
     pieces: list[str] = []
-    articles, skip, depth, at = 0, "", 0, 0
-    marked = False
+    stack: list[tuple[str, bool]] = []  # open elements, and whether they are left out
+    articles = hidden = at = 0
+    page = page or ""
 
     def end() -> None:
         if pieces:
             tokens = html.unescape("".join(pieces)).split()
             if tokens:
-                (inside if articles else outside).append(tokens)
+                found.append(("x" if hidden else "a" if articles else "o", tokens))
             pieces.clear()
 
-    page = page or ""
+    def pop(k: int) -> None:
+        nonlocal articles, hidden
+        for tag, out in stack[k:]:
+            hidden -= out
+            articles -= tag in ARTICLE and not out
+        del stack[k:]
+
+    def innermost(tags: frozenset[str] | tuple[str, ...], outer: frozenset[str] = frozenset()) -> int:
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] in tags:
+                return k
+            if stack[k][0] in outer:
+                break
+        return -1
+
     for m in TOKEN.finditer(page):
-        if not skip and m.start() > at:
+        if m.start() > at:
             pieces.append(page[at : m.start()])
         at = m.end()
         tag = (m[3] or "").lower()
@@ -93,89 +132,186 @@ def blocks(page: str | None) -> tuple[list[list[str]], bool]:
             if m[1]:
                 end()
             continue
-        closing = bool(m[2])
-        if skip:
-            if tag in ARTICLE and not closing and skip not in ARTICLE:
-                skip = ""  # what was left out was never closed
-            else:
-                if tag == skip:
-                    depth += -1 if closing else 1
-                    if depth == 0:
-                        skip = ""
-                continue
-        if tag in INLINE:
-            if not closing and _left_out(tag, m[4]):
-                skip, depth = tag, 1
-            continue
         if tag == "br":
             pieces.append(" ")
             continue
+        if m[2]:
+            k = innermost((tag,))
+            if tag not in INLINE or (k >= 0 and stack[k][1]):
+                end()
+                if k >= 0:
+                    pop(k)
+            continue
+        if tag in INLINE:
+            if _left_out(tag, m[4]):
+                end()
+                stack.append((tag, True))
+                hidden += 1
+            continue
         end()
-        if tag in ARTICLE:
-            articles = max(0, articles + (-1 if closing else 1))
-            marked = marked or not closing
-        elif not closing and tag not in EMPTY and not m[4].endswith("/") and _left_out(tag, m[4]):
-            skip, depth = tag, 1
-    if not skip and at < len(page):
-        rest = page[at:]
-        cut = re.search(r"<[a-zA-Z/!?][^<>]*\Z", rest)  # a tag that the page's end breaks off
-        pieces.append(rest[: cut.start()] if cut else rest)
+        if stack and stack[-1][0] == "head" and tag not in EMPTY:
+            pop(len(stack) - 1)
+        if (k := innermost(("p",))) >= 0:
+            pop(k)  # no block lies in a paragraph
+        if tag in ENDED_BY and (k := innermost(*ENDED_BY[tag])) >= 0:
+            pop(k)
+        if tag in EMPTY:
+            continue
+        if tag in ARTICLE and hidden:
+            # the element left out wraps the page, or was never closed
+            k = next(i for i, (_, out) in enumerate(stack) if out)
+            outer = stack[k][0]
+            if outer == "form" or (outer not in LEFT_OUT and tag == "main") or f"</{outer}" not in page[at:].lower():
+                hidden = 0
+                stack[:] = [(t, False) for t, _ in stack]
+        out = _left_out(tag, m[4])
+        stack.append((tag, out))
+        hidden += out
+        articles += tag in ARTICLE and not out
+    rest = page[at:]
+    cut = re.search(r"<[a-zA-Z/!?][^<>]*\Z", rest)  # a tag that the page's end breaks off
+    pieces.append(rest[: cut.start()] if cut else rest)
     end()
-    return (inside, True) if marked else (outside, False)
-
-
-def suffix_classes(tokens: np.ndarray, length: int) -> np.ndarray:
-    """Class of the suffix at each position by its first length tokens, from a suffix array built by prefix doubling.
-
-    length is a power of two; suffixes near the end are padded by a token of their own.
-    """
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1
-    width = 1
-    while width < length:
-        after = np.zeros(len(rank), np.int64)
-        after[:-width] = rank[width:]
-        key = rank * (len(rank) + 2) + after
-        order = np.argsort(key, kind="stable")  # the suffix array at this depth
-        fresh = np.concatenate(([1], (np.diff(key[order]) != 0).astype(np.int64)))
-        rank[order] = np.cumsum(fresh)
-        width *= 2
-    return rank
+    return found
+
+
+class SuffixArray:
+    """Suffix array of a token array by prefix doubling, and the longest common prefixes of its neighbours."""
+
+    def __init__(self, tokens: np.ndarray):
+        n = len(tokens)
+        rank = np.searchsorted(np.sort(tokens), tokens).astype(np.int64)  # a class is named by its first place
+        levels, width = [rank], 1
+        self.order = np.argsort(rank, kind="stable")
+        open_ = self._shared(rank, self.order)
+        while len(open_) and width < n:
+            after = np.full(len(open_), -1, np.int64)
+            inside = open_ + width < n
+            after[inside] = rank[open_[inside] + width]
+            by = np.lexsort((after, rank[open_]))
+            open_, after = open_[by], after[by]
+            own = rank[open_]
+            fresh = np.concatenate(([True], (own[1:] != own[:-1]) | (after[1:] != after[:-1])))
+            begins = np.concatenate(([True], own[1:] != own[:-1]))
+            place = np.arange(len(open_))
+            first = np.maximum.accumulate(np.where(begins, place, 0))
+            rank = rank.copy()
+            rank[open_] = own + np.maximum.accumulate(np.where(fresh, place, 0)) - first
+            self.order[own + place - first] = open_
+            levels.append(rank)
+            width *= 2
+            open_ = self._shared(rank, open_)
+        self.common = self._common(levels, n)
+
+    @staticmethod
+    def _shared(rank: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Those of the suffixes (sorted by rank) whose rank another one has."""
+        own = rank[at]
+        if not len(own):
+            return at
+        same = np.concatenate(([False], own[1:] == own[:-1], [False]))
+        return at[same[1:] | same[:-1]]
+
+    def _common(self, levels: list[np.ndarray], n: int) -> np.ndarray:
+        """Of each suffix in order: how many tokens it shares with the one before."""
+        common = np.zeros(n, np.int64)
+        if n < 2:
+            return common
+        i, j = self.order[:-1].copy(), self.order[1:].copy()
+        for k in range(len(levels) - 1, -1, -1):
+            near = np.flatnonzero((i < n) & (j < n))
+            near = near[levels[k][i[near]] == levels[k][j[near]]]
+            # equal ranks of suffixes cut off by the end cannot be: separators differ
+            common[near + 1] += 1 << k
+            i[near] += 1 << k
+            j[near] += 1 << k
+        return common
+
+    def classes(self, length: int) -> np.ndarray:
+        """By position: the number of its interval of suffixes with length and more tokens in common."""
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = np.cumsum(self.common < length)
+        return out
+
+
+class _Hashes(dict):
+    def __missing__(self, token: str) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        self[token] = value = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
+        return value
+
+
+def run_hashes(tokens: np.ndarray) -> np.ndarray:
+    """Hash of the RUN tokens from each place on, given the tokens' hashes."""
+    n = max(0, len(tokens) - RUN + 1)
+    out = np.zeros(n, np.uint64)
+    for d in range(RUN):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + tokens[d : d + n]
+    return out ^ (out >> np.uint64(31))
+
+
+def stream(found: list[tuple[str, list[str]]]) -> str:
+    """Blocks as lines of their kind and tokens."""
+    return "\n".join(f"{kind} {' '.join(tokens)}" for kind, tokens in found)
+
+
+def tokens_of(text: str) -> tuple[list[str], str]:
+    """A stream's tokens, with a mark after each block, and the kind of each (b: the mark)."""
+    tokens: list[str] = []
+    kinds: list[str] = []
+    for line in text.split("\n") if text else []:
+        own = line[2:].split(" ")
+        tokens += own
+        tokens.append(BLOCK)
+        kinds.append(line[0] * len(own) + "b")
+    return tokens, "".join(kinds)
+
+
+def signs(text: str, hashes: _Hashes) -> list[int]:
+    """Least run hashes of a stream's longest block over the orders of MIXERS, of which near copies share most."""
+    longest = max((line[2:].split(" ") for line in text.split("\n")), key=len)
+    runs = run_hashes(np.fromiter(map(hashes.__getitem__, longest), np.uint64, len(longest)))
+    if not len(runs):
+        runs = np.array([xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))], np.uint64)
+    return [int((runs * mixer).min()) - 2**63 for mixer in MIXERS]
 
 
 def least(n: int) -> int:
-    """On how many of a host's n distinct pages a run is boilerplate of pages without a marked article."""
-    return max(2, -(-n // ONE_IN))
+    """On how many of a host's n distinct pages a run is boilerplate."""
+    return max(LEAST, -(-n // ONE_IN))
 
 
 class Shard:
-    """The distinct token streams of a shard in one array, each ended by a token of its own."""
+    """The token streams of a shard in one array, each ended by a token of its own."""
 
     def __init__(self, group: pd.DataFrame):
-        self.streams = [t.split() for t in group["text"]]
-        first: dict[str, int] = {}
-        self.same = [first.setdefault(t, i) for i, t in enumerate(group["text"])]
-        self.kept = [i for i, t in enumerate(group["text"]) if t and self.same[i] == i]
+        split = [tokens_of(t) for t in group["text"]]
+        self.streams = [s[0] for s in split]
+        self.kinds = np.frombuffer("".join(s[1] + "e" for s in split).encode(), np.uint8)
+        self.marked = [bool(t.startswith("a ") or "\na " in t) for t in group["text"]]
         number: dict[str, int] = {}
-        parts = [np.array([*(number.setdefault(t, len(number)) for t in self.streams[i]), -1 - i], np.int64) for i in self.kept]
-        self.tokens = np.concatenate([*parts, np.zeros(0, np.int64)])
-        sizes = [len(p) for p in parts]
-        self.begin = np.cumsum([0, *sizes])
-        self.page = np.repeat(np.array(self.kept, np.int64), sizes)
+        sizes = np.array([len(s) + 1 for s in self.streams], np.int64)
+        flat = [number.setdefault(t, len(number)) for s in self.streams for t in s]
+        self.begin = np.concatenate(([0], np.cumsum(sizes)))
+        self.page = np.repeat(np.arange(len(sizes)), sizes)
+        self.tokens = np.empty(int(sizes.sum()), np.int64)
+        ends = self.begin[1:] - 1
+        inner = np.ones(len(self.tokens), bool)
+        inner[ends] = False
+        self.tokens[inner] = flat
+        self.tokens[ends] = -1 - np.arange(len(ends))
+        hashes = np.array([*(xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in number), 0], np.uint64)
         left = np.repeat(self.begin[1:], sizes) - np.arange(len(self.tokens))
         self.at = np.flatnonzero(left > RUN)  # RUN tokens before the separator
-        hashes = np.array([*(xxhash.xxh64_intdigest(t) for t in number), 0], np.uint64)[np.maximum(self.tokens, -1)]
-        self.run = np.zeros(len(self.at), np.uint64)
-        for d in range(RUN):
-            self.run = self.run * np.uint64(0x9E3779B97F4A7C15) + hashes[self.at + d]
-        self.run = self.run.view(np.int64)
-        self.is_marked = group["marked"].to_numpy(bool)[self.page]
-
-    def counted(self, group: pd.DataFrame, facts: pd.DataFrame) -> np.ndarray:
-        """By page: whether it counts, as the one of the host's pages with its tokens that was chosen."""
-        chosen = set(facts.loc[facts["kind"] == 0, "value"].tolist())
-        counts = np.zeros(len(self.streams), bool)
-        for i, key in enumerate(group["key"].tolist()):
-            counts[self.same[i]] |= key in chosen
+        self.run = run_hashes(hashes[np.maximum(self.tokens, -1)])[self.at].view(np.int64) if len(self.at) else np.zeros(0, np.int64)
+
+    def chosen(self, group: pd.DataFrame, facts: pd.DataFrame) -> np.ndarray:
+        """By page: whether it counts, as the one of its near copies that was chosen."""
+        keys = facts.loc[facts["kind"] == 0, "value"].to_numpy(np.int64)
+        own = group["key"].to_numpy(np.int64)
+        counts = np.isin(own, keys)
+        counts[np.setdiff1d(np.arange(len(own)), np.unique(own, return_index=True)[1])] = False  # a repeated row
         return counts
 
     def covered(self, starts: np.ndarray) -> np.ndarray:
@@ -189,13 +325,13 @@ class Shard:
 def candidates(key: tuple, group: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
     """host and run: runs that have the least share in this shard."""
     none = pd.DataFrame({"host": pd.Series([], dtype=str), "run": pd.Series([], dtype="int64")})
-    if not len(facts) or not len(group):
+    if not len(facts) or not len(group) or int(facts["n"].iloc[0]) < LEAST:
         return none
     shard, n = Shard(group), int(facts["n"].iloc[0])
-    counts = shard.counted(group, facts)
-    if n < 2 or not len(shard.at):
+    counts = shard.chosen(group, facts)
+    if not len(shard.at) or not counts.any():
         return none
-    classes, width = suffix_classes(shard.tokens, RUN)[shard.at], len(shard.streams)
+    classes, width = SuffixArray(shard.tokens).classes(RUN)[shard.at], len(shard.streams)
     pairs = np.unique(classes * width + shard.page[shard.at])
     count = np.bincount(pairs // width, weights=counts[pairs % width], minlength=int(classes.max()) + 1)[classes]
     found = np.unique(shard.run[(count > 0) & (count * n >= least(n) * counts.sum())])
@@ -209,51 +345,61 @@ def tally(key: tuple, group: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": pd.Series([], dtype=str), "run": pd.Series([], dtype="int64"), "pages": pd.Series([], dtype="int64")})
     shard = Shard(group)
     place = np.minimum(np.searchsorted(runs, shard.run), len(runs) - 1)
-    hit = (runs[place] == shard.run) & shard.counted(group, facts)[shard.page[shard.at]]
+    hit = (runs[place] == shard.run) & shard.chosen(group, facts)[shard.page[shard.at]]
     width = len(shard.streams)
     pages = np.bincount(np.unique(place[hit] * width + shard.page[shard.at][hit]) // width, minlength=len(runs))
     return pd.DataFrame({"host": [key[0]] * int((pages > 0).sum()), "run": runs[pages > 0], "pages": pages[pages > 0]})
 
 
 def settle(key: tuple, group: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
-    """page_id, url, text and n_chars of a shard's pages without the host's boilerplate."""
+    """page_id, url, text, n_chars, n_repeated and n_marked of a shard's pages."""
     facts = facts.sort_values("value")
     runs, pages = facts["value"].to_numpy(np.int64), facts["pages"].to_numpy(np.int64)
-    texts = [" ".join(t.split()) for t in group["text"]]
-    if len(runs):
-        shard, n = Shard(group), int(facts["n"].iloc[0])
+    shard = Shard(group)
+    repeated = np.zeros(len(shard.tokens), bool)
+    article = shard.kinds == ord("a")
+    if len(runs) and len(shard.at):
+        n = int(facts["n"].iloc[0])
         place = np.minimum(np.searchsorted(runs, shard.run), len(runs) - 1)
         count = np.where(runs[place] == shard.run, pages[place], 0)
-        gone = shard.covered(np.where(shard.is_marked[shard.at], (count >= COMMON) & (10 * count >= 9 * n), count >= least(n)))
-        for i, a, b in zip(shard.kept, shard.begin, shard.begin[1:], strict=False):
-            if gone[a:b].any():
-                texts[i] = " ".join(t for t, g in zip(shard.streams[i], gone[a : b - 1].tolist(), strict=True) if not g)
-        texts = [texts[i] for i in shard.same]
-    return pd.DataFrame({"page_id": group["page_id"], "url": group["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+        repeated = shard.covered(count >= least(n)) & ~article
+        repeated |= shard.covered((count >= max(COMMON, LEAST)) & (10 * count >= 9 * n)) & article
+    words = ~np.isin(shard.kinds, (ord("b"), ord("e")))
+    marked = (shard.kinds == ord("x")) | ((shard.kinds == ord("o")) & np.array(shard.marked, bool)[shard.page])
+    kept = words & ~repeated & ~marked
+    texts, taken, told = [], [], []
+    for s, a, b in zip(shard.streams, shard.begin, shard.begin[1:], strict=False):
+        texts.append(" ".join([t for t, k in zip(s, kept[a : b - 1].tolist(), strict=True) if k]))
+        taken.append(int((repeated[a:b] & words[a:b]).sum()))
+        told.append(int((marked[a:b] & ~repeated[a:b] & words[a:b]).sum()))
+    return pd.DataFrame({"page_id": group["page_id"], "url": group["url"], "text": texts, "n_chars": [len(t) for t in texts], "n_repeated": taken, "n_marked": told})
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
+    """page_id, url, text, n_chars, n_repeated and n_marked of every page."""
     kind = dict(pages.dtypes)["page_id"]
     host = ascii_lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
     named = pages.select("page_id", "url", host.alias("host"), "html")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                found = [blocks(h) for h in part.column(3).to_pylist()]
-                texts = pa.array(["\n".join(" ".join(block) for block in f) for f, _ in found], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], texts, pa.array([m for _, m in found], pa.bool_())], ["page_id", "url", "host", "text", "marked"])
+                texts = [stream(blocks(h)) for h in part.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(texts, pa.string()), pa.array([signs(t, hashes) for t in texts], pa.list_(pa.int64()))], ["page_id", "url", "host", "text", "signs"])
 
-    streams = named.mapInArrow(read, f"page_id {kind}, url string, host string, text string, marked boolean").withColumn("key", F.xxhash64("page_id", "url"))
+    streams = named.mapInArrow(read, f"page_id {kind}, url string, host string, text string, signs array<long>").withColumn("key", F.xxhash64("page_id", "url", "text"))
     # staged, so that Spark knows their size before it plans the joins; pages are dealt by host and shard rather than by host
-    chosen = stage(streams.where("text <> ''").groupBy("host", F.xxhash64(F.translate("text", "\n", " ")).alias("tokens")).agg(F.min("key").alias("key")), "chosen")
+    signed = stage(streams.where("text <> ''").select("host", "key", F.posexplode("signs").alias("place", "sign")), "signs")
+    leaders = stage(signed.groupBy("host", "place", "sign").agg(F.min("key").alias("fold")), "leaders")
+    folded = signed.join(leaders, ["host", "place", "sign"]).groupBy("host", "key").agg(F.min("fold").alias("fold"))
+    chosen = stage(folded.groupBy("host", "fold").agg(F.min("key").alias("key")), "chosen")
     counts = named.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / SHARD_PAGES).alias("shards"))
     hosts = stage(counts.join(chosen.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "host", "left"), "hosts")
     shard = F.expr("pmod(key, shards)").alias("shard")
     # one exchange, which Spark reuses for every reading
-    dealt = streams.join(hosts.select("host", "shards"), "host").select("page_id", "url", "host", "text", "marked", "key", shard).repartition("host", "shard")
+    dealt = streams.join(hosts.select("host", "shards"), "host").select("page_id", "url", "host", "text", "key", shard).repartition("host", "shard")
     facts = chosen.join(hosts, "host").select("host", shard, F.lit(0).alias("kind"), F.col("key").alias("value"), F.lit(0).cast("long").alias("pages"), "n")
 
     def to_shards(runs: DataFrame) -> DataFrame:
@@ -265,4 +411,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
     may = with_shards(facts, candidates, "host string, run long").distinct().withColumn("pages", F.lit(0).cast("long"))
     counted = with_shards(facts.unionByName(to_shards(may)), tally, "host string, run long, pages long").groupBy("host", "run").agg(F.sum("pages").alias("pages"))
-    return with_shards(to_shards(counted), settle, f"page_id {kind}, url string, text string, n_chars long")
+    counted = counted.join(hosts.select("host", "n"), "host").where(f"pages >= greatest({LEAST}, ceil(n / {ONE_IN}))").select("host", "run", "pages")
+    return with_shards(to_shards(counted), settle, f"page_id {kind}, url string, text string, n_chars long, n_repeated long, n_marked long")

@@ -336,40 +336,108 @@ def test_fm_index_counts_like_a_scan():
 # -- HTML
 
 
+def article(page):
+    """The words of a page's marked article, or of all that is not left out."""
+    found = html_extract.blocks(page)
+    kind = "a" if any(k == "a" for k, _ in found) else "o"
+    return " ".join(t for k, block in found if k == kind for t in block)
+
+
 def test_main_text():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><ul><li>Menu</li></ul></nav>
-    <!-- <p>no</p> --><div class="ad banner"><p>Buy</p></div><article><h1>Head &amp; line</h1><p>One <b>bo</b>ld<br>two&nbsp;&copy;</p><aside>Side</aside>
+    <!-- <p>no</p> --><div class="ad banner"><p>Buy</p></div><article><h1 class="entry-header">Head &amp; line</h1><p>One <b>bo</b>ld<br>two&nbsp;&copy;</p><aside>Side</aside>
     <form><input name=q>Find</form><script>var a = "<p>x</p>";</script><p>Three &lt;tag&gt;<p>Four<section id="comments"><p>Reader says</p></section></article><footer>Foot</footer></body></html>"""
-    found, marked = html_extract.blocks(page)
-    assert marked and " ".join(t for b in found for t in b) == "Head & line One bold two © Three <tag> Four"
-    assert html_extract.blocks(None) == ([], False) and html_extract.blocks("") == ([], False)
-    assert html_extract.blocks("<nav>menu<article><p>text</p>")[0] == [["text"]]
-    assert html_extract.blocks("plain text & more <b")[0] == [["plain", "text", "&", "more"]]
+    assert article(page) == "Head & line One bold two © Three <tag> Four"
+    assert html_extract.blocks(None) == [] and html_extract.blocks("") == []
+    assert article("<nav>menu<article><p>text</p>") == "text"
+    assert article("plain text & more <b") == "plain text & more"
+    assert [k for k, _ in html_extract.blocks("<nav>a</nav><p>b</p><article>c</article>")] == ["x", "o", "a"]
+
+
+def test_omitted_end_tags_and_wide_class_names():
+    assert article("<html><head><title>T</title><meta charset=x><body><p>text") == "text"
+    assert article("<html><head><title>T</title><p>text") == "text"
+    assert article('<article><p class="ad">Buy<p>Rest <i>of</i> it<p>More</article>') == "Rest of it More"
+    assert article('<ul><li class="ad">Buy<li>Item</ul><table><tr><td class="ads">x<td>y</table>') == "Item y"
+    assert article('<div class="content-with-sidebar has-ads"><h1 class="article-header">H</h1><p>t</p></div>') == "H t"
+    assert article('<form id="page"><main><p>text</p></main></form>') == "text"
+    assert article('<section id="comments"><article class="c">says</article></section><p>own</p>') == "own"
+    assert article('<div class="ad"><p>Buy</div><p>own</p></div></p>') == "own"
+    assert article('<div class="site-header">x</div><p>a <span class="ad">b</span> c</p>') == "a c"
+
+
+def brute_extract(rows):
+    """Windows of each host counted over all its pages, by definition."""
+    hashes = html_extract._Hashes()
+    pages = [(i, re.sub(r"^.*?://([^/?#]*).*$|^.*$", r"\1", u or "", flags=re.S).lower(), html_extract.stream(html_extract.blocks(h))) for i, u, h in rows]
+    size, out = html_extract.RUN, {}
+    for host in {h for _, h, _ in pages}:
+        own = [(i, *html_extract.tokens_of(t), t) for i, h, t in pages if h == host]
+        chosen = {tuple(html_extract.signs(t, hashes)): tokens for _, tokens, _, t in own if t}  # here only equal pages agree
+        assert len(chosen) == len({x for k in chosen for x in k}) / 3 == len({tuple(tokens) for _, tokens, _, t in own if t})
+        count = Counter()
+        for tokens in chosen.values():
+            count.update({tuple(tokens[k : k + size]) for k in range(len(tokens) - size + 1)})
+        n = len(chosen)
+        for i, tokens, kinds, t in own:
+            gone = [False] * len(tokens)
+            for k in range(len(tokens) - size + 1):
+                c = count[tuple(tokens[k : k + size])]
+                for j in range(k, k + size):
+                    gone[j] |= (c >= html_extract.COMMON and 10 * c >= 9 * n) if kinds[j] == "a" else n >= 3 and c >= html_extract.least(n)
+            kind = "a" if "a" in kinds else "o"
+            out[i] = " ".join(w for w, k, g in zip(tokens, kinds, gone) if k == kind and not g)
+    return out
 
 
-def test_boilerplate_of_a_host_goes_and_articles_stay(spark):
+def test_extraction_equals_brute_force_for_any_shards(spark, monkeypatch):
     rng = random.Random(6)
-    own = [sentence(rng, 30, 5000) for _ in range(12)]
-    chrome = "the site has a long line that stands on every page"
-    free = [(i, "http://a.org/x", f"<p>{chrome}</p><p>{t}</p><p>{chrome}</p>") for i, t in enumerate(own)]
-    marked = [(50 + i, "http://b.org/x", f"<article><p>{own[0]}</p><p>{t}</p></article><p>{chrome}</p>") for i, t in enumerate(own[:3])]
-    odd = [(90, None, None), (91, None, "<p>alone</p>"), (92, "http://a.org/", ""), (0, "http://a.org/x", free[0][2])]
-    pages = spark.createDataFrame([(*r, "clash") for r in free + marked + odd], "page_id long, url string, html string, host string")
-    got = html_extract.extract(pages).collect()
-    by = {r.page_id: r.text for r in got}
-    assert len(got) == len(free) + len(marked) + len(odd) and all(r.n_chars == len(r.text) for r in got)
-    assert all(by[i] == t for i, t in enumerate(own))
-    assert all(by[50 + i] == f"{own[0]} {t}" for i, t in enumerate(own[:3]))
-    assert by[90] == by[92] == "" and by[91] == "alone"
+    menu, line, banner = "<div>Home</div><div>About us</div><div>Contact here now</div>", "the site has a long line that stands on every page", sentence(rng, 12, 99)
+    rows = []
+    for i in range(60):
+        text = f"<p>{sentence(rng, rng.randrange(60, 90), 5000)}</p><p>{sentence(rng, 40, 5000)}</p>"
+        host = ("a.org", "b.org", "c.org", "A.org")[i % 4]
+        own = f"<p>{banner}</p>" if i % 5 == 0 else ""
+        rows.append((i, f"http://{host}/x{i}", f"{menu}{own}{f'<article>{text}</article>' if i % 3 == 0 else text}<p>{line}</p>"))
+    rows += [(90, None, None), (91, None, "<p>alone</p>"), (92, "http://a.org/", ""), (93, "http://a.org/copy", rows[1][2])]
+    rows += [(200 + i, f"http://d.org/{i}", f"<article><h1>same head line for all of these many pages here</h1><p>{sentence(rng, 90, 900)}</p></article>") for i in range(9)]
+    want = brute_extract(rows)
+    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, host string").repartition(3)
+    assert all(line not in t for t in want.values()) and "same head" not in want[200] and want[91] == "alone"
+    for size in (256, 3):
+        monkeypatch.setattr(html_extract, "SHARD_PAGES", size)
+        got = html_extract.extract(pages).collect()
+        assert {r.page_id: r.text for r in got} == want and len(got) == len(rows)
+        assert all(r.n_chars == len(r.text) for r in got) and sum(r.n_repeated for r in got) > 400
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
-def test_suffix_classes_are_equal_runs():
-    tokens = np.random.default_rng(0).integers(0, 3, 200)
-    classes = html_extract.suffix_classes(tokens, 8)
-    padded = [*tokens.tolist(), *[-1] * 8]
-    runs = [tuple(padded[i : i + 8]) for i in range(200)]
-    assert all((classes[i] == classes[j]) == (runs[i] == runs[j]) for i in range(0, 200, 3) for j in range(200))
+def test_copies_of_articles_keep_their_text(spark):
+    rng = random.Random(7)
+    own = [sentence(rng, 200, 5000) for _ in range(12)]
+    copies = []
+    for i in range(40):
+        ws = own[0].split()
+        ws[rng.randrange(200)] = f"changed{i}"
+        copies.append(" ".join(ws))
+    quote = sentence(rng, 50, 5000)
+    chrome = "<div>the site has a long line that stands on every page</div>"
+    texts = own + copies + [f"{sentence(rng, 60, 5000)} {quote} {sentence(rng, 60, 5000)}" for _ in range(2)]
+    pages = spark.createDataFrame([(i, "http://a.org/x", f"{chrome}<p>{t}</p>") for i, t in enumerate(texts)] + [(0, "http://a.org/x", f"{chrome}<p>{texts[0]}</p>")], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == dict(enumerate(texts))
+
+
+def test_suffix_array_and_common_prefixes():
+    rng = np.random.default_rng(0)
+    for n, letters in ((0, 1), (1, 1), (40, 1), (200, 2), (300, 4)):
+        tokens = np.append(rng.integers(0, letters, n), -1 - np.arange(n > 0))
+        tokens[n // 2 : n // 2 + 1] = -5  # a second separator
+        found = html_extract.SuffixArray(tokens)
+        suffixes = [tuple(tokens[i:].tolist()) for i in range(len(tokens))]
+        assert found.order.tolist() == sorted(range(len(tokens)), key=suffixes.__getitem__)
+        for k in range(1, len(tokens)):
+            a, b = suffixes[found.order[k - 1]], suffixes[found.order[k]]
+            assert found.common[k] == next((d for d, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
 # -- SimHash
