@@ -322,9 +322,14 @@ class Shard:
         return np.cumsum(edge)[: len(self.tokens)] > 0
 
 
+def _frame(schema: str, *columns: list | np.ndarray) -> pd.DataFrame:
+    """Of Python objects, which Arrow takes whatever pandas would make of them."""
+    return pd.DataFrame({name: pd.Series(list(values), dtype=object) for name, values in zip(schema.split(), columns, strict=True)})
+
+
 def candidates(key: tuple, group: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
     """host and run: runs that have the least share in this shard."""
-    none = pd.DataFrame({"host": pd.Series([], dtype=str), "run": pd.Series([], dtype="int64")})
+    none = _frame("host run", [], [])
     if not len(facts) or not len(group) or int(facts["n"].iloc[0]) < LEAST:
         return none
     shard, n = Shard(group), int(facts["n"].iloc[0])
@@ -335,20 +340,20 @@ def candidates(key: tuple, group: pd.DataFrame, facts: pd.DataFrame) -> pd.DataF
     pairs = np.unique(classes * width + shard.page[shard.at])
     count = np.bincount(pairs // width, weights=counts[pairs % width], minlength=int(classes.max()) + 1)[classes]
     found = np.unique(shard.run[(count > 0) & (count * n >= least(n) * counts.sum())])
-    return pd.DataFrame({"host": [key[0]] * len(found), "run": found})
+    return _frame("host run", [key[0]] * len(found), found.tolist())
 
 
 def tally(key: tuple, group: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
     """host, run and on how many counted pages of this shard the candidate stands."""
     runs = np.sort(facts.loc[facts["kind"] == 1, "value"].to_numpy(np.int64))
     if not len(runs) or not len(group):
-        return pd.DataFrame({"host": pd.Series([], dtype=str), "run": pd.Series([], dtype="int64"), "pages": pd.Series([], dtype="int64")})
+        return _frame("host run pages", [], [], [])
     shard = Shard(group)
     place = np.minimum(np.searchsorted(runs, shard.run), len(runs) - 1)
     hit = (runs[place] == shard.run) & shard.chosen(group, facts)[shard.page[shard.at]]
     width = len(shard.streams)
     pages = np.bincount(np.unique(place[hit] * width + shard.page[shard.at][hit]) // width, minlength=len(runs))
-    return pd.DataFrame({"host": [key[0]] * int((pages > 0).sum()), "run": runs[pages > 0], "pages": pages[pages > 0]})
+    return _frame("host run pages", [key[0]] * int((pages > 0).sum()), runs[pages > 0].tolist(), pages[pages > 0].tolist())
 
 
 def settle(key: tuple, group: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
@@ -372,14 +377,17 @@ def settle(key: tuple, group: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame
         texts.append(" ".join([t for t, k in zip(s, kept[a : b - 1].tolist(), strict=True) if k]))
         taken.append(int((repeated[a:b] & words[a:b]).sum()))
         told.append(int((marked[a:b] & ~repeated[a:b] & words[a:b]).sum()))
-    return pd.DataFrame({"page_id": group["page_id"], "url": group["url"], "text": texts, "n_chars": [len(t) for t in texts], "n_repeated": taken, "n_marked": told})
+    urls = [u if isinstance(u, str) else None for u in group["url"]]
+    ids = [i if isinstance(i, str) else None for i in group["page_id"]]
+    return _frame("page_id url text n_chars n_repeated n_marked", ids, urls, texts, [len(t) for t in texts], taken, told)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_repeated and n_marked of every page."""
     kind = dict(pages.dtypes)["page_id"]
     host = ascii_lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
-    named = pages.select("page_id", "url", host.alias("host"), "html")
+    # ids travel as text: pandas makes floats of whole numbers beside nulls
+    named = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", host.alias("host"), "html")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -389,7 +397,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts = [stream(blocks(h)) for h in part.column(3).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(texts, pa.string()), pa.array([signs(t, hashes) for t in texts], pa.list_(pa.int64()))], ["page_id", "url", "host", "text", "signs"])
 
-    streams = named.mapInArrow(read, f"page_id {kind}, url string, host string, text string, signs array<long>").withColumn("key", F.xxhash64("page_id", "url", "text"))
+    streams = named.mapInArrow(read, "page_id string, url string, host string, text string, signs array<long>").withColumn("key", F.xxhash64("page_id", "url", "text"))
     # staged, so that Spark knows their size before it plans the joins; pages are dealt by host and shard rather than by host
     signed = stage(streams.where("text <> ''").select("host", "key", F.posexplode("signs").alias("place", "sign")), "signs")
     leaders = stage(signed.groupBy("host", "place", "sign").agg(F.min("key").alias("fold")), "leaders")
@@ -412,4 +420,5 @@ def extract(pages: DataFrame) -> DataFrame:
     may = with_shards(facts, candidates, "host string, run long").distinct().withColumn("pages", F.lit(0).cast("long"))
     counted = with_shards(facts.unionByName(to_shards(may)), tally, "host string, run long, pages long").groupBy("host", "run").agg(F.sum("pages").alias("pages"))
     counted = counted.join(hosts.select("host", "n"), "host").where(f"pages >= greatest({LEAST}, ceil(n / {ONE_IN}))").select("host", "run", "pages")
-    return with_shards(to_shards(counted), settle, f"page_id {kind}, url string, text string, n_chars long, n_repeated long, n_marked long")
+    told = with_shards(to_shards(counted), settle, "page_id string, url string, text string, n_chars long, n_repeated long, n_marked long")
+    return told.withColumn("page_id", F.col("page_id").cast(kind))
