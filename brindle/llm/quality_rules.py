@@ -34,21 +34,22 @@ WINDOW = 5
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words in WINDOW-word windows found twice or more. Hashes settle texts without repeats; the rest compare the windows themselves."""
+    """Words in WINDOW-word windows found twice or more. Windows of equal hashes alone are compared as words."""
     n = F.size(words)
     starts = F.sequence(F.lit(0), n - WINDOW)
     hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))
-    # a word never holds a space, so the joined window names its words without doubt
-    window = F.sort_array(F.transform(starts, lambda i: F.struct(F.concat_ws(" ", F.slice(words, i + 1, WINDOW)).alias("w"), i.alias("i"))))
+    bind = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # works value out once
 
-    def covered(w: Column) -> Column:
+    def again(w: Column) -> Column:
+        """Starts whose neighbour in the sorted pairs (w, i) has the same w."""
         same = lambda x, i, d: F.get(w, i + d)["w"].eqNullSafe(x["w"])
-        at = F.sort_array(F.transform(F.filter(w, lambda x, i: same(x, i, -1) | same(x, i, 1)), lambda x: x["i"]))
-        gaps = lambda a: F.aggregate(F.transform(a, lambda p, k: F.least(F.coalesce(F.get(a, k + 1) - p, F.lit(WINDOW)), F.lit(WINDOW))), F.lit(0), lambda s, g: s + g)
-        # bind the sorted positions once
-        return F.get(F.transform(F.array(at), gaps), F.lit(0))
+        return F.transform(F.filter(w, lambda x, i: same(x, i, -1) | same(x, i, 1)), lambda x: x["i"])
 
-    exact = F.get(F.transform(F.array(window), covered), F.lit(0))
+    by_hash = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("w"), i.alias("i"))))
+    # a word never holds a space, so the joined window names its words without doubt
+    by_words = lambda at: F.sort_array(F.transform(at, lambda i: F.struct(F.concat_ws(" ", F.slice(words, i + 1, WINDOW)).alias("w"), i.alias("i"))))
+    covered = lambda a: F.aggregate(F.transform(a, lambda p, k: F.least(F.coalesce(F.get(a, k + 1) - p, F.lit(WINDOW)), F.lit(WINDOW))), F.lit(0), lambda s, g: s + g)
+    exact = bind(by_hash, lambda h: bind(again(h), lambda at: bind(by_words(at), lambda w: bind(F.sort_array(again(w)), covered))))
     return F.when(n < WINDOW, F.lit(0)).when(F.size(F.array_distinct(hashes)) == n - WINDOW + 1, F.lit(0)).otherwise(exact).cast("long")
 
 
@@ -73,11 +74,16 @@ def features(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
     return counted.withColumn("base_failed", F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words"))
 
 
+def _stratum(column: str) -> Column:
+    """A stratum's name; null is one of its own."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
+
+
 def cutoffs(labelled: DataFrame, stratum: str = "lang") -> DataFrame:
     """labelled: features with a boolean column good. Returns the stratum and, per rule, the accepted cutoff (null: none)."""
     good = labelled.where("good AND NOT base_failed")
     counts = [F.sum(F.when(F.expr(metric) > cut, 1).otherwise(0)).cast("long").alias(f"{rule}_{i}") for rule, (metric, grid) in RULES.items() for i, cut in enumerate(grid)]
-    per = good.groupBy(F.coalesce(F.col(stratum), F.lit("")).alias("_stratum")).agg(F.count(F.lit(1)).alias("n"), *counts)
+    per = good.groupBy(_stratum(stratum).alias("_stratum")).agg(F.count(F.lit(1)).alias("n"), *counts)
     strata = per.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("strata")).scalar()
     level = F.lit(LEVEL) / (strata * len(RULES))
     chosen = []
@@ -96,7 +102,7 @@ def judge(feats: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str
     # staged: Spark then knows how small it is and broadcasts it, whatever share of the documents a stratum has
     chosen = stage(cutoffs(feats.join(marked, key), stratum), "cutoffs")
     rejected = " OR ".join(f"coalesce({metric} > cut_{rule}, false)" for rule, (metric, _) in RULES.items())
-    joined = feats.withColumn("_stratum", F.coalesce(F.col(stratum), F.lit(""))).join(chosen, "_stratum", "left")
+    joined = feats.withColumn("_stratum", _stratum(stratum)).join(chosen, "_stratum", "left")
     return joined.withColumn("kept", F.expr(f"NOT base_failed AND NOT ({rejected})"))
 
 
