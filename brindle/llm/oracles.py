@@ -25,7 +25,7 @@ def op2() -> str:
         picks.append(f"coalesce({metric} > (SELECT min(cut) FROM chosen c WHERE c.s = f.s AND c.rule = '{rule}'), false)")
     rate = quality_rules.RULE_RISK
     tail = f"list_sum([exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({rate}) + (n - j) * ln({1 - rate})) FOR j IN range(k + 1)])"
-    return rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS s, coalesce(text, '') AS text, {_WORDS} AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+    return rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS s, coalesce(text, '') AS text, {_WORDS} AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM documents),
 w AS (SELECT r, i, array_to_string(ws[i:i + 4], ' ') AS win FROM (SELECT r, ws, unnest(generate_series(1, len(ws) - 4)) AS i FROM d)),
 again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS c FROM w) WHERE c > 1),
 cover AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(generate_series(i, i + 4)) AS p FROM again) GROUP BY r),
@@ -45,7 +45,11 @@ def op4() -> str:
     for rule in sorted(u.RULES, key=len, reverse=True):
         host, path = rule.split("/", 1)
         cases.append(f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}') THEN '{rule}'")
-    two = ", ".join(f"'{s}'" for s in u.TWO_LABEL_SUFFIXES)
+    listed = lambda names: "[" + ", ".join(f"'{n}'" for n in sorted(names)) + "]"
+    exact, parents, exceptions = (listed(names) for names in u.parse_suffixes(u.SUFFIXES))
+    tail = lambda m: f"array_to_string(l[-{m}:], '.')"
+    depth = " ".join(f"WHEN len(l) >= {m} AND list_contains({exceptions}, {tail(m)}) THEN {m - 1}" for m in range(u.LABELS, 0, -1))
+    depth += " " + " ".join(f"WHEN len(l) >= {m} AND (list_contains({exact}, {tail(m)}) OR list_contains({parents}, {tail(m - 1) if m > 1 else repr('')})) THEN {m}" for m in range(u.LABELS, 0, -1))
     strength = (
         f"CASE WHEN coalesce(n, 0) = 0 THEN {u.UNKNOWN} WHEN k = 0 OR k = n THEN {u.STRONGEST}"
         f" ELSE least(greatest(1 / greatest(((q - k * k / n) / (k / n * (1 - k / n)) - (c - 1)) / greatest(n - c, 1), 1e-9) - 1, {u.WEAKEST}), {u.STRONGEST}) END"
@@ -57,9 +61,8 @@ def op4() -> str:
     return rf"""WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{u.URL}', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '{u.URL}', 2) AS path FROM pages),
 r AS (SELECT *, CASE {" ".join(cases)} END AS rule, TRY_CAST(nullif(regexp_extract(path, '/([0-9]+)(?:[.]html)?/?$', 1), '') AS BIGINT) AS doc FROM p),
 m AS (SELECT doc_id, min(quality) = 0 AS bad FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-h0 AS (SELECT host, string_split(host, '.') AS l, count(bad)::DOUBLE AS n, count(*) FILTER (bad)::DOUBLE AS k FROM r LEFT JOIN m ON doc = doc_id GROUP BY host),
-h AS (SELECT host, n, k, CASE WHEN array_to_string(l[-2:], '.') IN ({two}) THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain,
-  CASE WHEN array_to_string(l[-2:], '.') IN ({two}) THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix FROM h0),
+h0 AS (SELECT host, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '[.]+$', '') AS name, string_split(name, '.') AS l, CASE {depth} ELSE 1 END AS m, regexp_matches(name, '{u.ADDRESS}') AS address, count(bad)::DOUBLE AS n, count(*) FILTER (bad)::DOUBLE AS k FROM r LEFT JOIN m ON doc = doc_id GROUP BY host),
+h AS (SELECT host, n, k, CASE WHEN address THEN name ELSE array_to_string(l[-(m + 1):], '.') END AS domain, CASE WHEN address THEN '#' ELSE array_to_string(l[-m:], '.') END AS suffix FROM h0),
 d AS (SELECT domain, suffix, {up} FROM h GROUP BY ALL), s AS (SELECT suffix, {up} FROM d GROUP BY ALL), g AS (SELECT {up} FROM s),
 gs AS (SELECT coalesce(k, 0) + 0.5 AS ga, coalesce(n, 0) + 1 AS gb, {strength} AS gk FROM g),
 ss AS (SELECT suffix, (k + gk * ga / gb) / (n + gk) AS sm, {strength} AS sk FROM s, gs),

@@ -6,6 +6,10 @@ the level above, whose strength comes from the method of moments over its childr
 blocked where even the lower posterior bound of its bad share, a normal bound on the log-odds with the exact posterior mean
 and variance of the logit, lies over BAD_SHARE. Fixed rules come first.
 
+Suffixes are a parameter in the format of the public suffix list (rules, *. wildcards, ! exceptions, // comments); without a rule the
+last label is the suffix. User names, ports and dots at the end are no part of a domain; numeric addresses are domains of their own
+under one suffix.
+
 Defined results: null urls and urls without "://" have empty host and path, belong to the empty host, and fit no rule; hosts
 without labelled pages are judged by their priors; repeated pages count as often as they occur in pages; a document labelled
 twice is bad if any label says so; without any labels every page that no rule fits is allowed.
@@ -30,8 +34,11 @@ RULES = {
 BAD_SHARE, BOUND_Z = 0.5, 1.6449
 #: Limits of a prior's strength, in pages, and the strength where a group has no labels.
 WEAKEST, STRONGEST, UNKNOWN = 1.0, 200.0, 10.0
-#: Public suffixes of two labels that the data may hold; all others are the last label.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz")
+#: The suffix rules where no list is given: a few common ones of two labels. Labels of a suffix at most.
+SUFFIXES = "co.uk\norg.uk\nac.uk\ncom.au\nco.jp\ncom.br\nco.nz\n*.ck\n!www.ck"
+LABELS = 5
+#: Numeric addresses, of either version.
+ADDRESS = r"^(?:[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+|\[.*\])$"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -66,30 +73,54 @@ def _up(df: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def reputation(outcomes: DataFrame) -> DataFrame:
+def parse_suffixes(text: str) -> tuple[set[str], set[str], set[str]]:
+    """Rules of a public suffix list: exact ones, parents of wildcards, exceptions."""
+    rules = {line.split()[0].lower() for line in text.splitlines() if line.strip() and not line.strip().startswith("//")}
+    exceptions = {r[1:] for r in rules if r.startswith("!")}
+    parents = {r[2:] for r in rules if r.startswith("*.")}
+    return {r for r in rules if r[0] not in "!*"}, parents, exceptions
+
+
+def domains(hosts: DataFrame, suffixes: str = SUFFIXES) -> DataFrame:
+    """hosts with the registered domain and the suffix of each host added."""
+    exact, parents, exceptions = parse_suffixes(suffixes)
+    name = F.regexp_replace(F.regexp_replace(F.regexp_replace("host", "^.*@", ""), ":[0-9]*$", ""), "[.]+$", "")
+    named = hosts.withColumn("_name", name).withColumn("_labels", F.split("_name", "[.]"))
+    size = F.size("_labels")
+    last = lambda m: F.array_join(F.slice("_labels", F.greatest(size - m + 1, F.lit(1)), m), ".")
+    depth = F.lit(1)
+    for m in range(1, LABELS + 1):  # later conditions go outside: the longest wins, and an exception before all
+        depth = F.when((size >= m) & (last(m).isin(*exact) | (last(m - 1).isin(*parents) if m > 1 else F.lit(False))), F.lit(m)).otherwise(depth)
+    for m in range(1, LABELS + 1):
+        depth = F.when((size >= m) & last(m).isin(*exceptions), F.lit(m - 1)).otherwise(depth)
+    named = named.withColumn("_depth", depth)
+    address = F.col("_name").rlike(ADDRESS)
+    cut = named.withColumn("domain", F.when(address, F.col("_name")).otherwise(last(F.col("_depth") + 1)))
+    return cut.withColumn("suffix", F.when(address, "#").otherwise(last(F.col("_depth")))).drop("_name", "_labels", "_depth")
+
+
+def reputation(outcomes: DataFrame, suffixes: str = SUFFIXES) -> DataFrame:
     """outcomes: host and bad (null: not labelled), a row per page. Returns per host n, k, bound and blocked."""
     hosts = outcomes.groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum(F.col("bad").cast("int")), F.lit(0)).cast("double").alias("k"))
-    labels = F.split("host", r"\.")
-    last = lambda m: F.array_join(F.slice(labels, F.greatest(F.size(labels) - m + 1, F.lit(1)), F.lit(m)), ".")
-    two = last(2).isin(*TWO_LABEL_SUFFIXES)
-    hosts = hosts.withColumn("domain", F.when(two, last(3)).otherwise(last(2))).withColumn("suffix", F.when(two, last(2)).otherwise(last(1)))
-    domains = _up(hosts, "domain", "suffix")
-    suffixes = _up(domains, "suffix")
-    top = _up(suffixes)
+    hosts = domains(hosts, suffixes)
+    per_domain = _up(hosts, "domain", "suffix")
+    per_suffix = _up(per_domain, "suffix")
+    top = _up(per_suffix)
     whole = top.select(F.struct(F.expr("coalesce(k, 0) + 0.5").alias("a"), F.expr("coalesce(n, 0) + 1").alias("b"), _strength("n", "k", "c", "q").alias("s"))).scalar()
-    suffix_means = suffixes.withColumn("_w", whole).select("suffix", F.expr("(k + _w.s * _w.a / _w.b) / (n + _w.s)").alias("sm"), _strength("n", "k", "c", "q").alias("ss"))
-    domain_means = domains.join(suffix_means, "suffix").select("domain", F.expr("(k + ss * sm) / (n + ss)").alias("dm"), _strength("n", "k", "c", "q").alias("ds"))
+    suffix_means = per_suffix.withColumn("_w", whole).select("suffix", F.expr("(k + _w.s * _w.a / _w.b) / (n + _w.s)").alias("sm"), _strength("n", "k", "c", "q").alias("ss"))
+    domain_means = per_domain.join(suffix_means, "suffix").select("domain", F.expr("(k + ss * sm) / (n + ss)").alias("dm"), _strength("n", "k", "c", "q").alias("ds"))
     a, b = "(k + ds * dm)", "(n - k + ds * (1 - dm))"
     logit = f"({digamma(a)} - {digamma(b)} - {BOUND_Z}D * sqrt({trigamma(a)} + {trigamma(b)}))"
     scored = hosts.join(domain_means, "domain").withColumn("bound", F.expr(f"1 / (1 + exp(-{logit}))"))
     return scored.select("host", "n", "k", "bound", (F.col("bound") > BAD_SHARE).alias("blocked"))
 
 
-def judge(pages: DataFrame, labels: DataFrame) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, suffixes: str = SUFFIXES) -> DataFrame:
+    """page_id, host, path, rule, verdict, host_labelled and host_bad of every page."""
     parsed = parse(pages).withColumn("_doc", F.expr(r"try_cast(nullif(regexp_extract(path, '/([0-9]+)(?:[.]html)?/?$', 1), '') AS BIGINT)"))
     marked = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("_doc")).agg((F.min("quality") == 0).alias("bad"))
     # staged: Spark then broadcasts the hosts if they are small, and can split a host of very many pages if they are not
-    hosts = stage(reputation(parsed.select("host", "_doc").join(marked, "_doc", "left").select("host", "bad")), "hosts")
+    hosts = stage(reputation(parsed.select("host", "_doc").join(marked, "_doc", "left").select("host", "bad"), suffixes), "hosts")
     joined = parsed.join(hosts, "host", "left")
     ruled = F.when(F.col("rule").isin(*[r for r, v in RULES.items() if v == "block"]), "block").otherwise("allow")
     verdict = F.when(F.col("rule").isNotNull(), ruled).when(F.coalesce("blocked", F.lit(False)), "block").otherwise("allow")
