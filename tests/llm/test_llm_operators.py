@@ -148,6 +148,54 @@ def test_binomial_tail_is_exact(spark):
         assert got == pytest.approx(1.0 if k >= n * rate else want, rel=1e-6)
 
 
+def test_binomial_tail_at_any_size(spark):
+    """Against fifty-digit arithmetic."""
+    from decimal import Decimal as D
+    from decimal import getcontext
+
+    getcontext().prec = 50
+    pi = D("3.14159265358979323846264338327950288419716939937510")
+
+    def log_factorial(n):
+        if n < 60:
+            return sum((D(i).ln() for i in range(2, n + 1)), D(0))
+        x = D(n)
+        series = [(1, 12), (-1, 360), (1, 1260), (-1, 1680), (1, 1188), (-691, 360360), (1, 156)]
+        return (x + D("0.5")) * x.ln() - x + (2 * pi).ln() / 2 + sum(D(a) / (D(b) * x ** (2 * i + 1)) for i, (a, b) in enumerate(series))
+
+    rate = 0.005
+    for n, k in [(10**4, 30), (10**6, 4800), (10**9, 4_993_500), (10**10, 49_980_000), (10**11, 499_935_000), (10**11, 499_999_999)]:
+        p = D(repr(rate))
+        top = (log_factorial(n) - log_factorial(k) - log_factorial(n - k) + k * p.ln() + (n - k) * (1 - p).ln()).exp()
+        term, total, j = 1.0, 0.0, 0
+        while term > 1e-25 and j <= k:
+            total += term
+            term *= (k - j) * (1 - rate) / rate / (n - k + j + 1)
+            j += 1
+        got = spark.range(1).select(F.expr(stats_sql.binomial_tail(f"{n}L", f"{k}L", rate))).first()[0]
+        assert got == pytest.approx(float(top) * total, rel=1e-6), (n, k)
+
+
+def test_special_functions(spark):
+    known = {"digamma": {1: -0.5772156649015329, 0.5: -1.9635100260214235, 0.01: -100.56088545786868, 200: 5.2958153},
+             "trigamma": {1: 1.6449340668482264, 0.5: 4.934802200544679, 0.01: 10001.621213528313, 200: 0.005012520859},
+             "lgamma": {1: 0.0, 0.5: 0.5723649429247001, 4: 1.791759469228055, 30.5: 72.9534718}}
+    for name, values in known.items():
+        for x, want in values.items():
+            got = spark.range(1).select(F.expr(getattr(stats_sql, name)(f"{float(x)}D"))).first()[0]
+            assert got == pytest.approx(want, rel=1e-7, abs=1e-8), (name, x)
+
+
+def test_null_strata_stand_apart(spark):
+    """The empty stratum has enough labels for a cutoff, the null one has not."""
+    rng = random.Random(4)
+    bad = lambda: " ".join("".join(rng.choice("%#&$*|<>") for _ in range(5)) for _ in range(150))
+    rows = [(i, sentence(rng, 40) + bad() * (i % 4 == 0), "" if i < 8000 else None, "s", 0) for i in range(8040)]
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(8040)], "doc_id long, quality int")
+    kept = {r.doc_id: r.kept for r in quality_rules.quality(spark.createDataFrame(rows, DOC), labels).collect()}
+    assert not any(kept[i] for i in range(0, 8000, 4)) and all(kept[i] for i in range(8000, 8040))
+
+
 def test_thresholds_limit_false_rejection(spark):
     rng = random.Random(1)
     rows = [(i, sentence(rng, 40) + (" %%% ### &&&" * 40 if i % 4 == 0 else ""), "en", "s", 0) for i in range(8000)]
@@ -230,9 +278,89 @@ def test_reputation_shrinks_and_blocks(spark):
     assert url_reputation.judge(pages.limit(0), labels).count() == 0
 
 
+def test_domains_of_hosts(spark):
+    listed = "// comment\n\nuk\nco.uk\n*.ck\n!www.ck\nb.c.d.e  // five labels with a name"
+    want = {
+        "a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.www.ck": ("www.ck", "ck"), "a.b.foo.ck": ("b.foo.ck", "foo.ck"), "q.com": ("q.com", "com"), "com": ("com", "com"),
+        "z.a.b.c.d.e": ("a.b.c.d.e", "b.c.d.e"), "u:p@h.co.uk:80": ("h.co.uk", "co.uk"), "10.1.2.3:8080": ("10.1.2.3", "#"), "[::1]:80": ("[::1]", "#"), "h.net.": ("h.net", "net"), "": ("", ""),
+    }
+    hosts = spark.createDataFrame([(h,) for h in want], "host string")
+    assert {r.host: (r.domain, r.suffix) for r in url_reputation.domains(hosts, listed).collect()} == want
+
+
+def test_blocked_hosts_equal_the_sql(spark):
+    """Hosts that only the posterior bound blocks, with ports, addresses and suffixes of several labels, in Spark and in DuckDB."""
+    import duckdb
+
+    from brindle.llm.oracles import op4
+
+    rng = random.Random(21)
+    hosts = {"bad.one.org": 0.95, "ok.one.org": 0.1, "a.bad.co.uk": 0.9, "b.bad.co.uk": 0.8, "c.fine.co.uk:8080": 0.05, "10.0.0.1:80": 0.97, "[::1]": 0.02, "www.ck": 0.99, "x.y.ck": 0.5, "u:p@q.fr": 0.9}
+    rows, marks = [], []
+    for host, share in hosts.items():
+        for _ in range(rng.randrange(20, 60)):
+            i = len(rows)
+            rows.append((i, f"https://{host}/{rng.choice(['en', 'p'])}/{i}{rng.choice(['', '.html', '/', '?q=1'])}", "h"))
+            if rng.random() < 0.8:
+                marks.append((i, int(rng.random() >= share)))
+    rows += [(900, "https://new.bad.co.uk/p", "h"), (901, None, "h"), (902, "http://bad.one.org", None)]
+    pages, labels = spark.createDataFrame(rows, "page_id long, url string, html string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    got = {tuple(r) for r in url_reputation.judge(pages, labels).collect()}
+    connection = duckdb.connect()
+    connection.register("pages", pages.toPandas())
+    connection.register("labels", labels.toPandas())
+    assert got == set(connection.execute(op4()).fetchall())
+    verdicts = {r[1]: r[4] for r in got}
+    assert [verdicts[h] for h in ("bad.one.org", "ok.one.org", "10.0.0.1:80", "www.ck", "u:p@q.fr")] == ["block", "allow", "block", "block", "block"]
+
+
 # -- toxicity
 
 
+def test_scores_equal_a_plain_forward_pass():
+    """One window and one step at a time, from the definition of the network."""
+    rng = random.Random(3)
+    texts = [sentence(rng, n, 60) for n in (1, 5, 23, 24, 25, 40, 130)] + ["", None, "Ünï-cödé !!! ..."]
+    network = toxicity.fit([t for t in texts if t] * 4, [i % 2 for i in range(32)])
+    p = {k: v.astype(np.float64) for k, v in network.p.items()}
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(word):
+        form = toxicity.normal(word)
+        codes = [ord(c) for c in f"<{form}>"]
+        slots = [(a * 1_000_003 + b * 8_191 + c * 127) % toxicity.TRIGRAMS for a, b, c in zip(codes, codes[1:], codes[2:])]
+        return np.concatenate([p["word"][network.number.get(form, toxicity.RARE)], np.mean([p["char"][s] for s in slots], axis=0)])
+
+    def states(vectors, d):
+        h, out, size = np.zeros(toxicity.HIDDEN), [], toxicity.HIDDEN
+        for x in vectors:
+            gx, gh = x @ p[f"W{d}"] + p[f"c{d}"], h @ p[f"U{d}"]
+            z, r = sig(gx[:size] + gh[:size]), sig(gx[size : 2 * size] + gh[size : 2 * size])
+            h = (1 - z) * np.tanh(gx[2 * size :] + r * gh[2 * size :]) + z * h
+            out.append(h)
+        return out
+
+    def logit(window):
+        vectors = [vector(w) for w in window]
+        both = np.array([np.concatenate(x) for x in zip(states(vectors, "f"), states(vectors[::-1], "b")[::-1])])
+        weight = np.exp(np.tanh(both @ p["A"] + p["a"]) @ p["v"])
+        return float((weight / weight.sum()) @ both @ p["o"] + p["bias"][0])
+
+    scores = toxicity.Scorer(network)(texts)
+    for text, score in zip(texts, scores):
+        ws = split(text)
+        windows = [ws[i : i + toxicity.WINDOW] for i in range(0, max(1, len(ws) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE)]
+        want = sig(max(logit(w) for w in windows)) if ws else network.base
+        assert score == pytest.approx(want, abs=1e-4)
+
+
+def test_a_column_named_score_gives_way(spark):
+    docs = doc_table(spark, ["a b", None, ""])
+    got = toxicity.score(docs, toxicity.Network(["a"]))
+    assert got.columns == ["doc_id", "text", "lang", "n", "score"] and got.count() == 3
+    assert toxicity.score(docs, toxicity.Network(["a"]), into="_s").columns == [*docs.columns, "_s"]
+
+
 def test_gradients_are_the_losses_slopes():
     network = toxicity.Network(["a", "b", "c"])
     network.p = {k: v.astype(np.float64) for k, v in network.p.items()}
@@ -265,7 +393,7 @@ def test_toxicity_learns_from_the_unheld_rows(spark):
             ws.insert(rng.randrange(len(ws) + 1), rng.choice(["vile", "Nasty!", "awful,"]))
         texts.append(" ".join(ws))
         toxic.append(int(bad))
-    docs = doc_table(spark, texts + ODD).drop("score")
+    docs = doc_table(spark, texts + ODD)
     labels = spark.createDataFrame([(i, t) for i, t in enumerate(toxic)] + [(None, 1), (3, None)], "doc_id long, toxic int")
     got = {r.doc_id: r for r in toxicity.judged(docs, labels).collect()}
     assert len(got) == len(texts) + len(ODD)
@@ -399,13 +527,14 @@ def test_extraction_equals_brute_force_for_any_shards(spark, monkeypatch):
         host = ("a.org", "b.org", "c.org", "A.org")[i % 4]
         own = f"<p>{banner}</p>" if i % 5 == 0 else ""
         rows.append((i, f"http://{host}/x{i}", f"{menu}{own}{f'<article>{text}</article>' if i % 3 == 0 else text}<p>{line}</p>"))
-    rows += [(90, None, None), (91, None, "<p>alone</p>"), (92, "http://a.org/", ""), (93, "http://a.org/copy", rows[1][2])]
+    rows += [(90, None, None), (91, None, "<p>alone</p>"), (92, "http://a.org/", ""), (93, "http://a.org/copy", rows[1][2]), (2**60 + 1, "http://b.org/big", "<p>one big number</p>")]
     rows += [(200 + i, f"http://d.org/{i}", f"<article><h1>same head line for all of these many pages here</h1><p>{sentence(rng, 90, 900)}</p></article>") for i in range(9)]
     want = brute_extract(rows)
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, host string").repartition(3)
     assert all(line not in t for t in want.values()) and "same head" not in want[200] and want[91] == "alone"
-    for size in (256, 3):
+    for size, batch in ((256, "7"), (3, "10000")):
         monkeypatch.setattr(html_extract, "SHARD_PAGES", size)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
         got = html_extract.extract(pages).collect()
         assert {r.page_id: r.text for r in got} == want and len(got) == len(rows)
         assert all(r.n_chars == len(r.text) for r in got) and sum(r.n_repeated for r in got) > 400
