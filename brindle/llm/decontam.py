@@ -6,14 +6,18 @@ within floor(MAX_EDITS * words of the item) word edits of the item: a similarity
 Windows start at local minima of a word hash (every STRIDE words in a row hold one), so item and copy start theirs at the same
 words. From each start a CGK random walk reads the window: at step j it tells the word under its pointer and moves on by a
 random bit that depends on j and the word, which turns few edits into few differing steps. Bit-sampling LSH keys a window by a
-few sampled steps; TABLES keys of different depth, over WALKS walks, bring the recall that tests measure. Windows that share a
-key with an item are cut to the item's size (with room for its edits), thinned by the words they share with it - an exact bound -
-and verified with the edit distance.
+few sampled steps; TABLES keys of different depth, over WALKS walks, bring the recall that tests measure. A walk from a start near
+the end of an item reads past it, which leaves items of under SHORT words too few starts: these are found by exact seeds instead.
+An item that may have e edits is cut into e + 1 runs of words, one of which any copy within e edits holds unchanged.
 
-Items are taken in blocks of bounded size (BLOCK), each block against all documents; no block is left out.
+Windows that share a key or a run with an item are cut to the item's size (with room for its edits), thinned by a bound on the words
+they share with it, which never drops a match, and verified with the edit distance.
 
-Defined results: items with under MIN_WORDS words, null or empty ones are not searched; null and empty texts match nothing; items
-equal to each other each get their rows; repeated documents get a row each.
+Items are taken in blocks of BLOCK, which are all that the driver or a task holds of them; each block is searched in all documents,
+one after the other, and no block is left out.
+
+Defined results: items with under MIN_WORDS words, null or empty ones are not searched; an item with a null id is searched, and told
+with it; null and empty texts match nothing; items equal to each other each get their rows; repeated documents get a row each.
 """
 
 from __future__ import annotations
@@ -23,13 +27,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage
 from .common import words as words_of
 
 MAX_EDITS, MIN_WORDS = 0.2, 5
-STRIDE = 8
+STRIDE, SHORT = 8, 15
+#: Columns of the table of words that an item has.
+SPREAD = 512
 WALKS, STEPS = 2, 24
 #: Of each walk's tables: how many steps they may sample, and how many they do.
 TABLES = ((8, 5), (12, 5), (16, 6), (24, 6))
@@ -71,24 +79,44 @@ class Index:
         self.moves = rng.integers(0, 2, (WALKS, STEPS, size), dtype=np.int8)
         self.samples = [[np.sort(rng.choice(depth - 1, k - 1, replace=False)) + 1 for depth, k in TABLES] for _ in range(WALKS)]
         self.mixers = rng.integers(1, 2**63, (STEPS + 1), dtype=np.uint64) | np.uint64(1)
-        self.has = np.zeros((len(self.items), size), bool)
+        self.sizes = np.array([len(w) for _, w in self.items], np.int64)
+        self.has = np.zeros((len(self.items), SPREAD), bool)
         for row, (_, words) in enumerate(self.items):
-            self.has[row, words] = True
-        # item windows: every start of every item, by table
-        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        if not self.items:
-            return
-        flat, begin = self.lay([w for _, w in self.items])
-        owner = np.repeat(np.arange(len(self.items)), [len(w) for _, w in self.items])
-        inside = np.concatenate([b + np.arange(len(w)) for b, (_, w) in zip(begin, self.items, strict=True)])
-        start = self.starts(flat)
-        mine = np.isin(inside, start)
-        owner, inside = owner[mine], inside[mine]
-        for key in self.keys(flat, inside):
-            order = np.argsort(key, kind="stable")
-            slots = np.zeros(SLOTS, bool)
-            slots[key & np.uint64(SLOTS - 1)] = True
-            self.tables.append((slots, key[order], owner[order], (inside - np.array(begin)[owner])[order]))
+            self.has[row, words % SPREAD] = True
+        #: By length of their runs (0: CGK tables): which slots are used, sorted keys, items, and how far into the item they begin.
+        self.tables: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        long = np.flatnonzero(self.sizes >= SHORT)
+        if len(long):
+            flat, begin = self.lay([self.items[i][1] for i in long])
+            owner = np.repeat(long, self.sizes[long])
+            offset = np.concatenate([np.arange(n) for n in self.sizes[long]])
+            inside = np.repeat(begin, self.sizes[long]) + offset
+            mine = np.isin(inside, self.starts(flat))
+            for key in self.keys(flat, inside[mine]):
+                self._add(0, key, owner[mine], offset[mine])
+        runs: dict[int, list[tuple[int, int]]] = {}
+        for i in np.flatnonzero(self.sizes < SHORT).tolist():
+            n = int(self.sizes[i])
+            cuts = np.linspace(0, n, int(MAX_EDITS * n) + 2).astype(int).tolist()
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                runs.setdefault(hi - lo, []).append((i, lo))
+        for size, own in sorted(runs.items()):
+            key = np.concatenate([self.run_keys(self.items[i][1][lo : lo + size], size) for i, lo in own])
+            self._add(size, key, np.array([i for i, _ in own]), np.array([lo for _, lo in own]))
+
+    def _add(self, size: int, key: np.ndarray, owner: np.ndarray, offset: np.ndarray) -> None:
+        order = np.argsort(key, kind="stable")
+        slots = np.zeros(SLOTS, bool)
+        slots[key & np.uint64(SLOTS - 1)] = True
+        self.tables.append((size, slots, key[order], owner[order], offset[order]))
+
+    def run_keys(self, words: np.ndarray, size: int) -> np.ndarray:
+        """A key of the size words from each place on."""
+        n = max(0, len(words) - size + 1)
+        key = np.zeros(n, np.uint64)
+        for d in range(size):
+            key = (key ^ (key >> np.uint64(29))) * self.mixers[d] + words[d : d + n].astype(np.uint64)
+        return key * self.mixers[STEPS] ^ (key >> np.uint64(31))
 
     @staticmethod
     def lay(texts: list[np.ndarray]) -> tuple[np.ndarray, list[int]]:
@@ -132,19 +160,26 @@ class Index:
         flat, begin = self.lay(texts)
         if not self.tables or not len(flat):
             return
-        start = self.starts(flat)
+        start = self.starts(flat) if not self.tables[0][0] else None
+        walks = self.keys(flat, start) if start is not None else iter(())
         found = []
-        for (slots, keys, owner, offset), key in zip(self.tables, self.keys(flat, start), strict=True):
-            hit = np.flatnonzero(slots[key & np.uint64(SLOTS - 1)])
+        for size, slots, keys, owner, offset in self.tables:
+            if size:
+                key = self.run_keys(flat, size)
+                hit = np.flatnonzero(slots[key & np.uint64(SLOTS - 1)])
+                place = hit
+            else:
+                key = next(walks)
+                hit = np.flatnonzero(slots[key & np.uint64(SLOTS - 1)])
+                place = start[hit]
             lo, hi = np.searchsorted(keys, key[hit], "left"), np.searchsorted(keys, key[hit], "right")
             count = hi - lo
-            which = np.repeat(hit, count)
             entry = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             # an item's begin may lie up to its edits before the text
-            found.append((owner[entry].astype(np.int64) << 40) + (start[which] - offset[entry] + (1 << 20)))
+            found.append((owner[entry].astype(np.int64) << 40) + (np.repeat(place, count) - offset[entry] + (1 << 20)))
         pairs = np.unique(np.concatenate(found))
         item, at = pairs >> 40, (pairs & ((1 << 40) - 1)) - (1 << 20)
-        size = np.array([len(w) for _, w in self.items])[item]
+        size = self.sizes[item]
         limit = (MAX_EDITS * size).astype(np.int64)
         first, ends = np.array(begin), np.array(begin) + np.array([len(t) for t in texts])
         text = np.searchsorted(first, np.maximum(at + limit, 0), "right") - 1
@@ -154,7 +189,7 @@ class Index:
             part = slice(i, i + 20_000)
             span = np.arange(int((hi[part] - lo[part]).max(initial=1)))
             words = flat[np.minimum(lo[part, None] + span, len(flat) - 1)]
-            shared = (self.has[item[part, None], words] & (lo[part, None] + span < hi[part, None])).sum(axis=1)
+            shared = (self.has[item[part, None], words % SPREAD] & (words > 0) & (lo[part, None] + span < hi[part, None])).sum(axis=1)
             enough[part] = shared >= size[part] - limit[part]
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for n in np.flatnonzero(enough).tolist():
@@ -194,17 +229,30 @@ def edit_distance(item: list[int], window: list[int]) -> tuple[int, int]:
     return best, end
 
 
-def blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """All usable items in blocks of about BLOCK, which is what the driver and a task hold at a time."""
-    usable = items.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
+def blocks(items: DataFrame) -> Iterator[Broadcast]:
+    """All usable items in blocks of about BLOCK, one at a time."""
+    usable = items.select("item_id", "text").where("text IS NOT NULL")
     n = max(1, -(-usable.count() // BLOCK))
     for block in range(n):
-        yield sorted((r.item_id, r.text) for r in usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block).collect())
+        rows = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block).collect()
+        yield items.sparkSession.sparkContext.broadcast(sorted(((r.item_id, r.text) for r in rows), key=lambda r: (r[0] is not None, *r)))
+
+
+_index: dict[str, Index] = {}
+
+
+def _index_of(items: list[tuple[int, str]]) -> Index:
+    """The index of a block, made once a worker; later tasks find it."""
+    key = xxhash.xxh3_128_hexdigest(repr(items).encode("utf-8", "surrogatepass"))
+    if key not in _index:
+        _index.clear()
+        _index[key] = Index(items)
+    return _index[key]
 
 
 def _searched(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]], at: int) -> Iterator[tuple[pa.RecordBatch, Index, list[tuple[int, int, int, int]]]]:
     """Parts of the batches with what was found in their texts (column at)."""
-    index = Index(items)
+    index = _index_of(items)
     number = _Vocabulary(index.known)
     for batch in batches:
         for i in range(0, batch.num_rows, 500):
@@ -224,12 +272,14 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     out = None
     for block in blocks(items):
 
-        def run(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
-            for part, index, found in _searched(batches, block, 1):
+        def run(batches: Iterator[pa.RecordBatch], block: Broadcast = block) -> Iterator[pa.RecordBatch]:
+            for part, index, found in _searched(batches, block.value, 1):
                 columns = [part.column(0).take(pa.array([f[0] for f in found], pa.int64())), pa.array([index.items[f[1]][0] for f in found], item_type)]
                 columns += [pa.array([len(index.items[f[1]][1]) for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["k", "item_id", "item_words", "edits", "end_word"])
 
+        if out is not None:  # a block's result is written before the next block comes to the driver
+            out = stage(out, "contaminated")
         one = docs.select(key, text).mapInArrow(run, schema)
         out = one if out is None else out.unionByName(one)
     return out.withColumnRenamed("k", key)
@@ -237,14 +287,14 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The documents that hold no item, with all their columns; nothing is shuffled."""
-    at = docs.columns.index(text)
+    at, first = docs.columns.index(text), True
     for block in blocks(items):
 
-        def run(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
-            for part, _, found in _searched(batches, block, at):
+        def run(batches: Iterator[pa.RecordBatch], block: Broadcast = block) -> Iterator[pa.RecordBatch]:
+            for part, _, found in _searched(batches, block.value, at):
                 kept = np.ones(part.num_rows, bool)
                 kept[[f[0] for f in found]] = False
                 yield part.filter(pa.array(kept))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs, first = (docs if first else stage(docs, "clean")).mapInArrow(run, docs.schema), False
     return docs

@@ -234,13 +234,50 @@ def test_decontamination_finds_copies_and_edits(spark):
     docs = doc_table(spark, texts + ODD)
     benchmark = spark.createDataFrame([*items, (90, None), (91, ""), (92, "too short item"), (None, items[0][1])], "item_id long, text string")
     found = decontam.contaminated(docs, benchmark).collect()
-    got = {(r.doc_id, r.item_id) for r in found}
+    got = {(r.doc_id, r.item_id) for r in found if r.item_id is not None}
+    assert {r.doc_id for r in found if r.item_id is None} == {d for d, i in got if i == 0}
     assert got <= {(d, i) for d, t in enumerate(texts + ODD) for i, item in items if brute_edits([decontam.normal(w) for w in item.split()], [decontam.normal(w) for w in split(t) if decontam.normal(w)]) <= int(0.2 * len(item.split()))}
     assert len(truth - got) <= 0.1 * len(truth)
     assert decontam.clean(docs, benchmark).select("doc_id").count() == docs.count() - len({d for d, _ in got})
     assert decontam.contaminated(docs, benchmark.limit(0)).count() == 0 and decontam.contaminated(docs.limit(0), benchmark).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.0, 0.1, 0.2])
+def test_recall_for_every_length_of_item(share):
+    """Copies with word edits, in a context of the items' own words; items of under SHORT words are found without fail."""
+    rng = random.Random(31)
+    vocabulary = [f"w{i}" for i in range(600)]
+    draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, " ".join(draw(5 + i % 36))) for i in range(36 * 12)]
+    index = decontam.Index([*items, (None, " ".join(vocabulary[:7]))])
+    texts = []
+    for _, item in items:
+        ws = item.split()
+        for _ in range(int(share * len(ws))):
+            at, kind = rng.randrange(len(ws)), rng.randrange(3)
+            ws[at : at + (kind < 2)] = [] if kind == 0 else [rng.choice(vocabulary)]
+        texts.append(draw(30) + ws + draw(30))
+    texts += [vocabulary[:7], draw(3), []]
+    found = {(t, i) for t, i, _, _ in index.search([np.array([index.known.get(w, 0) for w in t], np.int32) for t in texts])}
+    for size in range(5, 41):
+        own = [i for i in range(len(items)) if 5 + i % 36 == size]
+        caught = sum((i, i) in found for i in own)
+        assert caught == len(own) if size < decontam.SHORT else caught >= 0.8 * len(own), (size, caught)
+    assert sum((i, i) in found for i in range(len(items))) >= 0.97 * len(items) and (len(items), len(items)) in found
+
+
+def test_items_in_many_blocks_and_null_ids(spark, monkeypatch):
+    rng = random.Random(15)
+    items = [(i if i else None, sentence(rng, rng.randrange(6, 30), 900)) for i in range(9)]
+    docs = doc_table(spark, [f"{sentence(rng, 20)} {t} {sentence(rng, 9)}" for _, t in items] + ODD)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted((r.doc_id, r.item_id or -1) for r in decontam.contaminated(docs, benchmark).collect())
+    assert [d for d, _ in want] == list(range(9)) and want[0] == (0, -1)
+    monkeypatch.setattr(decontam, "BLOCK", 4)
+    assert sorted((r.doc_id, r.item_id or -1) for r in decontam.contaminated(docs, benchmark).collect()) == want
+    assert sorted(r.doc_id for r in decontam.clean(docs, benchmark).collect()) == list(range(9, 9 + len(ODD)))
+
+
 def test_edit_distance_is_exact():
     rng = random.Random(9)
     for _ in range(400):
