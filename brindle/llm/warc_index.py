@@ -1,11 +1,13 @@
 """WARC archives and their capture index.
 
-Writing: one record per page, made by DataFrame functions and written by Spark's own text writer (its line separator is the
-record's end, \\r\\n\\r\\n), so files are committed like any Spark output, on any file system. Of the records with equal
-payloads the one with the largest page_id is the response; the others are revisits without payload that refer to it.
-
-Reading: an archive file is parsed by Content-Length, whatever the payload holds. The captures of a file are sorted by URL
-key and timestamp: a run. Runs are dealt by key range and each range merges its pieces of the runs with a loser tree, so that
+Writing: one record per page, made by DataFrame functions, and one gzip member per record, so that a reader can start at any. A
+file holds about FILE_BYTES, whatever the pages' sizes. Spark's own text writer writes them, a row a file, so files are committed
+like any Spark output, on any file system; its line separator is the last byte of the file's last member, the highest byte of the
+member's length, which is zero (longer records go on in a further member). Of the records with equal payloads the one with the
+largest page_id is the response; the others are revisits without payload that refer to it.
+
+Reading: the members of an archive file are read one after the other and parsed by Content-Length, whatever the payload holds; at is
+where a record's member begins. The captures of a file are sorted by URL key and timestamp: a run. Runs are dealt by key range and each range merges its pieces of the runs with a loser tree, so that
 the ranges in order hold the whole capture history in order.
 
 Defined results: null html is an empty payload, and empty payloads are compared like any others; a null url has no target and
@@ -16,13 +18,15 @@ the largest page_id with its payload are all responses.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import io
 import uuid
+import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +36,8 @@ CRLF = "\r\n"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: The first page's capture time; later ids follow by seconds.
 EPOCH = 1_704_067_200
-#: Rows a file at most, so that a reader's task holds a bounded file.
-FILE_ROWS = 20_000
+#: Compressed bytes from which a file is full, so that a reader's task holds a bounded file; bytes of a member at most.
+FILE_BYTES, MEMBER_BYTES = 16 << 20, (16 << 20) - 1
 RUN = "run string, seq long, urlkey string, captured long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, at long"
 
 
@@ -78,8 +82,64 @@ def records(pages: DataFrame) -> DataFrame:
     return rows.withColumn("_block", block).withColumn("_bytes", F.octet_length("_block")).select(F.concat(heads, F.lit(CRLF * 2), F.col("_block")).alias("value"))
 
 
+def members(record: bytes) -> Iterator[bytes]:
+    """A record as gzip members, one for all but the longest records."""
+    for i in range(0, len(record), MEMBER_BYTES):
+        press = zlib.compressobj(5, zlib.DEFLATED, 31)
+        yield press.compress(record[i : i + MEMBER_BYTES]) + press.flush()
+
+
 def write(pages: DataFrame, path: str) -> None:
-    records(pages).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).text(path)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
+
+        def file() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["value"])
+
+        for batch in batches:
+            for record in batch.column(0):
+                for member in members(record.as_py().encode("utf-8", "surrogatepass") + b"\r\n\r\n"):
+                    held.append(member)
+                    size += len(member)
+                if size >= FILE_BYTES:
+                    yield file()
+                    held, size = [], 0
+        if held:
+            yield file()
+
+    files = records(pages).mapInArrow(pack, "value binary").select(F.col("value").cast("string").alias("value"))
+    files.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
+
+
+def unpack(content: bytes) -> Iterator[tuple[int, bytes]]:
+    """Where each gzip member of a file begins, and what it holds."""
+    view, at, step = memoryview(content), 0, 1 << 15
+    while at < len(view):
+        press, out, end = zlib.decompressobj(31), [], at
+        while not press.eof:
+            if end >= len(view):
+                raise ValueError(f"the member at {at} breaks off")
+            out.append(press.decompress(view[end : end + step]))
+            end = min(end + step, len(view))
+        yield at, b"".join(out)
+        at = end - len(press.unused_data)
+
+
+def archived(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(where its member begins, headers, block) of each record of a compressed archive."""
+    held, begin = b"", 0
+    for at, data in unpack(content):
+        begin = begin if held else at
+        held += data
+        if held.endswith(b"\r\n\r\n"):
+            head, _, rest = held.partition(b"\r\n\r\n")
+            size = next(int(line[15:]) for line in head.lower().split(b"\r\n") if line.startswith(b"content-length:"))
+            if len(rest) >= size + 4:
+                yield from ((begin, headers, block) for _, headers, block in parse(io.BytesIO(held)))
+                held = b""
+    if held:
+        raise ValueError(f"the record at {begin} breaks off")
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -120,25 +180,24 @@ def runs(spark: SparkSession, path: str) -> DataFrame:
         for frame in frames:
             for name, content in zip(frame["path"], frame["content"], strict=True):
                 rows = []
-                with gzip.GzipFile(fileobj=io.BytesIO(content)) as raw:
-                    for at, headers, block in parse(io.BufferedReader(raw, 1 << 20)):
-                        head, _, payload = block.partition(b"\r\n\r\n")
-                        kind, digest = headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha1:")
-                        if kind == "response":
-                            size, own = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                            if own != digest:
-                                raise ValueError(f"{name}: the record at {at} has digest {own}, not {digest}")
-                        else:
-                            size = int(next(x.split(b":")[1] for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")))
-                        captured = int(pd.Timestamp(headers["warc-date"]).timestamp())
-                        rows.append((url_key(headers.get("warc-target-uri", "")), captured, _urn(headers["warc-record-id"]), size, digest, kind, _urn(headers.get("warc-refers-to", "")), at))
+                for at, headers, block in archived(content):
+                    head, _, payload = block.partition(b"\r\n\r\n")
+                    kind, digest = headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha1:")
+                    if kind == "response":
+                        size, own = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                        if own != digest:
+                            raise ValueError(f"{name}: the record at {at} has digest {own}, not {digest}")
+                    else:
+                        size = int(next(x.split(b":")[1] for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")))
+                    captured = int(datetime.strptime(headers["warc-date"], "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=UTC).timestamp())
+                    rows.append((url_key(headers.get("warc-target-uri", "")), captured, _urn(headers["warc-record-id"]), size, digest, kind, _urn(headers.get("warc-refers-to", "")), at))
                 rows.sort(key=lambda r: (r[0], r[1], -1 if r[2] is None else r[2]))
                 out = pd.DataFrame(rows, columns=["urlkey", "captured", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "at"])
                 out.insert(0, "seq", range(len(out)))
                 out.insert(0, "run", name)
                 yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
     return files.select("path", "content").mapInPandas(read, RUN)
 
 

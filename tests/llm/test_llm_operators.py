@@ -698,14 +698,30 @@ def test_archives_and_history(spark):
     assert warc_index.archive_and_index(pages.limit(0)).count() == 0
 
 
-def test_records_are_warc(spark, tmp_path):
-    pages = spark.createDataFrame([(1, "http://b.org/2", "same"), (2, "http://a.org/1", "same")], "page_id long, url string, html string")
-    warc_index.write(pages, f"file://{tmp_path}/w")
-    data = b"".join(gzip.decompress(f.read_bytes()) for f in sorted((tmp_path / "w").glob("*.gz")))
-    parsed = list(warc_index.parse(io.BytesIO(data)))
-    assert {h["warc-type"] for _, h, _ in parsed} == {"response", "revisit"}
-    assert all(data[at : at + 8] == b"WARC/1.1" and len(b) == int(h["content-length"]) for at, h, b in parsed)
-    assert data.endswith(b"\r\n\r\n")
+def test_records_are_warc(spark, tmp_path, monkeypatch):
+    rng = random.Random(1)
+    texts = ["same", "same", sentence(rng, 3000), "x" * 5000, "\r\n\r\n", "", *(sentence(rng, 50) for _ in range(40))]
+    pages = spark.createDataFrame([(i, f"http://b.org/{i}", t) for i, t in enumerate(texts)], "page_id long, url string, html string").coalesce(1)
+    for size, member in ((1 << 24, 1 << 20), (2_000, 700)):
+        monkeypatch.setattr(warc_index, "FILE_BYTES", size)
+        path = tmp_path / str(size)
+        warc_index.write(pages, f"file://{path}")
+        files = [f.read_bytes() for f in sorted(path.glob("*.txt"))]
+        assert (len(files) == 1) == (size > 10_000) and all(len(f) < size + 20_000 for f in files)
+        found = []
+        for data in files:
+            parsed = list(warc_index.archived(data))
+            whole = list(warc_index.parse(io.BytesIO(gzip.decompress(data))))
+            assert [(h, b) for _, h, b in parsed] == [(h, b) for _, h, b in whole]  # any gzip reader reads them
+            for at, headers, block in parsed:
+                one = zlib.decompressobj(31).decompress(data[at:])  # a reader can start at any record
+                assert one.startswith(b"WARC/1.1") and one.endswith(b"\r\n\r\n") and len(block) == int(headers["content-length"])
+                found.append((headers["warc-record-id"], headers["warc-type"]))
+        assert len(found) == len(texts) and dict(found)["<urn:page:0>"] == "revisit"
+    monkeypatch.setattr(warc_index, "MEMBER_BYTES", 100)
+    record = b"WARC/1.1\r\nContent-Length: 300\r\n\r\n" + b"\r\n\r\n" * 75 + b"\r\n\r\n"
+    data = b"".join(warc_index.members(record)) * 2
+    assert [len(b) for _, _, b in warc_index.archived(data)] == [300, 300] and data[-1] == 0
 
 
 def test_loser_tree_merges():
