@@ -72,13 +72,14 @@ SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN CASE WHEN rule
 
 
 def op6() -> str:
-    return rf"""WITH d AS (SELECT row_number() OVER (ORDER BY doc_id, text) AS r, doc_id, {_WORDS} AS ws FROM documents),
+    return rf"""WITH a AS (SELECT dense_rank() OVER (ORDER BY doc_id NULLS FIRST, ('0x' || substring(md5(coalesce(text, '')), 1, 15))::BIGINT) AS r, doc_id, {_WORDS} AS ws FROM documents),
+d AS (SELECT DISTINCT r, ws FROM a),
 w AS (SELECT r, i, array_to_string(ws[i:i + 19], ' ') AS win FROM (SELECT r, ws, unnest(generate_series(1, len(ws) - 19)) AS i FROM d)),
 again AS (SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY win ORDER BY r, i) AS n FROM w) WHERE n > 1),
 gone AS (SELECT DISTINCT r, unnest(generate_series(i, i + 19)) AS pos FROM again),
 kept AS (SELECT t.r, string_agg(word, ' ' ORDER BY t.pos) AS text FROM (SELECT r, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS pos FROM d) t LEFT JOIN gone ON t.r = gone.r AND t.pos = gone.pos WHERE gone.r IS NULL GROUP BY t.r),
 n AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
-SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN n USING (r) LEFT JOIN kept USING (r)"""
+SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM a LEFT JOIN n USING (r) LEFT JOIN kept USING (r)"""
 
 
 def op9() -> str:

@@ -6,12 +6,14 @@ the same document.
 1. Every window is keyed by the least hash of its SEED-word runs (its minimizer); equal windows have equal keys. Neighbouring
    windows that share the same run make one segment, an eighth as many rows as there are words.
 2. Keys that one segment alone has are done: none of its windows occurs twice. Counts are pre-aggregated.
-3. The other segments are dealt by key to shards. Equal segments of a task are merged before: all but the earliest are repeats.
-   Segments under keys with over HEAVY segments are cut into single windows, dealt by their own hash, so that a passage of very
-   many documents spreads.
-4. A shard merges equal segments. Segments that share a key with a different one are laid out in document order and indexed: an
-   FM-index with a wavelet matrix of packed bits. Backward search of all windows together gives each its interval of suffixes;
-   intervals of two and more are matches of WINDOW words, and all but the earliest suffix in one are repeats.
+3. The other segments are dealt by key to shards of about SHARD segments. Equal segments are merged before, in a task and in a
+   shard, and all but the earliest are repeats: a passage of very many documents weighs as much as one. Segments under keys with
+   over HEAVY segments are cut into single windows, dealt by their own hash, so that such a passage spreads.
+4. A shard lays out the merged segments that share a key with a different one (a window of any other can stand nowhere else) in
+   document order and indexes them: the Burrows-Wheeler transform in a wavelet matrix of packed bits, and every SAMPLE-th place of
+   a segment. The segments stream through it: backward search from every end gives the matching statistics, the longest match
+   that ends there and occurs twice or more. Where it reaches WINDOW words, the interval of suffixes is located by walking to the
+   sampled places, and all but the earliest are repeats, reported as intervals of windows.
 5. The repeats go back to their documents.
 
 Every window is looked at; no key, segment or document is dropped. The documents' text is shuffled once (both joins read the
@@ -32,14 +34,14 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
 from .common import words as words_of
 
 WINDOW, SEED = 20, 6
-HEAVY = 5_000
+HEAVY, SHARD, SAMPLE = 5_000, 100_000, 8
 CACHE = 500_000
 NULL_ID = -(2**63)
 PACKED = "shard int, keys array<long>, docs array<long>, subs array<long>, starts array<int>, counts array<int>, texts array<int>, words binary"
@@ -80,7 +82,7 @@ def segments(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class FMIndex:
-    """FM-index of a token array. Tokens are 0 (separator, never searched) to size - 1."""
+    """FM-index of segments laid one after the other, each ended by a 0. Tokens are 0 (never searched) to size - 1."""
 
     def __init__(self, tokens: np.ndarray, size: int):
         n = len(tokens)
@@ -94,13 +96,14 @@ class FMIndex:
             after = np.zeros(n, np.int64)
             after[:-width or n] = rank[width:] + 1
             key = rank * (n + 1) + after
-            self.suffixes = np.argsort(key, kind="stable")
-            fresh = np.diff(key[self.suffixes]) != 0
-            rank[self.suffixes] = np.concatenate(([0], np.cumsum(fresh)))
+            suffixes = np.argsort(key, kind="stable")
+            fresh = np.diff(key[suffixes]) != 0
+            rank[suffixes] = np.concatenate(([0], np.cumsum(fresh)))
             if fresh.all() or width >= n:
                 break
             width *= 2
-        last = tokens[self.suffixes - 1]  # the Burrows-Wheeler transform
+        self.n = n
+        last = tokens[suffixes - 1]  # the Burrows-Wheeler transform
         self.before = np.concatenate(([0], np.cumsum(np.bincount(tokens, minlength=size))))
         self.levels = max(1, int(size - 1).bit_length())
         self.bits, self.sums, self.zeros = [], [], []
@@ -108,19 +111,39 @@ class FMIndex:
         symbols = np.arange(size)
         for level in range(self.levels):
             bit = (current >> (self.levels - 1 - level)) & 1
-            padded = np.zeros(-(-(n + 1) // 64) * 64, np.uint8)
-            padded[:n] = bit
-            words = np.packbits(padded, bitorder="little").view("<u8")
+            words, sums = self._packed(bit)
             self.bits.append(words)
-            self.sums.append(np.concatenate(([0], np.cumsum(np.bitwise_count(words)))).astype(np.int64))
+            self.sums.append(sums)
             self.zeros.append(n - int(bit.sum()))
             begin = self._down(level, symbols, begin)
             current = np.concatenate([current[bit == 0], current[bit == 1]])
         self.begin = begin
+        # every SAMPLE-th place of a segment is kept, its first one too: a walk never leaves its segment
+        ends = np.flatnonzero(gaps)
+        first = np.concatenate(([0], ends + 1))[np.cumsum(gaps) - gaps]
+        held = ((np.arange(n) - first) % SAMPLE == 0)[suffixes]
+        self.held, self.held_sums = self._packed(held)
+        self.places = suffixes[held].astype(np.int32 if n < 2**31 else np.int64)
+
+    @staticmethod
+    def _packed(bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bits in words of 64, and how many ones stand before each word."""
+        padded = np.zeros(-(-(len(bit) + 1) // 64) * 64, np.uint8)
+        padded[: len(bit)] = bit
+        words = np.packbits(padded, bitorder="little").view("<u8")
+        return words, np.concatenate(([0], np.cumsum(np.bitwise_count(words)))).astype(np.int64)
+
+    @staticmethod
+    def _ones(words: np.ndarray, sums: np.ndarray, at: np.ndarray) -> np.ndarray:
+        word, low = at >> 6, (at & 63).astype(np.uint64)
+        return sums[word] + np.bitwise_count(words[word] & ((np.uint64(1) << low) - np.uint64(1)))
+
+    @staticmethod
+    def _bit(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
 
     def _down(self, level: int, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        word, low = at >> 6, (at & 63).astype(np.uint64)
-        ones = self.sums[level][word] + np.bitwise_count(self.bits[level][word] & ((np.uint64(1) << low) - np.uint64(1)))
+        ones = self._ones(self.bits[level], self.sums[level], at)
         return np.where((symbol >> (self.levels - 1 - level)) & 1, self.zeros[level] + ones, at - ones)
 
     def step(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -130,23 +153,47 @@ class FMIndex:
             rank = self._down(level, symbol, rank)
         return self.before[symbol] + rank - self.begin[symbol]
 
-    def repeated(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of windows (rows of tokens): those that occur twice or more, and where each of them occurs first."""
-        which = np.arange(len(windows))
-        low, high = np.zeros(len(windows), np.int64), np.full(len(windows), len(self.suffixes))
-        for column in range(windows.shape[1] - 1, -1, -1):
-            symbol = windows[which, column]
-            low, high = self.step(symbol, low), self.step(symbol, high)
+    def locate(self, row: np.ndarray) -> np.ndarray:
+        """Where the suffixes of rows begin: back through the text to the next kept place."""
+        out, steps, which = np.zeros(len(row), np.int64), 0, np.arange(len(row))
+        while len(which):
+            kept = self._bit(self.held, row)
+            out[which[kept]] = self.places[self._ones(self.held, self.held_sums, row[kept])] + steps
+            which, row, steps = which[~kept], row[~kept], steps + 1
+            symbol, at = np.zeros(len(row), np.int64), row
+            for level in range(self.levels):
+                bit = self._bit(self.bits[level], at)
+                ones = self._ones(self.bits[level], self.sums[level], at)
+                at = np.where(bit, self.zeros[level] + ones, at - ones)
+                symbol = symbol << 1 | bit
+            row = self.before[symbol] + at - self.begin[symbol]
+        return out
+
+    def statistics(self, tokens: np.ndarray, ends: np.ndarray, longest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics of a streamed text: of each end the length of the longest match, up to longest tokens back, that
+        occurs twice or more, and the interval of suffixes of its last WINDOW tokens where it is that long (0, 0 elsewhere)."""
+        length, first, last = (np.zeros(len(ends), np.int64) for _ in range(3))
+        which, low, high, depth = np.arange(len(ends)), np.zeros(len(ends), np.int64), np.full(len(ends), self.n), 0
+        while len(which):
+            symbol = tokens[ends[which] - depth]
+            low, high, depth = self.step(symbol, low), self.step(symbol, high), depth + 1
             alive = high - low >= 2
             which, low, high = which[alive], low[alive], high[alive]
-            if not len(which):
-                return which, low
-        starts, index = np.unique(low, return_inverse=True)
-        ends = np.zeros(len(starts), np.int64)
-        ends[index] = high
-        bounds = np.stack([starts, ends], axis=1).ravel()
-        least = np.minimum.reduceat(np.append(self.suffixes, len(self.suffixes)), bounds)[::2]
-        return which, least[index]
+            length[which] = depth
+            if depth == WINDOW:
+                first[which], last[which] = low, high
+            on = longest[which] > depth
+            which, low, high = which[on], low[on], high[on]
+        return length, first, last
+
+    def earliest(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Of intervals of suffixes, equal or apart: where the earliest of each begins. Each interval is located once."""
+        low, index = np.unique(first, return_inverse=True)
+        size = np.zeros(len(low), np.int64)
+        size[index] = last - first
+        begin = np.cumsum(size) - size
+        rows = np.repeat(low - begin, size) + np.arange(int(size.sum()))
+        return np.minimum.reduceat(self.locate(rows), begin)[index] if len(low) else low
 
 
 def _repeats(keys: np.ndarray, place: list[tuple[int, int, int]], counts: np.ndarray, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
@@ -168,21 +215,33 @@ def _repeats(keys: np.ndarray, place: list[tuple[int, int, int]], counts: np.nda
     tokens = np.array([t for part in parts for t in [*part, 0]], np.int64)
     size = np.array([len(part) + 1 for part in parts])
     begin = np.cumsum(size) - size
-    at = np.concatenate([b + np.arange(counts[i]) for b, i in zip(begin, doubted, strict=True)])
-    owner = np.repeat(np.arange(len(doubted)), counts[doubted])
+    count = counts[doubted]
+    owner = np.repeat(np.arange(len(doubted)), count)
+    window = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     index = FMIndex(tokens, len(number) + 1)
-    views = np.lib.stride_tricks.sliding_window_view(tokens, WINDOW)
-    for i in range(0, len(at), 200_000):
-        which, first = index.repeated(views[at[i : i + 200_000]])
-        which += i
-        for w in which[first != at[which]].tolist():
-            doc, sub, start = place[doubted[owner[w]]]
-            yield doc, sub, start + int(at[w] - begin[owner[w]]), 1
+    again = np.zeros(len(owner), bool)
+    for i in range(0, len(owner), 200_000):
+        part = slice(i, i + 200_000)
+        at = begin[owner[part]] + window[part]
+        length, first, last = index.statistics(tokens, at + WINDOW - 1, window[part] + WINDOW)
+        hit = np.flatnonzero(length >= WINDOW)
+        again[i + hit] = index.earliest(first[hit], last[hit]) != at[hit]
+    # windows in a row make one interval
+    starts = np.flatnonzero(again & ~(np.concatenate(([False], again[:-1])) & (window > 0)))
+    ends = np.flatnonzero(again & ~(np.concatenate((again[1:], [False])) & (np.append(window[1:], 0) > 0)))
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+        doc, sub, start = place[doubted[owner[a]]]
+        yield doc, sub, start + int(window[a]), b - a + 1
+
+
+def text_order(text: Column) -> Column:
+    """A number for a text: sixty bits of its MD5."""
+    return F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
 def documents(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """doc, sub and text, and the columns that name a document: sub sets apart different texts of one doc_id, if there are any."""
-    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("sub"), "text")
+    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), text_order(F.col("text")).alias("sub"), "text")
     doubled = named.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if doubled.isEmpty():
         return named.select("doc", F.lit(0).cast("long").alias("sub"), "text"), ["doc"]
@@ -192,7 +251,6 @@ def documents(docs: DataFrame) -> tuple[DataFrame, list[str]]:
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every document."""
     rows, names = documents(docs)
-    spark = docs.sparkSession
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
@@ -212,7 +270,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     # staged, so that the join has plain exchanges on both sides and Spark can split a frequent key
     often = stage(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
     shared = found.join(often, "key").groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("start", "count", "key", (F.col("n") > HEAVY).alias("heavy")))).alias("segments"))
-    shards = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # shards follow the data: merged segments are fewer
+    shards = max(64, -(-(often.agg(F.sum("n")).first()[0] or 0) // SHARD))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)

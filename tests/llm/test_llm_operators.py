@@ -484,18 +484,40 @@ def test_repeated_rows_are_one_document(spark, texts):
     assert len(got) == 3 and len(set(got)) == 2
 
 
-def test_fm_index_counts_like_a_scan():
+def test_null_ids_and_repeated_rows_equal_the_sql(spark, texts):
+    import duckdb
+
+    from brindle.llm.oracles import op6
+
+    rows = [(i % 9 if i % 4 else None, t) for i, t in enumerate(texts)] + [(3, texts[-1]), (3, texts[-1]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id or -1, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup(docs).collect())
+    connection = duckdb.connect()
+    connection.register("documents", docs.toPandas())
+    assert got == sorted((-1 if r[0] is None or r[0] != r[0] or r[0] == 0 else int(r[0]), *r[1:]) for r in connection.execute(op6()).fetchall())
+
+
+def test_matching_statistics_equal_a_scan(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "WINDOW", 6)
     rng = np.random.default_rng(4)
-    tokens = np.concatenate([[*rng.integers(1, 4, rng.integers(25, 60)), 0] for _ in range(12)]).astype(np.int64)
-    index = substring_dedup.FMIndex(tokens, 4)
-    windows = [(i, tuple(tokens[i : i + 6])) for i in range(len(tokens) - 6) if 0 not in tokens[i : i + 6]]
-    which, first = index.repeated(np.array([w for _, w in windows]))
-    counts = Counter(w for _, w in windows)
-    earliest = {}
-    for i, w in windows:
-        earliest.setdefault(w, i)
-    assert set(which) == {j for j, (_, w) in enumerate(windows) if counts[w] > 1}
-    assert all(first[n] == earliest[windows[j][1]] for n, j in enumerate(which))
+    tokens = np.concatenate([[*rng.integers(1, 4, rng.integers(2, 60)), 0] for _ in range(14)]).astype(np.int64)
+    index = substring_dedup.FMIndex(tokens, 5)
+    whole = tokens.tolist()
+    ends = np.flatnonzero(tokens)
+    longest = np.array([next(k for k in range(1, 99) if e - k < 0 or whole[e - k] == 0) for e in ends])
+    length, first, last = index.statistics(tokens, ends, longest)
+    places = {}
+    for size in range(1, 61):
+        for i in range(len(whole) - size + 1):
+            if 0 not in whole[i : i + size]:
+                places.setdefault(tuple(whole[i : i + size]), []).append(i)
+    for k, e in enumerate(ends.tolist()):
+        want = max((d for d in range(1, longest[k] + 1) if len(places[tuple(whole[e - d + 1 : e + 1])]) > 1), default=0)
+        assert length[k] == want
+    hit = np.flatnonzero(length >= 6)
+    assert len(hit) > 20 and index.earliest(first[hit], last[hit]).tolist() == [places[tuple(whole[e - 5 : e + 1])][0] for e in ends[hit]]
+    rows = np.arange(len(tokens))[int((tokens == 0).sum()) :]
+    assert sorted(index.locate(rows).tolist()) == ends.tolist()
 
 
 # -- HTML
