@@ -20,8 +20,8 @@ agree in the least run hash of one of several orders are near copies; each count
 n_repeated counts the words that the array took, n_marked those that only structure did.
 
 Defined results: null and empty html give an empty text; pages with a null url share the empty host; end tags that HTML lets authors
-omit are implied; a left-out element that is never closed ends with its parent, or where an article begins. Between shards a run is
-known by a 64-bit hash.
+omit are implied; a left-out element that is never closed ends with its parent, or where an article begins. A token and a run
+are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -176,15 +177,18 @@ def blocks(page: str | None) -> list[tuple[str, list[str]]]:
 
 
 class SuffixArray:
-    """Suffix array of a token array by prefix doubling, and the longest common prefixes of its neighbours."""
+    """Suffix array of a token array by prefix doubling, and the longest common prefixes of its neighbours.
 
-    def __init__(self, tokens: np.ndarray):
+    depth: sort by so many tokens at least (None: all).
+    """
+
+    def __init__(self, tokens: np.ndarray, depth: int | None = None):
         n = len(tokens)
         rank = np.searchsorted(np.sort(tokens), tokens).astype(np.int64)  # a class is named by its first place
         levels, width = [rank], 1
         self.order = np.argsort(rank, kind="stable")
         open_ = self._shared(rank, self.order)
-        while len(open_) and width < n:
+        while len(open_) and width < min(n, depth or n):
             after = np.full(len(open_), -1, np.int64)
             inside = open_ + width < n
             after[inside] = rank[open_[inside] + width]
@@ -242,6 +246,10 @@ class _Hashes(dict):
         return value
 
 
+#: One a worker.
+_hashes = _Hashes()
+
+
 def run_hashes(tokens: np.ndarray) -> np.ndarray:
     """Hash of the RUN tokens from each place on, given the tokens' hashes."""
     n = max(0, len(tokens) - RUN + 1)
@@ -268,10 +276,10 @@ def tokens_of(text: str) -> tuple[list[str], str]:
     return tokens, "".join(kinds)
 
 
-def signs(text: str, hashes: _Hashes) -> list[int]:
+def signs(text: str) -> list[int]:
     """Least run hashes of a stream's longest block over the orders of MIXERS, of which near copies share most."""
     longest = max((line[2:].split(" ") for line in text.split("\n")), key=len)
-    runs = run_hashes(np.fromiter(map(hashes.__getitem__, longest), np.uint64, len(longest)))
+    runs = run_hashes(np.fromiter(map(_hashes.__getitem__, longest), np.uint64, len(longest)))
     if not len(runs):
         runs = np.array([xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))], np.uint64)
     return [int((runs * mixer).min()) - 2**63 for mixer in MIXERS]
@@ -290,21 +298,20 @@ class Shard:
         self.streams = [s[0] for s in split]
         self.kinds = np.frombuffer("".join(s[1] + "e" for s in split).encode(), np.uint8)
         self.marked = [bool(t.startswith("a ") or "\na " in t) for t in group["text"]]
-        number: dict[str, int] = {}
         sizes = np.array([len(s) + 1 for s in self.streams], np.int64)
-        flat = [number.setdefault(t, len(number)) for s in self.streams for t in s]
         self.begin = np.concatenate(([0], np.cumsum(sizes)))
         self.page = np.repeat(np.arange(len(sizes)), sizes)
-        self.tokens = np.empty(int(sizes.sum()), np.int64)
         ends = self.begin[1:] - 1
-        inner = np.ones(len(self.tokens), bool)
+        inner = np.ones(int(sizes.sum()), bool)
         inner[ends] = False
-        self.tokens[inner] = flat
+        hashes = np.zeros(len(inner), np.uint64)
+        hashes[inner] = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(self.streams)), np.uint64, len(inner) - len(ends))
+        # tokens are known by 63 bits of their hash; separators are their own
+        self.tokens = (hashes >> np.uint64(1)).astype(np.int64)
         self.tokens[ends] = -1 - np.arange(len(ends))
-        hashes = np.array([*(xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in number), 0], np.uint64)
         left = np.repeat(self.begin[1:], sizes) - np.arange(len(self.tokens))
         self.at = np.flatnonzero(left > RUN)  # RUN tokens before the separator
-        self.run = run_hashes(hashes[np.maximum(self.tokens, -1)])[self.at].view(np.int64) if len(self.at) else np.zeros(0, np.int64)
+        self.run = run_hashes(hashes)[self.at].view(np.int64) if len(self.at) else np.zeros(0, np.int64)
 
     def chosen(self, group: pd.DataFrame, facts: pd.DataFrame) -> np.ndarray:
         """By page: whether it counts, as the one of its near copies that was chosen."""
@@ -336,7 +343,7 @@ def candidates(key: tuple, group: pd.DataFrame, facts: pd.DataFrame) -> pd.DataF
     counts = shard.chosen(group, facts)
     if not len(shard.at) or not counts.any():
         return none
-    classes, width = SuffixArray(shard.tokens).classes(RUN)[shard.at], len(shard.streams)
+    classes, width = SuffixArray(shard.tokens, RUN).classes(RUN)[shard.at], len(shard.streams)
     pairs = np.unique(classes * width + shard.page[shard.at])
     count = np.bincount(pairs // width, weights=counts[pairs % width], minlength=int(classes.max()) + 1)[classes]
     found = np.unique(shard.run[(count > 0) & (count * n >= least(n) * counts.sum())])
@@ -348,9 +355,10 @@ def tally(key: tuple, group: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
     runs = np.sort(facts.loc[facts["kind"] == 1, "value"].to_numpy(np.int64))
     if not len(runs) or not len(group):
         return _frame("host run pages", [], [], [])
+    group = group[group["key"].isin(facts.loc[facts["kind"] == 0, "value"])].drop_duplicates("key")  # the pages that count
     shard = Shard(group)
     place = np.minimum(np.searchsorted(runs, shard.run), len(runs) - 1)
-    hit = (runs[place] == shard.run) & shard.chosen(group, facts)[shard.page[shard.at]]
+    hit = runs[place] == shard.run
     width = len(shard.streams)
     pages = np.bincount(np.unique(place[hit] * width + shard.page[shard.at][hit]) // width, minlength=len(runs))
     return _frame("host run pages", [key[0]] * int((pages > 0).sum()), runs[pages > 0].tolist(), pages[pages > 0].tolist())
@@ -390,12 +398,11 @@ def extract(pages: DataFrame) -> DataFrame:
     named = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", host.alias("host"), "html")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 texts = [stream(blocks(h)) for h in part.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(texts, pa.string()), pa.array([signs(t, hashes) for t in texts], pa.list_(pa.int64()))], ["page_id", "url", "host", "text", "signs"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(texts, pa.string()), pa.array([signs(t) for t in texts], pa.list_(pa.int64()))], ["page_id", "url", "host", "text", "signs"])
 
     streams = named.mapInArrow(read, "page_id string, url string, host string, text string, signs array<long>").withColumn("key", F.xxhash64("page_id", "url", "text"))
     # staged, so that Spark knows their size before it plans the joins; pages are dealt by host and shard rather than by host

@@ -555,12 +555,11 @@ def test_omitted_end_tags_and_wide_class_names():
 
 def brute_extract(rows):
     """Windows of each host counted over all its pages, by definition."""
-    hashes = html_extract._Hashes()
     pages = [(i, re.sub(r"^.*?://([^/?#]*).*$|^.*$", r"\1", u or "", flags=re.S).lower(), html_extract.stream(html_extract.blocks(h))) for i, u, h in rows]
     size, out = html_extract.RUN, {}
     for host in {h for _, h, _ in pages}:
         own = [(i, *html_extract.tokens_of(t), t) for i, h, t in pages if h == host]
-        chosen = {tuple(html_extract.signs(t, hashes)): tokens for _, tokens, _, t in own if t}  # here only equal pages agree
+        chosen = {tuple(html_extract.signs(t)): tokens for _, tokens, _, t in own if t}  # here only equal pages agree
         assert len(chosen) == len({x for k in chosen for x in k}) / 3 == len({tuple(tokens) for _, tokens, _, t in own if t})
         count = Counter()
         for tokens in chosen.values():
