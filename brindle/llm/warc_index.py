@@ -20,7 +20,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
-import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
@@ -30,7 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_root, stage
+from brindle.session import scratch
+
+from .common import stage
 
 CRLF = "\r\n"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -266,6 +267,6 @@ def merge(captures: DataFrame, partitions: int | None = None) -> DataFrame:
 def archive_and_index(pages: DataFrame) -> DataFrame:
     """Write the pages' archives to the shared folder, read them back and return the ordered capture history."""
     spark = pages.sparkSession
-    path = f"{scratch_root(spark)}/brindle/warc-{uuid.uuid4().hex}"
+    path = scratch(spark, "warc")
     write(pages, path)
     return merge(stage(runs(spark, path), "captures"))
