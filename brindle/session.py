@@ -1,17 +1,15 @@
-"""The Spark session's shared scratch folder."""
+"""The folder that driver and executors share."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir; in tests, where it is unset, a local one)."""
+    """A new path below spark.checkpoint.dir. A folder of the driver's own would hide from it what executors write, so there is none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='brindle-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root}/brindle/{name}-{uuid.uuid4().hex}"
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{root.rstrip('/')}/brindle/{name}-{uuid.uuid4().hex}"

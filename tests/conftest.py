@@ -3,14 +3,17 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 
 @pytest.fixture(scope="session")
-def spark() -> SparkSession:
+def spark(tmp_path_factory) -> SparkSession:
+    own = SparkConf().get("spark.checkpoint.dir") or f"file://{tmp_path_factory.mktemp('shared')}"
     session = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate()
+        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g")
+        .config("spark.checkpoint.dir", own).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
@@ -20,3 +23,17 @@ def spark() -> SparkSession:
 @pytest.fixture(scope="session")
 def sf_dir() -> str:
     return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.fixture
+def sessionless():
+    """A stand-in for a session without a shared folder."""
+
+    class Conf:
+        def get(self, _, default=None):
+            return default
+
+    class Session:
+        conf = Conf()
+
+    return Session()

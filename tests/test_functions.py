@@ -135,3 +135,13 @@ def test_realization(spark):
 def test_data_assets(spark):
     found = [one(spark, routing.is_data_asset(F.lit(n))) for n in ("https://a", "a/b", "a.b.c", "user_login_log", "daily_view", "Payment team")]
     assert found == [True] * 5 + [False]
+
+
+def test_a_shared_folder_is_needed(spark, sessionless):
+    import pytest
+
+    from brindle.session import scratch
+
+    assert scratch(spark, "x") != scratch(spark, "x")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch(sessionless, "x")
