@@ -20,15 +20,17 @@ from brindle.llm.toxicity import score, train
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.5 and over go."""
     network = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, network).where("score < 0.5").select(*docs.columns)
+    own = "_toxicity"
+    while own in docs.columns:
+        own += "_"
+    return score(docs, network, into=own).where(F.col(own) < 0.5).select(*docs.columns)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays, once; documents without id stay."""
     kept = near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
     kept = stage(kept, "kept")
-    # dealt by doc_id at every size, so that small inputs run as large ones do
-    one = docs.join(kept.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
+    one = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
     if not kept.where("_rows > 1").isEmpty():
         one = one.dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
