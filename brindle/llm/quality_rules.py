@@ -85,15 +85,15 @@ def cutoffs(labelled: DataFrame, stratum: str = "lang") -> DataFrame:
     counts = [F.sum(F.when(F.expr(metric) > cut, 1).otherwise(0)).cast("long").alias(f"{rule}_{i}") for rule, (metric, grid) in RULES.items() for i, cut in enumerate(grid)]
     per = good.groupBy(_stratum(stratum).alias("_stratum")).agg(F.count(F.lit(1)).alias("n"), *counts)
     strata = per.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("strata")).scalar()
-    level = F.lit(LEVEL) / (strata * len(RULES))
-    chosen = []
-    for rule, (_, grid) in RULES.items():
-        pick, passed = F.lit(None).cast("double"), F.lit(True)
-        for i, cut in enumerate(grid):
-            passed = passed & (F.expr(binomial_tail("n", f"{rule}_{i}", RULE_RISK)) <= F.col("_level"))
-            pick = F.when(passed, F.lit(float(cut))).otherwise(pick)
-        chosen.append(pick.alias(f"cut_{rule}"))
-    return per.withColumn("_level", level).select("_stratum", *chosen)
+    # a row a test, so that the test is one expression
+    tests = [F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("i"), F.lit(float(cut)).alias("cut"), F.col(f"{rule}_{i}").alias("k")) for rule, (_, grid) in RULES.items() for i, cut in enumerate(grid)]
+    rows = per.select("_stratum", "n", F.explode(F.array(*tests)).alias("t")).select("_stratum", "n", "t.*")
+    tested = rows.withColumn("ok", F.expr(binomial_tail("n", "k", RULE_RISK)) <= F.lit(LEVEL) / (strata * len(RULES)))
+    # the strictest cutoff before the first that fails
+    run = tested.groupBy("_stratum", "rule").agg(F.min(F.when(~F.col("ok"), F.col("i"))).alias("fail"), F.collect_list(F.struct("i", "cut")).alias("all"))
+    passed = F.array_max(F.filter("all", lambda x: F.col("fail").isNull() | (x["i"] < F.col("fail"))))["cut"]
+    picked = run.select("_stratum", "rule", passed.alias("cut"))
+    return picked.groupBy("_stratum").agg(*[F.max(F.when(F.col("rule") == rule, F.col("cut"))).alias(f"cut_{rule}") for rule in RULES])
 
 
 def judge(feats: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang") -> DataFrame:
