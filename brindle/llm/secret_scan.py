@@ -20,6 +20,7 @@ import hashlib
 import math
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from itertools import accumulate
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES
+from .common import words as words_of
 
 #: Fixed patterns of the base kinds, in their order; the second value is the group with the least length.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -45,6 +46,9 @@ HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "bearer"
 GUESS_COST = 10.0
 #: Words taken from the corpus, and how often a word must occur; steps of walks and repeats that may end at any place; longest unit.
 VOCABULARY, OFTEN, LONG, UNIT = 10_000, 5, 16, 8
+#: Words of letters alone; words counted in a task before their counts are passed on.
+LETTERS = re.compile(r"([A-Za-z]{3,16})[.,;:!?]*")
+HELD = 200_000
 
 #: Common passwords by rank.
 PASSWORDS = (
@@ -71,8 +75,26 @@ def _char_cost(c: str) -> float:
 
 def common_words(docs: DataFrame, text: str = "text") -> list[str]:
     """The corpus's most frequent words of letters alone, the most frequent first; punctuation at a word's end goes."""
-    words = docs.select(F.explode(F.split(text, SPACES)).alias("w")).where(F.col("w").rlike(r"^[A-Za-z]{3,16}[.,;:!?]*$"))
-    counted = words.groupBy(F.lower(F.regexp_replace("w", "[.,;:!?]+$", "")).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[str] = Counter()
+
+        def told() -> pa.RecordBatch:
+            found: Counter[str] = Counter()
+            for word, n in held.items():
+                if m := LETTERS.fullmatch(word):
+                    found[m[1].lower()] += n
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["w", "n"])
+
+        for batch in batches:
+            for t in batch.column(0):
+                held.update(words_of(t.as_py()))
+                if len(held) > HELD:
+                    yield told()
+        yield told()
+
+    counted = docs.select(text).mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
     return [r.w for r in counted.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "w").limit(VOCABULARY).collect()]
 
 

@@ -780,6 +780,15 @@ def test_secret_spans(spark, texts):
     assert secret_scan.scan(doc_table(spark, texts).limit(0)).count() == 0
 
 
+def test_common_words_are_counted_over_all_documents(spark, monkeypatch):
+    texts = ["Alpha, beta! x1y alpha", None, "", "beta ALPHA. gamma-ray delta"] + ["beta"] * 3 + ["zeta zeta zeta zeta zeta"]
+    docs = doc_table(spark, texts).repartition(3)
+    assert secret_scan.common_words(docs) == ["beta", "zeta"]
+    monkeypatch.setattr(secret_scan, "OFTEN", 1)
+    assert secret_scan.common_words(docs) == ["beta", "zeta", "alpha", "delta"]
+    assert secret_scan.common_words(docs.limit(0)) == []
+
+
 def test_guess_cost_is_the_least_segmentation():
     cost = secret_scan.Guesser().cost
     assert cost("password") < 1 and cost("p4ssw0rd") < 2 and cost("20240131") < 6 and cost("aaaaaaaaaaaa") < 4 and cost("qwertyuiop") < 4
