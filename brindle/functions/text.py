@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Korean particles, tried in this order.
 PARTICLES = (
-    "에게서 이라도 으로써 으로서 에서는 에게는 이라는 라는 에서 에게 한테 으로 처럼 만큼 보다 부터 까지 조차 마저 밖에 이나 이랑 하고 같이 께서 이란 라도"
-    " 은 는 이 가 을 를 의 에 와 과 도 만 로 랑 께"
-).split()
+    "에게서", "이라도", "으로써", "으로서", "에서는", "에게는", "이라는", "라는", "에서", "에게", "한테", "으로", "처럼", "만큼", "보다", "부터", "까지",
+    "조차", "마저", "밖에", "이나", "이랑", "하고", "같이", "께서", "이란", "라도", "은", "는", "이", "가", "을", "를", "의", "에", "와", "과",
+    "도", "만", "로", "랑", "께",
+)
 #: Signs of a question that has several parts.
 COMPLEX_SIGNS = (
     "이고", "이며", "하는", "이면서", "이자", "담당하는", "작성한", "소속된", "승인한", "결정한", "관련된", "연관된", "포함된", "연결된",
@@ -168,14 +172,28 @@ def table_markdown(rows: Column, header: Column) -> Column:
     return F.array_join(F.when(header & (F.size(rows) > 0), F.array_insert(lines, 2, rule)).otherwise(lines), "\n")
 
 
+def decoded(text: Column) -> Column:
+    """text with its character references decoded, named ones by the standard's list; unknown names stay, bad numbers become U+FFFD."""
+    # the list is a constant: one JSON text, which Spark reads once
+    known = F.from_json(F.lit(json.dumps({name: letters for name, letters in html5.items() if name.endswith(";") and letters != "&"})), "map<string,string>")
+    hexed = lambda r: F.conv(F.regexp_extract(r, "^&#[xX]0*([0-9A-Fa-f]{1,8});", 1), 16, 10)
+    code = lambda r: F.coalesce(F.nullif(F.when(r.rlike("^&#[xX]"), hexed(r)).otherwise(F.regexp_extract(r, "^&#0*([0-9]{1,9});", 1)), F.lit("")).cast("long"), F.lit(0))
+    letter = lambda n: F.when((n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("\ufffd")
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"), F.lit(0)))
+    pairs = F.transform(found, lambda r: F.struct(r.alias("r"), F.when(r.startswith("&#"), letter(code(r))).otherwise(known[F.substring(r, 2, 100)]).alias("c")))
+    # what stands for & comes last, so that nothing is decoded twice
+    usable = F.filter(pairs, lambda p: p["c"].isNotNull() & (p["c"] != "&"))
+    out = F.aggregate(usable, text, lambda t, p: F.replace(t, p["r"], p["c"]))
+    return F.regexp_replace(out, "&(?:amp|AMP|#0*38|#[xX]0*26);", "&")
+
+
 def html_to_text(markup: Column) -> Column:
-    """Readable text of HTML: script-like elements go, block elements end lines, the common references are decoded."""
+    """Readable text of HTML: script-like elements go, block elements end lines, all character references are decoded."""
     out = F.regexp_replace(markup, r"(?is)<!--.*?-->|<(script|style|head|noscript|template)\b.*?</\1\s*>", "")
     out = F.regexp_replace(out, r"(?i)</?(p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|nav|blockquote|pre)\b[^>]*>", "\n")
     out = F.regexp_replace(out, r"<[^>]*>", "")
-    for name, letter in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(name), F.lit(letter))
-    out = F.regexp_replace(F.regexp_replace(out, r"[ \t\r\f]+", " "), r" ?\n ?", "\n")
+    out = decoded(out)
+    out = F.regexp_replace(F.regexp_replace(out, r"[ \t\r\f\xA0]+", " "), r" ?\n ?", "\n")
     return F.regexp_replace(F.regexp_replace(out, r"\n{2,}", "\n"), r"^\s+|\s+$", "")
 
 

@@ -93,13 +93,14 @@ def timeline(
 def next_as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, value: str) -> DataFrame:
     """Each left row with the first right row of its keys at or after its time (null if there is none).
 
-    Both are laid in one order and the value is carried back by a window: a sort a key instead of a range join.
+    Both are laid in one order, latest first, and the value seen last is carried on by a window: a sort a key instead of a range
+    join. The frame grows by a row at a time, so the work is that of the sort.
     """
     marks = right.select(*keys, F.col(right_time).alias("_at"), F.lit(1).alias("_side"), F.struct(F.col(right_time), F.col(value)).alias("_found"))
     asked = left.select(*keys, F.col(left_time).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(marks.schema["_found"].dataType).alias("_found"), F.struct("*").alias("_row"))
     both = asked.unionByName(marks.withColumn("_row", F.lit(None).cast(asked.schema["_row"].dataType)))
-    window = Window.partitionBy(*keys).orderBy("_at", "_side", F.col(f"_found.{value}")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    carried = both.withColumn("_next", F.first("_found", ignorenulls=True).over(window)).where("_side = 0")
+    window = Window.partitionBy(*keys).orderBy(F.desc("_at"), F.desc("_side"), F.desc(f"_found.{value}")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = both.withColumn("_next", F.last("_found", ignorenulls=True).over(window)).where("_side = 0")
     return carried.select("_row.*", F.col(f"_next.{right_time}").alias(right_time), F.col(f"_next.{value}").alias(value))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions.text import jaccard, norm_key, trigram_set
+from brindle.functions.text import entity_candidates, jaccard, names_token, norm_key, trigram_set
 
 from .ranking import first_by, top_by
 
@@ -45,15 +45,46 @@ def categories(alias_table: DataFrame) -> DataFrame:
     return alias_table.groupBy("category").agg(F.countDistinct("term").alias("terms"))
 
 
-def names_in_text(texts: DataFrame, names: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key and name where text holds name, as words or at their edges, longest first with a rank.
+RUN = r"[\p{L}\p{N}]+"
 
-    Candidates come from an equi-join on the name's first word instead of comparing every text with every name.
+
+def _pieces(text: Column, wanted: DataFrame) -> Column:
+    """The distinct pieces of text that are as long as some wanted text (column _piece). The lengths are few: a job finds them."""
+    lengths = sorted(r[0] for r in wanted.select(F.length("_piece")).distinct().collect())
+    size = F.length(text)
+    of_length = lambda n: F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: text.substr(i, F.lit(n)))).otherwise(F.array())
+    return F.array_distinct(F.flatten(F.array(*map(of_length, lengths)))) if lengths else F.array().cast("array<string>")
+
+
+def named(texts: DataFrame, names: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key and name wherever text holds name: anywhere in it, but that a purely ASCII name touches no other ASCII letter or digit.
+
+    A text that holds a name holds the name's longest run of letters and digits inside one of its own runs. So the runs of all texts
+    make a vocabulary, whose words are cut into pieces of the lengths that names have, and the pieces are matched by equality; texts
+    meet names through the few words that matched, and only then is the text itself looked at. Names without a letter or digit name
+    nothing.
     """
-    words = texts.select(key, text, F.explode(F.array_distinct(F.split(F.col(text), r"\s+"))).alias("_word"))
-    first = names.select("name", F.split("name", r"\s+")[0].alias("_word")).where("name <> ''")
-    found = words.join(first, "_word").where(F.contains(F.col(text), F.col("name"))).select(key, "name").distinct()
-    return top_by(found, [key], 30, F.desc(F.length("name")), F.asc("name"))
+    longest = F.array_max(F.transform(F.regexp_extract_all("name", F.lit(RUN), F.lit(0)), lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))
+    anchors = names.select("name").distinct().select("name", longest.alias("_l")).where("_l IS NOT NULL").select("name", F.col("_l.r").alias("_piece"))
+    runs = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)))).alias("_run"))
+    vocabulary = runs.select("_run").distinct().select("_run", F.explode(_pieces(F.col("_run"), anchors)).alias("_piece"))
+    matched = vocabulary.join(anchors, "_piece").select("_run", "name")
+    found = runs.join(matched, "_run").select(key, "name").distinct()
+    whole = texts.select(key, F.col(text).alias("_text"))
+    return found.join(whole, key).where(names_token(F.col("_text"), F.col("name"))).select(key, "name").distinct()
+
+
+def names_in_text(texts: DataFrame, names: DataFrame, key: str, text: str = "text", limit: int = 30) -> DataFrame:
+    """key, name and rank of the names that a text holds, longest first."""
+    return top_by(named(texts, names, key, text), [key], limit, F.desc(F.length("name")), F.asc("name"))
+
+
+def holding(names: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Pairs of a name and an asked text (column asked) whose normalised key the name's key holds: found by pieces of equal length."""
+    asked = wanted.select("asked", norm_key(F.col("asked")).alias("_piece")).where("_piece <> ''").distinct()
+    keyed = names.select("name").distinct().withColumn("_key", norm_key(F.col("name")))
+    spread = keyed.select("name", F.explode(_pieces(F.col("_key"), asked)).alias("_piece"))
+    return spread.join(asked, "_piece").select("asked", "name")
 
 
 def rank_entities(found: DataFrame, asked: str = "asked") -> DataFrame:
@@ -64,6 +95,38 @@ def rank_entities(found: DataFrame, asked: str = "asked") -> DataFrame:
     return top_by(kept, [asked], 200, F.asc("tier"), F.desc("degree"), F.asc(F.length("name")), F.asc("name"), F.asc("label"))
 
 
+def lookup_entities(wanted: DataFrame, nodes: DataFrame, forms: DataFrame | None = None) -> DataFrame:
+    """Of each asked name the node it means: asked, name, label, and all types and names of that node's spellings.
+
+    nodes: name, label, degree. forms: asked and form, the spellings to look for (None: the asked name alone). A node comes before
+    another that matches less closely by any form, then by degree, length, name and label; nodes whose names differ from the first
+    one's in spelling only are the same thing, and are told together.
+    """
+    spelled = forms if forms is not None else wanted.select("asked", F.col("asked").alias("form"))
+    pairs = holding(nodes, spelled.select(F.col("form").alias("asked")).distinct()).withColumnRenamed("asked", "form")
+    key, want = norm_key(F.col("name")), norm_key(F.col("form"))
+    tier = F.when(key == want, 0).when(F.startswith(key, want), 1).otherwise(2)
+    close = pairs.join(spelled.select("asked", "form").distinct(), "form").groupBy("asked", "name").agg(F.min(tier).alias("tier"))
+    # as many candidates as are counted further on: the closest ones
+    close = top_by(close, ["asked"], 200, F.asc("tier"), F.asc(F.length("name")), F.asc("name")).drop("rank")
+    ranked = close.join(nodes, "name").withColumn("_key", norm_key(F.col("name")))
+    best = top_by(ranked, ["asked"], 1, F.asc("tier"), F.desc("degree"), F.asc(F.length("name")), F.asc("name"), F.asc("label"))
+    group = ranked.join(best.select("asked", "_key"), ["asked", "_key"]).groupBy("asked").agg(F.array_sort(F.collect_set("label")).alias("types"), F.array_sort(F.collect_set("name")).alias("names"))
+    return best.select("asked", "name", "label").join(group, "asked")
+
+
+def entities_in_questions(questions: DataFrame, names: DataFrame, key: str, limit: int = 5) -> DataFrame:
+    """key, name and rank: the names that a question holds, longest first; where it holds none of two letters and more, names that
+    hold one of its words without particle, two a word (the first by name), in the words' order."""
+    exact = top_by(named(questions, names.where("length(name) >= 2"), key), [key], limit, F.desc(F.length("name")), F.asc("name"))
+    rest = questions.join(exact.select(key).distinct(), key, "left_anti")
+    words = rest.select(key, F.posexplode(entity_candidates(F.col("text"))).alias("_at", "_piece"))
+    spread = names.select("name").distinct().select("name", F.explode(_pieces(F.col("name"), words)).alias("_piece"))
+    held = top_by(words.join(spread, "_piece"), [key, "_at"], 2, F.asc("name")).groupBy(key, "name").agg(F.min(F.struct("_at", "rank")).alias("_o"))
+    loose = top_by(held, [key], limit, F.asc("_o"), F.asc("name")).select(key, "name", "rank")
+    return exact.select(key, "name", "rank").unionByName(loose)
+
+
 def duplicate_names(nodes: DataFrame) -> DataFrame:
     """Names with several labels, and normalised keys with several spellings."""
     labels = nodes.groupBy("name").agg(F.array_sort(F.collect_set("label")).alias("found")).where("size(found) > 1").select(F.lit("labels").alias("problem"), F.col("name").alias("key"), "found")

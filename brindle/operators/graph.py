@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.session import stage
+
 from .ranking import first_by, top_by
 
 LONGEST_PATH = 6
@@ -46,23 +48,26 @@ def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def shortest_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_hops: int = LONGEST_PATH) -> DataFrame:
     """Of each start (name) the undirected distance to every end (name) within max_hops: start, end, hops.
 
-    Breadth first: a level is a join, and names that were reached before are left out of the next. The number of jobs is
-    bounded by max_hops.
+    Breadth first: a level is a join, and names that were reached before are left out of the next. Each level is written to the
+    shared folder, so that the next one's plan reads it and does not grow; an empty level ends the search.
     """
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    reached = starts.select(F.col("name").alias("start"), F.col("name").alias("end"), F.lit(0).alias("hops"))
-    front = reached
+    both = stage(both, "edges")
+    front = reached = stage(starts.select(F.col("name").alias("start"), F.col("name").alias("end"), F.lit(0).alias("hops")).distinct(), "level")
     for hop in range(1, max_hops + 1):
         step = front.select("start", F.col("end").alias("src")).join(both, "src").select("start", F.col("dst").alias("end")).distinct()
-        front = step.join(reached.select("start", "end"), ["start", "end"], "left_anti").withColumn("hops", F.lit(hop))
+        front = stage(step.join(reached.select("start", "end"), ["start", "end"], "left_anti").withColumn("hops", F.lit(hop)), "level")
+        if front.isEmpty():
+            break
         reached = reached.unionByName(front)
     wanted = ends.select(F.col("name").alias("end"))
     return reached.where("hops > 0").join(wanted, "end", "left_semi").select("start", "end", F.col("hops").cast("long").alias("hops"))
 
 
 def path_nodes(spark_edges: DataFrame, start: str, end: str, max_hops: int = LONGEST_PATH) -> DataFrame:
-    """The first shortest path between two names, as an array of names with hops; by joins with a cycle guard."""
+    """The first shortest path between two names, as an array of names with hops; by joins with a cycle guard, a level at a time."""
     both = spark_edges.select("src", "rel_name", "dst").unionByName(spark_edges.select(F.col("dst").alias("src"), "rel_name", F.col("src").alias("dst"))).distinct()
+    both = stage(both, "edges")
     seed = both.where(F.col("src") == start).limit(1).select(F.array("src").alias("nodes"), F.array().cast("array<string>").alias("relations"))
     found, paths = None, seed
     for _ in range(max_hops):
@@ -70,9 +75,15 @@ def path_nodes(spark_edges: DataFrame, start: str, end: str, max_hops: int = LON
         longer = last.join(both, "src").where(~F.array_contains("nodes", F.col("dst")))
         longer = longer.select(F.array_append("nodes", F.col("dst")).alias("nodes"), F.array_append("relations", F.col("rel_name")).alias("relations"))
         # one path a node: the first by its names, which keeps a level as small as the node set
-        paths = first_by(longer.withColumn("_end", F.element_at("nodes", -1)), ["_end"], F.asc("nodes"), F.asc("relations")).drop("_end")
+        paths = stage(first_by(longer.withColumn("_end", F.element_at("nodes", -1)), ["_end"], F.asc("nodes"), F.asc("relations")).drop("_end"), "paths")
+        if paths.isEmpty():
+            break
         hit = paths.where(F.element_at("nodes", -1) == end)
         found = hit if found is None else found.unionByName(hit)
+        if not hit.isEmpty():
+            break
+    if found is None:
+        found = seed.where("false")
     return found.withColumn("hops", F.size("relations").cast("long")).orderBy("hops", "nodes").limit(1)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.structured import bm25_weight, idf
 from brindle.functions.text import tokens
+from brindle.session import stage
 
 from .ranking import top_by
 
@@ -31,12 +32,15 @@ def postings(split: DataFrame, key: str, terms: DataFrame | None = None) -> Data
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text", query_id: str = "item_id", query_text: str = "text") -> DataFrame:
-    """query_id, key, score and rank of the k best documents; documents without a query term are not ranked."""
-    split = tokenized(docs, key, text)
+    """query_id, key, score and rank of the k best documents; documents without a query term are not ranked.
+
+    The texts are read and split once: their terms, then the postings of the asked ones, are written to the shared folder.
+    """
     asked = queries.select(F.col(query_id).alias("_query"), F.explode(F.array_distinct(tokens(F.coalesce(F.col(query_text), F.lit(""))))).alias("term"))
-    found = postings(split, key, asked)
-    sizes = corpus(split)
-    n, average = sizes.select("n").scalar(), sizes.select("average").scalar()
+    split = stage(tokenized(docs, key, text), "terms")
+    found = stage(postings(split, key, asked), "postings")
+    sizes = corpus(split).select(F.struct("n", "average")).scalar()
+    n, average = sizes["n"], sizes["average"]
     weights = found.groupBy("term").agg(idf(n, F.count(F.lit(1))).alias("idf"))
     scored = asked.join(weights, "term").join(found, "term")
     summed = scored.groupBy("_query", key).agg(F.round(F.sum(F.col("idf") * bm25_weight(F.col("tf"), F.col("length"), average)), 6).alias("score"))

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.routing import first_present
-from brindle.functions.text import names_token
 
 from .events import EVENT_TYPES
 from .glossary import in_category, resolve
+from .glossary import named as all_named
 from .ranking import top_by
 
 #: Property names by meaning, earlier ones first; compared in lower case.
@@ -67,7 +67,7 @@ def classify(rows: DataFrame, aliases: DataFrame, teams: DataFrame, key: str) ->
     """rows (key, value, source_key, text) with scope, scope_type and scope_verified.
 
     The value as a game of the glossary, as an organisation of it, as an unregistered game if it came from a game property;
-    else the longest team named in the text; else unknown. Teams are matched by their first word, not by trying all of them.
+    else the longest team named in the text; else unknown.
     """
     placeholder = F.lower(F.trim(F.coalesce("value", F.lit("")))).isin(*PLACEHOLDERS)
     named = rows.withColumn("value", F.trim(F.coalesce("value", F.lit("")))).withColumn("_none", placeholder)
@@ -76,11 +76,7 @@ def classify(rows: DataFrame, aliases: DataFrame, teams: DataFrame, key: str) ->
         found = resolve(named.where(~F.col("_none")).select(F.col("value").alias("name")).distinct(), known)
         terms = known.select("term").distinct().withColumn("_known", F.lit(True))
         named = named.join(found.join(terms, "term").select(F.col("name").alias("value"), F.col("term").alias(column)), "value", "left")
-    words = rows.select(key, "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("_word"))
-    first = teams.select("name", F.split("name", r"\s+")[0].alias("_start")).where("length(name) >= 2")
-    # a team's first word begins a word of the text (a particle may follow it)
-    spread = words.select(key, "text", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_word"), F.lit(1))), lambda n: F.col("_word").substr(F.lit(1), n))).alias("_start")).distinct()
-    inside = spread.join(first, "_start").where(names_token(F.col("text"), F.col("name"))).select(key, "name").distinct()
+    inside = all_named(rows, teams.where("length(name) >= 2"), key)
     team = top_by(inside, [key], 1, F.desc(F.length("name")), F.asc("name")).select(key, F.col("name").alias("_team"))
     joined = named.join(team, key, "left")
     from_game = ~F.col("_none") & F.lower(F.coalesce("source_key", F.lit(""))).isin(*GAME_KEYS)
@@ -91,6 +87,7 @@ def classify(rows: DataFrame, aliases: DataFrame, teams: DataFrame, key: str) ->
 
 
 def scope_issues(events: DataFrame) -> DataFrame:
-    """Counts of unverified games and unknown scopes, with the share of all events."""
+    """Unverified games and unknown scopes: how many events they have, and the share of all events."""
+    total = events.agg(F.count(F.lit(1))).scalar()
     bad = events.where("(scope_type = 'game' AND NOT scope_verified) OR scope_type = 'unknown'")
-    return bad.groupBy("scope_type", "scope").agg(F.count(F.lit(1)).alias("events"))
+    return bad.groupBy("scope_type", "scope").agg(F.count(F.lit(1)).alias("events")).withColumn("share", F.round(F.col("events") / total, 6))

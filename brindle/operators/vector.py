@@ -6,9 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.session import stage
+
 from .ranking import top_by
 
 #: Queries that go to the executors at a time.
@@ -20,32 +24,39 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
 
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the vectors that are whole, and which those are."""
-    rows = column.to_pylist()
-    size = max((len(r) for r in rows if r), default=0)
-    whole = [i for i, r in enumerate(rows) if r and len(r) == size and all(x is not None for x in r)]
-    return np.array([rows[i] for i in whole], np.float64).reshape(len(whole), size), np.array(whole, np.int64)
+def _matrix(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the vectors that are whole and have size values, and which those are."""
+    if not size:
+        return np.zeros((0, 0)), np.zeros(0, np.int64)
+    length = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    which = np.flatnonzero(length == size)
+    values = column.take(pa.array(which)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(which), size)
+    whole = ~np.isnan(values).any(axis=1)  # nulls are read as nan
+    return values[whole], which[whole]
 
 
 def nearest(queries: DataFrame, points: DataFrame, k: int, query_id: str = "query_id", point_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, point_id, score and rank of the k nearest points of each query; ties go to the smaller id.
 
     Each task keeps k points a query of its batches, so what is shuffled does not grow with queries times points. Vectors that
-    are null, or hold a null, take no part.
+    are null, or hold a null or nan, take no part; a query is compared with the points of its own length. Queries come to the driver
+    in blocks, one at a time.
     """
-    usable = queries.select(query_id, vector).where(f"{query_id} IS NOT NULL AND {vector} IS NOT NULL")
-    blocks = max(1, -(-usable.count() // BLOCK))
+    usable = queries.select(query_id, vector, F.size(vector).alias("_size")).where(f"{query_id} IS NOT NULL AND size({vector}) > 0 AND NOT exists({vector}, x -> x IS NULL)")
+    sizes = [(r["_size"], r["n"]) for r in usable.groupBy("_size").agg(F.count(F.lit(1)).alias("n")).orderBy("_size").collect()]
     out = None
-    for block in range(blocks):
-        rows = usable.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block).collect()
-        names = [r[0] for r in rows]
-        matrix = _unit(np.array([r[1] for r in rows], np.float64)) if rows else np.zeros((0, 0))
+    for size, block, blocks in [(s, b, -(-n // BLOCK)) for s, n in sizes or [(0, 1)] for b in range(-(-n // BLOCK))]:
+        rows = usable.where((F.col("_size") == size) & (F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block)).select(query_id, vector).collect()
+        matrix = _unit(np.array([r[1] for r in rows], np.float64).reshape(len(rows), size))
+        shared = points.sparkSession.sparkContext.broadcast(([r[0] for r in rows], matrix))
+        if out is not None:  # a block's result is written before the next block comes
+            out = stage(out, "nearest")
 
-        def run(batches: Iterator[pa.RecordBatch], names: list = names, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            names, matrix = shared.value
             for batch in batches:
-                own, whole = _matrix(batch.column(1))
-                if not len(whole) or not names or own.shape[1] != matrix.shape[1]:
+                own, whole = _matrix(batch.column(1), matrix.shape[1])
+                if not len(whole) or not names:
                     continue
                 ids = batch.column(0).take(pa.array(whole)).to_numpy(zero_copy_only=False)
                 order = np.argsort(ids, kind="stable")

@@ -144,10 +144,12 @@ def dup_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glossary.duplicate_names(named).withColumn("found", F.array_join("found", ","))
 
 
-@query("""WITH k AS (SELECT DISTINCT n_name AS name, regexp_replace(lower(n_name), '[^\\p{L}\\p{N}]+', '', 'g') AS key FROM nation)
+@query("""WITH n AS (SELECT n_name AS name FROM nation UNION SELECT s_name FROM supplier UNION SELECT p_name FROM part UNION SELECT p_type FROM part),
+k AS (SELECT name, regexp_replace(lower(name), '[^\\p{L}\\p{N}]+', '', 'g') AS key FROM n)
 SELECT a.name AS short, b.name AS long FROM k a JOIN k b ON length(b.key) > length(a.key) AND starts_with(b.key, a.key) WHERE length(a.key) >= 2""")
 def abbreviation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return glossary.affix_pairs(_nations(spark, sf_dir))
+    t = lambda name, column: table(spark, sf_dir, name).select(F.col(column).alias("name"))
+    return glossary.affix_pairs(t("nation", "n_name").union(t("supplier", "s_name")).union(t("part", "p_name")).union(t("part", "p_type")).distinct())
 
 
 _GLOSSARY = """gl AS (SELECT p_type AS term, list_sort(list_distinct(list(p_brand))) AS synonyms, min(split_part(p_type, ' ', 1)) AS category FROM part GROUP BY p_type),
@@ -173,29 +175,28 @@ def glossary_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glossary.resolve(names, glossary.aliases(_glossary(spark, sf_dir))).select("name", "term")
 
 
-@query("""WITH n AS (SELECT DISTINCT array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')[1:2], ' ') AS name FROM benchmark),
-w AS (SELECT doc_id, text, list_distinct(regexp_split_to_array(text, '\\s+')) AS ws FROM documents),
-f AS (SELECT doc_id, name FROM w JOIN n ON list_contains(ws, split_part(name, ' ', 1)) AND contains(text, name))
+@query("""WITH n AS (SELECT DISTINCT array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')[1:k], ' ') AS name FROM benchmark, (SELECT unnest([1, 2]) AS k)),
+f AS (SELECT DISTINCT doc_id, name FROM documents JOIN n ON contains(text, name) AND regexp_matches(name, '[\\p{L}\\p{N}]')
+  AND (NOT regexp_matches(name, '^[A-Za-z0-9_-]+$') OR regexp_matches(text, '(^|[^A-Za-z0-9])' || name || '($|[^A-Za-z0-9])')))
 SELECT * FROM (SELECT doc_id, name, row_number() OVER (PARTITION BY doc_id ORDER BY length(name) DESC, name) AS rank FROM f) WHERE rank <= 30""")
 def names_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The opening word pairs of benchmark items as names, in the documents."""
-    first = F.array_join(F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 1, 2), " ")
-    names = table(spark, sf_dir, "benchmark").select(first.alias("name")).distinct()
+    """The opening words and word pairs of benchmark items as names, in the documents."""
+    first = lambda n: F.array_join(F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 1, n), " ")
+    names = table(spark, sf_dir, "benchmark").select(F.explode(F.array(first(1), first(2))).alias("name")).distinct()
     return glossary.names_in_text(table(spark, sf_dir, "documents"), names, "doc_id").select("doc_id", "name", "rank")
 
 
 @query(f"""WITH {_EDGES}, {_NODES}, deg AS (SELECT name, count(*) AS degree FROM (SELECT src AS name FROM edges UNION ALL SELECT dst FROM edges) GROUP BY name),
-asked AS (SELECT DISTINCT substring(n_name, 1, 2) AS asked FROM nation),
-c AS (SELECT asked, nodes.name, label, coalesce(degree, 0) AS degree, regexp_replace(lower(nodes.name), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS key FROM nodes LEFT JOIN deg ON nodes.name = deg.name, asked WHERE label IN ('Nation', 'Region')),
-t AS (SELECT *, CASE WHEN key = lower(asked) THEN 0 WHEN starts_with(key, lower(asked)) THEN 1 ELSE 2 END AS tier FROM c WHERE contains(key, lower(asked)))
+asked AS (SELECT DISTINCT n_name AS asked FROM nation UNION SELECT DISTINCT substring(r_name, 1, 3) FROM region UNION SELECT DISTINCT right(s_name, 4) FROM supplier),
+c AS (SELECT asked, nodes.name, label, coalesce(degree, 0) AS degree, regexp_replace(lower(nodes.name), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS key, regexp_replace(lower(asked), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS want FROM nodes LEFT JOIN deg ON nodes.name = deg.name, asked),
+t AS (SELECT *, CASE WHEN key = want THEN 0 WHEN starts_with(key, want) THEN 1 ELSE 2 END AS tier FROM c WHERE contains(key, want))
 SELECT asked, name, label, degree, tier, rank FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY tier, degree DESC, length(name), name, label) AS rank FROM t) WHERE rank <= 200""")
 def entity_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places whose name holds the first two letters of a nation's name; letter pairs are matched by equality."""
-    found = g.degrees(edges(spark, sf_dir), nodes(spark, sf_dir)).where(F.col("label").isin("Nation", "Region"))
-    asked = table(spark, sf_dir, "nation").select(F.substring("n_name", 1, 2).alias("asked")).distinct()
-    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - 1), lambda i: F.col("name").substr(i, F.lit(2))))
-    blocked = found.withColumn("asked", F.explode(pairs)).join(asked, "asked")
-    return glossary.rank_entities(blocked).select("asked", "name", "label", "degree", "tier", "rank")
+    """All nodes whose name holds a nation's name, the first letters of a region's or the last ones of a supplier's."""
+    t = lambda name: table(spark, sf_dir, name)
+    asked = t("nation").select(F.col("n_name").alias("asked")).union(t("region").select(F.substring("r_name", 1, 3))).union(t("supplier").select(F.right("s_name", F.lit(4)))).distinct()
+    found = g.degrees(edges(spark, sf_dir), nodes(spark, sf_dir))
+    return glossary.rank_entities(found.join(glossary.holding(found, asked), "name")).select("asked", "name", "label", "degree", "tier", "rank")
 
 
 @query("""WITH n AS (SELECT DISTINCT p_name AS name, regexp_replace(lower(p_name), '\\s+', '', 'g') AS bare FROM part),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.functions import dates, text
+from brindle.functions import dates, routing, text
 from brindle.operators import evaluation, events, reports, tables
 
 from .base import query, table
@@ -177,14 +177,17 @@ def next_snapshot_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.next_as_of(runs, snaps, ["k"], "o_orderdate", "snap", "snap_id").select("o_orderkey", "o_orderdate", "snap", "snap_id")
 
 
-@query()
+@query(r"""WITH r AS (SELECT event_id AS row, user_id::VARCHAR AS game, event_type, strftime(ts, '%Y-%m-%d') AS date, props AS title, 'https://example.org/e/' || event_id AS source_url FROM events),
+h AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(concat_ws('|', source_url, game, 'user_event', date, substring(md5(title), 1, 8)))) AS h FROM r)
+SELECT row, concat_ws('-', substring(h, 1, 8), substring(h, 9, 4), '5' || substring(h, 14, 3), substring('89ab', (('0x' || substring(h, 17, 1))::INT % 4) + 1, 1) || substring(h, 18, 3), substring(h, 21, 12)) AS event_id, event_type AS given_type, 'user_event' AS event_type, epoch(date::TIMESTAMP)::BIGINT AS date_ts, year(date::DATE)::INT AS year, month(date::DATE)::INT AS month, 'Q' || quarter(date::DATE) AS quarter, game AS scope,
+  list_filter([CASE WHEN trim(coalesce(game, '')) = '' THEN 'row ' || row || ': game is missing' END, CASE WHEN trim(coalesce(title, '')) = '' THEN 'row ' || row || ': title is missing' END], lambda e: e IS NOT NULL) AS errors FROM h""")
 def event_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with deterministic ids, dates, quarter and validation errors."""
     rows = table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("row"), F.col("user_id").cast("string").alias("game"), "event_type", F.date_format("ts", "yyyy-MM-dd").alias("date"),
+        F.col("event_id").alias("row"), F.col("user_id").cast("string").alias("game"), "event_type", F.col("event_type").alias("given_type"), F.date_format("ts", "yyyy-MM-dd").alias("date"),
         F.col("props").alias("title"), F.lit("").alias("scope"), F.concat(F.lit("https://example.org/e/"), F.col("event_id")).alias("source_url"),
     )
-    return events.enriched(events.validated(rows)).select("row", "event_id", "event_type", "date_ts", "year", "month", "quarter", "scope", "errors")
+    return events.enriched(events.validated(rows)).select("row", "event_id", "given_type", "event_type", "date_ts", "year", "month", "quarter", "scope", "errors")
 
 
 @query("""WITH t AS (SELECT conv_id, turn, text, (conv_id % 12 + 1)::INT AS m FROM conversations), q AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '2024년 ' || m || '월' WHEN 1 THEN '2025-' || m || '-31 patch' WHEN 2 THEN '25년 3분기' ELSE 'version 12.5' END AS ask, m FROM t)
@@ -264,11 +267,19 @@ def variant_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", F.explode("m").alias("key", "value"))
 
 
-@query()
-def page_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Routes and realisation status of every document."""
-    from brindle.functions.routing import is_decision, realization_status, route
+_SIGNS = lambda words: " OR ".join(f"contains(body, '{w}')" for w in words)
+_TITLES = lambda words: " OR ".join(f"contains(title, '{w}')" for w in words)
+
 
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS body, len(list_filter(regexp_split_to_array(body, '\\s+'), lambda w: w <> '')) AS words, lower(CASE doc_id % 5 WHEN 0 THEN source || ' DRAFT' WHEN 1 THEN source || ' KPI' WHEN 2 THEN source || ' todo' ELSE source END) AS title, doc_id % 17 = 0 AS props FROM documents),
+s AS (SELECT *, ({_SIGNS(routing.PLANNED)}) AS planned, ({_SIGNS(routing.APPLIED)}) AS applied FROM d)
+SELECT doc_id, CASE WHEN props THEN CASE WHEN words >= 1 THEN 'core' ELSE 'excluded' END WHEN words < 30 OR {_TITLES(routing.EXCLUDED_TITLES)} THEN 'excluded' WHEN {_TITLES(routing.CORE_TITLES)} THEN 'core'
+ WHEN {_TITLES(routing.DEFERRED_TITLES)} THEN 'defer' WHEN words < 80 THEN 'defer' ELSE 'core' END AS route,
+CASE WHEN planned AND NOT applied THEN 'planned' WHEN applied AND NOT planned THEN 'applied' ELSE 'unconfirmed' END AS status, {_SIGNS(routing.DECIDED)} AS decision FROM s""")
+def page_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes and realisation status of every document; its source makes a title, every 17th has properties."""
     docs = table(spark, sf_dir, "documents")
-    body = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", route(F.lit("src"), body, text.word_count(body), F.lit(False)).alias("route"), realization_status(body).alias("status"), is_decision(body).alias("decision"))
+    body, kind = F.coalesce("text", F.lit("")), F.col("doc_id") % 5
+    title = F.concat("source", F.when(kind == 0, " DRAFT").when(kind == 1, " KPI").when(kind == 2, " todo").otherwise(""))
+    way = routing.route(title, text.word_count(body), F.col("doc_id") % 17 == 0)
+    return docs.select("doc_id", way.alias("route"), routing.realization_status(body).alias("status"), routing.is_decision(body).alias("decision"))

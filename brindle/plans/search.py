@@ -109,7 +109,13 @@ def assemble_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.assembled(pages.chunked(table(spark, sf_dir, "documents")))
 
 
-@query()
+@query(f"""WITH c AS ({_CHUNKS}), p AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY chunk_index) AS page FROM c GROUP BY doc_id),
+o AS (SELECT doc_id, chunk_index, text, coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b FROM c),
+a AS (SELECT doc_id, b, greatest(b - 500, 0) AS s, chunk_index AS i FROM o WHERE contains(text, 'of the')),
+n AS (SELECT x.doc_id, x.i, x.s, count(*) AS n FROM a x JOIN a y ON x.doc_id = y.doc_id AND y.b >= x.s AND y.b < x.s + 1500 GROUP BY ALL),
+best AS (SELECT doc_id, s AS found FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i) AS r FROM n) WHERE r = 1),
+w AS (SELECT p.doc_id, page, coalesce(found, 0)::INT AS s FROM p LEFT JOIN best USING (doc_id))
+SELECT doc_id, CASE WHEN length(page) <= 1500 THEN page ELSE CASE WHEN s > 0 THEN '…' ELSE '' END || substring(page, s + 1, 1500) || CASE WHEN s + 1500 < length(page) THEN '…' ELSE '' END END AS text FROM w""")
 def anchor_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every page the window around the chunks that hold the word pair "of the"."""
     parts = pages.chunked(table(spark, sf_dir, "documents"))
@@ -129,17 +135,17 @@ def norm_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.norm_key(F.col("text")).alias("key"), text.word_count(F.col("text")).alias("words"))
 
 
-@query(r"""WITH b AS (SELECT n_nationkey, n_name, regexp_replace(n_name, '\s+', '', 'g') AS bare FROM nation),
-g AS (SELECT n_nationkey, n_name, CASE WHEN length(bare) < 3 THEN [bare] ELSE list_distinct([substring(bare, i, 3) FOR i IN generate_series(1, length(bare) - 2)]) END AS s FROM b)
-SELECT x.n_name AS a, y.n_name AS b, round(len(list_intersect(x.s, y.s))::DOUBLE / len(list_distinct(list_concat(x.s, y.s))), 6) AS similarity
-FROM g x JOIN g y ON x.n_nationkey < y.n_nationkey AND list_has_any(x.s, y.s)""")
+@query(r"""WITH b AS (SELECT doc_id, coalesce(text, '') AS text, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1:6], ' ') AS opening, regexp_replace(opening, '\s+', '', 'g') AS bare FROM documents),
+g AS (SELECT doc_id, CASE WHEN length(bare) < 3 THEN [bare] ELSE list_distinct([substring(bare, i, 3) FOR i IN generate_series(1, length(bare) - 2)]) END AS s, lead(bare) OVER (ORDER BY doc_id) AS nb FROM b),
+h AS (SELECT *, CASE WHEN length(nb) < 3 THEN [nb] ELSE list_distinct([substring(nb, i, 3) FOR i IN generate_series(1, length(nb) - 2)]) END AS t FROM g WHERE nb IS NOT NULL)
+SELECT doc_id, round(len(list_intersect(s, t))::DOUBLE / len(list_distinct(list_concat(s, t))), 6) AS similarity FROM h""")
 def trigram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nation names that share a trigram: blocked by it, not all pairs."""
-    sets = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", text.trigram_set(F.col("n_name")).alias("s"))
-    spread = sets.withColumn("g", F.explode("s"))
-    other = spread.select(F.col("n_nationkey").alias("k2"), F.col("n_name").alias("b"), F.col("s").alias("s2"), "g")
-    pairs = spread.join(other, "g").where("n_nationkey < k2").drop("g").dropDuplicates(["n_nationkey", "k2"])
-    return pairs.select(F.col("n_name").alias("a"), "b", F.round(text.jaccard(F.col("s"), F.col("s2")), 6).alias("similarity"))
+    """How alike the opening six words of each document are to those of the document with the next id."""
+    opening = F.array_join(F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 1, 6), " ")
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.trigram_set(F.coalesce(opening, F.lit(""))).alias("s"))
+    # the next id is the next row of a table without gaps; a range of ids is ordered at a time
+    following = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("t"))
+    return docs.join(following, "doc_id").select("doc_id", F.round(text.jaccard(F.col("s"), F.col("t")), 6).alias("similarity"))
 
 
 @query("""SELECT doc_id, substring(sha256(text), 1, 16) AS content_hash,
@@ -160,7 +166,13 @@ def budget_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.fit_budget(ranked, ["source"], F.col("n_chars")).select("source", "doc_id", "rank", "filled")
 
 
-@query()
+_GONE = "|".join(rf"<{tag}\b.*?</{tag}\s*>" for tag in ("script", "style", "head", "noscript", "template"))
+_BARE = rf"""regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|{_GONE}', '', 'g'), '(?i)</?(p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|nav|blockquote|pre)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g')"""
+_READ = f"replace(replace(replace(replace(replace(replace({_BARE}, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+
+
+@query(rf"""SELECT page_id, regexp_matches(lower(coalesce(url, '')), '\.html?$') OR contains(lower(substring(coalesce(html, ''), 1, 512)), '<!doctype html') OR contains(lower(substring(coalesce(html, ''), 1, 512)), '<html') AS is_html,
+regexp_replace(regexp_replace(regexp_replace(regexp_replace({_READ}, '[ \t\r\f\x{{A0}}]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{2,}}', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM pages""")
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages")
     html = text.looks_like_html(F.coalesce("url", F.lit("")), F.lit(""), F.coalesce("html", F.lit("")))

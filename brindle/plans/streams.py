@@ -20,13 +20,19 @@ def _run(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
 _PATH = "{}/events.parque[t]"
 
 
-@query()
+_MARK = "e AS (SELECT DISTINCT ON (event_id) * FROM events ORDER BY event_id, ts), m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events)"
+
+
+@query(f"""WITH {_MARK}, w AS (SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM e GROUP BY ALL)
+SELECT start, start + INTERVAL 1 DAY AS "end", event_type, events, total FROM w, m WHERE start + INTERVAL 1 DAY <= mark""")
 def stream_dedupe_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts that the watermark has closed."""
     return _run(spark, events.windows(events.read(spark, _PATH.format(sf_dir))), "windows")
 
 
-@query()
+@query(f"""WITH {_MARK}, g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WHERE user_id IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+SELECT user_id, min(ts)::TIMESTAMP AS start, max(ts)::TIMESTAMP + INTERVAL 30 MINUTE AS "end", count(*) AS events FROM s, m GROUP BY user_id, n, mark HAVING max(ts) + INTERVAL 30 MINUTE <= mark""")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions that the watermark has closed."""
     return _run(spark, events.sessions(events.read(spark, _PATH.format(sf_dir))), "sessions")

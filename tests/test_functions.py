@@ -123,7 +123,7 @@ def test_clamp(spark):
 
 
 def test_routes(spark):
-    route = lambda words, props=False, title="t": one(spark, routing.route(F.lit(title), F.lit("b"), F.lit(words), F.lit(props), excluded=("draft",), core=("policy",)))
+    route = lambda words, props=False, title="t": one(spark, routing.route(F.lit(title), F.lit(words), F.lit(props), excluded=("draft",), core=("policy",)))
     assert [route(1, True), route(0, True), route(29), route(50), route(80), route(100, title="Draft"), route(40, title="Policy")] == ["core", "excluded", "excluded", "defer", "core", "excluded", "core"]
 
 
