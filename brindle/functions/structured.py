@@ -41,6 +41,13 @@ def json_array(text: Column, schema: str) -> Column:
     return F.from_json(F.nullif(F.regexp_extract(bare, r"(?s)\[.*\]", 0), F.lit("")), f"array<struct<{schema}>>", {"mode": "PERMISSIVE"})
 
 
+def json_texts(text: Column) -> Column:
+    """The elements of the array in a text that may wrap it in fences or prose, each as JSON text; none where there is no array."""
+    bare = F.regexp_replace(text, r"```[a-z]*", "")
+    found = F.from_json(F.nullif(F.regexp_extract(bare, r"(?s)\[.*\]", 0), F.lit("")), "array<string>")
+    return F.filter(F.coalesce(found, F.array().cast("array<string>")), lambda e: e.isNotNull())
+
+
 def json_object(text: Column, schema: str) -> Column:
     return F.from_json(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit("")), schema)
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,3 +99,24 @@ def register(spark: SparkSession, store: Store) -> None:
         "CREATE OR REPLACE TEMPORARY FUNCTION relations(entity STRING) RETURNS TABLE (src STRING, rel_name STRING, dst STRING)"
         " RETURN SELECT src, rel_name, dst FROM store_edges e WHERE e.src = entity OR e.dst = entity"
     )
+
+
+def applied(rows: DataFrame, function: Callable[..., object], key: str, *arguments: str) -> DataFrame:
+    """key, result and error of a Python function over the rows' arguments, in Arrow batches; a row that fails has its error, and the
+    others are not touched by it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            results: list[str | None] = []
+            errors: list[str | None] = []
+            for values in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                try:
+                    found = function(*values)
+                    results.append(None if found is None else str(found))
+                    errors.append(None)
+                except Exception as problem:  # whatever a given function raises is this row's alone
+                    results.append(None)
+                    errors.append(f"{type(problem).__name__}: {problem}")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(results, pa.string()), pa.array(errors, pa.string())], [key, "result", "error"])
+
+    return rows.select(key, *arguments).mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, result string, error string")

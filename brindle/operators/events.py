@@ -131,3 +131,52 @@ def resolve_timeline(questions: DataFrame, events: DataFrame, games: DataFrame,
     by_day = days.join(events.withColumn("_day", F.expr("date_ts div 86400")), "_day").drop("_day")
     columns = [key, *events.columns]
     return top_by(by_game.select(*columns).unionByName(by_day.select(*columns)), [key], limit, F.asc("date_ts"), F.asc("event_id"))
+
+
+def with_pages(events: DataFrame, pages: DataFrame, url: str = "source_url") -> DataFrame:
+    """Events with their page's text (column text) and chunks, null where the page is not stored."""
+    whole = pages.select(url, F.col("text").alias("page_content"), F.col("chunks").alias("page_chunk_count"))
+    return events.join(whole, url, "left")
+
+
+def without_edge(events: DataFrame, edges: DataFrame) -> DataFrame:
+    """Events that no edge leads to (dst is an event_id)."""
+    return events.join(edges.select(F.col("dst").alias("event_id")).distinct(), "event_id", "left_anti")
+
+
+def subject_edges(events: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """HAD_EVENT and MANAGED_BY edges of enriched events, and the nodes with those that HAD_EVENT needs.
+
+    An event belongs to its game (node Game) or its organisation (node Team), by scope_type. Its manager is one node of that name:
+    the first by label; unknown managers get no edge.
+    """
+    is_game = (F.col("scope_type") == "game") & (F.coalesce("game", F.lit("")) != "")
+    is_org = (F.col("scope_type") == "org") & (F.coalesce("scope", F.lit("")) != "")
+    owner = F.when(is_game, F.struct(F.lit("Game").alias("label"), F.col("game").alias("name"))).when(is_org, F.struct(F.lit("Team").alias("label"), F.col("scope").alias("name")))
+    owned = events.withColumn("_o", owner).where("_o IS NOT NULL")
+    had = owned.groupBy(F.col("_o.label").alias("src_label"), F.col("_o.name").alias("src"), F.lit("HAD_EVENT").alias("rel_name"), F.col("event_id").alias("dst"), "date").agg(F.min("source_url").alias("source_url"))
+    one = nodes.where("name IS NOT NULL").groupBy(F.col("name").alias("manager")).agg(F.min("label").alias("_label"))
+    managed = events.where("manager <> ''").join(one, "manager").select(F.lit("Event").alias("src_label"), F.col("event_id").alias("src"), F.lit("MANAGED_BY").alias("rel_name"), F.col("manager").alias("dst"), "date", "source_url").distinct()
+    made = owned.groupBy(F.col("_o.label").alias("label"), F.col("_o.name").alias("name")).agg(F.min("source_url").alias("source_url"))
+    fresh = made.join(nodes.select("label", "name").distinct(), ["label", "name"], "left_anti")
+    return had.unionByName(managed), nodes.select("label", "name", "source_url").unionByName(fresh)
+
+
+def of_game(events: DataFrame, edges: DataFrame, game: str) -> DataFrame:
+    """Events that a game's HAD_EVENT edges lead to, or that name it themselves, and by which of the two."""
+    linked = edges.where((F.col("rel_name") == "HAD_EVENT") & (F.col("src") == game)).select(F.col("dst").alias("event_id"), F.lit(True).alias("by_edge")).distinct()
+    both = events.join(linked, "event_id", "left").withColumn("by_edge", F.coalesce("by_edge", F.lit(False))).withColumn("by_property", F.coalesce(F.col("game") == game, F.lit(False)))
+    return both.where("by_edge OR by_property")
+
+
+def resolve_games(asked: DataFrame, nodes: DataFrame, events: DataFrame) -> DataFrame:
+    """asked names (column asked) with the game they mean: the first Game node by name that holds the name, else the first game of an
+    event that does, else the name itself."""
+    from .glossary import holding
+
+    plain = lambda c: c
+    first = lambda names, to: holding(names, asked, plain).groupBy("asked").agg(F.min("name").alias(to))
+    by_node = first(nodes.where(F.col("label") == "Game"), "_node")
+    by_event = first(events.select(F.col("game").alias("name")).where("name <> ''"), "_event")
+    found = asked.join(by_node, "asked", "left").join(by_event, "asked", "left")
+    return found.withColumn("game", F.coalesce("_node", "_event", "asked")).drop("_node", "_event")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,10 +81,10 @@ def names_in_text(texts: DataFrame, names: DataFrame, key: str, text: str = "tex
     return top_by(named(texts, names, key, text), [key], limit, F.desc(F.length("name")), F.asc("name"))
 
 
-def holding(names: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Pairs of a name and an asked text (column asked) whose normalised key the name's key holds: found by pieces of equal length."""
-    asked = wanted.select("asked", norm_key(F.col("asked")).alias("_piece")).where("_piece <> ''").distinct()
-    keyed = names.select("name").distinct().withColumn("_key", norm_key(F.col("name")))
+def holding(names: DataFrame, wanted: DataFrame, fold: Callable[[Column], Column] = norm_key) -> DataFrame:
+    """Pairs of a name and an asked text (column asked) whose folded form the name's holds: found by pieces of equal length."""
+    asked = wanted.select("asked", fold(F.col("asked")).alias("_piece")).where("_piece <> ''").distinct()
+    keyed = names.select("name").distinct().withColumn("_key", fold(F.col("name")))
     spread = keyed.select("name", F.explode(_pieces(F.col("_key"), asked)).alias("_piece"))
     return spread.join(asked, "_piece").select("asked", "name")
 

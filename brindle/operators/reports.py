@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranking import first_by
@@ -56,3 +56,54 @@ def cross_links(edges: DataFrame, shown: DataFrame, pages: DataFrame, url: str =
     """Pages of edges' sources that are not shown yet."""
     wanted = edges.select(url).where(f"{url} IS NOT NULL AND {url} <> ''").distinct()
     return pages.join(wanted.join(shown.select(url).distinct(), url, "left_anti"), url, "left_semi")
+
+
+#: Colours of node labels, and that of all others.
+COLOURS = {
+    "Game": "#3B82F6", "Team": "#10B981", "Person": "#F59E0B", "Event": "#EF4444", "Metric": "#8B5CF6",
+    "Strategy": "#06B6D4", "Issue": "#F97316", "Insight": "#EC4899", "Decision": "#6B7280",
+}
+OTHER_COLOUR = "#94A3B8"
+
+
+def colour(label: Column) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in COLOURS.items() for x in pair])[label], F.lit(OTHER_COLOUR))
+
+
+def edges_per_name(degrees: DataFrame) -> DataFrame:
+    """Edges of each name over all its labels, with the labels."""
+    return degrees.groupBy("name").agg(F.sum("degree").alias("edges"), F.array_sort(F.collect_set("label")).alias("labels"))
+
+
+def totals(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row: how many rows, and the sum of each column (0 where there is nothing)."""
+    return rows.agg(F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns])
+
+
+def searched(registry: DataFrame, title: str | None = None, **equal: str) -> DataFrame:
+    """Rows with a keyword in the title, whatever its case, and with given values in columns."""
+    found = registry
+    for column, value in equal.items():
+        found = found.where(F.col(column) == value)
+    return found.where(F.col("title").ilike(f"%{title}%")) if title else found
+
+
+def usable(registry: DataFrame, words: int = 30) -> DataFrame:
+    """Pages that questions can be made from."""
+    return registry.where((F.col("status") == "ok") & (F.col("word_count") >= words) & F.col("title").isNotNull())
+
+
+def page_of(rows: DataFrame, page: int, size: int, *order: Column) -> DataFrame:
+    """A page of the rows in a total order; pages count from 1, and lower numbers are the first page."""
+    return rows.orderBy(*order).offset((max(page, 1) - 1) * size).limit(size)
+
+
+def flagged(registry: DataFrame, files: DataFrame, key: str, marker: str) -> DataFrame:
+    """registry with has_html_attachment as the scanned files (key, text) tell it; pages that were not scanned keep theirs."""
+    seen = files.groupBy(key).agg(F.max(F.contains("text", F.lit(marker))).alias("_html"))
+    return registry.join(seen, key, "left").withColumn("has_html_attachment", F.coalesce("_html", "has_html_attachment")).drop("_html")
+
+
+def with_others(first: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """first, and of others the rows whose key first does not have."""
+    return first.unionByName(others.join(first.select(key).distinct(), key, "left_anti"))

@@ -61,3 +61,15 @@ def run_status(failed: Column, done: Column, dry: bool = False) -> Column:
     if dry:
         return F.lit("dry_run")
     return F.when(failed == 0, "success").when(done > 0, "partial").otherwise("failed")
+
+
+def limited(changed: DataFrame, n: int | None, key: str) -> DataFrame:
+    """At most n of the changed rows, those edited last (ties by key); all without n."""
+    return changed if not n else changed.orderBy(F.desc("last_edited_time"), F.asc(key)).limit(n)
+
+
+def advanced(state: DataFrame, done: DataFrame, at: Column) -> DataFrame:
+    """The sync state (one row: last_sync_time, last_sync_count, total_synced) after a run with the rows done; a first run has no row."""
+    counted = done.agg(F.count(F.lit(1)).alias("_n"))
+    total = F.coalesce(state.agg(F.max("total_synced").alias("t")).scalar(), F.lit(0))
+    return counted.select(at.alias("last_sync_time"), F.col("_n").alias("last_sync_count"), (total + F.col("_n")).alias("total_synced"))

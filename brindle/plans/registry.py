@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graph, reports, search, streams
+from . import graph, knowledge, reports, search, streams
 from .base import ORACLE_SQL, QUERIES
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "graph", "reports", "search", "streams"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "graph", "knowledge", "reports", "search", "streams"]
 
 FLAGSHIP = search.hybrid_pages

@@ -145,3 +145,24 @@ def test_a_shared_folder_is_needed(spark, sessionless):
     assert scratch(spark, "x") != scratch(spark, "x")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch(sessionless, "x")
+
+
+def test_character_references(spark):
+    from brindle.functions import text
+
+    given = "a&amp;lt;b &#65;&#x1F600; &eacute;&nbsp;&hellip;&nosuch; &#0;&#xD800; &#38;gt; &amp;#39; &copy"
+    assert one(spark, text.decoded(F.lit(given))) == "a&lt;b A\U0001f600 é\xa0…&nosuch; �� &gt; &#39; &copy"
+
+
+def test_korean_tokens(spark):
+    from brindle.functions import text
+
+    assert one(spark, text.tokens(F.lit("POTC 업데이트 는 v2"))) == ["potc", "v2", "업데", "데이", "이트", "는"]
+    assert one(spark, text.strip_particle(F.lit("데이터팀에서"))) == "데이터팀" and one(spark, text.strip_particle(F.lit("나는"))) == "나는"
+
+
+def test_shares_of_scope_issues(spark):
+    from brindle.operators import scopes
+
+    events = spark.createDataFrame([("game", "A", True), ("game", "B", False), ("unknown", "", False), ("unknown", "", False)], "scope_type string, scope string, scope_verified boolean")
+    assert sorted((r.scope_type, r.events, r.share) for r in scopes.scope_issues(events).collect()) == [("game", 1, 0.25), ("unknown", 2, 0.5)]

@@ -169,3 +169,42 @@ def test_search_tools(spark):
     assert spark.sql("SELECT title FROM timeline('patch', 0, 15)").collect()[0].title == "t1"
     assert spark.sql("SELECT * FROM relations('a')").count() == 1
     assert api.sub_queries(spark, "one two three four five six", lambda q: ["part one", "part two"]) == ["one two three four five six", "part one", "part two"]
+
+
+def test_a_vector_of_another_length_hurts_no_other(spark):
+    points = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1, 0.3]), (3, [0.0, 1.0]), (4, None), (5, []), (6, [1.0, None])], "vec_id long, embedding array<double>").coalesce(1)
+    asked = spark.createDataFrame([(7, [1.0, 0.2]), (8, [1.0, 0.0, 0.0]), (9, None), (10, [1.0])], "query_id long, embedding array<double>")
+    got = vector.nearest(asked, points, 2)
+    assert sorted((r.query_id, r.vec_id, r["rank"]) for r in got.collect()) == [(7, 1, 1), (7, 3, 2), (8, 2, 1)]
+    assert vector.nearest(asked.limit(0), points, 2).count() == 0
+
+
+def test_queries_come_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    points = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(40)], "vec_id long, embedding array<double>")
+    asked = points.where("vec_id < 9").withColumnRenamed("vec_id", "query_id")
+    want = rows(vector.nearest(asked, points, 3))
+    monkeypatch.setattr(vector, "BLOCK", 4)
+    assert rows(vector.nearest(asked, points, 3)) == want and len(want) == 27
+
+
+def test_names_beside_punctuation_and_particles(spark):
+    texts = spark.createDataFrame([(1, "by Acme, then (Acme Corp) again"), (2, "POTC는 어제, MILESTONE 달성"), (3, "신메이플스토리는"), (4, None), (5, "XAcme Corporation; acme"), (6, "one-two ONE."), (7, "***")], "id long, text string")
+    names = spark.createDataFrame([(n,) for n in ("Acme", "Acme Corp", "POTC", "ONE", "메이플", "***", "", None)], "name string")
+    assert rows(glossary.named(texts, names, "id")) == [(1, "Acme"), (1, "Acme Corp"), (2, "POTC"), (3, "메이플"), (5, "Acme Corp"), (6, "ONE")]
+    assert glossary.named(texts, names.limit(0), "id").count() == 0
+
+
+def test_paths_over_many_hops_and_none(spark):
+    edges = spark.createDataFrame([(f"n{i}", "to", f"n{i + 1}") for i in range(6)], "src string, rel_name string, dst string")
+    one, name = spark.createDataFrame([("n0",)], "name string"), spark.createDataFrame([("n6",), ("n2",)], "name string")
+    assert rows(graph.shortest_paths(edges, one, name)) == [("n0", "n2", 2), ("n0", "n6", 6)]
+    assert graph.shortest_paths(edges, one, name, 3).count() == 1
+    assert graph.path_nodes(edges, "n6", "n3").first().nodes == ["n6", "n5", "n4", "n3"]
+    assert graph.path_nodes(edges, "n0", "nowhere").count() == 0
+
+
+def test_as_of_takes_the_first_of_equals(spark):
+    left = spark.createDataFrame([(1, 5), (1, 9), (1, 10), (2, 1), (None, 3)], "k int, at int")
+    right = spark.createDataFrame([(1, 5, 8), (1, 5, 7), (1, 9, 1), (3, 1, 1)], "k int, snap int, id int")
+    assert sorted(map(str, rows(events.next_as_of(left.where("k IS NOT NULL"), right, ["k"], "at", "snap", "id")))) == ["(1, 10, None, None)", "(1, 5, 5, 7)", "(1, 9, 9, 1)", "(2, 1, None, None)"]
