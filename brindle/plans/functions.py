@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import dates, ids, routing, structured, text
@@ -301,15 +301,16 @@ def front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.parse(markdown.page_text(made)).select("file", "page_id", "title", F.length("body").alias("letters"))
 
 
-@query("""WITH b AS (SELECT l_orderkey AS page, l_linenumber AS n, l_linestatus AS t FROM lineitem)
-SELECT page, string_agg(CASE WHEN n % 2 = 1 THEN t ELSE '  - ' || t END, chr(10) ORDER BY n) AS body FROM (SELECT page, n, min(t) AS t FROM b GROUP BY page, n) GROUP BY page""")
+@query("""WITH b AS (SELECT page, n, t, coalesce(lag(n) OVER (PARTITION BY page ORDER BY n) = n - 1, false) AS follows FROM (SELECT l_orderkey AS page, l_linenumber AS n, min(l_linestatus) AS t FROM lineitem GROUP BY ALL))
+SELECT page, string_agg(CASE WHEN n % 2 = 1 THEN t WHEN follows THEN '  - ' || t ELSE '- ' || t END, chr(10) ORDER BY n) AS body FROM b GROUP BY page""")
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as blocks: each even one is a list item below the one before."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_linestatus").alias("l_linestatus"))
-    even = F.col("l_linenumber") % 2 == 0
+    """Order lines as blocks: each even one is a list item, below the line before if there is one."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("pos")).agg(F.min("l_linestatus").alias("text"))
+    even = F.col("pos") % 2 == 0
+    before = F.lag("pos").over(Window.partitionBy("page_id").orderBy("pos"))
     blocks = lines.select(
-        F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("block_id"), F.when(even, F.col("l_linenumber") - 1).alias("parent_id"), F.col("l_linenumber").alias("pos"), F.when(even, "bulleted_list_item").otherwise("paragraph").alias("type"),
-        F.col("l_linestatus").alias("text"), F.lit(False).alias("checked"), F.lit("").alias("language"),
+        "page_id", F.col("pos").alias("block_id"), F.when(even & (before == F.col("pos") - 1), before).alias("parent_id"), "pos", F.when(even, "bulleted_list_item").otherwise("paragraph").alias("type"), "text",
+        F.lit(False).alias("checked"), F.lit("").alias("language"),
     )
     return tabular.block_lines(blocks).select(F.col("page_id").alias("page"), "body")
 
