@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+
 import pytest
 
 import corpus_pipeline
@@ -46,3 +49,46 @@ def test_query_covers_its_table(spark, sf_dir, name):
     source = "pages" if name.startswith(("op4", "op7", "op9")) else "documents"
     assert rows == table(spark, sf_dir, source).count() or name.startswith("op3")
     assert name not in ORACLE_SQL or ORACLE_SQL[name]
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, score double, fp string"
+
+
+def folder(spark, path, rows, labels=(), items=()):
+    """Small tables as a folder of Parquet files."""
+    spark.createDataFrame(rows, DOCUMENTS).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_run_over_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    rng = random.Random(5)
+    text = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    toxic = [f"{text(20)} vile nasty awful {text(20)}" for _ in range(40)]
+    clean = [text(60) for _ in range(80)]
+    item = text(25)
+    rows = [(i, t, "en", "s", len(t), 0.1, "x") for i, t in enumerate([*toxic, *clean])]
+    rows += [(200, clean[0], None, None, None, None, None), (201, f"{text(30)} {item} {text(9)}", "en", "s", 1, 0.9, ""), (202, f"{text(30)} password = Zq9xKv82LmPw77aa {text(9)}", "en", "s", 1, None, "")]
+    rows += [(203, None, "en", None, 0, 1.0, ""), (204, "", None, "s", 0, 1.0, ""), (205, " \n\t ", "en", "s", 4, 1.0, ""), (None, text(40), "en", "s", 9, 0.0, ""), (206, text(30), "en", "s", 9, 0.0, ""), (206, text(30), "en", "s", 9, 0.0, "")]
+    labels = [(i, 1, int(i < 40)) for i in range(120)] + [(None, 1, 1), (5, None, None)]
+    sf = folder(spark, tmp_path / "t", [*rows, rows[-1]], labels, [(1, item), (2, None)])
+    docs, kept = table(spark, sf, "documents"), {}
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(function(spark, docs, sf).collect(), DOCUMENTS)
+        kept[name] = Counter(r.doc_id for r in docs.collect())
+    assert docs.columns == [c.split()[0] for c in DOCUMENTS.split(", ")]
+    assert len(set(kept["toxicity"]) & set(range(40))) <= 2 and set(range(40, 120)) <= set(kept["toxicity"])
+    assert 200 not in kept["simhash_dedup"] and kept["simhash_dedup"][206] == 1 and kept["simhash_dedup"][None] == 1
+    assert {203, 204, 205} & set(kept["simhash_dedup"]) == {203}  # empty texts are one group
+    assert 201 in kept["simhash_dedup"] and 201 not in kept["decontamination"]
+    secret = docs.where("doc_id = 202").first()
+    assert "Zq9xKv82" not in secret.text and secret.n_chars == len(secret.text)
+    tokens = corpus_pipeline.run(spark, sf)
+    assert Counter(r.doc_id for r in tokens.collect()) == kept["secrets"] and tokens.where("NOT round_trip").count() == 0
+
+
+def test_run_over_empty_tables(spark, tmp_path):
+    assert corpus_pipeline.run(spark, folder(spark, tmp_path / "t", [])).count() == 0
+    one = folder(spark, tmp_path / "u", [(1, "a b c", "en", "s", 5, 0.0, "")])
+    assert corpus_pipeline.run(spark, one).count() == 1
