@@ -6,14 +6,15 @@ the same document.
 1. Every window is keyed by the least hash of its SEED-word runs (its minimizer); equal windows have equal keys. Neighbouring
    windows that share the same run make one segment, an eighth as many rows as there are words.
 2. Keys that one segment alone has are done: none of its windows occurs twice. Counts are pre-aggregated.
-3. The other segments are dealt by key to shards of about SHARD segments. Equal segments are merged before, in a task and in a
-   shard, and all but the earliest are repeats: a passage of very many documents weighs as much as one. Segments under keys with
-   over HEAVY segments are cut into single windows, dealt by their own hash, so that such a passage spreads.
-4. A shard lays out the merged segments that share a key with a different one (a window of any other can stand nowhere else) in
-   document order and indexes them: the Burrows-Wheeler transform in a wavelet matrix of packed bits, and every SAMPLE-th place of
-   a segment. The segments stream through it: backward search from every end gives the matching statistics, the longest match
-   that ends there and occurs twice or more. Where it reaches WINDOW words, the interval of suffixes is located by walking to the
-   sampled places, and all but the earliest are repeats, reported as intervals of windows.
+3. The other segments are dealt by key to shards of about SHARD segments. Equal segments of one batch of documents are merged
+   before, and all but the earliest are repeats: a passage of very many documents weighs as much as one a batch. Segments under
+   keys with over HEAVY segments are cut into single windows, dealt by their own hash, so that such a passage spreads.
+4. A shard lays out its segments in document order (of equal ones the first two) and indexes them: the Burrows-Wheeler transform
+   in a wavelet matrix of packed bits, and every SAMPLE-th place of a segment. The segments stream through it: backward search
+   gives the matching statistics, the longest match that ends at a word and occurs twice or more, from the last word of a segment
+   that has an equal one, and from every window's end of one that shares its key with a different one (a window of any other can
+   stand nowhere else). Where a match reaches WINDOW words, its interval of suffixes is located by walking to the sampled places,
+   and all but the earliest are repeats, reported as intervals of windows.
 5. The repeats go back to their documents.
 
 Every window is looked at; no key, segment or document is dropped. The documents' text is shuffled once (both joins read the
@@ -91,17 +92,18 @@ class FMIndex:
         gaps = tokens == 0
         order[gaps] = np.arange(int(gaps.sum()))
         rank = np.unique(order, return_inverse=True)[1].astype(np.int64)
-        width = 1
+        width, step = 1, 3 if n < 1 << 21 else 2  # ranks that fit a key beside each other
+        bits = 63 // step
         while True:
-            after = np.zeros(n, np.int64)
-            after[:-width or n] = rank[width:] + 1
-            key = rank * (n + 1) + after
-            suffixes = np.argsort(key, kind="stable")
+            key = rank << bits * (step - 1)
+            for k in range(1, step):
+                key[: n - k * width] |= (rank[k * width :] + 1) << bits * (step - 1 - k)
+            suffixes = np.argsort(key)
             fresh = np.diff(key[suffixes]) != 0
             rank[suffixes] = np.concatenate(([0], np.cumsum(fresh)))
+            width *= step
             if fresh.all() or width >= n:
                 break
-            width *= 2
         self.n = n
         last = tokens[suffixes - 1]  # the Burrows-Wheeler transform
         self.before = np.concatenate(([0], np.cumsum(np.bincount(tokens, minlength=size))))
@@ -169,9 +171,9 @@ class FMIndex:
             row = self.before[symbol] + at - self.begin[symbol]
         return out
 
-    def statistics(self, tokens: np.ndarray, ends: np.ndarray, longest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def statistics(self, tokens: np.ndarray, ends: np.ndarray, longest: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Matching statistics of a streamed text: of each end the length of the longest match, up to longest tokens back, that
-        occurs twice or more, and the interval of suffixes of its last WINDOW tokens where it is that long (0, 0 elsewhere)."""
+        occurs twice or more, and the interval of suffixes of its last told tokens where it is that long (0, 0 elsewhere)."""
         length, first, last = (np.zeros(len(ends), np.int64) for _ in range(3))
         which, low, high, depth = np.arange(len(ends)), np.zeros(len(ends), np.int64), np.full(len(ends), self.n), 0
         while len(which):
@@ -180,8 +182,8 @@ class FMIndex:
             alive = high - low >= 2
             which, low, high = which[alive], low[alive], high[alive]
             length[which] = depth
-            if depth == WINDOW:
-                first[which], last[which] = low, high
+            there = told[which] == depth
+            first[which[there]], last[which[there]] = low[there], high[there]
             on = longest[which] > depth
             which, low, high = which[on], low[on], high[on]
         return length, first, last
@@ -198,39 +200,54 @@ class FMIndex:
 
 def _repeats(keys: np.ndarray, place: list[tuple[int, int, int]], counts: np.ndarray, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
     """(doc, sub, first window, windows) of the repeats of a shard."""
-    earliest: dict[str, int] = {}
-    for i, text in enumerate(texts):
-        j = earliest.setdefault(text, i)
-        if j != i:
-            if place[i] < place[j]:
-                earliest[text], i = i, j
-            yield (*place[i], int(counts[i]))
-    own = np.array(sorted(earliest.values()), np.int64)
-    many = np.unique(keys[own], return_counts=True)
-    doubted = sorted(own[np.isin(keys[own], many[0][many[1] > 1])].tolist(), key=place.__getitem__)
-    if not doubted:
+    same: dict[str, list[int]] = {}
+    for i in sorted(range(len(texts)), key=place.__getitem__):
+        same.setdefault(texts[i], []).append(i)
+    first = np.array([own[0] for own in same.values()], np.int64)
+    many = np.unique(keys[first], return_counts=True)
+    doubted = set(first[np.isin(keys[first], many[0][many[1] > 1])].tolist())
+    # copies of a segment stand in the index twice: the earliest, and the next for all that follow
+    laid = sorted([*doubted, *(i for own in same.values() if len(own) > 1 for i in own[:2])], key=place.__getitem__)
+    laid = list(dict.fromkeys(laid))
+    if not laid:
         return
-    number: dict[str, int] = {}
-    parts = [[number.setdefault(w, len(number) + 1) for w in texts[i].split(" ")] for i in doubted]
-    tokens = np.array([t for part in parts for t in [*part, 0]], np.int64)
-    size = np.array([len(part) + 1 for part in parts])
+    size = counts[laid].astype(np.int64) + WINDOW  # its words and the separator
     begin = np.cumsum(size) - size
-    count = counts[doubted]
-    owner = np.repeat(np.arange(len(doubted)), count)
+    numbers, names = pd.factorize(np.array(" ".join([texts[i] for i in laid]).split(" "), dtype=object))
+    tokens = np.zeros(int(size.sum()), np.int64)
+    word = np.ones(len(tokens), bool)
+    word[begin + size - 1] = False
+    tokens[word] = numbers + 1
+    at = dict(zip(laid, range(len(laid)), strict=True))
+    index = FMIndex(tokens, len(names) + 1)
+    # a copy's longest match, from its last word, is the whole segment
+    copies = [own for own in same.values() if len(own) > 1]
+    where = np.array([at[own[1]] for own in copies], np.int64)
+    for i in range(0, len(where), 200_000):
+        part = where[i : i + 200_000]
+        length, low, high = index.statistics(tokens, begin[part] + size[part] - 2, size[part] - 1, size[part] - 1)
+        hit = np.flatnonzero(length == size[part] - 1)
+        for k in hit[index.earliest(low[hit], high[hit]) != begin[part[hit]]].tolist():
+            for j in copies[i + k][1:]:
+                yield (*place[j], int(counts[j]))
+    # of the others every window's end
+    searched = np.array([i for i in laid if i in doubted], np.int64)
+    spot = np.array([at[i] for i in searched.tolist()], np.int64)
+    count = counts[searched]
+    owner = np.repeat(np.arange(len(searched)), count)
     window = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    index = FMIndex(tokens, len(number) + 1)
     again = np.zeros(len(owner), bool)
     for i in range(0, len(owner), 200_000):
         part = slice(i, i + 200_000)
-        at = begin[owner[part]] + window[part]
-        length, first, last = index.statistics(tokens, at + WINDOW - 1, window[part] + WINDOW)
+        start = begin[spot[owner[part]]] + window[part]
+        length, low, high = index.statistics(tokens, start + WINDOW - 1, window[part] + WINDOW, np.full(len(start), WINDOW))
         hit = np.flatnonzero(length >= WINDOW)
-        again[i + hit] = index.earliest(first[hit], last[hit]) != at[hit]
+        again[i + hit] = index.earliest(low[hit], high[hit]) != start[hit]
     # windows in a row make one interval
     starts = np.flatnonzero(again & ~(np.concatenate(([False], again[:-1])) & (window > 0)))
     ends = np.flatnonzero(again & ~(np.concatenate((again[1:], [False])) & (np.append(window[1:], 0) > 0)))
     for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-        doc, sub, start = place[doubted[owner[a]]]
+        doc, sub, start = place[searched[owner[a]]]
         yield doc, sub, start + int(window[a]), b - a + 1
 
 

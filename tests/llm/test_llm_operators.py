@@ -497,15 +497,14 @@ def test_null_ids_and_repeated_rows_equal_the_sql(spark, texts):
     assert got == sorted((-1 if r[0] is None or r[0] != r[0] or r[0] == 0 else int(r[0]), *r[1:]) for r in connection.execute(op6()).fetchall())
 
 
-def test_matching_statistics_equal_a_scan(monkeypatch):
-    monkeypatch.setattr(substring_dedup, "WINDOW", 6)
+def test_matching_statistics_equal_a_scan():
     rng = np.random.default_rng(4)
     tokens = np.concatenate([[*rng.integers(1, 4, rng.integers(2, 60)), 0] for _ in range(14)]).astype(np.int64)
     index = substring_dedup.FMIndex(tokens, 5)
     whole = tokens.tolist()
     ends = np.flatnonzero(tokens)
     longest = np.array([next(k for k in range(1, 99) if e - k < 0 or whole[e - k] == 0) for e in ends])
-    length, first, last = index.statistics(tokens, ends, longest)
+    length, first, last = index.statistics(tokens, ends, longest, np.full(len(ends), 6))
     places = {}
     for size in range(1, 61):
         for i in range(len(whole) - size + 1):
