@@ -106,8 +106,8 @@ class Index:
 
     def _add(self, size: int, key: np.ndarray, owner: np.ndarray, offset: np.ndarray) -> None:
         order = np.argsort(key, kind="stable")
-        slots = np.zeros(SLOTS, bool)
-        slots[key & np.uint64(SLOTS - 1)] = True
+        slots = np.zeros(min(SLOTS, 1 << (64 * len(key)).bit_length()), bool)
+        slots[key & np.uint64(len(slots) - 1)] = True
         self.tables.append((size, slots, key[order], owner[order], offset[order]))
 
     def run_keys(self, words: np.ndarray, size: int) -> np.ndarray:
@@ -166,11 +166,11 @@ class Index:
         for size, slots, keys, owner, offset in self.tables:
             if size:
                 key = self.run_keys(flat, size)
-                hit = np.flatnonzero(slots[key & np.uint64(SLOTS - 1)])
+                hit = np.flatnonzero(slots[key & np.uint64(len(slots) - 1)])
                 place = hit
             else:
                 key = next(walks)
-                hit = np.flatnonzero(slots[key & np.uint64(SLOTS - 1)])
+                hit = np.flatnonzero(slots[key & np.uint64(len(slots) - 1)])
                 place = start[hit]
             lo, hi = np.searchsorted(keys, key[hit], "left"), np.searchsorted(keys, key[hit], "right")
             count = hi - lo
@@ -238,21 +238,9 @@ def blocks(items: DataFrame) -> Iterator[Broadcast]:
         yield items.sparkSession.sparkContext.broadcast(sorted(((r.item_id, r.text) for r in rows), key=lambda r: (r[0] is not None, *r)))
 
 
-_index: dict[str, Index] = {}
-
-
-def _index_of(items: list[tuple[int, str]]) -> Index:
-    """The index of a block, made once a worker; later tasks find it."""
-    key = xxhash.xxh3_128_hexdigest(repr(items).encode("utf-8", "surrogatepass"))
-    if key not in _index:
-        _index.clear()
-        _index[key] = Index(items)
-    return _index[key]
-
-
 def _searched(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]], at: int) -> Iterator[tuple[pa.RecordBatch, Index, list[tuple[int, int, int, int]]]]:
     """Parts of the batches with what was found in their texts (column at)."""
-    index = _index_of(items)
+    index = Index(items)
     number = _Vocabulary(index.known)
     for batch in batches:
         for i in range(0, batch.num_rows, 500):

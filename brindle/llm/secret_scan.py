@@ -48,7 +48,7 @@ GUESS_COST = 10.0
 VOCABULARY, OFTEN, LONG, UNIT = 10_000, 5, 16, 8
 #: Words of letters alone; words counted in a task before their counts are passed on.
 LETTERS = re.compile(r"([A-Za-z]{3,16})[.,;:!?]*")
-HELD = 200_000
+HELD = 100_000
 
 #: Common passwords by rank.
 PASSWORDS = (

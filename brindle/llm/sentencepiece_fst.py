@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Paths and borders kept by a worker; letters composed at a time; arcs relaxed at a time.
-CACHE, BORDERS, LETTERS, ARCS = 200_000, 1 << 20, 60_000, 60_000
+#: Paths and borders kept by a task; letters composed at a time; arcs relaxed at a time.
+CACHE, BORDERS, LETTERS, ARCS = 150_000, 1 << 19, 60_000, 60_000
 #: How much worse than the least piece a letter in bytes is.
 PENALTY = 10.0
 
@@ -54,7 +54,7 @@ class Table:
     """A hash table of non-negative whole numbers, looked up as arrays; -1 where a key is not there."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, (4 * len(keys)).bit_length())
+        bits = max(4, (2 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
         left, slot = np.arange(len(keys)), self.slot(keys)
@@ -314,24 +314,12 @@ class Transducer:
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
-_machines: dict[int, Transducer] = {}
-
-
-def machine_of(parts: tuple[list[str], list[float], list[int]]) -> Transducer:
-    """The compiled machine, one a worker: later tasks find its paths."""
-    key = hash((tuple(parts[0]), tuple(parts[1]), tuple(parts[2])))
-    if key not in _machines:
-        _machines.clear()
-        _machines[key] = Transducer(*parts)
-    return _machines[key]
-
-
 def encode(docs: DataFrame, model: str = MODEL, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, ids_sha256 (of packed little-endian 32-bit ids), round_trip (decoding gives the text back) and ids."""
     shared = docs.sparkSession.sparkContext.broadcast(load_pieces(model))  # bounded: a vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = machine_of(shared.value)
+        machine = Transducer(*shared.value)
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
@@ -354,7 +342,7 @@ def decode(tokens: DataFrame, model: str = MODEL, key: str = "doc_id", ids: str
     shared = tokens.sparkSession.sparkContext.broadcast(load_pieces(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = machine_of(shared.value)
+        machine = Transducer(*shared.value)
         for batch in batches:
             texts = [machine.decode(np.array(x or [], np.int32)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["k", "text"])

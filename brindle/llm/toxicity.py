@@ -36,7 +36,7 @@ TRIGRAMS = 4_096
 EPOCHS, BATCH, RATE = 6, 32, 0.01
 #: Steps at least, so that few labels are seen more often.
 STEPS = 400
-CACHE = 150_000
+CACHE = 80_000
 PAD, RARE = 0, 1
 
 
