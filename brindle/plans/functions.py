@@ -107,7 +107,7 @@ def block_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT *, source || '_' || lang || '_' || CASE WHEN doc_id % 4 = 0 THEN 'raw' ELSE 'x' END AS asset FROM documents)
-SELECT doc_id, CASE WHEN n_chars = 0 THEN '0.0%' ELSE printf('%.1f%%', 100.0 * least(doc_id, n_chars) / n_chars) END AS share, least(greatest(coalesce(CASE WHEN doc_id % 5 <> 0 THEN doc_id - 3 END, 10), 1), 50)::INT AS clamped,
+SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '0.0%' ELSE printf('%.1f%%', 100.0 * (doc_id % 97) / 97) END AS share, least(greatest(coalesce(CASE WHEN doc_id % 5 <> 0 THEN doc_id - 3 END, 10), 1), 50)::INT AS clamped,
 [trim(k) FOR k IN string_split(lang || ', ' || source || ',x, ', ',') IF length(trim(k)) >= 2] AS keywords, contains(lower(text), 'the') OR contains(lower(source), 'the') AS any_keyword,
 regexp_matches(asset, '^[A-Za-z0-9]+(_[A-Za-z0-9]+){2,}$') OR regexp_matches(asset, '_(view|raw|tbl|table)$') AS asset FROM d""")
 def small_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +117,7 @@ def small_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     asset = F.concat_ws("_", "source", "lang", F.when(key % 4 == 0, "raw").otherwise("x"))
     words = text.keywords(F.concat(F.col("lang"), F.lit(", "), F.col("source"), F.lit(",x, ")))
     return docs.select(
-        "doc_id", text.percentage(F.least("doc_id", "n_chars"), F.col("n_chars")).alias("share"), structured.clamp(given, 1, 50, 10).alias("clamped"), words.alias("keywords"),
+        "doc_id", text.percentage(key % 97, F.when(key % 10 == 0, 0).otherwise(97)).alias("share"), structured.clamp(given, 1, 50, 10).alias("clamped"), words.alias("keywords"),
         text.any_keyword(F.array(F.lit("THE")), F.col("text"), F.col("source")).alias("any_keyword"), routing.is_data_asset(asset).alias("asset"),
     )
 

@@ -168,7 +168,10 @@ def budget_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _GONE = "|".join(rf"<{tag}\b.*?</{tag}\s*>" for tag in ("script", "style", "head", "noscript", "template"))
 _BARE = rf"""regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|{_GONE}', '', 'g'), '(?i)</?(p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|nav|blockquote|pre)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g')"""
-_READ = f"replace(replace(replace(replace(replace(replace({_BARE}, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+#: The references that the pages hold; the function knows them all.
+_READ = _BARE
+for _name, _code in (("nbsp", 160), ("lt", 60), ("gt", 62), ("quot", 34), ("#34", 34), ("apos", 39), ("#39", 39), ("#x27", 39), ("copy", 169), ("middot", 183), ("amp", 38)):
+    _READ = f"replace({_READ}, '&{_name};', chr({_code}))"
 
 
 @query(rf"""SELECT page_id, regexp_matches(lower(coalesce(url, '')), '\.html?$') OR contains(lower(substring(coalesce(html, ''), 1, 512)), '<!doctype html') OR contains(lower(substring(coalesce(html, ''), 1, 512)), '<html') AS is_html,
