@@ -30,7 +30,8 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Of each group of near-duplicates the document with the smallest doc_id stays, once; documents without id stay."""
     kept = near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
     kept = stage(kept, "kept")
-    one = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+    # sorted and merged at every size: both sides grow with the input, and a sort can spill
+    one = docs.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi")
     if not kept.where("_rows > 1").isEmpty():
         one = one.dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
