@@ -90,3 +90,41 @@ def op9() -> str:
 r AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS kept, {letters} AS digest, substring(url, position('://' IN url) + 3) AS rest FROM p)
 SELECT page_id, octet_length(encode(html)) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> kept THEN kept END AS refers_to,
 CASE WHEN contains(url, '://') THEN array_to_string(list_reverse(string_split(lower(split_part(rest, '/', 1)), '.')), ',') || ')' || lower(substring(rest, length(split_part(rest, '/', 1)) + 1)) ELSE lower(url) END AS urlkey, {warc_index.EPOCH} + page_id AS captured FROM r"""
+
+
+def op13() -> str:
+    share = lambda n, total: f"1 + ((1000000000::HUGEINT * ({n} + 5)) // ({total} + 5 * terms))::BIGINT"
+    return rf"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS text FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+l AS (SELECT lang, count(*) AS terms, sum(n) AS total FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(total, 0) AS total, coalesce(terms, 0) AS terms FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) USING (lang, source) LEFT JOIN (SELECT lang, terms FROM l) USING (lang)),
+p AS (SELECT lang, source, term, coalesce(c.n, 0) AS n, {share("coalesce(c.n, 0)", "g.total")} AS p, q FROM g JOIN (SELECT lang, term, {share("n", "total")} AS q FROM kept JOIN l USING (lang)) k USING (lang) LEFT JOIN c USING (lang, source, term)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+every AS (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank FROM every)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
+
+def _ints(scale: int) -> str:
+    usable = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    return f"SELECT *, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS v FROM embeddings WHERE {usable}"
+
+
+def op11() -> str:
+    product = "list_dot_product(a.v, b.v)::BIGINT"
+    return f"""WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, v FROM ({_ints(256)}) WHERE label IS NOT NULL),
+s AS (SELECT a.r AS anchor, a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, {product} AS score FROM e a JOIN e b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other_id) AS n FROM s WHERE same) WHERE n <= 5),
+c AS (SELECT p.anchor_id, p.other_id AS positive_id, p.score AS positive_score, s.other_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY anchor, n ORDER BY s.score DESC, s.other_id)::INT AS rank FROM p JOIN s USING (anchor)
+WHERE NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT * FROM c WHERE rank <= 3"""
+
+
+def op12() -> str:
+    return f"""WITH e AS (SELECT row_number() OVER () AS r, vec_id, v FROM ({_ints(64)})),
+s AS (SELECT a.r, a.vec_id AS query_id, b.vec_id, list_dot_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.r <> b.r WHERE a.vec_id % 20 = 0),
+k AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT * FROM k WHERE rank <= 20"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import oracles
 from .common import table
@@ -70,10 +71,39 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_decontamination, op4_url_reputation, op5_toxicity, op6_substring_dedup, op7_html_extraction, op8_simhash, op9_warc, op10_secret_scan)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import mine
+
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select("vec_id", moved.alias("label"), "embedding")
+    return mine(rows.where("vec_id % 50 = 0"), rows, positives=5, negatives=3, least=(1, 2), most=(19, 20), scale=256)
+
+
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk_search import search
+
+    rows = table(spark, sf_dir, "embeddings")
+    return search(rows.where("vec_id % 20 = 0"), rows, k=20, scale=64)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"), min_docs=30, scale=1_000_000_000, prior=5, top=50)
+
+
+_ALL = (
+    op1_sentencepiece, op2_quality_rules, op3_decontamination, op4_url_reputation, op5_toxicity, op6_substring_dedup, op7_html_extraction,
+    op8_simhash, op9_warc, op10_secret_scan, op11_hard_negatives, op12_topk_search, op13_source_divergence,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": oracles.op2(),
     "op4_url_reputation": oracles.op4(),
     "op6_substring_dedup": oracles.op6(),
     "op9_warc": oracles.op9(),
+    "op11_hard_negatives": oracles.op11(),
+    "op12_topk_search": oracles.op12(),
+    "op13_source_divergence": oracles.op13(),
 }
