@@ -139,49 +139,61 @@ def share(n: Column, total: Column, terms: Column, scale: int, prior: int) -> Co
     return F.lit(1) + F.call_function("div", top, (total + prior * terms).cast("decimal(19,0)"))
 
 
-def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, a, b and what the rows of this task add to the pair's value; rows come sorted by lang and blocks."""
+def _dense(column: pa.Array) -> np.ndarray:
+    """Lists of one length as rows of a new matrix."""
+    return column.flatten().to_numpy().astype(np.int64).reshape(len(column), -1)
+
+
+def _pair_sums(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """lang, a, b and what the rows of this task add to the pair's value; rows come sorted by lang and blocks of sources."""
     key, sums = None, None
 
     def flush() -> pa.RecordBatch:
         lang, a, b = key
         left, right = np.nonzero(np.triu(np.ones(sums.shape, bool), 1) if a == b else np.ones(sums.shape, bool))
-        found = [pa.array([lang] * len(left), pa.string()), pa.array(left + a * BLOCK), pa.array(right + b * BLOCK), pa.array(sums[left, right])]
+        found = [pa.array([lang] * len(left), pa.string()), pa.array(left + a * block), pa.array(right + b * block), pa.array(sums[left, right])]
         return pa.RecordBatch.from_arrays(found, ["lang", "a", "b", "value"])
 
     for batch in batches:
-        for row in batch.to_pylist():
-            now = (row["lang"], row["a"], row["b"])
-            if now != key:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("lang", "a", "b")), strict=True))
+        edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        for i, j in zip(edges, edges[1:], strict=False):
+            if i == j:
+                continue
+            left, right = (_dense(batch.column(c).slice(i, j - i)) for c in ("left", "right"))
+            if keys[i] != key:
                 if key is not None:
                     yield flush()
-                key, sums = now, np.zeros((len(row["left"]), len(row["right"])), np.int64)
-            left, right = np.array(row["left"], np.int64), np.array(row["right"], np.int64)
-            at, p = np.array([e["i"] for e in row["shares"]], np.int64), np.array([e["p"] for e in row["shares"]], np.int64)
-            mine, its = at // BLOCK == now[1], at // BLOCK == now[2]
-            left[at[mine] % BLOCK], right[at[its] % BLOCK] = p[mine], p[its]
-            sums += np.abs(left[:, None] - right[None, :])
+                key, sums = keys[i], np.zeros((left.shape[1], right.shape[1]), np.int64)
+            shares = batch.column("shares").slice(i, j - i)
+            row = np.repeat(np.arange(j - i), np.diff(shares.offsets.to_numpy()))
+            at, p = (shares.flatten().field(c).to_numpy() for c in ("i", "p"))
+            for side, number in ((left, key[1]), (right, key[2])):
+                own = at // block == number
+                side[row[own], at[own] % block] = p[own]
+            for k in range(left.shape[1]):
+                sums[k] += np.abs(right - left[:, [k]]).sum(axis=0)
     if key is not None:
         yield flush()
 
 
-def _pairs(known: DataFrame, groups: DataFrame) -> DataFrame:
+def _pairs(known: DataFrame, groups: DataFrame, block: int) -> DataFrame:
     """lang, a, b (numbers of sources) and the sum of |p - q| over the kept terms, for a below b."""
-    blocks = groups.groupBy("lang", (F.col("i") / BLOCK).cast("long").alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "base"))), lambda e: e["base"]).alias("bases"))
-    blocks = blocks.join(groups.groupBy("lang").agg((F.max("i") / BLOCK).cast("long").alias("last")), "lang")
+    blocks = groups.groupBy("lang", (F.col("i") / block).cast("long").alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "base"))), lambda e: e["base"]).alias("bases"))
+    blocks = blocks.join(groups.groupBy("lang").agg((F.max("i") / block).cast("long").alias("last")), "lang")
     left = blocks.select("lang", F.col("block").alias("a"), F.col("bases").alias("left"), F.explode(F.sequence("block", "last")).alias("b"))
     both = left.join(blocks.select("lang", F.col("block").alias("b"), F.col("bases").alias("right")), ["lang", "b"])
     # a row for each term and two blocks that hold a source with it; the rows without a term put every pair there
-    spread = known.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).withColumn("block", (F.col("i") / BLOCK).cast("long"))
+    spread = known.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).withColumn("block", (F.col("i") / block).cast("long"))
     rows = spread.groupBy("lang", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "term").agg(F.collect_list(F.struct("i", "p")).alias("shares"))
     rows = rows.join(both, ["lang", "a", "b"]).select("lang", "a", "b", "left", "right", "shares")
     zero = lambda c: F.transform(c, lambda _: F.lit(0).cast("long")).alias(c)
     seeds = both.select("lang", "a", "b", zero("left"), zero("right"), F.array().cast("array<struct<i:long,p:long>>").alias("shares"))
-    found = rows.unionByName(seeds).sortWithinPartitions("lang", "a", "b").mapInArrow(_pair_sums, "lang string, a long, b long, value long")
+    found = rows.unionByName(seeds).sortWithinPartitions("lang", "a", "b").mapInArrow(lambda batches: _pair_sums(batches, block), "lang string, a long, b long, value long")
     return found.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
 
-def audit(docs: DataFrame, min_docs: int = 30, scale: int = 1_000_000_000, prior: int = 5, top: int = 50) -> DataFrame:
+def audit(docs: DataFrame, min_docs: int = 30, scale: int = 1_000_000_000, prior: int = 5, top: int = 50, block: int = BLOCK) -> DataFrame:
     """lang, source, part, item, value and rank: how far each source is from the others of its language, and by which terms.
 
     A language keeps the terms of at least min_docs of its documents. A group's share of a term is 1 + floor(scale * (count + prior) /
@@ -198,12 +210,12 @@ def audit(docs: DataFrame, min_docs: int = 30, scale: int = 1_000_000_000, prior
     groups = groups.select("lang", "source", zero("total"), zero("lang_total"), zero("terms"), (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).cast("long").alias("i"))
     no_terms = F.when(F.col("terms") == 0, F.lit(0).cast("long"))
     base = no_terms.otherwise(share(F.lit(0).cast("long"), F.col("total"), F.greatest("terms", F.lit(1)), scale, prior)).alias("base")
-    groups = stage(groups.select("*", base, (F.max("i").over(Window.partitionBy("lang")) / BLOCK).cast("long").alias("last")), "groups")
+    groups = stage(groups.select("*", base, (F.max("i").over(Window.partitionBy("lang")) / block).cast("long").alias("last")), "groups")
     p = share(F.col("n"), F.col("total"), F.col("terms"), scale, prior)
     q = share(F.col("everywhere"), F.col("lang_total"), F.col("terms"), scale, prior)
     shares = known.join(groups, ["lang", "source"]).select("lang", "source", "i", "last", "term", p.alias("p"), q.alias("q"))
     named = groups.select("lang", "i", "source")
-    pairs = _pairs(shares.select("lang", "i", "last", "term", "p"), groups.select("lang", "i", "base"))
+    pairs = _pairs(shares.select("lang", "i", "last", "term", "p"), groups.select("lang", "i", "base"), block)
     pairs = pairs.join(named.withColumnsRenamed({"i": "a", "source": "one"}), ["lang", "a"]).join(named.withColumnsRenamed({"i": "b", "source": "two"}), ["lang", "b"])
     ways = F.array(F.struct(F.col("one").alias("source"), F.col("two").alias("item")), F.struct(F.col("two").alias("source"), F.col("one").alias("item")))
     pairs = pairs.select("lang", F.explode(ways).alias("way"), "value").select("lang", "way.source", F.lit("pair").alias("part"), "way.item", "value")
