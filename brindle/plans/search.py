@@ -54,6 +54,12 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10).select("item_id", "doc_id", "score", "rank")
 
 
+@query()
+def bm25_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many postings each question's terms have, and how many of them the pruned search reads."""
+    return lexical.search_counted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)[1]
+
+
 @query(f"WITH {_STATS} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf, (SELECT sum(tf) FROM post p WHERE p.term = d.term)::BIGINT AS occurrences FROM dfs d, corpus")
 def bm25_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = lexical.tokenized(table(spark, sf_dir, "documents"), "doc_id", "text")
