@@ -27,7 +27,7 @@ from .ranking import top_by
 BLOCK_BYTES = 8 << 20
 #: Documents of a batch and shards of it.
 BATCH, SHARDS = 10_000, 4
-#: The first postings of each list that are read to set the bar, and the documents a result whose scores set it.
+#: The first postings of each list that are read to set the bar (fewer of short lists), and the documents a result whose scores set it.
 SEEDS, SEED_DOCS = 8, 4
 #: Scores are rounded to six places; what is further below the bar than this stays below.
 SLACK = 1e-5
@@ -75,7 +75,7 @@ class Shard:
         """Whole scores of the documents that gain most by the first postings of the lists, and the postings read for it."""
         partial, read = np.zeros(self.size), 0
         for _, gain, start, end in lists:
-            end = min(end, start + SEEDS)
+            end = start + min(SEEDS, 1 + (end - start) // SEEDS)
             partial[self.heavy_docs[start:end]] += gain * self.heavy[start:end]
             read += end - start
         some = np.flatnonzero(partial)

@@ -48,8 +48,19 @@ def test_pruned_search_finds_what_a_full_one_does(spark, monkeypatch, small_bloc
     want = plain([*docs, (5_000, "")], questions, 10)
     assert [g[:2] + g[3:] for g in got] == [w[:2] + w[3:] for w in want]
     assert max(abs(g[2] - w[2]) for g, w in zip(got, want, strict=True)) < 2e-6
+    assert work.count() == 22
+
+
+def test_pruned_search_reads_a_part_of_the_postings(spark):
+    rng = random.Random(9)
+    words, weights = [f"w{i}" for i in range(300)], [1 / (i + 1) for i in range(300)]
+    docs = [(i, " ".join(rng.choices(words, weights, k=rng.choice((5, 30, 60))))) for i in range(6_000)]
+    questions = [(i, " ".join(rng.choices(words, weights, k=12))) for i in range(10)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    best, work = lexical.search_counted(d, spark.createDataFrame(questions, "item_id long, text string"), 5)
     counted = work.agg(F.sum("postings"), F.sum("read")).first()
-    assert 0 < counted[1] < counted[0]
+    assert 0 < 2 * counted[1] < counted[0]
+    assert sorted((r.item_id, r.doc_id) for r in best.collect()) == sorted(w[:2] for w in plain(docs, questions, 5))
 
 
 def test_search_without_questions_or_documents(spark):
