@@ -7,9 +7,9 @@ bits; so at the home anchor of either of two linked fingerprints both are presen
 anchor's fingerprints are compared in one task, and only spanning links leave it; groups too large to compare all with all are
 compared by equal bytes of the other half, of which 3 differing bits leave one alone.
 
-Defined results: null and empty texts have fingerprint zero and link like any other; rows with a null doc_id take part in
-links through their fingerprint's other rows and get the component of those (null if there are none); repeated rows share
-their fingerprint; other columns play no part.
+Defined results: null and empty texts have fingerprint zero and link like any other; rows with a null doc_id link like any other,
+may so connect documents that are further apart, and get the smallest doc_id that they reach (null if there is none); repeated rows
+share their fingerprint; other columns play no part.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, stage
@@ -57,14 +57,19 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and fp, the fingerprint as a signed long."""
+    """key, fp (the fingerprint as a signed long) and mark (a hash of the text, null of none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["k", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), batch.column(2)], ["k", "fp", "mark"])
 
-    return docs.select(key, text).mapInArrow(run, f"k {dict(docs.dtypes)[key]}, fp long").withColumnRenamed("k", key)
+    return docs.select(key, text, mark(F.col(text))).mapInArrow(run, f"k {dict(docs.dtypes)[key]}, fp long, mark long").withColumnRenamed("k", key)
+
+
+def mark(text: Column) -> Column:
+    """Tells texts of one doc_id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull()).alias("mark")
 
 
 def nearest(half: np.ndarray) -> np.ndarray:
@@ -184,12 +189,26 @@ def links(prints: DataFrame) -> DataFrame:
     return dealt.select("anchor", "fp", "node").repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
 
 
+def classes(prints: DataFrame, key: str = "doc_id") -> DataFrame:
+    """fp and component_id: the smallest key of the rows whose fingerprints are reachable over links."""
+    nodes = prints.groupBy("fp").agg(F.min(key).alias("least"))
+    # a fingerprint is its own node, so that those without a key link too
+    found = components(links(nodes.select("fp", F.col("fp").alias("node"))))
+    # staged, as the joins of components are: a component of very many fingerprints can be split
+    placed = stage(nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "placed")
+    named = stage(placed.groupBy("component").agg(F.min("least").alias("component_id")), "named")
+    return stage(placed.join(named, "component").select("fp", "component_id"), "classes")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint as 16 hex digits, component_id: the smallest doc_id reachable over links."""
-    prints = stage(fingerprints(docs), "simhash")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").cast("long").alias("node"))
-    found = components(links(nodes.where("node IS NOT NULL")))
-    # staged, as the joins of components are: a fingerprint of very many documents can be split
-    classes = stage(nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "classes")
+    prints = stage(fingerprints(docs).drop("mark"), "simhash")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(classes, "fp").select("doc_id", hexed.alias("fingerprint"), F.col("component_id").cast(dict(docs.dtypes)["doc_id"]).alias("component_id"))
+    return prints.join(classes(prints), "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+def firsts(docs: DataFrame) -> DataFrame:
+    """doc_id and mark of one text of each component: of the smallest doc_id; where it has several, that with the smallest mark."""
+    prints = stage(fingerprints(docs), "simhash")
+    own = prints.join(classes(prints), "fp").where("doc_id = component_id")
+    return own.groupBy("doc_id").agg(F.min("mark").alias("mark"), F.count(F.lit(1)).alias("rows"))

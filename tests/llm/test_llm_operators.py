@@ -671,6 +671,14 @@ def test_simhash_classes(spark, texts):
     assert simhash_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_fingerprints_without_an_id_link_others(spark):
+    """0 and 63 are six bits apart, and three from 7, which no document with an id has."""
+    rows = [(1, 0), (None, 7), (2, 63), (None, 0xFFFFF << 40), (4, -1), (9, -2), (9, 0)]
+    got = {r.fp: r.component_id for r in simhash_dedup.classes(spark.createDataFrame(rows, "doc_id long, fp long")).collect()}
+    assert got == {0: 1, 7: 1, 63: 1, 0xFFFFF << 40: None, -1: 4, -2: 4}
+    assert {r.fp for r in simhash_dedup.classes(spark.createDataFrame([], "doc_id long, fp long")).collect()} == set()
+
+
 def test_no_link_is_lost(spark, monkeypatch):
     rng = np.random.default_rng(2)
     centre = rng.integers(0, 2**64, 40, dtype=np.uint64)
