@@ -13,7 +13,7 @@ from brindle.llm.common import stage, table
 from brindle.llm.decontam import clean
 from brindle.llm.secret_scan import redact
 from brindle.llm.sentencepiece_fst import encode
-from brindle.llm.simhash_dedup import near_duplicates
+from brindle.llm.simhash_dedup import firsts, mark
 from brindle.llm.toxicity import score, train
 
 
@@ -27,14 +27,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays, once; documents without id stay."""
-    kept = near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
-    kept = stage(kept, "kept")
+    """Of each group of near-duplicates one row stays: of the smallest doc_id, its first text by hash; documents without id stay."""
+    kept = stage(firsts(docs), "kept")
+    own = "_mark"
+    while own in docs.columns:
+        own += "_"
     # sorted and merged at every size: both sides grow with the input, and a sort can spill
-    one = docs.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi")
-    if not kept.where("_rows > 1").isEmpty():
+    wanted = kept.select("doc_id", F.col("mark").alias(own)).hint("merge")
+    one = docs.withColumn(own, mark(F.col("text"))).join(wanted, ["doc_id", own], "left_semi")
+    if not kept.where("rows > 1").isEmpty():
         one = one.dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    return one.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
