@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ranking import top_by
 
 PASS = 0.7
+#: Fixed value: in front of the key of a question without a source.
+ALONE = "__no_source__"
 
 
 def summary(scores: DataFrame, *groups: str) -> DataFrame:
@@ -49,18 +54,41 @@ def stability(first: DataFrame, second: DataFrame, source: str) -> DataFrame:
     return both.groupBy(source).agg(F.round(F.sum("same") / F.sum("n"), 6).alias("jaccard"), F.sum(F.least("gone", "fresh")).alias("renamed"))
 
 
-def split(questions: DataFrame, source: str) -> DataFrame:
-    """Sources dealt to dev and holdout, largest first (ties by hash), so that no source is on both sides.
+def split(questions: DataFrame, source: str, category: str, key: str, ratio: float = 0.5) -> DataFrame:
+    """Sources dealt to dev and holdout so that no source is on both sides: source, key, n and side of each group.
 
-    Dealing in a snake along that order keeps the sides within the largest group of each other, as a greedy deal does. The order
-    is over one row per source, not over the questions.
+    A question without a source is a group of its own, told by its key (null for the others). Groups go largest first (ties by the
+    SHA-256 of their name) to the side that leaves the smaller skew, which counts the totals and every category; then to the smaller side;
+    then to dev. Questions are summed by Spark; the fold that follows sees a row a group in order and keeps a count a category.
     """
-    sizes = questions.groupBy(source).agg(F.count(F.lit(1)).alias("n"))
-    order = Window.orderBy(F.desc("n"), F.sha2(F.col(source).cast("string"), 256))
-    # pairs in a snake: dev, holdout, holdout, dev
-    placed = sizes.withColumn("_i", F.row_number().over(order) - 1)
-    side = F.when(F.pmod(F.col("_i"), F.lit(4)).isin(0, 3), "dev").otherwise("holdout")
-    return placed.select(source, "n", side.alias("side"))
+    blank = F.coalesce(F.col(source).cast("string"), F.lit("")) == ""
+    own = F.when(blank, F.concat(F.lit(ALONE), F.col(key).cast("string")))
+    named = questions.select(F.when(~blank, F.col(source)).alias(source), F.when(blank, F.col(key)).alias(key), F.coalesce(own, F.col(source).cast("string")).alias("_name"), F.coalesce(F.col(category).cast("string"), F.lit("?")).alias("_c"))
+    counts = named.groupBy("_name", source, key, "_c").agg(F.count(F.lit(1)).alias("_n"))
+    groups = counts.groupBy("_name", source, key).agg(F.sum("_n").alias("n"), F.array_sort(F.collect_list(F.struct("_c", "_n"))).alias("_counts"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides: tuple[dict, dict] = ({}, {})
+        totals = [0, 0]
+
+        def skew(more: dict, to: int) -> float:
+            dev, hold = ({**side, **{c: side.get(c, 0) + n for c, n in more.items()}} if i == to else side for i, side in enumerate(sides))
+            return sum(abs(dev.get(c, 0) * (1 - ratio) - hold.get(c, 0) * ratio) for c in sorted(dev.keys() | hold.keys()))
+
+        for batch in batches:
+            dealt = []
+            for row in batch.to_pylist():
+                more = {"": row["n"]} | {f"={c['_c']}": c["_n"] for c in row["_counts"]}
+                to = 0 if (skew(more, 0), totals[0]) <= (skew(more, 1), totals[1]) else 1
+                for c, n in more.items():
+                    sides[to][c] = sides[to].get(c, 0) + n
+                totals[to] += row["n"]
+                dealt.append("dev" if to == 0 else "holdout")
+            yield pa.RecordBatch.from_arrays([batch.column(source), batch.column(key), batch.column("n"), pa.array(dealt, pa.string())], [source, key, "n", "side"])
+
+    kinds = dict(questions.dtypes)
+    ordered = groups.repartition(1).sortWithinPartitions(F.desc("n"), F.sha2("_name", 256))
+    return ordered.mapInArrow(deal, f"`{source}` {kinds[source]}, `{key}` {kinds[key]}, n long, side string")
 
 
 def stratified(rows: DataFrame, strata: list[str], key: str, targets: int) -> DataFrame:
@@ -76,3 +104,12 @@ def scaled_targets(weights: dict[str, int], total: int) -> dict[str, int]:
     for k in sorted(weights, key=lambda k: out[k] - exact[k])[: total - sum(out.values())]:
         out[k] += 1
     return out
+
+
+def sampled(rows: DataFrame, strata: list[str], key: str, size: int, per_group: int = 5) -> DataFrame:
+    """A sample of fixtures: of each stratum the size rows with the smallest hash of their key, in groups of per_group along that order.
+
+    The hashes' order is the same for any part of the rows, so that samples of parts merge: Spark keeps the first size of each task
+    before it shuffles. Adds rank and group.
+    """
+    return stratified(rows, strata, key, size).withColumn("group", F.expr(f"(rank - 1) div {per_group}"))

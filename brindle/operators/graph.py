@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.session import stage
@@ -32,13 +32,39 @@ def neighbours(edges: DataFrame, names: DataFrame, out_limit: int = 20, in_limit
 
 
 def two_hops(edges: DataFrame, names: DataFrame, limit: int = 30) -> DataFrame:
-    """Distinct paths of two outgoing edges from each name, the first limit of each."""
-    first = edges.join(names, edges.src == names.name).select("name", F.col("rel_name").alias("rel_1"), F.col("dst").alias("via"))
-    second = edges.select(F.col("src").alias("via"), F.col("rel_name").alias("rel_2"), F.col("dst").alias("target"))
-    paths = first.join(second, "via").where("target <> name").distinct()
+    """Distinct paths of two outgoing edges from each name, the first limit of each, by relation, middle, relation and target.
+
+    A rank join: of a name only the first edges that lead on are needed, and of a middle only its first edges, as no later one can be
+    among the first paths. So a hub's incoming edges never meet all of its outgoing ones.
+    """
+    hops = edges.select(F.col("src").alias("via"), F.col("rel_name").alias("rel_2"), F.col("dst").alias("target")).distinct()
+    # a middle that leads only back to the name leads nowhere
+    leads = hops.groupBy("via").agg(F.min("target").alias("_low"), F.max("target").alias("_high"))
+    first = edges.join(names, edges.src == names.name).select("name", F.col("rel_name").alias("rel_1"), F.col("dst").alias("via")).distinct()
+    first = first.join(leads, "via").where("_low <> name OR _high <> name").drop("_low", "_high")
+    first = top_by(first, ["name"], limit, F.asc("rel_1"), F.asc("via")).drop("rank")
+    # the edges back to the name are left out afterwards: as many more are kept as a middle has to one target
+    twice = hops.groupBy("via", "target").agg(F.count(F.lit(1)).alias("_n")).groupBy("via").agg(F.max("_n").alias("_spare"))
+    order = Window.partitionBy("via").orderBy("rel_2", "target")
+    kept = hops.join(twice, "via").withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= limit + F.col("_spare")).drop("_at", "_spare")
+    paths = first.join(kept, "via").where("target <> name")
     return top_by(paths, ["name"], limit, F.asc("rel_1"), F.asc("via"), F.asc("rel_2"), F.asc("target"))
 
 
+def incoming_two_hops(edges: DataFrame, names: DataFrame, limit: int = 10) -> DataFrame:
+    """name, relation of the last edge, other and rank: sources two edges away that are not among the first limit sources one edge
+    away, each once, by relation and name; the first limit.
+
+    Of a node in between only its first sources are needed: those that are listed already, of smaller relations or one edge away, and limit more.
+    """
+    near = edges.join(names, edges.dst == names.name).select("name", "rel_name", F.col("src").alias("via")).distinct()
+    listed = top_by(near.groupBy("name", F.col("via").alias("other")).agg(F.min("rel_name").alias("rel_name")), ["name"], limit, F.asc("rel_name"), F.asc("other"))
+    sources = top_by(edges.select(F.col("dst").alias("via"), F.col("src").alias("other")).distinct(), ["via"], 3 * limit, F.asc("other")).drop("rank")
+    found = near.join(sources, "via").groupBy("name", "other").agg(F.min("rel_name").alias("rel_name"))
+    found = found.join(listed.select("name", "other"), ["name", "other"], "left_anti")
+    return top_by(found, ["name"], limit, F.asc("rel_name"), F.asc("other"))
+
+
 def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes with their number of edges in either direction."""
     ends = edges.select(F.col("src").alias("name")).unionByName(edges.select(F.col("dst").alias("name")))
@@ -87,6 +113,58 @@ def path_nodes(spark_edges: DataFrame, start: str, end: str, max_hops: int = LON
     return found.withColumn("hops", F.size("relations").cast("long")).orderBy("hops", "nodes").limit(1)
 
 
+def first_holding(names: DataFrame, text: str) -> str | None:
+    """The first name that holds a text, regardless of case."""
+    return names.where(F.contains(F.lower("name"), F.lit(text.lower()))).agg(F.min("name")).first()[0]
+
+
+def path_between(edges: DataFrame, start_text: str, end_text: str, max_hops: int = LONGEST_PATH) -> DataFrame:
+    """nodes, relations and hops of the first shortest path (by its names) between the first nodes that hold two texts; no row if none.
+
+    Both ends are searched, always the one with the smaller front: levels of half the path's length hold far fewer nodes than one search
+    of its whole length would. The levels then give the path back, node by node.
+    """
+    spark = edges.sparkSession
+    both = edges.select("src", "rel_name", "dst").unionByName(edges.select(F.col("dst").alias("src"), "rel_name", F.col("src").alias("dst")))
+    both = stage(both.where("src <> dst").groupBy("src", "dst").agg(F.min("rel_name").alias("rel_name")), "edges")
+    ends = [first_holding(both.select(F.col("src").alias("name")), text) for text in (start_text, end_text)]
+    shape = "nodes array<string>, relations array<string>, hops long"
+    if None in ends:
+        return spark.createDataFrame([], shape)
+    if ends[0] == ends[1]:
+        return spark.createDataFrame([([ends[0]], [], 0)], shape)
+    # of each side: the levels, the union of them, and the size of the last one
+    levels = [[spark.createDataFrame([(name,)], "name string")] for name in ends]
+    seen, sizes = [side[0] for side in levels], [1, 1]
+    meeting = None
+    for _ in range(max_hops):
+        side = 0 if sizes[0] <= sizes[1] else 1
+        step = levels[side][-1].join(both, levels[side][-1].name == both.src).select(F.col("dst").alias("name")).distinct()
+        front = stage(step.join(seen[side], "name", "left_anti"), "front")
+        levels[side].append(front)
+        seen[side], sizes[side] = seen[side].unionByName(front), front.count()
+        meeting = front.join(levels[1 - side][-1], "name", "left_semi")
+        if not sizes[side] or not meeting.isEmpty():
+            break
+    if meeting is None or meeting.isEmpty():
+        return spark.createDataFrame([], shape)
+    # the nodes of shortest paths: from the meeting level back to either end
+    halves = []
+    for side in levels:
+        half = [stage(meeting, "on_path")]
+        for level in reversed(side[:-1]):
+            back = half[-1].join(both, half[-1].name == both.src).select(F.col("dst").alias("name")).distinct()
+            half.append(stage(level.join(back, "name", "left_semi"), "on_path"))
+        halves.append(half)
+    nodes, relations = [ends[0]], []
+    for level in [*reversed(halves[0][:-1]), *halves[1][1:]]:
+        ahead = both.where(F.col("src") == nodes[-1]).join(level, both.dst == level.name, "left_semi")
+        step = ahead.agg(F.min(F.struct("dst", "rel_name")).alias("s")).first().s
+        nodes.append(step.dst)
+        relations.append(step.rel_name)
+    return spark.createDataFrame([(nodes, relations, len(relations))], shape)
+
+
 def contains_either(edges: DataFrame, text: Column) -> DataFrame:
     """Edges with text in one of their ends' names."""
     return edges.where(F.contains("src", text) | F.contains("dst", text))

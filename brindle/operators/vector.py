@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -68,3 +69,114 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, query_id: str = "quer
         one = points.select(point_id, vector).where(F.col(point_id).isNotNull()).mapInArrow(run, "q long, p long, score double")
         out = one if out is None else out.unionByName(one)
     return top_by(out, ["q"], k, F.desc("score"), F.asc("p")).withColumnsRenamed({"q": query_id, "p": point_id})
+
+
+#: Points that cells are built around, and rows of a cell that are ruled out together.
+PIVOTS, CELL_ROWS = 64, 256
+#: Squared distances are compared with this much room, as scores are rounded to nine places.
+ROOM = 1e-8
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances between rows of unit length."""
+    return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0))
+
+
+def _cells(points: DataFrame, pivots: np.ndarray, point_id: str, vector: str) -> DataFrame:
+    """point, its nearest pivot, the distance to it and the unit vector, in the shared folder by pivot and distance. A zero vector has pivot -1."""
+    size = pivots.shape[1]
+    shared = points.sparkSession.sparkContext.broadcast(pivots)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, whole = _matrix(batch.column(1), size)
+            own = _unit(own)
+            apart = _apart(own, shared.value)
+            pivot = apart.argmin(axis=1)
+            far = apart[np.arange(len(own)), pivot]
+            zero = ~own.any(axis=1)
+            pivot[zero], far[zero] = -1, 0
+            values = pa.FixedSizeListArray.from_arrays(pa.array(own.ravel()), size).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(whole)), pa.array(pivot), pa.array(far), values], ["p", "pivot", "far", "unit"])
+
+    rows = points.select(point_id, vector).where(F.col(point_id).isNotNull()).mapInArrow(placed, "p long, pivot long, far double, unit array<double>")
+    # a range of pivots and distances a task: a cell with very many points is cut by distance, which keeps its rings thin
+    return stage(rows.repartitionByRange("pivot", "far").sortWithinPartitions("pivot", "far"), "cells")
+
+
+def nearest_by_pivots(
+    queries: DataFrame, points: DataFrame, k: int, query_id: str = "query_id", point_id: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of nearest (all vectors of one length), and for each query the points and the distances that were computed.
+
+    Points lie in cells around some of them, sorted by their distance to the middle. A stretch of a cell is ruled out for a query when, by the
+    triangle inequality, all of it is further away than the k-th best of the query's nearest cells. Queries go in blocks of BLOCK.
+    """
+    spark = points.sparkSession
+    usable = queries.select(F.col(query_id).alias("q"), F.col(vector).alias("v")).where(f"{query_id} IS NOT NULL AND size({vector}) > 0 AND NOT exists({vector}, x -> x IS NULL)")
+    n = usable.count()
+    middle = points.where(f"size({vector}) > 0 AND NOT exists({vector}, x -> x IS NULL)").orderBy(F.xxhash64(point_id), point_id).limit(pivots).select(vector).collect()
+    if not n or not middle:
+        none = spark.createDataFrame([], f"`{query_id}` long, `{point_id}` long, score double, rank long")
+        return none, spark.createDataFrame([], f"`{query_id}` long, points long, distances long")
+    middle = _unit(np.array([r[0] for r in middle], np.float64))
+    cells = _cells(points, middle, point_id, vector)
+    schema = "q long, p long, score double, points long, distances long"
+    done = []
+    for block in range(-(-n // BLOCK)):
+        rows = usable.where(F.pmod(F.xxhash64("q"), F.lit(-(-n // BLOCK))) == block).collect()
+        if not rows:
+            continue
+        matrix = _unit(np.array([r.v for r in rows], np.float64).reshape(len(rows), -1))
+        to_pivot = _apart(matrix, middle)
+        closest = np.argsort(to_pivot, axis=1)[:, :2]
+
+        def scored(limits: np.ndarray | None, rows: list = rows, matrix: np.ndarray = matrix, to_pivot: np.ndarray = to_pivot, closest: np.ndarray = closest) -> DataFrame:
+            """The k best of each task: of the two closest cells without limits (squared distances), else of all that may hold a nearer point."""
+            shared = spark.sparkContext.broadcast(([r.q for r in rows], matrix, to_pivot, closest, limits))
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                names, matrix, to_pivot, closest, limits = shared.value
+                zero = ~matrix.any(axis=1)
+                for batch in batches:
+                    pivot, far = (batch.column(c).to_numpy() for c in ("pivot", "far"))
+                    own, _ = _matrix(batch.column("unit"), matrix.shape[1])
+                    edges = np.flatnonzero(np.diff(pivot)) + 1
+                    edges = np.unique(np.concatenate([[0], edges, np.arange(0, len(pivot), CELL_ROWS), [len(pivot)]]))
+                    out: list[tuple] = []
+                    computed = np.zeros(len(names), np.int64)
+                    for i, j in zip(edges, edges[1:], strict=False):
+                        p = pivot[i]
+                        if limits is None:
+                            asked = np.flatnonzero((closest == p).any(axis=1))
+                        elif p < 0:
+                            asked = np.arange(len(names))
+                        else:
+                            least = np.maximum(np.maximum(to_pivot[:, p] - far[j - 1], far[i] - to_pivot[:, p]), 0)
+                            asked = np.flatnonzero(zero | (least**2 <= limits + ROOM))
+                        if not len(asked):
+                            continue
+                        computed[asked] += j - i
+                        ids = batch.column("p")[i:j].to_numpy()
+                        order = np.argsort(ids, kind="stable")
+                        scores = np.round(own[i:j][order] @ matrix[asked].T, 9)
+                        kept = np.argsort(-scores, axis=0, kind="stable")[:k]
+                        row, col = kept.T.ravel(), np.repeat(np.arange(len(asked)), len(kept))
+                        out.append((asked[col], ids[order][row], scores[row, col]))
+                    q, p, score = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+                    every = np.array(names, np.int64)
+                    blank = pa.nulls(len(every))
+                    yield pa.RecordBatch.from_arrays([pa.array(every[q]), pa.array(p), pa.array(score), pa.nulls(len(q), pa.int64()), pa.nulls(len(q), pa.int64())], schema_names)
+                    yield pa.RecordBatch.from_arrays([pa.array(every), blank.cast(pa.int64()), blank.cast(pa.float64()), pa.array(np.full(len(every), len(pivot))), pa.array(computed)], schema_names)
+
+            schema_names = ["q", "p", "score", "points", "distances"]
+            return stage(cells.mapInArrow(run, schema), "near")
+
+        first = scored(None)
+        bar = {r.q: r.score for r in top_by(first.where("p IS NOT NULL"), ["q"], k, F.desc("score"), F.asc("p")).where(F.col("rank") == k).select("q", "score").collect()}
+        limits = np.array([2 - 2 * bar[r.q] if r.q in bar else np.inf for r in rows])
+        last = scored(limits)
+        best = top_by(last.where("p IS NOT NULL").select("q", "p", "score"), ["q"], k, F.desc("score"), F.asc("p")).withColumnsRenamed({"q": query_id, "p": point_id})
+        spent = first.where("p IS NULL").select("q", F.lit(0).cast("long").alias("points"), "distances").unionByName(last.where("p IS NULL").select("q", "points", "distances"))
+        done.append((best, spent.groupBy(F.col("q").alias(query_id)).agg(F.sum("points").alias("points"), F.sum("distances").alias("distances"))))
+    return tuple(reduce(DataFrame.unionByName, some) for some in zip(*done, strict=True))

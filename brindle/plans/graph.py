@@ -83,6 +83,36 @@ def neighbours_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.two_hops(edges(spark, sf_dir), names).select("name", "rel_1", "via", "rel_2", "target", "rank")
 
 
+@query(f"""WITH {_EDGES}, names AS (SELECT r_name AS name FROM region UNION ALL SELECT n_name FROM nation),
+near AS (SELECT name, src, min(rel_name) AS rel FROM edges JOIN names ON dst = name GROUP BY name, src),
+listed AS (SELECT name, src FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY rel, src) AS r FROM near) WHERE r <= 10),
+far AS (SELECT names.name, a.src AS other, min(b.rel_name) AS rel_name FROM names JOIN edges b ON b.dst = names.name JOIN edges a ON a.dst = b.src GROUP BY 1, 2),
+kept AS (SELECT * FROM far f WHERE NOT EXISTS (SELECT 1 FROM listed l WHERE l.name = f.name AND l.src = f.other))
+SELECT * FROM (SELECT name, rel_name, other, row_number() OVER (PARTITION BY name ORDER BY rel_name, other) AS rank FROM kept) WHERE rank <= 10""")
+def incoming_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers, orders and suppliers two edges before each region and nation."""
+    names = table(spark, sf_dir, "region").select(F.col("r_name").alias("name")).union(_nations(spark, sf_dir))
+    return g.incoming_two_hops(edges(spark, sf_dir), names).select("name", "rel_name", "other", "rank")
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, e AS (SELECT * FROM edges UNION SELECT DISTINCT s_name, 'OFFERS', 'Part ' || l_partkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+b AS (SELECT src, dst, min(rel_name) AS rel FROM (SELECT src, rel_name, dst FROM e UNION ALL SELECT dst, rel_name, src FROM e) WHERE src <> dst GROUP BY ALL),
+ends AS (SELECT min(src) FILTER (contains(lower(src), 'customer#')) AS a, min(src) FILTER (contains(lower(src), 'part 17')) AS z FROM b),
+walk AS (SELECT a AS node, 0 AS hops FROM ends UNION SELECT dst, hops + 1 FROM walk JOIN b ON src = node WHERE hops < 4),
+back AS (SELECT z AS node, 0 AS hops FROM ends UNION SELECT dst, hops + 1 FROM back JOIN b ON src = node WHERE hops < 4),
+f AS (SELECT node, min(hops) AS h FROM walk GROUP BY node), r AS (SELECT node, min(hops) AS h FROM back GROUP BY node),
+d AS (SELECT h AS hops FROM f, ends WHERE node = z), onp AS (SELECT f.node, f.h FROM f JOIN r USING (node), d WHERE f.h + r.h = hops),
+p AS (SELECT [node] AS nodes, []::VARCHAR[] AS relations, 0 AS h, node FROM onp WHERE h = 0
+  UNION ALL SELECT list_append(nodes, dst), list_append(relations, rel), p.h + 1, dst FROM p JOIN b ON src = p.node JOIN onp ON onp.node = dst AND onp.h = p.h + 1)
+SELECT array_to_string(nodes, ' > ') AS nodes, array_to_string(relations, ',') AS relations, h::BIGINT AS hops FROM p, d WHERE h = hops ORDER BY p.nodes LIMIT 1""")
+def path_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first shortest path from the first customer to the first part whose name holds "part 17"."""
+    t = lambda name: table(spark, sf_dir, name)
+    offers = t("lineitem").join(t("supplier"), F.expr("l_suppkey = s_suppkey")).select(F.col("s_name").alias("src"), F.lit("OFFERS").alias("rel_name"), F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("dst")).distinct()
+    found = g.path_between(edges(spark, sf_dir).unionByName(offers), "customer#", "Part 17", 4)
+    return found.select(F.array_join("nodes", " > ").alias("nodes"), F.array_join("relations", ",").alias("relations"), "hops")
+
+
 @query(f"""WITH {_EDGES}, {_NODES}, d AS (SELECT name, count(*) AS degree FROM (SELECT src AS name FROM edges UNION ALL SELECT dst FROM edges) GROUP BY name)
 SELECT label, nodes.name, coalesce(degree, 0) AS degree FROM nodes LEFT JOIN d ON nodes.name = d.name""")
 def degree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import functions, graph, knowledge, reports, search, streams
+from . import functions, graph, knowledge, reports, search, streams, tools
 from .base import ORACLE_SQL, QUERIES
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "functions", "graph", "knowledge", "reports", "search", "streams"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "functions", "graph", "knowledge", "reports", "search", "streams", "tools"]
 
 FLAGSHIP = search.hybrid_pages

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import dates, routing, text
-from brindle.operators import evaluation, events, reports, tables
+from brindle.operators import calls, evaluation, events, reports, tables
+from brindle.session import scratch
 
 from .base import query, table
 
@@ -16,10 +17,14 @@ _REGISTRY = """reg AS (SELECT doc_id AS page_id, lang AS dept, source, CASE WHEN
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as a page registry; every seventh page failed."""
+    return registry_of(table(spark, sf_dir, "documents"))
+
+
+def registry_of(docs: DataFrame) -> DataFrame:
     failed = F.col("doc_id") % 7 == 0
     from brindle.functions.ids import content_hash
 
-    return table(spark, sf_dir, "documents").select(
+    return docs.select(
         F.col("doc_id").alias("page_id"), F.col("lang").alias("dept"), "source", F.when(failed, "error").otherwise("ok").alias("status"),
         F.when(~failed, content_hash(F.col("text"))).alias("content_hash"), text.word_count(F.col("text")).alias("word_count"),
         F.expr("n_chars div 600").alias("chunk_count"), (F.col("doc_id") % 3).alias("event_count"),
@@ -70,7 +75,7 @@ def newest_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OLD = f"{_REGISTRY}, old AS (SELECT * FROM reg WHERE page_id % 5 <> 0), new AS (SELECT page_id, dept, source, 'ok' AS status, content_hash, CASE WHEN page_id % 2 = 0 THEN word_count + 1 END AS word_count, chunk_count, event_count, last_edited_time + INTERVAL 1 DAY AS last_edited_time FROM reg WHERE page_id % 3 = 0)"
 
 
-def _old_and_new(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def old_and_new(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The stored four fifths of the registry, and a run over a third of it that counted the words of every other page."""
     whole = registry(spark, sf_dir)
     new = whole.where("page_id % 3 = 0").withColumns({
@@ -82,7 +87,7 @@ def _old_and_new(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 @query(f"""WITH {_OLD} SELECT coalesce(n.page_id, o.page_id) AS page_id, coalesce(n.dept, o.dept) AS dept, coalesce(n.status, o.status) AS status, CASE WHEN n.page_id IS NOT NULL THEN n.content_hash ELSE o.content_hash END AS content_hash,
 coalesce(n.word_count, o.word_count) AS word_count, coalesce(n.last_edited_time, o.last_edited_time) AS last_edited_time FROM old o FULL JOIN new n ON o.page_id = n.page_id AND o.dept = n.dept""")
 def registry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, new = _old_and_new(spark, sf_dir)
+    old, new = old_and_new(spark, sf_dir)
     merged = tables.upsert_keeping(old, new, ["page_id", "dept"], ("word_count", "chunk_count", "event_count"))
     return merged.select("page_id", "dept", "status", "content_hash", "word_count", "last_edited_time")
 
@@ -90,7 +95,7 @@ def registry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_OLD} SELECT page_id, source, last_edited_time FROM old WHERE source NOT IN (SELECT source FROM new WHERE source <> 'src0') UNION ALL SELECT page_id, source, last_edited_time FROM new WHERE source <> 'src0'")
 def replace_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of src0 are not ready and keep their old state."""
-    old, new = _old_and_new(spark, sf_dir)
+    old, new = old_and_new(spark, sf_dir)
     return tables.replace_by_source(old, new, "source", F.col("source") != "src0").select("page_id", "source", "last_edited_time")
 
 
@@ -103,15 +108,19 @@ def reconcile_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_OLD}, l AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN last_edited_time + INTERVAL 1 HOUR ELSE last_edited_time END AS edited FROM reg)
 SELECT l.page_id, CASE WHEN o.page_id IS NULL THEN 'new' WHEN edited > o.last_edited_time OR o.status <> 'ok' OR o.content_hash IS NULL THEN 'modified' ELSE 'synced' END AS change FROM l LEFT JOIN old o ON l.page_id = o.page_id""")
 def change_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, _ = _old_and_new(spark, sf_dir)
+    old, _ = old_and_new(spark, sf_dir)
+    return tables.classify_changes(listing(registry(spark, sf_dir)), old, "page_id").select("page_id", "change")
+
+
+def listing(pages: DataFrame) -> DataFrame:
+    """The pages as a wiki lists them: every other one was edited an hour later."""
     edited = F.when(F.col("page_id") % 2 == 0, F.col("last_edited_time") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("last_edited_time"))
-    listing = registry(spark, sf_dir).select("page_id", edited.alias("last_edited_time"))
-    return tables.classify_changes(listing, old, "page_id").select("page_id", "change")
+    return pages.select("page_id", edited.alias("last_edited_time"))
 
 
 @query(f"WITH {_OLD} SELECT n.page_id FROM new n JOIN old o ON n.page_id = o.page_id AND n.content_hash = o.content_hash")
 def hash_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, new = _old_and_new(spark, sf_dir)
+    old, new = old_and_new(spark, sf_dir)
     return tables.unchanged(new, old, "page_id").select("page_id")
 
 
@@ -247,10 +256,42 @@ def extraction_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.stability(first, second, "src")
 
 
-@query("""WITH z AS (SELECT source, count(*) AS n FROM documents GROUP BY source), p AS (SELECT *, row_number() OVER (ORDER BY n DESC, sha256(source)) - 1 AS i FROM z)
-SELECT source, n, CASE WHEN i % 4 IN (0, 3) THEN 'dev' ELSE 'holdout' END AS side FROM p""")
+_SKEW = "abs(({0}n + {2}) * 0.5 - ({1}n + {3}) * 0.5) + list_sum([abs(({0}c[i] + {2} * gc[i] / n) * 0.5 - ({1}c[i] + {3} * gc[i] / n) * 0.5) FOR i IN range(1, len(gc) + 1)])"
+
+
+@query(f"""WITH RECURSIVE k AS (SELECT list(c ORDER BY c) AS cs FROM (SELECT DISTINCT coalesce(lang, '?') AS c FROM documents)),
+q AS (SELECT CASE WHEN doc_id % 97 <> 0 THEN source END AS source, CASE WHEN doc_id % 97 = 0 OR source IS NULL THEN doc_id END AS doc_id, coalesce(lang, '?') AS c FROM documents),
+z AS (SELECT source, doc_id, count(*) AS n, [len(list_filter(list(c), lambda x: x = y)) FOR y IN any_value(cs)] AS gc FROM q, k GROUP BY source, doc_id),
+o AS (SELECT *, row_number() OVER (ORDER BY n DESC, sha256(coalesce(source, '__no_source__' || doc_id))) AS i FROM z),
+d AS (SELECT 0::BIGINT AS i, NULL::VARCHAR AS source, NULL::BIGINT AS doc_id, 0::BIGINT AS n, '' AS side, 0::DOUBLE AS an, 0::DOUBLE AS bn, [0.0::DOUBLE FOR x IN cs] AS ac, [0.0::DOUBLE FOR x IN cs] AS bc FROM k
+  UNION ALL SELECT i, source, doc_id, n, CASE WHEN dev THEN 'dev' ELSE 'holdout' END, an + CASE WHEN dev THEN n ELSE 0 END, bn + CASE WHEN dev THEN 0 ELSE n END,
+    [ac[j] + CASE WHEN dev THEN gc[j] ELSE 0 END FOR j IN range(1, len(gc) + 1)], [bc[j] + CASE WHEN dev THEN 0 ELSE gc[j] END FOR j IN range(1, len(gc) + 1)]
+  FROM (SELECT o.i, o.source, o.doc_id, o.n, o.gc, d.an, d.bn, d.ac, d.bc, {_SKEW.format("d.a", "d.b", "o.n", "0").replace("gc", "o.gc").replace("/ n", "/ o.n")} AS to_dev, {_SKEW.format("d.a", "d.b", "0", "o.n").replace("gc", "o.gc").replace("/ n", "/ o.n")} AS to_hold,
+    to_dev < to_hold OR (to_dev = to_hold AND d.an <= d.bn) AS dev FROM d JOIN o ON o.i = d.i + 1))
+SELECT source, doc_id, n, side FROM d WHERE i > 0""")
 def split_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.split(table(spark, sf_dir, "documents"), "source")
+    """Documents as questions of their source, their language as category; every 97th has no source."""
+    source = F.when(F.col("doc_id") % 97 != 0, F.col("source")).alias("source")
+    return evaluation.split(table(spark, sf_dir, "documents").select("doc_id", "lang", source), "source", "lang", "doc_id")
+
+
+@query("""WITH p AS (SELECT lang, doc_id, length(text) AS chars, row_number() OVER (PARTITION BY lang ORDER BY sha256(doc_id::VARCHAR), doc_id) AS rank FROM documents WHERE length(text) >= 100 AND source <> '')
+SELECT lang, doc_id, chars, rank, (rank - 1) // 5 AS "group" FROM p WHERE rank <= 40""")
+def fixture_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of the pages that fixtures are made from: of each language 40 that have a source and 100 characters, in groups of five."""
+    pages = table(spark, sf_dir, "documents").where((F.length("text") >= 100) & (F.col("source") != "")).select("lang", "doc_id", F.length("text").cast("long").alias("chars"))
+    return evaluation.sampled(pages, ["lang"], "doc_id", 40).select("lang", "doc_id", "chars", "rank", "group")
+
+
+@query("""SELECT lang AS department, 'budget' AS tool, 2::BIGINT AS calls, 1::BIGINT AS failed, count(*) AS results FROM documents WHERE n_chars > 500 AND lang IS NOT NULL GROUP BY lang""")
+def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the request log says about one call a language that works and one that fails."""
+    docs, log = table(spark, sf_dir, "documents"), scratch(spark, "calls")
+    for (lang,) in docs.where("lang IS NOT NULL").select("lang").distinct().orderBy("lang").collect():
+        pages = docs.where(F.col("lang") == lang).select("doc_id", "n_chars")
+        calls.logged(spark, log, "budget", "n_chars > 500", lang, lambda p=pages: p.where("n_chars > 500"), f"{log}-{lang}-pages")
+        calls.logged(spark, log, "budget", "no size", lang, lambda: F.lit(int("no size")), f"{log}-{lang}-none")
+    return calls.usage(spark, log).drop("slowest_ms").where("results > 0")
 
 
 @query("SELECT lang, source, doc_id, rank FROM (SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY sha256(doc_id::VARCHAR), doc_id) AS rank FROM documents) WHERE rank <= 3")

@@ -40,6 +40,23 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir, 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"WITH {_COSINE} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM vector WHERE rank <= 10")
+def vector_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows, with stretches of points ruled out by the triangle inequality."""
+    return _by_pivots(spark, sf_dir)[0].select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+def _by_pivots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    points = table(spark, sf_dir, "embeddings")
+    return vector.nearest_by_pivots(points.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), points, 10)
+
+
+@query()
+def vector_pivots_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many distances the search by pivots computed for each query, of how many points."""
+    return _by_pivots(spark, sf_dir)[1]
+
+
 @query(f"""WITH {_COSINE},
 best AS (SELECT query_id, label, max(score) AS score, count(*) AS hits FROM vector GROUP BY 1, 2)
 SELECT query_id, label, round(score, 6) AS score, hits, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS rank FROM best) WHERE rank <= 10""")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.session import scratch
-from brindle.streaming import events
+from brindle.streaming import events, keyed, scopes
 
-from .base import query
+from . import reports
+from .base import ORACLE_SQL, query, table
 
 
 def _run(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
@@ -36,3 +37,35 @@ SELECT user_id, min(ts)::TIMESTAMP AS start, max(ts)::TIMESTAMP + INTERVAL 30 MI
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions that the watermark has closed."""
     return _run(spark, events.sessions(events.read(spark, _PATH.format(sf_dir))), "sessions")
+
+
+_SCOPED = "SELECT event_id, user_id AS scope, ts FROM e WHERE user_id IS NOT NULL AND epoch(ts) >= 1"
+
+
+@query(f"""WITH {_MARK}, s AS ({_SCOPED}),
+c AS (SELECT scope, event_id, ts, lead(event_id) OVER w AS next_id, lead(ts) OVER w AS next_ts FROM s WINDOW w AS (PARTITION BY scope ORDER BY ts, event_id))
+SELECT scope, event_id, next_id, round((floor(epoch(next_ts)) - floor(epoch(ts))) / 86400)::BIGINT AS days_diff FROM c, m WHERE next_ts < mark""")
+def stream_event_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of each user's events that the watermark has passed."""
+    with events.with_store(spark, scopes.STORE):
+        return _run(spark, scopes.chained(events.read(spark, _PATH.format(sf_dir))), "chain")
+
+
+@query(f"""WITH {_MARK}, s AS ({_SCOPED})
+SELECT DISTINCT ON (scope) scope, event_id, epoch_us(ts) AS ts, count(*) OVER (PARTITION BY scope) AS events FROM s ORDER BY scope, s.ts DESC, event_id DESC""")
+def stream_last_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user and the number of events, kept in a keyed table."""
+    path = scratch(spark, "last")
+    with events.with_store(spark, scopes.STORE):
+        events.each_batch(scopes.last_events(events.read(spark, _PATH.format(sf_dir))), keyed.writer(f"{path}/out"), f"{path}/checkpoint", "update")
+    return keyed.current(spark, f"{path}/out", ["scope"], scopes.LAST)
+
+
+@query(ORACLE_SQL["change_classification"])
+def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes of a stream of listed pages, each against the registry."""
+    path = scratch(spark, "changes")
+    docs = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parque[t]")
+    old, _ = reports.old_and_new(spark, sf_dir)
+    events.each_batch(reports.listing(reports.registry_of(docs)), keyed.classified(old, "page_id", f"{path}/out"), f"{path}/checkpoint")
+    return keyed.current(spark, f"{path}/out", ["page_id"], "page_id LONG, last_edited_time TIMESTAMP_NTZ, change STRING").select("page_id", "change")
