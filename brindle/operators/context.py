@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions.text import answer_key, jaccard, norm_key, trigram_set
+from brindle.functions.text import answer_key, norm_key, trigram_set
 
 from .ranking import RESPONSE_BUDGET, fit_budget, top_by
 
@@ -13,19 +17,33 @@ PREFIX = 600
 RELATIONS, EVENTS, DOCUMENTS = 15, 20, 25
 
 
-def without_near_copies(ranked: DataFrame, keys: list[str], text: str, threshold: float, limit: int = 100) -> DataFrame:
-    """The ranked documents (column rank) of each key that are not alike one kept before them, among the first limit.
-
-    A list is bounded by limit, so each is folded in one row: a document stays if no kept one reaches the threshold.
-    """
+def without_near_copies(ranked: DataFrame, keys: list[str], text: str, threshold: float) -> DataFrame:
+    """The ranked documents (column rank) of each key that are not alike one kept before them, by the trigrams of their first PREFIX
+    characters. A key's documents pass in rank order; what is kept of it in memory are the trigrams of the kept ones."""
     if threshold >= 1:
         return ranked
-    body = F.struct("rank", trigram_set(F.substring(F.col(text), 1, PREFIX)).alias("s"))
-    lists = ranked.where(F.col("rank") <= limit).groupBy(*keys).agg(F.array_sort(F.collect_list(body)).alias("_docs"))
-    empty = F.slice("_docs", 1, 0)
-    alike = lambda kept, d: F.exists(kept, lambda k: jaccard(k["s"], d["s"]) >= threshold)
-    kept = F.aggregate("_docs", empty, lambda kept, d: F.when(alike(kept, d), kept).otherwise(F.concat(kept, F.array(d))))
-    return ranked.join(lists.select(*keys, F.explode(F.transform(kept, lambda k: k["rank"])).alias("rank")), [*keys, "rank"])
+    own = "_trigrams"
+    while own in ranked.columns:
+        own += "_"
+    shaped = ranked.withColumn(own, trigram_set(F.substring(F.coalesce(F.col(text), F.lit("")), 1, PREFIX)))
+    dealt = shaped.repartition(*keys).sortWithinPartitions(*keys, "rank")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sizes, holders = None, [], {}
+        for batch in batches:
+            stays = []
+            for now, grams in zip(zip(*(batch.column(c).to_pylist() for c in keys), strict=True), batch.column(own).to_pylist(), strict=True):
+                if now != key:
+                    key, sizes, holders = now, [], {}
+                shared = Counter(n for g in grams for n in holders.get(g, ()))
+                stays.append(all(n / (sizes[i] + len(grams) - n) < threshold for i, n in shared.items()))
+                if stays[-1]:
+                    for g in grams:
+                        holders.setdefault(g, []).append(len(sizes))
+                    sizes.append(len(grams))
+            yield batch.drop_columns([own]).filter(pa.array(stays, pa.bool_()))
+
+    return dealt.mapInArrow(run, ranked.schema)
 
 
 def batches(texts: Column, max_chars: int = 20_000, max_items: int = 50) -> Column:
@@ -58,6 +76,16 @@ def event_lines(events: DataFrame, keys: list[str], limit: int = EVENTS) -> Data
     return told.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("_l")), lambda x: x["l"]), "\n").alias("timeline"))
 
 
+def assembled(docs: DataFrame, edges: DataFrame, events: DataFrame, keys: list[str], budget: int = RESPONSE_BUDGET, limit: int = DOCUMENTS) -> DataFrame:
+    """Of each key what a model reads: its relations, its timeline and its ranked documents (rank, title, text) to the budget."""
+    block = F.concat(F.lit("["), F.coalesce(F.col("title"), F.lit("")), F.lit("]\n"), F.coalesce(F.col("text"), F.lit("")))
+    kept = fit_budget(docs.where(F.col("rank") <= limit), keys, F.length(F.coalesce("text", F.lit(""))) + F.length(F.coalesce("title", F.lit(""))), budget)
+    told = kept.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("documents"))
+    parts = told.join(relation_lines(edges, keys), keys, "full").join(event_lines(events, keys), keys, "full")
+    headed = [F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"## {c}\n"), F.col(c))) for c in ("relations", "timeline", "documents")]
+    return parts.select(*keys, F.concat_ws("\n\n", *headed).alias("context"))
+
+
 def evidence(ranked: DataFrame, questions: DataFrame, cap: int | None = None, budget: int = RESPONSE_BUDGET, limit: int = DOCUMENTS) -> DataFrame:
     """Per question (id, source_url, answer) and its ranked documents (id, rank, url, title, text): place of the evidence page,
     whether it is in the context, and whether the answer's key is still in what was kept of it."""

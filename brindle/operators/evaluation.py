@@ -113,3 +113,14 @@ def sampled(rows: DataFrame, strata: list[str], key: str, size: int, per_group:
     before it shuffles. Adds rank and group.
     """
     return stratified(rows, strata, key, size).withColumn("group", F.expr(f"(rank - 1) div {per_group}"))
+
+
+def target_ranks(hits: DataFrame, targets: DataFrame, query_id: str, page: str, window: int, limit: int) -> DataFrame:
+    """Where each query's target page stands among the hits (query_id, page, rank, score): chunk_rank in all of them; page_rank among the
+    pages of the first window hits, by their best score; pages in the window; and whether it is within limit. Null ranks: not there."""
+    first = hits.where(F.col("rank") <= window).groupBy(query_id, page).agg(F.max("score").alias("_best"), F.min("rank").alias("_first"))
+    placed = top_by(first, [query_id], window, F.desc("_best"), F.asc("_first")).withColumnRenamed("rank", "page_rank")
+    pages = first.groupBy(query_id).agg(F.count(F.lit(1)).alias("pages"))
+    chunk = hits.join(targets, [query_id, page]).groupBy(query_id).agg(F.min("rank").alias("chunk_rank"))
+    found = targets.join(placed.select(query_id, page, "page_rank"), [query_id, page], "left").join(chunk, query_id, "left").join(pages, query_id, "left")
+    return found.select(query_id, page, "chunk_rank", "page_rank", F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce(F.col("page_rank") <= limit, F.lit(False)).alias("passes"))

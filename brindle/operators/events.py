@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,6 +164,30 @@ def subject_edges(events: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataF
     return had.unionByName(managed), nodes.select("label", "name", "source_url").unionByName(fresh)
 
 
+def upserted(old: DataFrame, new: DataFrame, key: str = "event_id", created: str = "ts") -> DataFrame:
+    """old events and new ones over them: a known event takes every new value but keeps the time at which it was first stored."""
+    first = old.groupBy(key).agg(F.min(created).alias("_first"))
+    fresh = new.join(first, key, "left").withColumn(created, F.coalesce("_first", created)).drop("_first")
+    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(fresh.select(*old.columns))
+
+
+def integrity(events: DataFrame, links: DataFrame, edges: DataFrame, ledger: DataFrame, page: str = "source_url") -> DataFrame:
+    """What is wrong with stored events, as rows (item, found): events and those without date, scope or type; links, and those that skip
+    an event; events without an edge; events by the ledger (page, events), its pages, and those of which events were lost."""
+    names = {"events": "events", "undated": "events without date", "no_scope": "events without scope", "no_type": "events without type"}
+    counted = completeness(events).select(F.explode(F.create_map(*(x for c, name in names.items() for x in (F.lit(name), F.col(c))))).alias("item", "found"))
+    rows = lambda df, item: df.agg(F.count(F.lit(1)).alias("found")).select(F.lit(item).alias("item"), "found")
+    stored = events.groupBy(page).agg(F.count(F.lit(1)).alias("_stored"))
+    lost = ledger.join(stored, page, "left").withColumn("_lost", F.col("events") - F.coalesce("_stored", F.lit(0))).where("_lost > 0")
+    parts = [
+        rows(links, "links"), rows(skipped(links, events), "links that skip"), rows(without_edge(events, edges), "events without edge"),
+        ledger.agg(F.coalesce(F.sum("events"), F.lit(0)).alias("found")).select(F.lit("events by the ledger").alias("item"), "found"),
+        rows(ledger.where("events > 0"), "pages with events by the ledger"), rows(lost, "pages that lost events"),
+        lost.agg(F.coalesce(F.sum("_lost"), F.lit(0)).alias("found")).select(F.lit("events lost").alias("item"), "found"),
+    ]
+    return reduce(DataFrame.unionByName, parts, counted)
+
+
 def of_game(events: DataFrame, edges: DataFrame, game: str) -> DataFrame:
     """Events that a game's HAD_EVENT edges lead to, or that name it themselves, and by which of the two."""
     linked = edges.where((F.col("rel_name") == "HAD_EVENT") & (F.col("src") == game)).select(F.col("dst").alias("event_id"), F.lit(True).alias("by_edge")).distinct()

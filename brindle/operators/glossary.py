@@ -170,3 +170,15 @@ def affix_pairs(names: DataFrame, suffix: bool = False, extra: int | None = None
 def first_node_of(names: DataFrame, nodes: DataFrame) -> DataFrame:
     """Each name with one node: the first by label."""
     return names.join(first_by(nodes, ["name"], F.asc("label")), "name", "left")
+
+
+def to_do(nodes: DataFrame, alias_table: DataFrame, labels: tuple[str, ...]) -> DataFrame:
+    """What a glossary still lacks, as rows (problem, key, found): aliases of several terms, names of several labels or spellings,
+    names that shorten another, and names with one of the labels that no alias covers."""
+    row = lambda df, problem, key, found: df.select(F.lit(problem).alias("problem"), F.col(key).alias("key"), found.alias("found"))
+    conflicts = row(claims(alias_table).where("size(terms) > 1"), "conflict", "key", F.array_join("terms", ","))
+    double = duplicate_names(nodes).withColumn("found", F.array_join("found", ",")).select("problem", "key", "found")
+    short = row(affix_pairs(nodes.select("name").distinct()), "abbreviation", "short", F.col("long"))
+    wanted = nodes.where(F.col("label").isin(*labels)).select("name", "label").distinct().withColumn("_key", norm_key(F.col("name")))
+    open_ones = wanted.join(alias_table.select(norm_key(F.col("alias")).alias("_key")).distinct(), "_key", "left_anti")
+    return conflicts.unionByName(double).unionByName(short).unionByName(row(open_ones, "unregistered", "name", F.col("label")))

@@ -18,6 +18,17 @@ def department_summary(registry: DataFrame, by: str = "dept") -> DataFrame:
     )
 
 
+def route_summary(registry: DataFrame, routes: tuple[str, ...], by: str = "dept", route: str = "route") -> DataFrame:
+    """department_summary with the pages of each route beside it."""
+    counted = registry.groupBy(by).agg(*(F.count_if(F.col(route) == r).alias(f"{r}_pages") for r in routes))
+    return department_summary(registry, by).join(counted, by)
+
+
+def ok_totals(registry: DataFrame, *columns: str) -> DataFrame:
+    """One row: the pages that are ok, and their sums."""
+    return totals(registry.where(F.col("status") == "ok"), *columns)
+
+
 def status_histogram(registry: DataFrame, *keys: str) -> DataFrame:
     """Rows by status (and more keys), with those that lack a content hash."""
     return registry.groupBy(*(keys or ("status",))).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.coalesce("content_hash", F.lit("")) == "").alias("no_hash"))

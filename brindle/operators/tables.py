@@ -73,3 +73,18 @@ def advanced(state: DataFrame, done: DataFrame, at: Column) -> DataFrame:
     counted = done.agg(F.count(F.lit(1)).alias("_n"))
     total = F.coalesce(state.agg(F.max("total_synced").alias("t")).scalar(), F.lit(0))
     return counted.select(at.alias("last_sync_time"), F.col("_n").alias("last_sync_count"), (total + F.col("_n")).alias("total_synced"))
+
+
+def purged(registry: DataFrame, listing: DataFrame, key: str, url: str, stores: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
+    """What a listing that lost pages leaves: the registry with their status deleted, each store (with a column url) without their rows,
+    and for each lost page how many rows went from every store. Edges made by hand (is_manual) stay; pages already deleted are not counted
+    again."""
+    gone = registry.where("status <> 'deleted'").join(listing.select(key).distinct(), key, "left_anti").select(key, url).distinct()
+    urls = gone.where(F.coalesce(F.col(url), F.lit("")) != "").select(url).distinct()
+    left, report = {}, gone
+    for name, store in stores.items():
+        manual = F.coalesce(F.col("is_manual"), F.lit(False)) if "is_manual" in store.columns else F.lit(False)
+        left[name] = store.where(~manual).join(urls, url, "left_anti").unionByName(store.where(manual))
+        counts = store.where(~manual).join(urls, url, "left_semi").groupBy(url).agg(F.count(F.lit(1)).alias(name))
+        report = report.join(counts, url, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return reconcile(registry, listing, key), left, report

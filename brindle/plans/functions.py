@@ -215,7 +215,7 @@ SELECT conv_id, rank FROM k WHERE stays""")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns of each conversation that are not alike one kept before."""
     talk = table(spark, sf_dir, "conversations")
-    ranked = top_by(talk, ["conv_id"], 100, F.asc("turn"), F.asc("text"))
+    ranked = talk.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text")).cast("long"))
     return context.without_near_copies(ranked, ["conv_id"], "text", 0.35).select("conv_id", "rank")
 
 

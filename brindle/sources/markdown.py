@@ -48,6 +48,25 @@ def latest_files(pages: DataFrame) -> DataFrame:
     return first_by(pages, ["page_id"], F.desc_nulls_last("last_edited_time"), F.asc("file"))
 
 
+def savable(pages: DataFrame, min_words: int = 30) -> DataFrame:
+    """Pages (body, db_properties) worth saving, with word_count. A page with properties whose body is short has them put in front of it as
+    lines, and needs one word only."""
+    from brindle.functions.text import word_count
+
+    has = F.coalesce(F.size("db_properties") > 0, F.lit(False))
+    body = F.coalesce("body", F.lit(""))
+    lines = F.array_join(F.transform(F.array_sort(F.map_entries("db_properties")), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("")))), "\n")
+    longer = F.trim(F.concat(lines, F.when(F.trim(body) != "", F.concat(F.lit("\n\n"), body)).otherwise("")))
+    made = pages.withColumn("body", F.when(has & (word_count(body) < min_words), longer).otherwise(body)).withColumn("word_count", word_count(F.col("body")))
+    return made.where(F.col("word_count") >= F.when(has, 1).otherwise(min_words))
+
+
+def stale_files(files: DataFrame, saved: DataFrame) -> DataFrame:
+    """Files (page_id, file) of pages that are now saved under another name."""
+    now = saved.select("page_id", F.col("file").alias("_now")).distinct()
+    return files.join(now, "page_id").groupBy("page_id", "file").agg(F.bool_or(F.col("file") == F.col("_now")).alias("_same")).where("NOT _same").drop("_same")
+
+
 def page_text(pages: DataFrame) -> DataFrame:
     """Pages as files again: file and value, with front matter."""
     line = lambda name, col: F.concat(F.lit(f"{name}: "), F.coalesce(col, F.lit("")))

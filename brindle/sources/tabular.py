@@ -39,6 +39,20 @@ def read_glossary(spark: SparkSession, path: str) -> DataFrame:
     return _wrapped(spark, path, "terms", TERM)
 
 
+def first_glossary(spark: SparkSession, *paths: str) -> DataFrame:
+    """The first of the places that can be read and holds a term: the live export first, then its snapshots."""
+    problems = []
+    for path in paths:
+        try:
+            terms = read_glossary(spark, path)
+            if not terms.isEmpty():
+                return terms
+            problems.append(f"{path}: empty")
+        except Exception as problem:  # a place that fails in any way is passed over
+            problems.append(f"{path}: {type(problem).__name__}")
+    raise ValueError("no glossary: " + "; ".join(problems))
+
+
 def glossary_snapshot(terms: DataFrame, path: str) -> None:
     """Write a glossary's three fields; an empty one is refused."""
     if terms.isEmpty():
