@@ -114,9 +114,10 @@ def test_similar_names_loses_no_pair(spark):
 
 
 def test_split_and_targets(spark):
-    questions = spark.createDataFrame([(s, i) for s in range(9) for i in range(s + 1)], "source int, id int")
-    sides = rows(evaluation.split(questions, "source"))
+    questions = spark.createDataFrame([(s, i, "c") for s in range(9) for i in range(s + 1)], "source int, id int, category string")
+    sides = rows(evaluation.split(questions, "source", "category", "id").select("source", "n", "side"))
     assert len({s for s, _, _ in sides}) == 9 and {side for *_, side in sides} == {"dev", "holdout"}
+    assert abs(sum(n if side == "dev" else -n for _, n, side in sides)) <= 1
     assert evaluation.scaled_targets({"a": 5, "b": 4, "c": 5, "d": 3, "e": 3}, 40) == {"a": 10, "b": 8, "c": 10, "d": 6, "e": 6}
 
 
