@@ -183,11 +183,14 @@ _VALID = f"""{_ITEMS}, va AS (SELECT * FROM items WHERE category <> 'other' AND
 dd AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY regexp_replace(lower(question), '[^\\p{{L}}\\p{{N}}]+', '', 'g') ORDER BY id) AS r FROM va) WHERE r = 1)"""
 
 
-@query(f"WITH {_VALID} SELECT id, category, difficulty, conv AS context_dependent FROM (SELECT *, regexp_matches(question, '{golden.CONTEXT_DEPENDENT}') AS conv FROM dd)")
+_POINTING = rf"(^|[\s,.(])({'|'.join(golden.DEICTIC)})\s*({'|'.join(golden.POINTED_AT)})"
+
+
+@query(f"WITH {_VALID} SELECT id, category, difficulty, conv AS context_dependent FROM (SELECT *, regexp_matches(question, '{_POINTING}') AS conv FROM dd)")
 def golden_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid candidates, one for each question, and whether they point outside themselves."""
     found = golden.deduplicated(golden.valid(_items(spark, sf_dir)), "id")
-    return found.select("id", "category", "difficulty", golden.is_context_dependent(F.col("question")).alias("context_dependent"))
+    return found.select("id", "category", "difficulty", golden.points_outside(F.col("question")).alias("context_dependent"))
 
 
 _GOALS = {"담당자": 9, "정책/규정": 6, "관계": 12}
