@@ -16,13 +16,13 @@ from .knowledge import _text
 from .reports import _REGISTRY, registry
 
 _KOREAN = ("데이터팀에서 POTC는", "서울은", "강", "이 문서를 승인한 팀은 어디인가요", "업데이트 v2_1 패치로", "", "나는 plain 텍스트에게서")
-_SAID = f"said AS (SELECT doc_id, [{', '.join(repr(k) for k in _KOREAN)}][(doc_id % {len(_KOREAN)})::INT + 1] || ' ' || substring(text, 1, 40) AS said FROM documents)"
+_SAID = f"said AS (SELECT doc_id, [{', '.join(repr(k) for k in _KOREAN)}][(doc_id % {len(_KOREAN)})::INT + 1] || ' ' || text AS said FROM documents)"
 
 
 def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Korean openings in front of the documents' own."""
     pick = F.element_at(F.array(*map(F.lit, _KOREAN)), (F.col("doc_id") % len(_KOREAN) + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(pick, F.lit(" "), F.substring("text", 1, 40)).alias("said"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(pick, F.lit(" "), F.col("text")).alias("said"))
 
 
 _PARTICLE = " ".join(f"WHEN ends_with(w, '{p}') AND length(w) >= {len(p) + 2} THEN substring(w, 1, length(w) - {len(p)})" for p in text.PARTICLES)
@@ -42,12 +42,12 @@ def korean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(r"""WITH d AS (SELECT doc_id, source || ': <' || substring(text, 1, 90) || '>' AS title, list_filter(regexp_extract_all(text, '[A-Za-z0-9_.\-]{8,}'), lambda w: regexp_matches(w, '[0-9._\-]')) AS ks FROM documents)
+@query(r"""WITH d AS (SELECT doc_id, source || ': <' || coalesce(text, '') || '>' AS title, list_filter(regexp_extract_all(text, '[A-Za-z0-9_.\-]{8,}'), lambda w: regexp_matches(w, '[0-9._\-]')) AS ks FROM documents)
 SELECT doc_id, substring(regexp_replace(title, '[\\/:*?"<>|\s]+', '_', 'g'), 1, 80) AS filename, coalesce(nullif(regexp_replace(substring(title, 1, 20), '[^A-Za-z0-9_]', '', 'g'), ''), 'Unknown') AS label, substring(md5(title), 1, 8) AS hash,
 coalesce(lower(list_filter(ks, lambda k: length(k) = list_max(list_transform(ks, lambda x: length(x))))[1]), '') AS answer FROM d""")
 def names_and_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File names, labels and hashes of titles, and the answer keys of texts."""
-    title = F.concat(F.col("source"), F.lit(": <"), F.substring("text", 1, 90), F.lit(">"))
+    title = F.concat(F.col("source"), F.lit(": <"), F.coalesce("text", F.lit("")), F.lit(">"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", title.alias("title"))
     return docs.select("doc_id", text.safe_filename(F.col("title")).alias("filename"), text.safe_label(F.substring("title", 1, 20)).alias("label"), ids.title_hash(F.col("title")).alias("hash"), text.answer_key(F.col("text")).alias("answer"))
 
@@ -89,14 +89,14 @@ def json_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BLOCKS = ("heading_1", "heading_3", "bulleted_list_item", "numbered_list_item", "quote", "to_do", "code", "divider", "paragraph")
 
 
-@query(f"""WITH b AS (SELECT doc_id, [{', '.join(repr(b) for b in _BLOCKS)}][(doc_id % {len(_BLOCKS)})::INT + 1] AS kind, regexp_replace(substring(text, 1, 30), '[\\r\\n]', ' ', 'g') AS line, (doc_id % 3)::INT AS depth FROM documents)
+@query(f"""WITH b AS (SELECT doc_id, [{', '.join(repr(b) for b in _BLOCKS)}][(doc_id % {len(_BLOCKS)})::INT + 1] AS kind, regexp_replace(coalesce(text, ''), '[\\r\\n]', ' ', 'g') AS line, (doc_id % 3)::INT AS depth FROM documents)
 SELECT doc_id, CASE kind WHEN 'heading_1' THEN '# ' || line WHEN 'heading_3' THEN '### ' || line WHEN 'bulleted_list_item' THEN repeat('  ', depth) || '- ' || line WHEN 'numbered_list_item' THEN repeat('  ', depth) || '1. ' || line
  WHEN 'quote' THEN repeat('  ', depth) || '> ' || line WHEN 'to_do' THEN repeat('  ', depth) || CASE WHEN doc_id % 2 = 0 THEN '- [x] ' ELSE '- [ ] ' END || line WHEN 'code' THEN '```py' || chr(10) || line || chr(10) || '```' WHEN 'divider' THEN '---'
  ELSE repeat('  ', depth) || line END AS block, '| a | ' || kind || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | ' || depth || ' |' AS grid, 'kind: ' || kind || chr(10) || 'depth: ' || depth || CASE WHEN line <> '' THEN chr(10) || line ELSE '' END AS synthesized FROM b""")
 def block_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks and tables as markdown, and short bodies with their properties in front."""
     kind = F.element_at(F.array(*map(F.lit, _BLOCKS)), (F.col("doc_id") % len(_BLOCKS) + 1).cast("int"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"), F.regexp_replace(F.substring("text", 1, 30), r"[\r\n]", " ").alias("line"), (F.col("doc_id") % 3).cast("int").alias("depth"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"), F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]", " ").alias("line"), (F.col("doc_id") % 3).cast("int").alias("depth"))
     depth = F.col("depth").cast("string")
     grid = F.array(F.array(F.lit("a"), F.col("kind")), F.array(F.lit("1"), depth))
     props = routing.property_text(F.array(F.lit("kind"), F.lit("depth")), F.array(F.col("kind"), depth))
@@ -289,10 +289,10 @@ def scope_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scopes.classify(rows, known, teams, "id").select("id", "scope", "scope_type", "scope_verified")
 
 
-@query("""SELECT 'p' || doc_id || '.md' AS file, replace('p-' || doc_id, '-', '') AS page_id, CASE WHEN doc_id % 4 = 0 THEN 'p' || doc_id ELSE lang || ': ' || source END AS title, length(body) AS letters FROM (SELECT *, regexp_replace(substring(text, 1, 200), '\\r', '', 'g') AS body FROM documents)""")
+@query("""SELECT 'p' || doc_id || '.md' AS file, replace('p-' || doc_id, '-', '') AS page_id, CASE WHEN doc_id % 4 = 0 THEN 'p' || doc_id ELSE lang || ': ' || source END AS title, length(body) AS letters FROM (SELECT *, regexp_replace(coalesce(text, ''), '\\r', '', 'g') AS body FROM documents)""")
 def front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as pages with front matter, and read again."""
-    body = F.regexp_replace(F.substring("text", 1, 200), "\r", "")
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), "\r", "")
     title = F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.concat(F.col("lang"), F.lit(": "), F.col("source")))
     made = table(spark, sf_dir, "documents").select(
         _text("p", F.col("doc_id"), ".md").alias("file"), title.alias("title"), F.lit("u").alias("source_url"), _text("p-", F.col("doc_id")).alias("page_id"), F.lit(None).cast("timestamp").alias("last_edited_time"),
