@@ -40,8 +40,10 @@ def norm_key(text: Column) -> Column:
 
 def trigram_set(text: Column) -> Column:
     """Distinct character trigrams of the text without white space; shorter texts are their own set."""
-    bare = F.regexp_replace(text, r"\s+", "")
-    return F.when(F.length(bare) < 3, F.array(bare)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(bare) - 2), lambda i: bare.substr(i, F.lit(3)))))
+    # the text goes through an array of one, so that its white space is taken out once and not for every trigram
+    grams = lambda b: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(b) - 2), lambda i: b.substr(i, F.lit(3))))
+    bare = F.array(F.regexp_replace(text, r"\s+", ""))
+    return F.get(F.transform(bare, lambda b: F.when(F.length(b) < 3, F.array(b)).otherwise(grams(b))), F.lit(0))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import ids, text
-from brindle.operators import lexical, pages, ranking, vector
+from brindle.operators import context, lexical, pages, ranking, vector
 
 from .base import query, table
 
@@ -158,17 +158,15 @@ def norm_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.norm_key(F.col("text")).alias("key"), text.word_count(F.col("text")).alias("words"))
 
 
-@query(r"""WITH b AS (SELECT doc_id, coalesce(text, '') AS text, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1:6], ' ') AS opening, regexp_replace(opening, '\s+', '', 'g') AS bare FROM documents),
-g AS (SELECT doc_id, CASE WHEN length(bare) < 3 THEN [bare] ELSE list_distinct([substring(bare, i, 3) FOR i IN generate_series(1, length(bare) - 2)]) END AS s, lead(bare) OVER (ORDER BY doc_id) AS nb FROM b),
-h AS (SELECT *, CASE WHEN length(nb) < 3 THEN [nb] ELSE list_distinct([substring(nb, i, 3) FOR i IN generate_series(1, length(nb) - 2)]) END AS t FROM g WHERE nb IS NOT NULL)
-SELECT doc_id, round(len(list_intersect(s, t))::DOUBLE / len(list_distinct(list_concat(s, t))), 6) AS similarity FROM h""")
+@query(r"""WITH b AS (SELECT doc_id, source, regexp_replace(substring(coalesce(text, ''), 1, 600), '\s+', '', 'g') AS bare FROM documents),
+g AS (SELECT doc_id, source, CASE WHEN length(bare) < 3 THEN [bare] ELSE list_distinct([substring(bare, i, 3) FOR i IN generate_series(1, length(bare) - 2)]) END AS s FROM b),
+f AS (SELECT source, min_by(s, doc_id) AS t, min(doc_id) AS first_id FROM g GROUP BY source)
+SELECT doc_id, first_id, round(len(list_intersect(s, t))::DOUBLE / len(list_distinct(list_concat(s, t))), 6) AS similarity FROM g JOIN f USING (source)""")
 def trigram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How alike the opening six words of each document are to those of the document with the next id."""
-    opening = F.array_join(F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 1, 6), " ")
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.trigram_set(F.coalesce(opening, F.lit(""))).alias("s"))
-    # the next id is the next row of a table without gaps; a range of ids is ordered at a time
-    following = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("t"))
-    return docs.join(following, "doc_id").select("doc_id", F.round(text.jaccard(F.col("s"), F.col("t")), 6).alias("similarity"))
+    """How alike each document is to the first one of its source, by the trigrams of what near copies are told by."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", text.trigram_set(F.substring(F.coalesce("text", F.lit("")), 1, context.PREFIX)).alias("s"))
+    firsts = docs.groupBy("source").agg(F.min_by("s", "doc_id").alias("t"), F.min("doc_id").alias("first_id"))
+    return docs.join(firsts, "source").select("doc_id", "first_id", F.round(text.jaccard(F.col("s"), F.col("t")), 6).alias("similarity"))
 
 
 @query("""SELECT doc_id, substring(sha256(text), 1, 16) AS content_hash,
