@@ -18,6 +18,10 @@ from .ranking import top_by
 
 #: Queries that go to the executors at a time.
 BLOCK = 4_096
+#: Queries and points whose scores are held at a time.
+ROWS, COLUMNS = 256, 4_096
+#: Scores are rounded to nine places; what is further below a rounded one than this stays below.
+SLACK = 2e-9
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -32,18 +36,72 @@ def _matrix(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     length = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
     which = np.flatnonzero(length == size)
     values = column.take(pa.array(which)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(which), size)
-    whole = ~np.isnan(values).any(axis=1)  # nulls are read as nan
+    whole = np.isfinite(values).all(axis=1)  # nulls are read as nan
     return values[whole], which[whole]
 
 
+class _Best:
+    """The k best points of each of n queries so far: higher scores first, then smaller ids."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k, self.count, self.floor = k, np.zeros(n, np.int64), np.full(n, -np.inf)
+        self.score, self.id = np.zeros((n, k)), np.zeros((n, k), np.int64)
+
+    def add(self, at: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """scores of the queries numbered at (each once) with the points ids."""
+        hit = scores >= self.floor[at, None] - SLACK
+        if hit.shape[1] > self.k and np.count_nonzero(hit) > 4 * self.k * len(at):
+            hit &= scores >= np.partition(scores, -self.k, axis=1)[:, [-self.k]] - SLACK
+        row, col = np.nonzero(hit)
+        if not len(row):
+            return
+        rows = np.unique(row)
+        slot = np.arange(self.k) < self.count[at[rows], None]
+        score = np.concatenate([self.score[at[rows]][slot], np.round(scores[row, col], 9)])
+        name = np.concatenate([self.id[at[rows]][slot], ids[col]])
+        row = np.concatenate([np.repeat(rows, self.count[at[rows]]), row])
+        order = np.lexsort((name, -score, row))
+        row, score, name = row[order], score[order], name[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        first = place < self.k
+        row, place = at[row[first]], place[first]
+        self.score[row, place], self.id[row, place] = score[first], name[first]
+        np.maximum.at(self.count, row, place + 1)
+        full = np.unique(row)
+        full = full[self.count[full] == self.k]
+        self.floor[full] = self.score[full, -1]
+
+    def found(self, start: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the queries from start to end, ids and scores."""
+        row, slot = np.nonzero(np.arange(self.k) < self.count[start:end, None])
+        return row + start, self.id[row + start, slot], self.score[row + start, slot]
+
+
+def _scored(batches: Iterator[pa.RecordBatch], names: list, matrix: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of a task's points (id, vector) for each query of matrix: its name, the point and the score."""
+    best = _Best(len(names), k)
+    for batch in batches:
+        for i in range(0, batch.num_rows, COLUMNS):
+            part = batch.slice(i, COLUMNS)
+            own, whole = _matrix(part.column(1), matrix.shape[1])
+            if not len(whole) or not names:
+                continue
+            ids, own = part.column(0).take(pa.array(whole)).to_numpy(zero_copy_only=False), _unit(own)
+            for j in range(0, len(names), ROWS):
+                best.add(np.arange(j, min(j + ROWS, len(names))), matrix[j : j + ROWS] @ own.T, ids)
+    for j in range(0, len(names), ROWS):
+        row, point, score = best.found(j, j + ROWS)
+        yield pa.RecordBatch.from_arrays([pa.array([names[r] for r in row], pa.int64()), pa.array(point), pa.array(score)], ["q", "p", "score"])
+
+
 def nearest(queries: DataFrame, points: DataFrame, k: int, query_id: str = "query_id", point_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, point_id, score and rank of the k nearest points of each query; ties go to the smaller id.
 
-    Each task keeps k points a query of its batches, so what is shuffled does not grow with queries times points. Vectors that
-    are null, or hold a null or nan, take no part; a query is compared with the points of its own length. Queries come to the driver
-    in blocks, one at a time.
+    Each task keeps k points a query, so what is shuffled does not grow with queries times points; it holds the scores of ROWS queries
+    with COLUMNS points at a time. Vectors that are null, or hold a null or a value that is not finite, take no part; a query is compared
+    with the points of its own length. Queries come to the driver in blocks, one at a time.
     """
-    usable = queries.select(query_id, vector, F.size(vector).alias("_size")).where(f"{query_id} IS NOT NULL AND size({vector}) > 0 AND NOT exists({vector}, x -> x IS NULL)")
+    usable = queries.select(query_id, vector, F.size(vector).alias("_size")).where(f"{query_id} IS NOT NULL AND size({vector}) > 0 AND NOT exists({vector}, x -> x IS NULL OR isnan(x) OR abs(x) = double('inf'))")
     sizes = [(r["_size"], r["n"]) for r in usable.groupBy("_size").agg(F.count(F.lit(1)).alias("n")).orderBy("_size").collect()]
     out = None
     for size, block, blocks in [(s, b, -(-n // BLOCK)) for s, n in sizes or [(0, 1)] for b in range(-(-n // BLOCK))]:
@@ -54,17 +112,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, query_id: str = "quer
             out = stage(out, "nearest")
 
         def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
-            names, matrix = shared.value
-            for batch in batches:
-                own, whole = _matrix(batch.column(1), matrix.shape[1])
-                if not len(whole) or not names:
-                    continue
-                ids = batch.column(0).take(pa.array(whole)).to_numpy(zero_copy_only=False)
-                order = np.argsort(ids, kind="stable")
-                scores = np.round(_unit(own)[order] @ matrix.T, 9)
-                kept = np.argsort(-scores, axis=0, kind="stable")[:k]
-                row, col = kept.T.ravel(), np.repeat(np.arange(len(names)), len(kept))
-                yield pa.RecordBatch.from_arrays([pa.array([names[c] for c in col]), pa.array(ids[order][row]), pa.array(scores[row, col])], ["q", "p", "score"])
+            return _scored(batches, *shared.value, k)
 
         one = points.select(point_id, vector).where(F.col(point_id).isNotNull()).mapInArrow(run, "q long, p long, score double")
         out = one if out is None else out.unionByName(one)

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,6 +192,34 @@ def test_queries_come_in_blocks(spark, monkeypatch):
     assert rows(vector.nearest(asked, points, 3)) == want and len(want) == 27
 
 
+def test_nearest_in_slices_keeps_ties_and_holds_few_scores(monkeypatch):
+    rng = np.random.default_rng(3)
+    base = np.round(rng.normal(size=(300, 8)), 1)
+    values, ids = base[rng.integers(0, 300, 3_000)], rng.permutation(3_000)  # copies tie
+    asked = np.vstack([base[:50], np.zeros((1, 8))])
+    matrix = vector._unit(asked)
+    scores = np.round(matrix @ vector._unit(values).T, 9)
+    want = {(q, int(ids[p]), float(scores[q, p])) for q in range(51) for p in np.lexsort((ids, -scores[q]))[:7]}
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids[i : i + 1_100]), pa.array(values[i : i + 1_100].tolist())], ["vec_id", "embedding"]) for i in range(0, 3_000, 1_100)]
+    monkeypatch.setattr(vector, "ROWS", 16)
+    monkeypatch.setattr(vector, "COLUMNS", 100)
+    got = [tuple(r.values()) for b in vector._scored(iter(batches), list(range(51)), matrix, 7) for r in b.to_pylist()]
+    assert len(got) == len(want) == 357 and set(got) == want
+    monkeypatch.undo()
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), pa.array(rng.normal(size=(10_000, 8)).tolist())], ["vec_id", "embedding"])
+    tracemalloc.start()
+    assert sum(b.num_rows for b in vector._scored(iter([batch]), list(range(4_096)), vector._unit(rng.normal(size=(4_096, 8))), 10)) == 40_960
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 << 20  # all scores of the batch would take 312 MB at once, and their order as much
+
+
+def test_a_vector_that_is_not_finite_takes_no_part(spark):
+    points = spark.createDataFrame([(1, [1.0, 0.0]), (2, [float("inf"), 1.0]), (3, [float("nan"), 1.0])], "vec_id long, embedding array<double>").coalesce(1)
+    got = vector.nearest(points.withColumnRenamed("vec_id", "query_id"), points, 3)
+    assert rows(got.select("query_id", "vec_id", "score")) == [(1, 1, 1.0)]
+
+
 def test_names_beside_punctuation_and_particles(spark):
     texts = spark.createDataFrame([(1, "by Acme, then (Acme Corp) again"), (2, "POTC는 어제, MILESTONE 달성"), (3, "신메이플스토리는"), (4, None), (5, "XAcme Corporation; acme"), (6, "one-two ONE."), (7, "***")], "id long, text string")
     names = spark.createDataFrame([(n,) for n in ("Acme", "Acme Corp", "POTC", "ONE", "메이플", "***", "", None)], "name string")
