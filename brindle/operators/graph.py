@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.session import stage
+from brindle.session import dealt, stage
 
 from .ranking import first_by, top_by
 
@@ -67,7 +67,7 @@ def incoming_two_hops(edges: DataFrame, names: DataFrame, limit: int = 10) -> Da
 
 def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes with their number of edges in either direction."""
-    ends = edges.select(F.col("src").alias("name")).unionByName(edges.select(F.col("dst").alias("name")))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("name"))  # one pass over the edges
     return nodes.join(ends.groupBy("name").agg(F.count(F.lit(1)).alias("degree")), "name", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
 
@@ -171,10 +171,13 @@ def contains_either(edges: DataFrame, text: Column) -> DataFrame:
 
 
 def chains(edges: DataFrame, first: tuple[str, ...], second: tuple[str, ...]) -> DataFrame:
-    """Cause, issue and effect: an edge of the first relations that ends where one of the second begins."""
+    """Cause, issue and effect: an edge of the first relations that ends where one of the second begins.
+
+    Each side is made distinct where its issues are dealt to, so that their pairs are distinct and need not be held again.
+    """
     a = edges.where(F.col("rel_name").isin(*first)).select(F.col("src").alias("cause"), F.col("dst").alias("issue"))
     b = edges.where(F.col("rel_name").isin(*second)).select(F.col("src").alias("issue"), F.col("dst").alias("effect"))
-    return a.join(b, "issue").select("cause", "issue", "effect").distinct()
+    return dealt(a, "issue").distinct().join(dealt(b, "issue").distinct(), "issue").select("cause", "issue", "effect")
 
 
 def led_to(decisions: DataFrame) -> DataFrame:

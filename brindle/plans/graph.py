@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.operators import glossary
 from brindle.operators import graph as g
+from brindle.session import dealt
 
 from .base import query, table
 
@@ -31,7 +32,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         edge(t("customer").join(nation, F.expr("c_nationkey = n_nationkey")), F.col("c_name"), "LOCATED_IN", F.col("n_name")),
         edge(t("supplier").join(nation, F.expr("s_nationkey = n_nationkey")), F.col("s_name"), "LOCATED_IN", F.col("n_name")),
         edge(t("orders").join(t("customer"), F.expr("o_custkey = c_custkey")), F.col("c_name"), "ORDERED", order("o_orderkey")),
-        edge(t("lineitem").select("l_orderkey", "l_suppkey").distinct().join(t("supplier"), F.expr("l_suppkey = s_suppkey")), order("l_orderkey"), "SUPPLIED_BY", F.col("s_name")),
+        edge(dealt(t("lineitem").select("l_orderkey", "l_suppkey"), "l_orderkey").distinct().join(t("supplier"), F.expr("l_suppkey = s_suppkey")), order("l_orderkey"), "SUPPLIED_BY", F.col("s_name")),
     ]
     out = parts[0]
     for part in parts[1:]:

@@ -15,6 +15,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/brindle/{name}-{uuid.uuid4().hex}"
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df by a hash of keys in all of the session's shuffle partitions.
+
+    Spark merges small shuffle partitions by their compressed size; rows of keys and names as alike as those of a graph take some twenty
+    times as much in a task that aggregates and sorts them. A number that is asked for is not merged.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors, is computed once."""
     path = scratch(df.sparkSession, name)

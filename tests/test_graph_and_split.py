@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.operators import calls, evaluation, graph, vector
+from brindle.plans.registry import QUERIES
 
 EDGES = "src string, rel_name string, dst string"
 
@@ -169,3 +170,15 @@ def test_pivots_rule_out_most_of_clustered_points(spark):
     assert 3 * spent[1] < spent[0]
     none = vector.nearest_by_pivots(queries.where("false"), points, 3)
     assert none[0].count() == none[1].count() == 0
+
+
+def test_chains_stay_dealt_and_are_distinct(spark):
+    rows = [(f"c{i % 7}", "A", f"o{i}") for i in range(60)] * 2 + [(f"o{i}", "B", f"s{i % 5}") for i in range(60)] * 2
+    got = graph.chains(spark.createDataFrame(rows, "src string, rel_name string, dst string"), ("A",), ("B",))
+    assert sorted(map(tuple, got.collect())) == sorted({(f"c{i % 7}", f"o{i}", f"s{i % 5}") for i in range(60)})
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() == 4  # small shuffle partitions are not merged into one
+
+
+def test_degrees_read_the_edges_once(spark, sf_dir):
+    plan = QUERIES["degree"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey#") and plan.count("'Distinct") + plan.count("Aggregate [l_orderkey") == 1
