@@ -37,17 +37,19 @@ def two_hops(edges: DataFrame, names: DataFrame, limit: int = 30) -> DataFrame:
     A rank join: of a name only the first edges that lead on are needed, and of a middle only its first edges, as no later one can be
     among the first paths. So a hub's incoming edges never meet all of its outgoing ones.
     """
-    hops = edges.select(F.col("src").alias("via"), F.col("rel_name").alias("rel_2"), F.col("dst").alias("target")).distinct()
+    edges = stage(edges.select("src", "rel_name", "dst"), "edges")
+    hops = dealt(edges.select(F.col("src").alias("via"), F.col("rel_name").alias("rel_2"), F.col("dst").alias("target")), "via").distinct()
+    # the edges back to the name are left out afterwards: as many more are kept as a middle has to one target
+    own = Window.partitionBy("via")
+    placed = hops.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("via", "target"))).withColumn("_at", F.row_number().over(own.orderBy("rel_2", "target")))
+    placed = placed.withColumns({"_low": F.min("target").over(own), "_high": F.max("target").over(own), "_spare": F.max("_n").over(own)})
+    kept = placed.where(F.col("_at") <= limit + F.col("_spare")).groupBy("via").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.collect_list(F.struct("rel_2", "target")).alias("_next"))
+    first = edges.join(names, edges.src == names.name).select("name", F.col("rel_name").alias("rel_1"), F.col("dst").alias("via"))
+    first = dealt(first, "via").distinct()
     # a middle that leads only back to the name leads nowhere
-    leads = hops.groupBy("via").agg(F.min("target").alias("_low"), F.max("target").alias("_high"))
-    first = edges.join(names, edges.src == names.name).select("name", F.col("rel_name").alias("rel_1"), F.col("dst").alias("via")).distinct()
-    first = first.join(leads, "via").where("_low <> name OR _high <> name").drop("_low", "_high")
+    first = first.join(kept, "via").where("_low <> name OR _high <> name").drop("_low", "_high")
     first = top_by(first, ["name"], limit, F.asc("rel_1"), F.asc("via")).drop("rank")
-    # the edges back to the name are left out afterwards: as many more are kept as a middle has to one target
-    twice = hops.groupBy("via", "target").agg(F.count(F.lit(1)).alias("_n")).groupBy("via").agg(F.max("_n").alias("_spare"))
-    order = Window.partitionBy("via").orderBy("rel_2", "target")
-    kept = hops.join(twice, "via").withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= limit + F.col("_spare")).drop("_at", "_spare")
-    paths = first.join(kept, "via").where("target <> name")
+    paths = first.select("name", "rel_1", "via", F.inline("_next")).where("target <> name")
     return top_by(paths, ["name"], limit, F.asc("rel_1"), F.asc("via"), F.asc("rel_2"), F.asc("target"))
 
 

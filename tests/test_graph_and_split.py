@@ -182,3 +182,17 @@ def test_chains_stay_dealt_and_are_distinct(spark):
 def test_degrees_read_the_edges_once(spark, sf_dir):
     plan = QUERIES["degree"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("l_orderkey#") and plan.count("'Distinct") + plan.count("Aggregate [l_orderkey") == 1
+
+
+def test_two_hops_read_the_edges_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(name):
+        seen.add(1)
+        return name
+
+    rows = [("a", "x", "b"), ("b", "y", "c"), ("b", "y", "a"), ("b", "z", "a"), ("a", "x", "d"), ("d", "y", "a"), ("a", "w", "b")]
+    edges = spark.createDataFrame(rows, EDGES).withColumn("src", F.udf(told)("src"))
+    got = graph.two_hops(edges, spark.createDataFrame([("a",)], "name string"), 1)
+    assert [tuple(r) for r in got.select("rel_1", "via", "rel_2", "target").collect()] == [("w", "b", "y", "c")]
+    assert seen.value == len(rows)
