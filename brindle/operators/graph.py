@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,33 +117,45 @@ def path_nodes(spark_edges: DataFrame, start: str, end: str, max_hops: int = LON
     return found.withColumn("hops", F.size("relations").cast("long")).orderBy("hops", "nodes").limit(1)
 
 
-def first_holding(names: DataFrame, text: str) -> str | None:
-    """The first name that holds a text, regardless of case."""
-    return names.where(F.contains(F.lower("name"), F.lit(text.lower()))).agg(F.min("name")).first()[0]
+def first_holding(edges: DataFrame, *texts: str) -> list[str | None]:
+    """Of each text the first end of an edge that holds it, regardless of case. One pass over the edges."""
+    holds = lambda end, text: F.min(F.when(F.contains(F.lower(end), F.lit(text.lower())), F.col(end)))
+    found = edges.agg(*[F.least(holds("src", text), holds("dst", text)) for text in texts]).first()
+    return list(found)
+
+
+def _beside(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """The names that an edge in either direction joins to one of names (with repeats).
+
+    The edges stay where they are while the names are few enough to be sent to them, which Spark decides by their size.
+    """
+    ahead = edges.join(names.select(F.col("name").alias("src")), "src", "left_semi").select(F.col("dst").alias("name"))
+    return ahead.unionByName(edges.join(names.select(F.col("name").alias("dst")), "dst", "left_semi").select(F.col("src").alias("name")))
 
 
 def path_between(edges: DataFrame, start_text: str, end_text: str, max_hops: int = LONGEST_PATH) -> DataFrame:
     """nodes, relations and hops of the first shortest path (by its names) between the first nodes that hold two texts; no row if none.
 
     Both ends are searched, always the one with the smaller front: levels of half the path's length hold far fewer nodes than one search
-    of its whole length would. The levels then give the path back, node by node.
+    of its whole length would. The levels then give the path back, node by node. Edges may come repeated: they are written once as they
+    are, and neither turned round nor made distinct as a whole; only those between nodes of shortest paths are.
     """
     spark = edges.sparkSession
-    both = edges.select("src", "rel_name", "dst").unionByName(edges.select(F.col("dst").alias("src"), "rel_name", F.col("src").alias("dst")))
-    both = stage(both.where("src <> dst").groupBy("src", "dst").agg(F.min("rel_name").alias("rel_name")), "edges")
-    ends = [first_holding(both.select(F.col("src").alias("name")), text) for text in (start_text, end_text)]
+    edges = stage(edges.where("src <> dst").select("src", "rel_name", "dst"), "edges")
+    ends = first_holding(edges, start_text, end_text)
     shape = "nodes array<string>, relations array<string>, hops long"
     if None in ends:
         return spark.createDataFrame([], shape)
     if ends[0] == ends[1]:
         return spark.createDataFrame([([ends[0]], [], 0)], shape)
     # of each side: the levels, the union of them, and the size of the last one
-    levels = [[spark.createDataFrame([(name,)], "name string")] for name in ends]
+    # (written, as Spark knows the size of files and so can send them to the edges)
+    levels = [[stage(spark.createDataFrame([(name,)], "name string"), "end")] for name in ends]
     seen, sizes = [side[0] for side in levels], [1, 1]
     meeting = None
     for _ in range(max_hops):
         side = 0 if sizes[0] <= sizes[1] else 1
-        step = levels[side][-1].join(both, levels[side][-1].name == both.src).select(F.col("dst").alias("name")).distinct()
+        step = _beside(edges, levels[side][-1]).distinct()
         front = stage(step.join(seen[side], "name", "left_anti"), "front")
         levels[side].append(front)
         seen[side], sizes[side] = seen[side].unionByName(front), front.count()
@@ -150,17 +164,22 @@ def path_between(edges: DataFrame, start_text: str, end_text: str, max_hops: int
             break
     if meeting is None or meeting.isEmpty():
         return spark.createDataFrame([], shape)
-    # the nodes of shortest paths: from the meeting level back to either end
+    # the nodes of shortest paths: from the meeting level back to either end, whose own level is the end alone
+    meeting = stage(meeting, "on_path")
     halves = []
     for side in levels:
-        half = [stage(meeting, "on_path")]
-        for level in reversed(side[:-1]):
-            back = half[-1].join(both, half[-1].name == both.src).select(F.col("dst").alias("name")).distinct()
-            half.append(stage(level.join(back, "name", "left_semi"), "on_path"))
-        halves.append(half)
+        half = [meeting]
+        for level in reversed(side[1:-1]):
+            half.append(stage(level.join(_beside(edges, half[-1]), "name", "left_semi"), "on_path"))
+        halves.append([*half, side[0]] if len(side) > 1 else half)
+    on_path = [*reversed(halves[0]), *halves[1][1:]]
+    known = reduce(DataFrame.unionByName, on_path)
+    inner = edges.join(known.select(F.col("name").alias("src")), "src", "left_semi").join(known.select(F.col("name").alias("dst")), "dst", "left_semi")
+    inner = inner.select("src", "rel_name", "dst").unionByName(inner.select(F.col("dst").alias("src"), "rel_name", F.col("src").alias("dst")))
+    inner = stage(inner.groupBy("src", "dst").agg(F.min("rel_name").alias("rel_name")), "inner")
     nodes, relations = [ends[0]], []
-    for level in [*reversed(halves[0][:-1]), *halves[1][1:]]:
-        ahead = both.where(F.col("src") == nodes[-1]).join(level, both.dst == level.name, "left_semi")
+    for level in on_path[1:]:
+        ahead = inner.where(F.col("src") == nodes[-1]).join(level, inner.dst == level.name, "left_semi")
         step = ahead.agg(F.min(F.struct("dst", "rel_name")).alias("s")).first().s
         nodes.append(step.dst)
         relations.append(step.rel_name)

@@ -22,17 +22,20 @@ _NODES = """nodes AS (
   UNION ALL SELECT 'Customer', c_name FROM customer UNION ALL SELECT 'Supplier', s_name FROM supplier UNION ALL SELECT 'Order', 'Order ' || o_orderkey FROM orders)"""
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, once: bool = True) -> DataFrame:
+    """The graph's edges, each once; as often as there are rows for it if not once, which saves a shuffle of the order lines."""
     t = lambda name: table(spark, sf_dir, name)
     edge = lambda df, src, rel, dst: df.select(src.alias("src"), F.lit(rel).alias("rel_name"), dst.alias("dst"))
     order = lambda key: F.concat(F.lit("Order "), F.col(key).cast("string"))
-    nation = t("nation")
+    nation, lines = t("nation"), t("lineitem").select("l_orderkey", "l_suppkey")
+    if once:
+        lines = dealt(lines, "l_orderkey").distinct()
     parts = [
         edge(nation.join(t("region"), F.expr("n_regionkey = r_regionkey")), F.col("n_name"), "IN_REGION", F.col("r_name")),
         edge(t("customer").join(nation, F.expr("c_nationkey = n_nationkey")), F.col("c_name"), "LOCATED_IN", F.col("n_name")),
         edge(t("supplier").join(nation, F.expr("s_nationkey = n_nationkey")), F.col("s_name"), "LOCATED_IN", F.col("n_name")),
         edge(t("orders").join(t("customer"), F.expr("o_custkey = c_custkey")), F.col("c_name"), "ORDERED", order("o_orderkey")),
-        edge(dealt(t("lineitem").select("l_orderkey", "l_suppkey"), "l_orderkey").distinct().join(t("supplier"), F.expr("l_suppkey = s_suppkey")), order("l_orderkey"), "SUPPLIED_BY", F.col("s_name")),
+        edge(lines.join(t("supplier"), F.expr("l_suppkey = s_suppkey")), order("l_orderkey"), "SUPPLIED_BY", F.col("s_name")),
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -109,8 +112,8 @@ SELECT array_to_string(nodes, ' > ') AS nodes, array_to_string(relations, ',') A
 def path_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first shortest path from the first customer to the first part whose name holds "part 17"."""
     t = lambda name: table(spark, sf_dir, name)
-    offers = t("lineitem").join(t("supplier"), F.expr("l_suppkey = s_suppkey")).select(F.col("s_name").alias("src"), F.lit("OFFERS").alias("rel_name"), F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("dst")).distinct()
-    found = g.path_between(edges(spark, sf_dir).unionByName(offers), "customer#", "Part 17", 4)
+    offers = t("lineitem").join(t("supplier"), F.expr("l_suppkey = s_suppkey")).select(F.col("s_name").alias("src"), F.lit("OFFERS").alias("rel_name"), F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("dst"))
+    found = g.path_between(edges(spark, sf_dir, once=False).unionByName(offers), "customer#", "Part 17", 4)
     return found.select(F.array_join("nodes", " > ").alias("nodes"), F.array_join("relations", ",").alias("relations"), "hops")
 
 

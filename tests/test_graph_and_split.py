@@ -90,6 +90,22 @@ def test_path_from_both_ends(spark, start, end):
     assert got == ([(*want, len(want[1]))] if want else [])
 
 
+def test_path_leaves_the_edges_where_they_are(spark, monkeypatch):
+    """The edges are written as they come: neither grouped nor sorted as a whole. Repeats and loops change nothing."""
+    plans, stage = {}, graph.stage
+
+    def noted(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, name)
+
+    monkeypatch.setattr(graph, "stage", noted)
+    edges = [e for e in edges_of(3) if e[0] != e[2]]
+    once = graph.path_between(spark.createDataFrame(edges, EDGES), "n11", "n29", 4).collect()
+    again = graph.path_between(spark.createDataFrame([*edges, *edges, ("n11", "a", "n11")], EDGES), "n11", "n29", 4).collect()
+    assert once == again and len(once) == 1
+    assert "Exchange" not in plans["edges"] and "Exchange" in plans["inner"]
+
+
 def test_path_of_unknown_equal_or_distant_ends(spark):
     chain = spark.createDataFrame([(f"c{i}", "r", f"c{i + 1}") for i in range(8)], EDGES)
     assert graph.path_between(chain, "nothing", "c1").collect() == []
