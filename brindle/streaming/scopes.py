@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,58 +24,60 @@ class Chain(StatefulProcessor):
     An event waits until the watermark has passed its time, so that no earlier one can come; a timer at the earliest waiting event
     wakes the scope, and all events that the watermark has passed are then linked at once. A repeated event is known by its id while it
     waits; what lies at or before the last linked event is late and left out.
+
+    Every call of the state store is a message to Spark, and every value of it is packed and unpacked, so none is made for a single event:
+    a scope's new events of a batch wait as one value, an id and a time each, and repeats are found when the scope wakes.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "event_id LONG, ts LONG")
         self.alarm = handle.getValueState("alarm", "at LONG")
-        self.waiting = handle.getMapState("waiting", "event_id LONG", "ts LONG")
+        self.waiting = handle.getListState("waiting", "events BINARY")
 
     def _wake_at(self, ts: int | None) -> None:
         """One timer a scope: at the earliest waiting event."""
-        if self.alarm.exists():
-            old = self.alarm.get()[0]
-            if ts is not None and old <= ts // 1000:
+        old = self.alarm.get()
+        if old is not None:
+            if ts is not None and old[0] <= ts // 1000:
                 return
-            self.handle.deleteTimer(old)
+            self.handle.deleteTimer(old[0])
             self.alarm.clear()
         if ts is not None:
             self.handle.registerTimer(ts // 1000)
             self.alarm.update((ts // 1000,))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        done = self.last.get() if self.last.exists() else None
-        earliest = None
-        for frame in rows:
-            for event, ts in zip(frame["event_id"].tolist(), frame["ts"].tolist(), strict=True):
-                if done is not None and (ts, event) <= (done[1], done[0]):
-                    continue
-                if self.waiting.containsKey((event,)):
-                    ts = min(ts, self.waiting.getValue((event,))[0])
-                self.waiting.updateValue((event,), (ts,))
-                earliest = ts if earliest is None else min(earliest, ts)
-        if earliest is not None:
-            self._wake_at(earliest)
+        done = self.last.get()
+        fresh = np.concatenate([frame[["event_id", "ts"]].to_numpy(np.int64) for frame in rows])
+        if done is not None:
+            event, ts = fresh.T
+            fresh = fresh[(ts > done[1]) | ((ts == done[1]) & (event > done[0]))]
+        if len(fresh):
+            self.waiting.appendValue((fresh.tobytes(),))
+            self._wake_at(int(fresh[:, 1].min()))
         return iter([])
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted((ts[0], event[0]) for event, ts in self.waiting.iterator())
+        held = np.concatenate([np.frombuffer(some[0], np.int64).reshape(-1, 2) for some in self.waiting.get()])
+        held = held[np.lexsort((held[:, 1], held[:, 0]))]
+        held = held[np.append(True, held[1:, 0] != held[:-1, 0])]  # of an event that waits twice, its first time
+        held = held[np.lexsort((held[:, 0], held[:, 1]))]
+        passed = int(np.searchsorted(held[:, 1], mark))
         self.alarm.clear()  # the timer that fired is gone
-        links, last = [], self.last.get() if self.last.exists() else None
-        for ts, event in held:
-            if ts >= mark:
-                self._wake_at(ts)
-                break
+        if passed < len(held):
+            self.waiting.put([(held[passed:].tobytes(),)])
+            self._wake_at(int(held[passed, 1]))
+        else:
+            self.waiting.clear()
+        if passed:
+            last, chain = self.last.get(), held[:passed]
             if last is not None:
-                links.append((key[0], last[0], event, last[1], ts))
-            last = (event, ts)
-            self.waiting.removeKey((event,))
-        if last is not None:
-            self.last.update(last)
-        if links:
-            yield pd.DataFrame(links, columns=["scope", "event_id", "next_id", "ts", "next_ts"])
+                chain = np.concatenate([np.array([last], np.int64), chain])
+            self.last.update((int(chain[-1, 0]), int(chain[-1, 1])))
+            if len(chain) > 1:
+                yield pd.DataFrame({"scope": key[0], "event_id": chain[:-1, 0], "next_id": chain[1:, 0], "ts": chain[:-1, 1], "next_ts": chain[1:, 1]})
 
     def close(self) -> None:
         pass

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, LessThanOrEqual
@@ -58,6 +59,69 @@ def test_chain_of_a_stream_is_that_of_the_batch(spark, tmp_path):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) != scopes.STORE
 
 
+class Kept:
+    """State and timers of one scope; counts the calls."""
+
+    def __init__(self):
+        self.calls, self.rows, self.timers = 0, {}, []
+
+    def getValueState(self, name, _):
+        return State(self, name)
+
+    getListState = getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+class State:
+    def __init__(self, kept, name):
+        self.kept, self.name = kept, name
+
+    def __getattr__(self, call):
+        self.kept.calls += 1
+        rows = self.kept.rows.setdefault(self.name, {"waiting": []}.get(self.name))
+        change = lambda new: self.kept.rows.__setitem__(self.name, new)
+        return {
+            "get": lambda: iter(list(rows)) if self.name == "waiting" else rows, "exists": lambda: bool(rows), "update": change, "put": change,
+            "appendValue": lambda row: rows.append(row), "clear": lambda: self.kept.rows.pop(self.name, None),
+        }[call]
+
+
+class Clock:
+    def __init__(self, mark):
+        self.mark = mark
+
+    def getCurrentWatermarkInMs(self):
+        return self.mark
+
+
+def test_chain_does_not_call_the_store_for_single_events():
+    """1,000 events in two batches, some twice, of which the watermark passes 600: a few calls, and every link once."""
+    kept, chain = Kept(), scopes.Chain()
+    chain.init(kept)
+    rows = pd.DataFrame({"event_id": range(1_000), "ts": [n * 1_000 for n in range(1_000)]}).sample(frac=1, random_state=1)
+    assert list(chain.handleInputRows((7,), iter([rows[:300], rows[300:500]]), None)) == []
+    later = rows[:100].assign(ts=rows["ts"] + 500)
+    assert list(chain.handleInputRows((7,), iter([rows[500:], later]), None)) == []
+    assert len(kept.timers) == 1
+    kept.timers.clear()
+    [first] = chain.handleExpiredTimer((7,), Clock(600), None)
+    assert kept.timers == [600]
+    kept.timers.clear()
+    assert list(chain.handleInputRows((7,), iter([rows[rows["event_id"] < 600]]), None)) == []  # late
+    [second] = chain.handleExpiredTimer((7,), Clock(5_000), None)
+    found = pd.concat([first, second])
+    assert len(first) == 599 and found["event_id"].tolist() == list(range(999)) and found["next_id"].tolist() == list(range(1, 1_000))
+    assert found["ts"].tolist() == [n * 1_000 for n in range(999)] and set(found["scope"]) == {7}
+    assert kept.calls < 30 and not kept.timers
+
+
 def test_chain_goes_on_after_a_restart(spark, tmp_path):
     path = folder_of(spark, tmp_path, BATCHES[:2])
     with events.with_store(spark, scopes.STORE):
