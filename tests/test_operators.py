@@ -240,3 +240,13 @@ def test_as_of_takes_the_first_of_equals(spark):
     left = spark.createDataFrame([(1, 5), (1, 9), (1, 10), (2, 1), (None, 3)], "k int, at int")
     right = spark.createDataFrame([(1, 5, 8), (1, 5, 7), (1, 9, 1), (3, 1, 1)], "k int, snap int, id int")
     assert sorted(map(str, rows(events.next_as_of(left.where("k IS NOT NULL"), right, ["k"], "at", "snap", "id")))) == ["(1, 10, None, None)", "(1, 5, 5, 7)", "(1, 9, 9, 1)", "(2, 1, None, None)"]
+
+
+def test_stability_deals_the_triples_out_once(spark):
+    """One shuffle of the triples and one of the sources' sums; repeats count once, and a null equals nothing."""
+    shape = "src string, s string, p string, o string"
+    first = [("x", "a", "p", "b"), ("x", "a", "p", "b"), ("x", "a", "q", "c"), ("x", "n", None, "c"), ("y", "a", "p", "b"), (None, "a", "p", "b")]
+    second = [("x", "a", "p", "b"), ("x", "a", "r", "c"), ("x", "n", None, "c"), ("z", "a", "p", "b"), (None, "a", "p", "b")]
+    found = evaluation.stability(spark.createDataFrame(first, shape), spark.createDataFrame(second, shape), "src")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    assert {tuple(r) for r in found.collect()} == {("x", 0.2, 2), ("y", 0.0, 0), ("z", 0.0, 0), (None, 0.0, 1)}
