@@ -29,6 +29,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
 from itertools import chain
 
 import numpy as np
@@ -81,6 +82,7 @@ BLOCK = "\n"
 MIXERS = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
+@lru_cache(4096)
 def _left_out(tag: str, attributes: str) -> bool:
     if tag in LEFT_OUT:
         return True
@@ -99,7 +101,7 @@ def blocks(page: str | None) -> list[tuple[str, list[str]]]:
     found: list[tuple[str, list[str]]] = []
     pieces: list[str] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether they are left out
-    articles = hidden = at = 0
+    articles = hidden = paragraphs = at = 0
     page = page or ""
 
     def end() -> None:
@@ -110,9 +112,10 @@ def blocks(page: str | None) -> list[tuple[str, list[str]]]:
             pieces.clear()
 
     def pop(k: int) -> None:
-        nonlocal articles, hidden
+        nonlocal articles, hidden, paragraphs
         for tag, out in stack[k:]:
             hidden -= out
+            paragraphs -= tag == "p"
             articles -= tag in ARTICLE and not out
         del stack[k:]
 
@@ -139,7 +142,8 @@ def blocks(page: str | None) -> list[tuple[str, list[str]]]:
         if m[2]:
             k = innermost((tag,))
             if tag not in INLINE or (k >= 0 and stack[k][1]):
-                end()
+                if pieces:
+                    end()
                 if k >= 0:
                     pop(k)
             continue
@@ -149,11 +153,12 @@ def blocks(page: str | None) -> list[tuple[str, list[str]]]:
                 stack.append((tag, True))
                 hidden += 1
             continue
-        end()
+        if pieces:
+            end()
         if stack and stack[-1][0] == "head" and tag not in EMPTY:
             pop(len(stack) - 1)
-        if (k := innermost(("p",))) >= 0:
-            pop(k)  # no block lies in a paragraph
+        if paragraphs:
+            pop(innermost(("p",)))  # no block lies in a paragraph
         if tag in ENDED_BY and (k := innermost(*ENDED_BY[tag])) >= 0:
             pop(k)
         if tag in EMPTY:
@@ -168,6 +173,7 @@ def blocks(page: str | None) -> list[tuple[str, list[str]]]:
         out = _left_out(tag, m[4])
         stack.append((tag, out))
         hidden += out
+        paragraphs += tag == "p"
         articles += tag in ARTICLE and not out
     rest = page[at:]
     cut = re.search(r"<[a-zA-Z/!?][^<>]*\Z", rest)  # a tag that the page's end breaks off
@@ -184,15 +190,18 @@ class SuffixArray:
 
     def __init__(self, tokens: np.ndarray, depth: int | None = None):
         n = len(tokens)
-        rank = np.searchsorted(np.sort(tokens), tokens).astype(np.int64)  # a class is named by its first place
+        self.order = np.argsort(tokens)
+        own, place = tokens[self.order], np.arange(n)
+        fresh = np.concatenate(([True], own[1:] != own[:-1]))[:n]
+        rank = np.empty(n, np.int64)
+        rank[self.order] = np.maximum.accumulate(np.where(fresh, place, 0))  # a class is named by its first place
         levels, width = [rank], 1
-        self.order = np.argsort(rank, kind="stable")
         open_ = self._shared(rank, self.order)
         while len(open_) and width < min(n, depth or n):
             after = np.full(len(open_), -1, np.int64)
             inside = open_ + width < n
             after[inside] = rank[open_[inside] + width]
-            by = np.lexsort((after, rank[open_]))
+            by = np.argsort(rank[open_] * (n + 1) + after)  # open_ is a part of order: two ranks fit one number
             open_, after = open_[by], after[by]
             own = rank[open_]
             fresh = np.concatenate(([True], (own[1:] != own[:-1]) | (after[1:] != after[:-1])))
@@ -264,21 +273,24 @@ def stream(found: list[tuple[str, list[str]]]) -> str:
     return "\n".join(f"{kind} {' '.join(tokens)}" for kind, tokens in found)
 
 
+def split(text: str) -> list[str]:
+    """A stream's tokens, with a mark after each block."""
+    return [*f" {BLOCK} ".join([line[2:] for line in text.split("\n")]).split(" "), BLOCK] if text else []
+
+
+def kinds_of(text: str) -> str:
+    """The kind of each of a stream's tokens (b: the mark)."""
+    return "".join([line[0] * line.count(" ") + "b" for line in text.split("\n")]) if text else ""
+
+
 def tokens_of(text: str) -> tuple[list[str], str]:
     """A stream's tokens, with a mark after each block, and the kind of each (b: the mark)."""
-    tokens: list[str] = []
-    kinds: list[str] = []
-    for line in text.split("\n") if text else []:
-        own = line[2:].split(" ")
-        tokens += own
-        tokens.append(BLOCK)
-        kinds.append(line[0] * len(own) + "b")
-    return tokens, "".join(kinds)
+    return split(text), kinds_of(text)
 
 
 def signs(text: str) -> list[int]:
     """Least run hashes of a stream's longest block over the orders of MIXERS, of which near copies share most."""
-    longest = max((line[2:].split(" ") for line in text.split("\n")), key=len)
+    longest = max(text.split("\n"), key=lambda line: line.count(" "))[2:].split(" ")
     runs = run_hashes(np.fromiter(map(_hashes.__getitem__, longest), np.uint64, len(longest)))
     if not len(runs):
         runs = np.array([xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))], np.uint64)
@@ -294,10 +306,8 @@ class Shard:
     """The token streams of a shard in one array, each ended by a token of its own."""
 
     def __init__(self, group: pd.DataFrame):
-        split = [tokens_of(t) for t in group["text"]]
-        self.streams = [s[0] for s in split]
-        self.kinds = np.frombuffer("".join(s[1] + "e" for s in split).encode(), np.uint8)
-        self.marked = [bool(t.startswith("a ") or "\na " in t) for t in group["text"]]
+        self.texts = list(group["text"])
+        self.streams = [split(t) for t in self.texts]
         sizes = np.array([len(s) + 1 for s in self.streams], np.int64)
         self.begin = np.concatenate(([0], np.cumsum(sizes)))
         self.page = np.repeat(np.arange(len(sizes)), sizes)
@@ -313,6 +323,10 @@ class Shard:
         self.at = np.flatnonzero(left > RUN)  # RUN tokens before the separator
         self.run = run_hashes(hashes)[self.at].view(np.int64) if len(self.at) else np.zeros(0, np.int64)
 
+    def kinds(self) -> np.ndarray:
+        """By token: its kind (b: a mark, e: an end)."""
+        return np.frombuffer("".join([kinds_of(t) + "e" for t in self.texts]).encode(), np.uint8)
+
     def chosen(self, group: pd.DataFrame, facts: pd.DataFrame) -> np.ndarray:
         """By page: whether it counts, as the one of its near copies that was chosen."""
         keys = facts.loc[facts["kind"] == 0, "value"].to_numpy(np.int64)
@@ -344,9 +358,11 @@ def candidates(key: tuple, group: pd.DataFrame, facts: pd.DataFrame) -> pd.DataF
     if not len(shard.at) or not counts.any():
         return none
     classes, width = SuffixArray(shard.tokens, RUN).classes(RUN)[shard.at], len(shard.streams)
-    pairs = np.unique(classes * width + shard.page[shard.at])
-    count = np.bincount(pairs // width, weights=counts[pairs % width], minlength=int(classes.max()) + 1)[classes]
-    found = np.unique(shard.run[(count > 0) & (count * n >= least(n) * counts.sum())])
+    # no run stands on more pages than it has places
+    often = np.flatnonzero(np.bincount(classes)[classes] * n >= least(n) * counts.sum())
+    pairs = np.unique(classes[often] * width + shard.page[shard.at[often]])
+    count = np.bincount(pairs // width, weights=counts[pairs % width], minlength=int(classes.max()) + 1)[classes[often]]
+    found = np.unique(shard.run[often[(count > 0) & (count * n >= least(n) * counts.sum())]])
     return _frame("host run", [key[0]] * len(found), found.tolist())
 
 
@@ -370,15 +386,17 @@ def settle(key: tuple, group: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame
     runs, pages = facts["value"].to_numpy(np.int64), facts["pages"].to_numpy(np.int64)
     shard = Shard(group)
     repeated = np.zeros(len(shard.tokens), bool)
-    article = shard.kinds == ord("a")
+    kinds = shard.kinds()
+    article = kinds == ord("a")
     if len(runs) and len(shard.at):
         n = int(facts["n"].iloc[0])
         place = np.minimum(np.searchsorted(runs, shard.run), len(runs) - 1)
         count = np.where(runs[place] == shard.run, pages[place], 0)
         repeated = shard.covered(count >= least(n)) & ~article
         repeated |= shard.covered((count >= max(COMMON, LEAST)) & (10 * count >= 9 * n)) & article
-    words = ~np.isin(shard.kinds, (ord("b"), ord("e")))
-    marked = (shard.kinds == ord("x")) | ((shard.kinds == ord("o")) & np.array(shard.marked, bool)[shard.page])
+    words = (kinds != ord("b")) & (kinds != ord("e"))
+    with_article = np.array([t.startswith("a ") or "\na " in t for t in shard.texts], bool)
+    marked = (kinds == ord("x")) | ((kinds == ord("o")) & with_article[shard.page])
     kept = words & ~repeated & ~marked
     texts, taken, told = [], [], []
     for s, a, b in zip(shard.streams, shard.begin, shard.begin[1:], strict=False):
@@ -397,16 +415,19 @@ def extract(pages: DataFrame) -> DataFrame:
     # ids travel as text: pandas makes floats of whole numbers beside nulls
     named = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", host.alias("host"), "html")
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch], signed: bool = False) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 texts = [stream(blocks(h)) for h in part.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(texts, pa.string()), pa.array([signs(t) for t in texts], pa.list_(pa.int64()))], ["page_id", "url", "host", "text", "signs"])
+                told = {"signs": pa.array([signs(t) for t in texts], pa.list_(pa.int64()))} if signed else {}
+                yield pa.RecordBatch.from_pydict(dict(zip(("page_id", "url", "host"), part.columns[:3], strict=True)) | {"text": pa.array(texts, pa.string())} | told)
 
-    streams = named.mapInArrow(read, "page_id string, url string, host string, text string, signs array<long>").withColumn("key", F.xxhash64("page_id", "url", "text"))
+    shape, key = "page_id string, url string, host string, text string", F.xxhash64("page_id", "url", "text")
+    streams = named.mapInArrow(read, shape).withColumn("key", key)
+    with_signs = named.mapInArrow(partial(read, signed=True), f"{shape}, signs array<long>").withColumn("key", key)
     # staged, so that Spark knows their size before it plans the joins; pages are dealt by host and shard rather than by host
-    signed = stage(streams.where("text <> ''").select("host", "key", F.posexplode("signs").alias("place", "sign")), "signs")
+    signed = stage(with_signs.where("text <> ''").select("host", "key", F.posexplode("signs").alias("place", "sign")), "signs")
     leaders = stage(signed.groupBy("host", "place", "sign").agg(F.min("key").alias("fold")), "leaders")
     folded = signed.join(leaders, ["host", "place", "sign"]).groupBy("host", "key").agg(F.min("fold").alias("fold"))
     chosen = stage(folded.groupBy("host", "fold").agg(F.min("key").alias("key")), "chosen")

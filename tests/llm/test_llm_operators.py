@@ -12,6 +12,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -613,6 +614,19 @@ def test_copies_of_articles_keep_their_text(spark):
     assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == dict(enumerate(texts))
 
 
+def test_each_reading_takes_what_it_needs(spark, monkeypatch):
+    """Pages read to be dealt are not signed again, and runs are counted without the kinds of tokens."""
+    pages = spark.createDataFrame([(1, "http://a.org/x", "<p>some words</p>")], "page_id long, url string, html string")
+    assert "signs" not in html_extract.extract(pages)._jdf.queryExecution().toString()
+    monkeypatch.setattr(html_extract, "kinds_of", None)
+    texts = [f"o {' '.join('abcdefgh')} {i} {i} {i}\no {' '.join(f'w{i}x{k}' for k in range(20))}" for i in range(3)]
+    group = pd.DataFrame({"page_id": list("123"), "url": "u", "text": texts, "key": range(3)})
+    facts = pd.DataFrame({"kind": 0, "value": range(3), "pages": 0, "n": 3})
+    found = html_extract.candidates(("a.org",), group, facts)
+    told = pd.concat([facts, pd.DataFrame({"kind": 1, "value": found["run"].astype("int64"), "pages": 0, "n": 3})])
+    assert len(found) == 1 and html_extract.tally(("a.org",), group, told)["pages"].tolist() == [3]
+
+
 def test_suffix_array_and_common_prefixes():
     rng = np.random.default_rng(0)
     for n, letters in ((0, 1), (1, 1), (40, 1), (200, 2), (300, 4)):
