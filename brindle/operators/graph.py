@@ -60,10 +60,13 @@ def incoming_two_hops(edges: DataFrame, names: DataFrame, limit: int = 10) -> Da
     away, each once, by relation and name; the first limit.
 
     Of a node in between only its first sources are needed: those that are listed already, of smaller relations or one edge away, and limit more.
+    Edges may come repeated: those to a node in between are dealt out by it and ranked as they are, and not made distinct before they meet.
     """
-    near = edges.join(names, edges.dst == names.name).select("name", "rel_name", F.col("src").alias("via")).distinct()
+    near = stage(edges.join(names, edges.dst == names.name).select("name", "rel_name", F.col("src").alias("via")).distinct(), "near")
     listed = top_by(near.groupBy("name", F.col("via").alias("other")).agg(F.min("rel_name").alias("rel_name")), ["name"], limit, F.asc("rel_name"), F.asc("other"))
-    sources = top_by(edges.select(F.col("dst").alias("via"), F.col("src").alias("other")).distinct(), ["via"], 3 * limit, F.asc("other")).drop("rank")
+    ahead = edges.select(F.col("dst").alias("via"), F.col("src").alias("other")).join(near.select("via").distinct(), "via", "left_semi")
+    place = F.dense_rank().over(Window.partitionBy("via").orderBy("other"))
+    sources = dealt(ahead, "via").withColumn("_at", place).where(F.col("_at") <= 3 * limit).select("via", "other")
     found = near.join(sources, "via").groupBy("name", "other").agg(F.min("rel_name").alias("rel_name"))
     found = found.join(listed.select("name", "other"), ["name", "other"], "left_anti")
     return top_by(found, ["name"], limit, F.asc("rel_name"), F.asc("other"))

@@ -96,7 +96,7 @@ SELECT * FROM (SELECT name, rel_name, other, row_number() OVER (PARTITION BY nam
 def incoming_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers, orders and suppliers two edges before each region and nation."""
     names = table(spark, sf_dir, "region").select(F.col("r_name").alias("name")).union(_nations(spark, sf_dir))
-    return g.incoming_two_hops(edges(spark, sf_dir), names).select("name", "rel_name", "other", "rank")
+    return g.incoming_two_hops(edges(spark, sf_dir, once=False), names).select("name", "rel_name", "other", "rank")
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, e AS (SELECT * FROM edges UNION SELECT DISTINCT s_name, 'OFFERS', 'Part ' || l_partkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),

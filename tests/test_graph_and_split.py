@@ -65,6 +65,15 @@ def test_incoming_two_hops(spark, seed, limit):
     assert {(r.name, r.rel_name, r.other, r["rank"]) for r in got} == want
 
 
+def test_sources_of_a_middle_are_ranked_where_they_are_dealt(spark):
+    """Repeated edges count once, though the edges to nodes in between are dealt out and ranked as they come."""
+    rows = [(f"far{i:03d}", "r", f"near{i % 3}") for i in range(90)] + [(f"near{i}", "q", "end") for i in range(3)]
+    found = graph.incoming_two_hops(spark.createDataFrame(rows * 4, EDGES), spark.createDataFrame([("end",)], "name string"), 2)
+    assert [(r.other, r["rank"]) for r in found.orderBy("rank").collect()] == [("far000", 1), ("far001", 2)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "dense_rank(other" in plan
+
+
 def plain_path(edges, start, end, most):
     near = defaultdict(dict)
     for s, r, d in edges:
