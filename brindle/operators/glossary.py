@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import entity_candidates, jaccard, names_token, norm_key, trigram_set
+from brindle.session import stage
 
 from .ranking import first_by, top_by
 
+#: Nodes that are ranked for an asked text.
+CANDIDATES = 200
+
 
 def aliases(glossary: DataFrame) -> DataFrame:
     """alias, term and category: every term is its own alias, and a term is never another's synonym."""
@@ -81,20 +85,25 @@ def names_in_text(texts: DataFrame, names: DataFrame, key: str, text: str = "tex
     return top_by(named(texts, names, key, text), [key], limit, F.desc(F.length("name")), F.asc("name"))
 
 
-def holding(names: DataFrame, wanted: DataFrame, fold: Callable[[Column], Column] = norm_key) -> DataFrame:
-    """Pairs of a name and an asked text (column asked) whose folded form the name's holds: found by pieces of equal length."""
+def holders(rows: DataFrame, wanted: DataFrame, fold: Callable[[Column], Column] = norm_key) -> DataFrame:
+    """rows (column name), each with every asked text (column asked) whose folded form its name's holds, and how closely: tier 0 for
+    the same, 1 for a beginning, 2 for another place. Found by pieces of equal length; the rows stay where they are."""
     asked = wanted.select("asked", fold(F.col("asked")).alias("_piece")).where("_piece <> ''").distinct()
-    keyed = names.select("name").distinct().withColumn("_key", fold(F.col("name")))
-    spread = keyed.select("name", F.explode(_pieces(F.col("_key"), asked)).alias("_piece"))
-    return spread.join(asked, "_piece").select("asked", "name")
+    keyed = rows.withColumn("_key", fold(F.col("name")))
+    found = keyed.withColumn("_piece", F.explode(_pieces(F.col("_key"), asked))).join(asked, "_piece")
+    tier = F.when(F.col("_key") == F.col("_piece"), 0).when(F.startswith("_key", "_piece"), 1).otherwise(2)
+    return found.withColumn("tier", tier.cast("long")).drop("_key", "_piece")
+
+
+def holding(names: DataFrame, wanted: DataFrame, fold: Callable[[Column], Column] = norm_key) -> DataFrame:
+    """Pairs of a name and an asked text (column asked) whose folded form the name's holds."""
+    return holders(names.select("name").distinct(), wanted, fold).select("asked", "name")
 
 
-def rank_entities(found: DataFrame, asked: str = "asked") -> DataFrame:
-    """Nodes (name, label, degree) asked for: exact before prefix before substring, then degree, length and name."""
-    key, want = norm_key(F.col("name")), norm_key(F.col(asked))
-    tier = F.when(key == want, 0).when(F.startswith(key, want), 1).otherwise(2)
-    kept = found.where(F.contains(key, want)).withColumn("tier", tier.cast("long"))
-    return top_by(kept, [asked], 200, F.asc("tier"), F.desc("degree"), F.asc(F.length("name")), F.asc("name"), F.asc("label"))
+def rank_entities(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Of each asked text the first 200 nodes (name, label, degree) that hold it: exact before prefix before substring, then degree, length and name."""
+    order = (F.asc("tier"), F.desc("degree"), F.asc(F.length("name")), F.asc("name"), F.asc("label"))
+    return top_by(holders(nodes.select("name", "label", "degree"), wanted), ["asked"], CANDIDATES, *order)
 
 
 def lookup_entities(wanted: DataFrame, nodes: DataFrame, forms: DataFrame | None = None) -> DataFrame:
@@ -105,13 +114,13 @@ def lookup_entities(wanted: DataFrame, nodes: DataFrame, forms: DataFrame | None
     one's in spelling only are the same thing, and are told together.
     """
     spelled = forms if forms is not None else wanted.select("asked", F.col("asked").alias("form"))
-    pairs = holding(nodes, spelled.select(F.col("form").alias("asked")).distinct()).withColumnRenamed("asked", "form")
-    key, want = norm_key(F.col("name")), norm_key(F.col("form"))
-    tier = F.when(key == want, 0).when(F.startswith(key, want), 1).otherwise(2)
-    close = pairs.join(spelled.select("asked", "form").distinct(), "form").groupBy("asked", "name").agg(F.min(tier).alias("tier"))
-    # as many candidates as are counted further on: the closest ones
-    close = top_by(close, ["asked"], 200, F.asc("tier"), F.asc(F.length("name")), F.asc("name")).drop("rank")
-    ranked = close.join(nodes, "name").withColumn("_key", norm_key(F.col("name")))
+    pairs = holders(nodes.select("name"), spelled.select(F.col("form").alias("asked")).distinct()).withColumnRenamed("asked", "form")
+    # as many candidates as are counted further on: the closest ones. A name may come at each of the three tiers
+    order = (F.asc("tier"), F.asc(F.length("name")), F.asc("name"))
+    close = pairs.join(spelled.select("asked", "form").distinct(), "form").withColumn("_at", F.dense_rank().over(Window.partitionBy("asked").orderBy(*order)))
+    close = close.where(F.col("_at") <= 3 * CANDIDATES).groupBy("asked", "name").agg(F.min("tier").alias("tier"))
+    close = top_by(close, ["asked"], CANDIDATES, *order).drop("rank")
+    ranked = stage(close.join(nodes, "name").withColumn("_key", norm_key(F.col("name"))), "ranked")
     best = top_by(ranked, ["asked"], 1, F.asc("tier"), F.desc("degree"), F.asc(F.length("name")), F.asc("name"), F.asc("label"))
     group = ranked.join(best.select("asked", "_key"), ["asked", "_key"]).groupBy("asked").agg(F.array_sort(F.collect_set("label")).alias("types"), F.array_sort(F.collect_set("name")).alias("names"))
     return best.select("asked", "name", "label").join(group, "asked")

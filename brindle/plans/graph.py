@@ -230,7 +230,7 @@ def entity_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: table(spark, sf_dir, name)
     asked = t("nation").select(F.col("n_name").alias("asked")).union(t("region").select(F.substring("r_name", 1, 3))).union(t("supplier").select(F.right("s_name", F.lit(4)))).distinct()
     found = g.degrees(edges(spark, sf_dir), nodes(spark, sf_dir))
-    return glossary.rank_entities(found.join(glossary.holding(found, asked), "name")).select("asked", "name", "label", "degree", "tier", "rank")
+    return glossary.rank_entities(found, asked).select("asked", "name", "label", "degree", "tier", "rank")
 
 
 @query("""WITH n AS (SELECT DISTINCT p_name AS name, regexp_replace(lower(p_name), '\\s+', '', 'g') AS bare FROM part),

@@ -6,6 +6,7 @@ import random
 import re
 
 from brindle.operators import glossary
+from brindle.plans.registry import QUERIES
 
 
 def holds(text, name):
@@ -25,3 +26,30 @@ def test_names_are_found_wherever_a_text_holds_them(spark):
     want = {(i, n) for i, t in texts for n in names if t and n and holds(t, n)}
     rows = [tuple(r) for r in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want and len({n for _, n in want}) >= 15
+
+
+def test_ranked_nodes_are_read_once(spark, sf_dir):
+    """Orders are read for the edges and for the nodes, and not again for the names."""
+    plan = QUERIES["entity_rank"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [o_orderkey") == 2
+
+
+def test_closest_candidates_of_names_with_several_forms(spark, monkeypatch):
+    monkeypatch.setattr(glossary, "CANDIDATES", 3)
+    rng = random.Random(5)
+    nodes = [("".join(rng.choice("abc") for _ in range(rng.randrange(2, 6))), rng.choice("XY"), rng.randrange(4)) for _ in range(150)]
+    nodes = [*{(n, k): (n, k, d) for n, k, d in nodes}.values()]
+    forms = [("p", "ab"), ("p", "b"), ("p", "a"), ("q", "cc"), ("q", "c"), ("r", "zz")]
+    want = set()
+    for asked in "pqr":
+        tiers = {}
+        for n, _, _ in nodes:
+            for form in (f for a, f in forms if a == asked and f in n):
+                tiers[n] = min(tiers.get(n, 2), 0 if n == form else 1 if n.startswith(form) else 2)
+        close = sorted(tiers, key=lambda n: (tiers[n], len(n), n))[:3]
+        ranked = sorted((tiers[n], -d, len(n), n, k) for n, k, d in nodes if n in close)
+        if ranked:
+            name = ranked[0][3]
+            want.add((asked, name, ranked[0][4], ",".join(sorted(k for n, k, _ in nodes if n == name))))
+    got = glossary.lookup_entities(spark.createDataFrame([(a,) for a in "pqr"], "asked string"), spark.createDataFrame(nodes, "name string, label string, degree long"), spark.createDataFrame(forms, "asked string, form string"))
+    assert {(r.asked, r.name, r.label, ",".join(r.types)) for r in got.collect()} == want and len(want) == 2
