@@ -12,8 +12,8 @@ VALUE = (
 )
 
 
-def _entries(properties: Column) -> Column:
-    """Name and typed value of each property, in their order."""
+def entries(properties: Column) -> Column:
+    """Name and typed value of each property, in their order. Parsing is most of the work: keep them in a column where both values and title are wanted."""
     raw = F.map_entries(F.from_json(properties, "MAP<STRING, STRING>"))
     return F.transform(F.coalesce(raw, F.array().cast("ARRAY<STRUCT<key: STRING, value: STRING>>")), lambda e: F.struct(e["key"].alias("name"), F.from_json(e["value"], VALUE).alias("v")))
 
@@ -45,10 +45,15 @@ def _value(v: Column) -> Column:
     )
 
 
+def values_of(read: Column) -> Column:
+    """Of entries the map of name -> values of those that have any; the title is none of them."""
+    found = F.transform(read, lambda e: F.struct(e["name"].alias("key"), _value(e["v"]).alias("value")))
+    return F.map_from_entries(F.filter(found, lambda e: e["value"].isNotNull()))
+
+
 def extracted(properties: Column) -> Column:
     """Map of name -> values of the properties that have any; the title is none of them."""
-    found = F.transform(_entries(properties), lambda e: F.struct(e["name"].alias("key"), _value(e["v"]).alias("value")))
-    return F.map_from_entries(F.filter(found, lambda e: e["value"].isNotNull()))
+    return values_of(entries(properties))
 
 
 def joined(values: Column) -> Column:
@@ -56,7 +61,12 @@ def joined(values: Column) -> Column:
     return F.transform_values(values, lambda _, v: F.array_join(v, ", "))
 
 
+def title_of(read: Column, default: Column) -> Column:
+    """Of entries the first non-empty one of type title, else the default."""
+    texts = F.transform(F.filter(read, lambda e: e["v"]["type"] == "title"), lambda e: _texts(e["v"]["title"]))
+    return F.coalesce(F.get(F.filter(texts, lambda t: t != ""), F.lit(0)), default)
+
+
 def title(properties: Column, default: Column) -> Column:
     """The first non-empty property of type title, else the default."""
-    texts = F.transform(F.filter(_entries(properties), lambda e: e["v"]["type"] == "title"), lambda e: _texts(e["v"]["title"]))
-    return F.coalesce(F.get(F.filter(texts, lambda t: t != ""), F.lit(0)), default)
+    return title_of(entries(properties), default)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brindle.functions import properties
 from brindle.operators import api, events, glossary, golden, pages, reports, tables, triples
 from brindle.operators import graph as g
+from brindle.session import dealt
 
 from .base import query, table
 from .graph import _EDGES, _NODES, edges, nodes
@@ -27,7 +28,8 @@ def page_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as pages with typed properties: some without a title, all with an empty link and a relation."""
     quoted = lambda c: F.to_json(F.array(c))
     bare = lambda c: F.expr(f"substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
-    part = table(spark, sf_dir, "part").withColumn("_title", F.when(F.col("p_partkey") % 5 == 0, "  ").otherwise(F.col("p_name")))
+    # dealt out: a page is a short row with much to read, so that a file of one piece holds many
+    part = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "p_partkey").withColumn("_title", F.when(F.col("p_partkey") % 5 == 0, "  ").otherwise(F.col("p_name")))
     tags = F.to_json(F.transform(F.split("p_type", " "), lambda w: F.struct(w.alias("name"))))
     made = _text("2024-03-", F.lpad((F.col("p_partkey") % 28 + 1).cast("string"), 2, "0"), "T10:00:00Z")
     json = _text(
@@ -35,9 +37,9 @@ def page_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
         '}, "Tags": {"type": "multi_select", "multi_select": ', tags, '}, "Made": {"type": "date", "date": {"start": "', made, '"}}, "Old": {"type": "checkbox"',
         F.when(F.col("p_partkey") % 3 == 0, ', "checkbox": true').otherwise(""), '}, "Link": {"type": "url", "url": null}, "Of": {"type": "relation", "relation": [{"id": "x"}]}, "Note": {"type": "rich_text", "rich_text": ', quoted(F.struct(F.lit(" n ").alias("plain_text"))), "}}",
     )
-    read = part.select("p_partkey", json.alias("j")).select("p_partkey", "j", properties.joined(properties.extracted(F.col("j"))).alias("m"))
+    read = part.select("p_partkey", properties.entries(json).alias("e")).select("p_partkey", "e", properties.joined(properties.values_of(F.col("e"))).alias("m"))
     named = {name: F.col("m")[name.title()].alias(name) for name in ("brand", "size", "tags", "made", "old")}
-    return read.select("p_partkey", properties.title(F.col("j"), _text("page-", F.col("p_partkey"))).alias("title"), *named.values(), F.size("m").alias("n"))
+    return read.select("p_partkey", properties.title_of(F.col("e"), _text("page-", F.col("p_partkey"))).alias("title"), *named.values(), F.size("m").alias("n"))
 
 
 @query("""SELECT o_orderkey, 'Customer ' || o_custkey AS subject, CASE WHEN o_orderkey % 2 = 0 THEN 'Person' ELSE 'Unknown' END AS subject_type, 'ORDERED' AS predicate, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 7)::INT END AS place,

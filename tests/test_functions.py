@@ -166,3 +166,10 @@ def test_shares_of_scope_issues(spark):
 
     events = spark.createDataFrame([("game", "A", True), ("game", "B", False), ("unknown", "", False), ("unknown", "", False)], "scope_type string, scope string, scope_verified boolean")
     assert sorted((r.scope_type, r.events, r.share) for r in scopes.scope_issues(events).collect()) == [("game", 1, 0.25), ("unknown", 2, 0.5)]
+
+
+def test_properties_are_parsed_once_and_dealt_out(spark, sf_dir):
+    from brindle.plans.registry import QUERIES
+
+    plan = QUERIES["page_properties"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("map_entries(from_json") == 1 and "REPARTITION_BY_NUM" in plan
