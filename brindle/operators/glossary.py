@@ -62,22 +62,59 @@ def _pieces(text: Column, wanted: DataFrame) -> Column:
     return F.array_distinct(F.flatten(F.array(*map(of_length, lengths)))) if lengths else F.array().cast("array<string>")
 
 
+ASCII_NAME = "^[A-Za-z0-9_-]+$"
+
+
+def _longest(parts: Column) -> Column:
+    """The longest of the parts, with its number from 0; null if there is none."""
+    return F.array_max(F.transform(parts, lambda p, i: F.struct(F.length(p).alias("n"), p.alias("p"), i.alias("i"))))
+
+
+def _anchors(names: DataFrame) -> DataFrame:
+    """name, _piece (its longest run), _at and _sure (whether a text with the piece there holds the name).
+
+    A purely ASCII name touches no ASCII letter or digit, so each of its ASCII runs is a whole one (part). Another name's runs are whole
+    ones inside it (run), ends of one where it begins with a run (tail) and beginnings where it ends with one (head); a name that is a
+    run may lie anywhere in one (inner).
+    """
+    each = names.select("name").distinct()
+    parts = lambda pattern: F.regexp_extract_all("name", F.lit(pattern), F.lit(0))
+    ascii_ones = each.where(F.col("name").rlike(ASCII_NAME)).select("name", parts("[A-Za-z0-9]+").alias("_p"))
+    ascii_ones = ascii_ones.select("name", _longest(F.col("_p")).alias("_l"), F.lit("part").alias("_at"))
+    others = each.where(~F.col("name").rlike(ASCII_NAME)).select("name", parts(RUN).alias("_p")).select("name", "_p", _longest(F.col("_p")).alias("_l"))
+    begins = (F.col("_l.i") == 0) & F.col("name").rlike(f"^{RUN}")
+    ends = (F.col("_l.i") == F.size("_p") - 1) & F.col("name").rlike(rf"{RUN}\z")
+    others = others.select("name", "_l", F.when(begins & ends, "inner").when(begins, "tail").when(ends, "head").otherwise("run").alias("_at"))
+    return ascii_ones.unionByName(others).where("_l IS NOT NULL").select("name", F.col("_l.p").alias("_piece"), "_at", (F.col("_l.p") == F.col("name")).alias("_sure"))
+
+
 def named(texts: DataFrame, names: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key and name wherever text holds name: anywhere in it, but that a purely ASCII name touches no other ASCII letter or digit.
 
-    A text that holds a name holds the name's longest run of letters and digits inside one of its own runs. So the runs of all texts
-    make a vocabulary, whose words are cut into pieces of the lengths that names have, and the pieces are matched by equality; texts
-    meet names through the few words that matched, and only then is the text itself looked at. Names without a letter or digit name
-    nothing.
+    A text that holds a name holds the name's longest run of letters and digits in one of its own runs. So the runs of all texts make
+    a vocabulary, whose words are cut into the pieces that names can have there, and the pieces are matched by equality; texts meet names
+    through the few words that matched. A name that is one run is found by that; for the rest a text is looked at once, with all of its
+    names. Names without a letter or digit name nothing.
     """
-    longest = F.array_max(F.transform(F.regexp_extract_all("name", F.lit(RUN), F.lit(0)), lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))
-    anchors = names.select("name").distinct().select("name", longest.alias("_l")).where("_l IS NOT NULL").select("name", F.col("_l.r").alias("_piece"))
+    anchors = stage(_anchors(names), "anchors")
     runs = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)))).alias("_run"))
-    vocabulary = runs.select("_run").distinct().select("_run", F.explode(_pieces(F.col("_run"), anchors)).alias("_piece"))
-    matched = vocabulary.join(anchors, "_piece").select("_run", "name")
-    found = runs.join(matched, "_run").select(key, "name").distinct()
-    whole = texts.select(key, F.col(text).alias("_text"))
-    return found.join(whole, key).where(names_token(F.col("_text"), F.col("name"))).select(key, "name").distinct()
+    word, size = F.col("_run"), F.length("_run")
+    lengths: dict[str, list[int]] = {}
+    for row in anchors.select("_at", F.length("_piece").alias("n")).distinct().orderBy("n").collect():
+        lengths.setdefault(row["_at"], []).append(row["n"])
+    cut = lambda at, piece: F.array(*[F.when(size >= n, piece(n)) for n in lengths.get(at, [])]).cast("array<string>")
+    pieces = {
+        "part": F.regexp_extract_all(word, F.lit("[A-Za-z0-9]+"), F.lit(0)), "run": F.array(word), "inner": _pieces(word, anchors.where("_at = 'inner'")),
+        "tail": cut("tail", lambda n: F.right(word, F.lit(n))), "head": cut("head", lambda n: F.left(word, F.lit(n))),
+    }
+    placed = lambda at: F.transform(F.array_distinct(pieces[at]), lambda p: F.struct(F.lit(at).alias("_at"), p.alias("_piece")))
+    spread = F.flatten(F.array(*map(placed, pieces)))
+    vocabulary = runs.select("_run").distinct().select("_run", F.inline(spread)).where("_piece IS NOT NULL")
+    matched = stage(vocabulary.join(anchors, ["_at", "_piece"]).groupBy("_run").agg(F.collect_list(F.struct("name", "_sure")).alias("_names")), "matched")
+    found = runs.join(matched, "_run").select(key, F.inline("_names")).distinct()
+    asked = found.where("NOT _sure").groupBy(key).agg(F.collect_list("name").alias("_names"))
+    looked = texts.select(key, F.col(text).alias("_text")).join(asked, key).select(key, F.explode(F.filter("_names", lambda n: names_token(F.col("_text"), n))).alias("name"))
+    return found.where("_sure").select(key, "name").unionByName(looked.distinct())
 
 
 def names_in_text(texts: DataFrame, names: DataFrame, key: str, text: str = "text", limit: int = 30) -> DataFrame:

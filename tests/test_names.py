@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from brindle.operators import glossary
 from brindle.plans.registry import QUERIES
 
@@ -53,3 +55,10 @@ def test_closest_candidates_of_names_with_several_forms(spark, monkeypatch):
             want.add((asked, name, ranked[0][4], ",".join(sorted(k for n, k, _ in nodes if n == name))))
     got = glossary.lookup_entities(spark.createDataFrame([(a,) for a in "pqr"], "asked string"), spark.createDataFrame(nodes, "name string, label string, degree long"), spark.createDataFrame(forms, "asked string, form string"))
     assert {(r.asked, r.name, r.label, ",".join(r.types)) for r in got.collect()} == want and len(want) == 2
+
+
+def test_names_of_one_run_need_no_look_at_texts(spark, monkeypatch):
+    monkeypatch.setattr(glossary, "names_token", lambda text, name: F.lit(False))
+    texts = spark.createDataFrame([(1, "se que bathe ñat"), (2, "sea-que 메이플은"), (3, "at se")], "id long, text string")
+    names = spark.createDataFrame([(n,) for n in ("se", "que", "at", "메이플", "se que")], "name string")
+    assert sorted(map(tuple, glossary.named(texts, names, "id").collect())) == [(1, "at"), (1, "que"), (1, "se"), (2, "que"), (2, "메이플"), (3, "at"), (3, "se")]
