@@ -73,9 +73,13 @@ def incoming_two_hops(edges: DataFrame, names: DataFrame, limit: int = 10) -> Da
 
 
 def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Nodes with their number of edges in either direction, dealt out by name in all shuffle partitions."""
+    """Nodes with their number of edges in either direction, dealt out by name in all shuffle partitions, in more if there are very many nodes.
+
+    Both sides are dealt out: Spark would take the number of the counted side for a join, and not the one that is asked for.
+    """
     ends = edges.select(F.explode(F.array("src", "dst")).alias("name"))  # one pass over the edges
-    return dealt(nodes, "name").join(ends.groupBy("name").agg(F.count(F.lit(1)).alias("degree")), "name", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    counted, rows = ends.groupBy("name").agg(F.count(F.lit(1)).alias("degree")), nodes.count()
+    return dealt(nodes, "name", rows=rows).join(dealt(counted, "name", rows=rows), "name", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
 
 def shortest_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_hops: int = LONGEST_PATH) -> DataFrame:

@@ -15,13 +15,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/brindle/{name}-{uuid.uuid4().hex}"
 
 
-def dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """df by a hash of keys in all of the session's shuffle partitions.
+#: Rows that a task gets at most of what is dealt out by a known number of rows.
+ROWS = 500_000
+
+
+def dealt(df: DataFrame, *keys: str, rows: int = 0) -> DataFrame:
+    """df by a hash of keys in all of the session's shuffle partitions, and in more if df has more rows than ROWS for each of them.
 
     Spark merges small shuffle partitions by their compressed size; rows of keys and names as alike as those of a graph take some twenty
-    times as much in a task that aggregates and sorts them. A number that is asked for is not merged.
+    times as much in a task that aggregates and sorts them. A number that is asked for is not merged. With the number of rows given, a task's memory does not grow with the table.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS)), *keys)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

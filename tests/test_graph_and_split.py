@@ -10,7 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from brindle import session
 from brindle.operators import calls, evaluation, graph, vector
+from brindle.plans import graph as star
 from brindle.plans.registry import QUERIES
 
 EDGES = "src string, rel_name string, dst string"
@@ -221,3 +223,17 @@ def test_two_hops_read_the_edges_once(spark):
     got = graph.two_hops(edges, spark.createDataFrame([("a",)], "name string"), 1)
     assert [tuple(r) for r in got.select("rel_1", "via", "rel_2", "target").collect()] == [("w", "b", "y", "c")]
     assert seen.value == len(rows)
+
+
+def test_what_is_dealt_out_has_tasks_by_its_rows(spark, sf_dir, monkeypatch):
+    dealt_in = lambda: star.edges(spark, sf_dir).rdd.getNumPartitions()
+    few = dealt_in()
+    monkeypatch.setattr(session, "ROWS", 1_000)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert lines > 4_000 and dealt_in() - few == -(-lines // 1_000) - 4
+    monkeypatch.setattr(session, "ROWS", 50)
+    nodes = spark.range(401).select(F.lit("N").alias("label"), F.concat(F.lit("n"), F.col("id")).alias("name"))
+    edges = nodes.select(F.col("name").alias("src"), F.lit("R").alias("rel_name"), F.lit("n7").alias("dst")).where("name <> 'n8'")
+    found = graph.degrees(edges, nodes)
+    assert found.rdd.getNumPartitions() == 9
+    assert {r.name: r.degree for r in found.collect()} == {f"n{i}": {7: 401, 8: 0}.get(i, 1) for i in range(401)}
