@@ -25,8 +25,10 @@ from .ranking import top_by
 
 #: Bytes of the questions that are broadcast at a time.
 BLOCK_BYTES = 8 << 20
-#: Documents of a batch and shards of it.
-BATCH, SHARDS = 10_000, 4
+#: Words that are looked up at a time.
+WORDS = 1 << 19
+#: Documents of a batch and their postings at most, and shards of it.
+BATCH, POSTINGS, SHARDS = 10_000, 1 << 21, 4
 #: The first postings of each list that are read to set the bar (fewer of short lists), and the documents a result whose scores set it.
 SEEDS, SEED_DOCS = 8, 4
 #: Scores are rounded to six places; what is further below the bar than this stays below.
@@ -114,26 +116,37 @@ class Shard:
         return some, score[some], read
 
 
+def _stretches(lists: pa.ListArray, values: int, rows: int) -> Iterator[tuple[int, int]]:
+    """Stretches of lists, of at most so many lists, and of so many values unless it is one list."""
+    ends, start = lists.offsets.to_numpy(), 0
+    while start < len(lists):
+        end = int(np.searchsorted(ends, int(ends[start]) + values, side="right")) - 1
+        yield start, (end := max(start + 1, min(end, start + rows)))
+        start = end
+
+
 def _kept_terms(batches: Iterator[pa.RecordBatch], vocabulary: Broadcast) -> Iterator[pa.RecordBatch]:
     """key, length, and the asked terms (numbers) of each document with their counts."""
     known = pa.array(vocabulary.value, pa.string())
     for batch in batches:
-        terms = batch.column(1)
-        number = pc.index_in(terms.flatten(), value_set=known)
-        doc = np.repeat(np.arange(len(terms)), np.diff(terms.offsets.to_numpy()))
-        asked = number.is_valid().to_numpy(zero_copy_only=False)
-        pair, count = np.unique(doc[asked] * max(1, len(known)) + number.drop_null().to_numpy(), return_counts=True)
-        doc, term = np.divmod(pair, max(1, len(known)))
-        ends = pa.array(np.searchsorted(doc, np.arange(len(terms) + 1)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(ends, pa.array(v.astype(np.int32))) for v in (term, count)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], ["key", "length", "terms", "tfs"])
+        for start, end in _stretches(batch.column(1), WORDS, BATCH):
+            part = batch.slice(start, end - start)
+            terms = part.column(1)
+            number = pc.index_in(terms.flatten(), value_set=known)
+            doc = np.repeat(np.arange(len(terms)), np.diff(terms.offsets.to_numpy()))
+            asked = number.is_valid().to_numpy(zero_copy_only=False)
+            pair, count = np.unique(doc[asked] * max(1, len(known)) + number.drop_null().to_numpy(), return_counts=True)
+            doc, term = np.divmod(pair, max(1, len(known)))
+            ends = pa.array(np.searchsorted(doc, np.arange(len(terms) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v.astype(np.int32))) for v in (term, count)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *lists], ["key", "length", "terms", "tfs"])
 
 
 def _shards(batches: Iterator[pa.RecordBatch], average: float) -> Iterator[tuple[pa.Array, Shard]]:
     """Keys and postings of documents of like length."""
     for batch in batches:
-        for i in range(0, len(batch), BATCH):
-            part = batch.slice(i, BATCH)
+        for start, end in _stretches(batch.column("terms"), POSTINGS, BATCH):
+            part = batch.slice(start, end - start)
             length = part.column("length").to_numpy()
             for rows in np.array_split(np.argsort(length, kind="stable"), SHARDS):
                 some = part.take(pa.array(rows))
@@ -160,6 +173,17 @@ def _seeded(batches: Iterator[pa.RecordBatch], asked: Broadcast, average: float,
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(numbers)), pa.array(scores, pa.float64()), pa.array(reads, pa.int64())], ["q", "score", "read"])
 
 
+def _first(keys: pa.Array, some: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Which of some documents (with their scores) may be among the k best: of those of one score the k smallest keys, by score and key."""
+    place = np.empty(len(some), np.int64)
+    place[pc.sort_indices(keys.take(pa.array(some))).to_numpy()] = np.arange(len(some))
+    order = np.lexsort((place, -score))
+    ordered = score[order]
+    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    nth = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+    return order[(nth < k) & (ordered >= ordered[k - 1] - SLACK)]
+
+
 def _ranked(batches: Iterator[pa.RecordBatch], asked: Broadcast, bars: Broadcast, average: float, k: int) -> Iterator[pa.RecordBatch]:
     """number of the question, key and score of documents at or above the bar; a row without score has the postings read and there are."""
     (questions, gains), bar = asked.value, bars.value.copy()
@@ -169,6 +193,9 @@ def _ranked(batches: Iterator[pa.RecordBatch], asked: Broadcast, bars: Broadcast
         for q, terms in enumerate(questions):
             lists = shard.lists(terms, gains[terms])
             some, score, read = shard.above(lists, bar[q])
+            if len(some) > k:
+                first = _first(keys, some, score, k)
+                some, score = some[first], score[first]
             if len(some):
                 leading[q] = np.sort(np.append(leading[q], score))[::-1][:k]
                 if len(leading[q]) == k:
