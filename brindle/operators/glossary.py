@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.text import entity_candidates, jaccard, names_token, norm_key, trigram_set
@@ -12,7 +12,7 @@ from brindle.session import stage
 
 from .ranking import first_by, top_by
 
-#: Nodes that are ranked for an asked text.
+#: Nodes that rank_entities gives for an asked text.
 CANDIDATES = 200
 
 
@@ -122,10 +122,11 @@ def names_in_text(texts: DataFrame, names: DataFrame, key: str, text: str = "tex
     return top_by(named(texts, names, key, text), [key], limit, F.desc(F.length("name")), F.asc("name"))
 
 
-def holders(rows: DataFrame, wanted: DataFrame, fold: Callable[[Column], Column] = norm_key) -> DataFrame:
+def holders(rows: DataFrame, wanted: DataFrame, fold: Callable[[Column], Column] = norm_key, text: str = "asked") -> DataFrame:
     """rows (column name), each with every asked text (column asked) whose folded form its name's holds, and how closely: tier 0 for
-    the same, 1 for a beginning, 2 for another place. Found by pieces of equal length; the rows stay where they are."""
-    asked = wanted.select("asked", fold(F.col("asked")).alias("_piece")).where("_piece <> ''").distinct()
+    the same, 1 for a beginning, 2 for another place. Found by pieces of equal length; the rows stay where they are. text: the column
+    of wanted that is looked for, if it is another spelling of asked; a row comes once for each that it holds."""
+    asked = wanted.select("asked", fold(F.col(text)).alias("_piece")).where("_piece <> ''").distinct()
     keyed = rows.withColumn("_key", fold(F.col("name")))
     found = keyed.withColumn("_piece", F.explode(_pieces(F.col("_key"), asked))).join(asked, "_piece")
     tier = F.when(F.col("_key") == F.col("_piece"), 0).when(F.startswith("_key", "_piece"), 1).otherwise(2)
@@ -151,16 +152,13 @@ def lookup_entities(wanted: DataFrame, nodes: DataFrame, forms: DataFrame | None
     one's in spelling only are the same thing, and are told together.
     """
     spelled = forms if forms is not None else wanted.select("asked", F.col("asked").alias("form"))
-    pairs = holders(nodes.select("name"), spelled.select(F.col("form").alias("asked")).distinct()).withColumnRenamed("asked", "form")
-    # as many candidates as are counted further on: the closest ones. A name may come at each of the three tiers
-    order = (F.asc("tier"), F.asc(F.length("name")), F.asc("name"))
-    close = pairs.join(spelled.select("asked", "form").distinct(), "form").withColumn("_at", F.dense_rank().over(Window.partitionBy("asked").orderBy(*order)))
-    close = close.where(F.col("_at") <= 3 * CANDIDATES).groupBy("asked", "name").agg(F.min("tier").alias("tier"))
-    close = top_by(close, ["asked"], CANDIDATES, *order).drop("rank")
-    ranked = stage(close.join(nodes, "name").withColumn("_key", norm_key(F.col("name"))), "ranked")
-    best = top_by(ranked, ["asked"], 1, F.asc("tier"), F.desc("degree"), F.asc(F.length("name")), F.asc("name"), F.asc("label"))
-    group = ranked.join(best.select("asked", "_key"), ["asked", "_key"]).groupBy("asked").agg(F.array_sort(F.collect_set("label")).alias("types"), F.array_sort(F.collect_set("name")).alias("names"))
-    return best.select("asked", "name", "label").join(group, "asked")
+    # all nodes that hold a form are ranked: a node that holds several has its closest one before the others
+    order = (F.asc("tier"), F.desc("degree"), F.asc(F.length("name")), F.asc("name"), F.asc("label"))
+    best = first_by(holders(nodes.select("name", "label", "degree"), spelled, text="form"), ["asked"], *order)
+    best = stage(best.select("asked", "name", "label", norm_key(F.col("name")).alias("_key")), "best")
+    # a node spelled like the first one holds what that holds
+    alike = nodes.select(norm_key(F.col("name")).alias("_key"), F.col("name").alias("_name"), F.col("label").alias("_label")).join(best, "_key")
+    return alike.groupBy("asked", "name", "label").agg(F.array_sort(F.collect_set("_label")).alias("types"), F.array_sort(F.collect_set("_name")).alias("names"))
 
 
 def entities_in_questions(questions: DataFrame, names: DataFrame, key: str, limit: int = 5) -> DataFrame:

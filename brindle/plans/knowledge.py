@@ -139,10 +139,8 @@ _FOLD = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
 asked AS (SELECT DISTINCT upper(replace(r_name, '_', ' ')) AS asked FROM region UNION SELECT DISTINCT right(s_name, 3) FROM supplier),
 c AS (SELECT asked, nodes.name, label, coalesce(degree, 0) AS degree, {_FOLD.format("nodes.name")} AS key, {_FOLD.format("asked")} AS want FROM nodes LEFT JOIN deg ON nodes.name = deg.name, asked),
 t AS (SELECT *, CASE WHEN key = want THEN 0 WHEN starts_with(key, want) THEN 1 ELSE 2 END AS tier FROM c WHERE contains(key, want)),
-n AS (SELECT asked, name FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY tier, length(name), name) AS r FROM (SELECT DISTINCT asked, name, tier FROM t)) WHERE r <= 200),
-k AS (SELECT t.* FROM t JOIN n ON t.asked = n.asked AND t.name = n.name),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY tier, degree DESC, length(name), name, label) AS r FROM k) WHERE r = 1)
-SELECT b.asked, b.name, b.label, array_to_string(list_sort(list_distinct(list(k.label))), ',') AS types, array_to_string(list_sort(list_distinct(list(k.name))), ',') AS names FROM b JOIN k ON b.asked = k.asked AND b.key = k.key GROUP BY 1, 2, 3""")
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY tier, degree DESC, length(name), name, label) AS r FROM t) WHERE r = 1)
+SELECT b.asked, b.name, b.label, array_to_string(list_sort(list_distinct(list(t.label))), ',') AS types, array_to_string(list_sort(list_distinct(list(t.name))), ',') AS names FROM b JOIN t ON b.asked = t.asked AND b.key = t.key GROUP BY 1, 2, 3""")
 def entity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodes that regions in another spelling, and ends of supplier names, mean."""
     asked = table(spark, sf_dir, "region").select(F.upper(F.replace("r_name", F.lit("_"), F.lit(" "))).alias("asked")).union(table(spark, sf_dir, "supplier").select(F.right("s_name", F.lit(3)))).distinct()

@@ -57,6 +57,18 @@ def test_closest_candidates_of_names_with_several_forms(spark, monkeypatch):
     assert {(r.asked, r.name, r.label, ",".join(r.types)) for r in got.collect()} == want and len(want) == 2
 
 
+def test_the_busiest_name_is_found_among_any_number_of_shorter_ones(spark):
+    """More names hold the text than a ranked list has; the one with the most edges and its other spelling are the longest."""
+    nodes = [(f"a db {i:03}", "X", 0) for i in range(300)] + [("the team that runs a DB", "Team", 7), ("The team, that runs a db", "Org", 2)]
+    forms = [("db", "db"), ("q", "db"), ("q", "THE"), ("q", "team"), ("r", "zz")]
+    names = spark.createDataFrame(nodes, "name string, label string, degree long")
+    wanted = spark.createDataFrame([("db",), ("q",), ("r",)], "asked string")
+    found = ("the team that runs a DB", "Team", ["Org", "Team"], ["The team, that runs a db", "the team that runs a DB"])
+    assert list(map(tuple, glossary.lookup_entities(wanted, names).where("asked = 'db'").collect())) == [("db", *found)]
+    got = glossary.lookup_entities(wanted, names, spark.createDataFrame(forms, "asked string, form string"))
+    assert sorted(map(tuple, got.collect())) == [("db", *found), ("q", *found)]
+
+
 def test_names_of_one_run_need_no_look_at_texts(spark, monkeypatch):
     monkeypatch.setattr(glossary, "names_token", lambda text, name: F.lit(False))
     texts = spark.createDataFrame([(1, "se que bathe ñat"), (2, "sea-que 메이플은"), (3, "at se")], "id long, text string")
